@@ -156,12 +156,6 @@ def apply_maintenance(tools: DataFrame, maintenance: DataFrame, as_of) -> DataFr
     return j.select(*out)
 
 
-# ---------------------------------------------------------------- B6
-def append_predictions(predictions: DataFrame, path: str) -> None:
-    """Append-only store, partitioned by prediction date (no de-dup)."""
-    predictions.write.mode("append").partitionBy("prediction_date").parquet(path)
-
-
 # ---------------------------------------------------------------- B7
 def orphan_rows(tools: DataFrame, usage: DataFrame, maintenance: DataFrame,
                 predictions: DataFrame) -> DataFrame:

@@ -864,3 +864,38 @@ SELECT count(*) FILTER (WHERE outcome = 'success') AS success, count(*) FILTER (
        count(*) AS total FROM man""")
 def q_label_summary(spark, sf):
     return labels.label_summary(labels.label_manifest(load(spark, sf).label_batch))
+
+
+# ============================================================== 2.11 streams (oracle on the batch SQL)
+@register("stream_daily", """
+SELECT CAST(checkout_time AS DATE) AS usage_date, round(coalesce(sum(usage_duration), 0.0), 6) AS total_hours
+FROM usage_history WHERE checkout_time IS NOT NULL
+  AND CAST(CAST(checkout_time AS DATE) + INTERVAL 1 DAY AS TIMESTAMP)
+      <= (SELECT max(checkout_time) FROM usage_history) - INTERVAL 1 DAY
+GROUP BY 1""")
+def q_stream_daily(spark, sf):
+    """M3: 1-day tumbling windows, 1-day watermark, append mode: a day is
+    emitted once the watermark (max event time - 1 day) passes its end."""
+    from fleetkit.session import shared_path
+    from fleetkit.sources.testdata import shape_usage
+    from fleetkit.streaming import streams
+    root = shared_path(spark, "stream-daily")
+    u = shape_usage(streams.table_stream(spark, sf, "lineitem"))
+    streams.run_to_end(streams.daily_usage_stream(u), f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out").withColumn("total_hours", r6("total_hours"))
+
+
+@register("stream_scans", """
+SELECT s.seq, s.ts, s.code, t.tool_name, t.status, t.category, t.location, t.tool_code IS NOT NULL AS found
+FROM scans s LEFT JOIN tools t ON s.code = t.tool_code""")
+def q_stream_scans(spark, sf):
+    """M4: scan stream left-joined with the static tools table."""
+    from fleetkit.session import shared_path
+    from fleetkit.sources.testdata import part_count, shape_scans
+    from fleetkit.streaming import streams
+    root = shared_path(spark, "stream-scans")
+    f = load(spark, sf)
+    s = shape_scans(streams.table_stream(spark, sf, "events"), part_count(spark, sf))
+    streams.run_to_end(streams.scan_stream(s, f.tools), f"{root}/out", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/out").select("seq", "ts", "code", "tool_name", "status", "category",
+                                                   "location", "found")

@@ -13,8 +13,6 @@ provided scale).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +66,11 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem")
+    return shape_usage(read(spark, sf_dir, "lineitem"))
+
+
+def shape_usage(li: DataFrame) -> DataFrame:
+    """lineitem rows (batch or stream) as usage_history rows."""
     ln = F.col("l_linenumber")
     start = F.timestamp_add("HOUR", (ln + 7).cast("int"), F.col("l_shipdate"))
     return li.select(
@@ -111,12 +113,12 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check-out (view) / check-in (click) events."""
-    e = read(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
-    return shape_tool_events(e)
+    return shape_tool_events(read(spark, sf_dir, "events"))
 
 
 def shape_tool_events(e: DataFrame) -> DataFrame:
-    return e.select(
+    """events rows (batch or stream) as tool events."""
+    return e.where(F.col("event_type").isin("view", "click")).select(
         F.col("event_id").alias("seq"),
         F.col("ts"),
         code_of(F.col("user_id")).alias("tool_code"),
@@ -125,27 +127,30 @@ def shape_tool_events(e: DataFrame) -> DataFrame:
     )
 
 
-def _part_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n_part"))
+def part_count(spark: SparkSession, sf_dir: str) -> int:
+    """Number of parts (a Parquet row count, answered from file metadata)."""
+    return read(spark, sf_dir, "part").count()
+
+
+def _scan_code(n_part: int):
+    return code_of((F.col("user_id") * 7 + F.col("event_id")) % F.lit(2 * n_part))
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned codes: error/signup events; about half point at unknown codes."""
-    e = read(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup"))
-    n = _part_count(spark, sf_dir)
-    return (e.crossJoin(F.broadcast(n))  # one-row scalar (count of part)
-             .select(F.col("event_id").alias("seq"), F.col("ts"),
-                     code_of((F.col("user_id") * 7 + F.col("event_id")) % (F.col("n_part") * 2)).alias("code")))
+    return shape_scans(read(spark, sf_dir, "events"), part_count(spark, sf_dir))
+
+
+def shape_scans(e: DataFrame, n_part: int) -> DataFrame:
+    return (e.where(F.col("event_type").isin("error", "signup"))
+             .select(F.col("event_id").alias("seq"), F.col("ts"), _scan_code(n_part).alias("code")))
 
 
 def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup"))
-    n = _part_count(spark, sf_dir)
-    return (e.crossJoin(F.broadcast(n))
-             .select(F.col("event_id").alias("seq"),
-                     code_of((F.col("user_id") * 7 + F.col("event_id")) % (F.col("n_part") * 2)).alias("tool_code"),
-                     F.when(F.col("event_type") == "error", F.lit("maintenance"))
-                      .otherwise(F.lit("available")).alias("status")))
+    return e.select(F.col("event_id").alias("seq"), _scan_code(part_count(spark, sf_dir)).alias("tool_code"),
+                    F.when(F.col("event_type") == "error", F.lit("maintenance"))
+                     .otherwise(F.lit("available")).alias("status"))
 
 
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,28 +235,28 @@ def raw_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("seq"), text.alias("raw"))
 
 
-@dataclass
 class Fleet:
-    """All adapter views for one scale directory (lazy DataFrames)."""
-    tools: DataFrame
-    usage: DataFrame
-    maintenance: DataFrame
-    tool_events: DataFrame
-    scans: DataFrame
-    status_updates: DataFrame
-    intake: DataFrame
-    prediction_inputs: DataFrame
-    label_batch: DataFrame
-    raw_codes: DataFrame
-    raw_timestamps: DataFrame
+    """All adapter views for one scale directory, built on first access
+    (lazy DataFrames; ``scans`` / ``status_updates`` need a part count)."""
+
+    _BUILDERS = {
+        "tools": tools, "usage": usage, "maintenance": maintenance, "tool_events": tool_events,
+        "scans": scans, "status_updates": status_updates, "intake": intake,
+        "prediction_inputs": prediction_inputs, "label_batch": label_batch,
+        "raw_codes": raw_codes, "raw_timestamps": raw_timestamps,
+    }
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf = spark, sf_dir
+        self._cache: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._BUILDERS:
+            raise AttributeError(name)
+        if name not in self._cache:
+            self._cache[name] = self._BUILDERS[name](self._spark, self._sf)
+        return self._cache[name]
 
 
 def load(spark: SparkSession, sf_dir: str) -> Fleet:
-    return Fleet(
-        tools=tools(spark, sf_dir), usage=usage(spark, sf_dir),
-        maintenance=maintenance(spark, sf_dir), tool_events=tool_events(spark, sf_dir),
-        scans=scans(spark, sf_dir), status_updates=status_updates(spark, sf_dir),
-        intake=intake(spark, sf_dir), prediction_inputs=prediction_inputs(spark, sf_dir),
-        label_batch=label_batch(spark, sf_dir), raw_codes=raw_codes(spark, sf_dir),
-        raw_timestamps=raw_timestamps(spark, sf_dir),
-    )
+    return Fleet(spark, sf_dir)
