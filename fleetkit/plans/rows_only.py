@@ -39,9 +39,9 @@ def q_intake_csv(spark, sf):
     then B1/B2 classification of the rows read from the file."""
     f = load(spark, sf)
     path = shared_path(spark, "intake-csv")
-    files.export_csv(f.intake.select(*[c.name for c in schemas.INTAKE_CSV.fields]), path)
-    back = files.read_intake_csv(spark, path)
-    back = back.withColumn("seq", F.monotonically_increasing_id())
+    # the arrival order travels with the rows (file splits are not read in order)
+    files.export_csv(f.intake.select(*[c.name for c in schemas.INTAKE.fields]), path)
+    back = files.read_intake_csv(spark, path, schemas.INTAKE)
     return ledger.classify_intake(back.drop(files.CORRUPT), f.tools)
 
 

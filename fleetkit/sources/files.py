@@ -15,7 +15,8 @@ CORRUPT = "_corrupt_record"
 def read_intake_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.INTAKE_CSV) -> DataFrame:
     """Header CSV with an explicit schema (no inference pass over the
     data).  Malformed lines are kept with their text in ``_corrupt_record``
-    instead of failing the job."""
+    instead of failing the job.  Empty cells read as null, as in a pandas
+    CSV reader, so an empty required field is a missing one."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     return (spark.read.option("header", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).schema(full).csv(path))
