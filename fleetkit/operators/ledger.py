@@ -133,10 +133,10 @@ def apply_usage(tools: DataFrame, usage: DataFrame, as_of) -> DataFrame:
 def apply_maintenance(tools: DataFrame, maintenance: DataFrame, as_of) -> DataFrame:
     """The last *arrived* record sets last_maintenance_date and the
     condition (10.0 when condition_after is absent); costs accumulate."""
+    # fixed-width values only, so this plans as a HashAggregate
     per_tool = (maintenance.groupBy("tool_code").agg(
-        F.max_by(F.struct(F.col("maintenance_date").alias("d"),
-                          F.coalesce(F.col("condition_after"), F.lit(K.DEFAULT_CONDITION)).alias("c")),
-                 "seq").alias("_last"),
+        F.max_by("maintenance_date", "seq").alias("_d"),
+        F.max_by(F.coalesce(F.col("condition_after"), F.lit(K.DEFAULT_CONDITION)), "seq").alias("_c"),
         F.sum(F.coalesce(F.col("cost"), F.lit(0).cast("decimal(18,2)"))).alias("_cost"))
         .withColumn("_hit", F.lit(True)))
     j = tools.join(per_tool, "tool_code", "left")
@@ -144,9 +144,9 @@ def apply_maintenance(tools: DataFrame, maintenance: DataFrame, as_of) -> DataFr
     out = []
     for c in TOOL_COLUMNS:
         if c == "last_maintenance_date":
-            out.append(F.when(hit, F.col("_last.d")).otherwise(F.col(c)).alias(c))
+            out.append(F.when(hit, F.col("_d")).otherwise(F.col(c)).alias(c))
         elif c == "condition_score":
-            out.append(F.when(hit, F.col("_last.c")).otherwise(F.col(c)).alias(c))
+            out.append(F.when(hit, F.col("_c")).otherwise(F.col(c)).alias(c))
         elif c == "maintenance_cost":
             out.append((F.col(c) + F.coalesce(F.col("_cost"), F.lit(0))).cast("decimal(18,2)").alias(c))
         elif c == "updated_at":

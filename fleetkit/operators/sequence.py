@@ -41,7 +41,7 @@ def _edge_rows(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
     ordering = [F.col(c).desc() if last else F.col(c).asc() for c in order_cols]
     w = Window.partitionBy(key, bucket).orderBy(*ordering)
     return (df.select(key, bucket, *cols).withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= n).drop("_rn"))
+              .where(F.col("_rn") <= n))
 
 
 def with_neighbours(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
@@ -56,14 +56,23 @@ def with_neighbours(df: DataFrame, key: str, bucket: str, order_cols: Sequence[s
         if n <= 0:
             continue
         edges = _edge_rows(df, key, bucket, order_cols, cols, n, last)
-        markers = edges.select(key, bucket).distinct()
-        row = F.struct(*cols)
-        combined = (edges.withColumn("_m", F.lit(0)).withColumn("_row", row)
-                    .select(key, bucket, "_m", "_row", *order_cols)
-                    .unionByName(markers.withColumn("_m", F.lit(1))
-                                 .withColumn("_row", F.lit(None).cast(row_type(edges, cols)))
-                                 .select(key, bucket, "_m", "_row",
-                                         *[F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in order_cols])))
+        if n == 1:
+            # one edge row per bucket: the ghost of a bucket is the edge of the
+            # previous (next) non-empty bucket — a lag (lead) over the key's buckets
+            bw = Window.partitionBy(key).orderBy(F.col(bucket).asc())
+            nb = (F.lag if last else F.lead)(F.struct(*cols)).over(bw)
+            ghosts = (edges.select(key, bucket, nb.alias("_g")).where(F.col("_g").isNotNull())
+                      .select(key, bucket, *[F.col(f"_g.{c}").alias(c) for c in cols])
+                      .withColumn(GHOST, F.lit(True)))
+            out = out.unionByName(ghosts)
+            continue
+        # each bucket's first edge row also emits the bucket's marker (_m = 1)
+        # through a generator, so the edge table is referenced once
+        m = F.explode(F.when(F.col("_rn") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        combined = (edges.select("*", m.alias("_m"))
+                    .select(key, bucket, "_m",
+                            F.when(F.col("_m") == 0, F.struct(*cols)).alias("_row"),
+                            *[F.when(F.col("_m") == 0, F.col(c)).alias(c) for c in order_cols]))
         if last:
             # marker first inside its bucket; look at the 2n rows before it
             w = (Window.partitionBy(key)
@@ -86,11 +95,6 @@ def with_neighbours(df: DataFrame, key: str, bucket: str, order_cols: Sequence[s
     return out
 
 
-def row_type(df: DataFrame, cols: Sequence[str]):
-    from pyspark.sql import types as T
-    return T.StructType([T.StructField(c, df.schema[c].dataType, True) for c in cols])
-
-
 def seq_window(key: str, bucket: str, order_cols: Sequence[str]) -> Window:
     return Window.partitionBy(key, bucket).orderBy(*[F.col(c).asc() for c in order_cols])
 
@@ -98,13 +102,13 @@ def seq_window(key: str, bucket: str, order_cols: Sequence[str]) -> Window:
 def previous(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
              cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Adds ``prefix + c`` = value of ``c`` in the previous row of the key
-    (lag 1 across bucket borders)."""
+    (lag 1 across bucket borders): one full shuffle by (key, bucket); the
+    ghost rows come from a partially aggregated per-bucket summary."""
     cols = list(cols)
     keep = [c for c in df.columns if c not in (key, bucket)]
     nb = with_neighbours(df, key, bucket, order_cols, keep, lookback=1)
     w = seq_window(key, bucket, order_cols)
-    prev = F.lag(F.struct(*cols)).over(w)
-    out = nb.withColumn("_p", prev).where(~F.col(GHOST))
+    out = nb.withColumn("_p", F.lag(F.struct(*cols)).over(w)).where(~F.col(GHOST))
     return out.select(*df.columns, *[F.col(f"_p.{c}").alias(prefix + c) for c in cols])
 
 
@@ -116,8 +120,7 @@ def following(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
     keep = [c for c in df.columns if c not in (key, bucket)]
     nb = with_neighbours(df, key, bucket, order_cols, keep, lookahead=1)
     w = seq_window(key, bucket, order_cols)
-    nxt = F.lead(F.struct(*cols)).over(w)
-    out = nb.withColumn("_n", nxt).where(~F.col(GHOST))
+    out = nb.withColumn("_n", F.lead(F.struct(*cols)).over(w)).where(~F.col(GHOST))
     return out.select(*df.columns, *[F.col(f"_n.{c}").alias(prefix + c) for c in cols])
 
 

@@ -327,6 +327,16 @@ ci AS (SELECT p.seq, p.tool_code,
 """
 
 
+def accepted(spark, sf) -> DataFrame:
+    """Accepted tool events, checkpointed to the shared checkpoint folder:
+    both output branches and the second sequence pass read them, so the first
+    pass runs once, and a lost executor does not re-run its lineage."""
+    from fleetkit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    f = load(spark, sf)
+    return ledger.accepted_events(f.tools, f.usage, f.tool_events).checkpoint(eager=True)
+
+
 @register("checkin_apply", f"""{CHECKIN_SQL}
 SELECT seq, tool_code, user_id, checkout_time, checkin_time,
        round(date_diff('microsecond', checkout_time, checkin_time) / 3600000000.0, 6) AS usage_duration,
@@ -334,7 +344,7 @@ SELECT seq, tool_code, user_id, checkout_time, checkin_time,
 FROM ci""")
 def q_checkin_apply(spark, sf):
     f = load(spark, sf)
-    acc = ledger.accepted_events(f.tools, f.usage, f.tool_events)
+    acc = accepted(spark, sf)
     return ledger.checkin_rows(acc, f.usage).withColumn("usage_duration", r6("usage_duration"))
 
 
@@ -354,7 +364,7 @@ SELECT seq, tool_code, user_id, checkout_time, checkin_time,
        date_diff('microsecond', checkout_time, checkin_time) / 3600000000.0, 'checkin' FROM ci""")
 def q_usage_union(spark, sf):
     f = load(spark, sf)
-    acc = ledger.accepted_events(f.tools, f.usage, f.tool_events)
+    acc = accepted(spark, sf)
     out = ledger.usage_union(f.usage, ledger.checkout_rows(acc), ledger.checkin_rows(acc, f.usage))
     return out.select("seq", "tool_code", "user_id", "checkout_time", "checkin_time", "usage_duration", "usage_type")
 
