@@ -131,3 +131,13 @@ def q_stream_sessions(spark, sf):
     ev = shape_tool_events(streams.table_stream(spark, sf, "events"))
     streams.run_to_end(streams.session_stream(ev), f"{root}/out", f"{root}/_checkpoint")
     return streams.sessions_as_wall_time(spark.read.parquet(f"{root}/out"))
+
+
+@register("retrain_due")
+def q_retrain_due(spark, sf):
+    """The saved bundle's metadata decides whether to retrain at the
+    as-of instant (newest model older than 24 hours, or none)."""
+    from fleetkit.operators.risk import retrain_due
+    path = shared_path(spark, "model-meta")
+    forest.save(bundle(spark, sf), path)
+    return retrain_due(forest.metadata_frame(spark, path), AS_OF)
