@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetkit import constants as K
-from fleetkit.functions.dates import hours_between, to_day, ts_lit
-from fleetkit.operators.sequence import previous
+from fleetkit.functions.dates import hours_between, ts_lit
+from fleetkit.operators.sequence import hot_key_buckets, previous
 from fleetkit.sources.tables import TOOL_COLUMNS
 
 REQUIRED = ("tool_code", "tool_name", "category", "location")
@@ -173,7 +173,8 @@ def orphan_rows(tools: DataFrame, usage: DataFrame, maintenance: DataFrame,
 
 
 # ---------------------------------------------------------------- B8, B9
-def accepted_events(tools: DataFrame, usage: DataFrame, events: DataFrame) -> DataFrame:
+def accepted_events(tools: DataFrame, usage: DataFrame, events: DataFrame,
+                    rows_per_task: int = 2_000_000) -> DataFrame:
     """B8/B9 guards applied in arrival order per tool.
 
     Check-out needs status 'available', check-in needs 'in_use' (and some
@@ -181,10 +182,11 @@ def accepted_events(tools: DataFrame, usage: DataFrame, events: DataFrame) -> Da
     position i > 1 is accepted exactly when its kind differs from the kind of
     event i-1; the first event must match the snapshot status.  A tool in use
     without any usage row, in maintenance, or unknown accepts nothing.
-    The previous kind is a bucketed lag (see ``operators.sequence``).
+    The previous kind is a bucketed lag (see ``operators.sequence``): hot
+    tools are split by hour, others are one window each.
     """
-    ev = events.withColumn("_day", to_day("ts"))
-    ev = previous(ev, "tool_code", "_day", ["ts", "seq"], ["event_kind"])
+    ev = hot_key_buckets(events, "tool_code", "ts", "_bucket", rows_per_task)
+    ev = previous(ev, "tool_code", "_bucket", ["ts", "seq"], ["event_kind"]).drop("_bucket")
     snap = tools.select("tool_code", F.col("status").alias("_s0"))
     hist = usage.select("tool_code").distinct().withColumn("_has_usage", F.lit(True))
     j = ev.join(snap, "tool_code", "left").join(hist, "tool_code", "left")
@@ -215,7 +217,7 @@ def latest_usage_row(usage: DataFrame) -> DataFrame:
             .select("tool_code", "_r.*"))
 
 
-def checkin_rows(accepted: DataFrame, usage: DataFrame) -> DataFrame:
+def checkin_rows(accepted: DataFrame, usage: DataFrame, rows_per_task: int = 2_000_000) -> DataFrame:
     """Accepted check-ins with the latest check-out before them.
 
     After an accepted check-out the next accepted event is the check-in, so
@@ -223,8 +225,8 @@ def checkin_rows(accepted: DataFrame, usage: DataFrame) -> DataFrame:
     of a tool that was already in use takes the newest stored usage row.
     Duration = elapsed seconds / 3600; the user is copied from the check-out.
     """
-    acc = accepted.withColumn("_day", to_day("ts"))
-    acc = previous(acc, "tool_code", "_day", ["ts", "seq"], ["ts", "user_id", "event_kind"])
+    acc = hot_key_buckets(accepted, "tool_code", "ts", "_bucket", rows_per_task)
+    acc = previous(acc, "tool_code", "_bucket", ["ts", "seq"], ["ts", "user_id", "event_kind"])
     latest = latest_usage_row(usage).select(
         "tool_code", F.col("checkout_time").alias("_h_time"), F.col("user_id").alias("_h_user"))
     ci = acc.where(F.col("event_kind") == K.CHECKIN).join(latest, "tool_code", "left")

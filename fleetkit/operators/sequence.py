@@ -17,6 +17,10 @@ count.  Callers apply their window over ``(key, bucket)`` ordered by the same
 order columns and then drop the ghosts with ``where(~F.col(GHOST))``.
 
 The order columns must make rows unique within a key (add ``seq``).
+
+Which bucket?  ``hot_key_buckets`` gives hot keys (more than
+max(rows_per_task, N / max_hot) rows) fine time buckets and all other keys a
+single bucket, so only hot keys pay for ghost rows.
 """
 
 from __future__ import annotations
@@ -127,3 +131,24 @@ def following(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
 def day_bucket(ts: Column | str) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
     return F.to_date(ts)
+
+
+def hot_key_buckets(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
+                    rows_per_task: int = 2_000_000, max_hot: int = 1000, unit: str = "hour") -> DataFrame:
+    """Adds ``bucket``: a fine time bucket (``date_trunc(unit, ts)``) for hot
+    keys, one constant bucket for every other key.
+
+    A key is hot when it has more than ``T = max(rows_per_task, N / max_hot)``
+    rows, so there are at most ``max_hot`` hot keys: the hot-key list has a
+    proven size bound and is broadcast.  Ordinary keys then behave like a
+    plain per-key window (one bucket, no ghost rows); a hot key is spread
+    over its time buckets.  N is one row count (a driver-side number).
+    """
+    n = df.count()
+    threshold = max(rows_per_task, -(-n // max_hot))
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > threshold).select(key, F.lit(True).alias("_hot")))
+    flagged = df.join(F.broadcast(hot), key, "left")          # <= max_hot rows by construction
+    fine = F.date_trunc(unit, F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
+    const = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (flagged.withColumn(bucket, F.when(F.col("_hot"), fine).otherwise(const)).drop("_hot"))

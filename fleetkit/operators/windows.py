@@ -1,18 +1,19 @@
 """Row-order idioms as windows (F1-F4) and sort/limit operators.
 
-Per-tool sequences use the bucketed windows of ``operators.sequence`` so a
-hot tool is split by day / month instead of sorted in one task.
+Per-tool sequences use the bucketed windows of ``operators.sequence``: a hot
+tool is split into hourly (monthly) buckets instead of being sorted in one
+task; every other tool is one window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetkit import constants as K
-from fleetkit.functions.dates import hours_between, to_day
+from fleetkit.functions.dates import hours_between
 from fleetkit.operators.ledger import latest_usage_row
-from fleetkit.operators.sequence import GHOST, following, seq_window, with_neighbours
+from fleetkit.operators.sequence import GHOST, following, hot_key_buckets, seq_window, with_neighbours
 
 
 def latest_usage(usage: DataFrame) -> DataFrame:
@@ -20,24 +21,25 @@ def latest_usage(usage: DataFrame) -> DataFrame:
     return latest_usage_row(usage)
 
 
-def paired_sessions(events: DataFrame) -> DataFrame:
+def paired_sessions(events: DataFrame, rows_per_task: int = 2_000_000) -> DataFrame:
     """a check-out immediately followed (per tool, by time then arrival)
     by a check-in forms a session; duration in hours."""
-    ev = events.withColumn("_day", to_day("ts"))
-    nxt = following(ev, "tool_code", "_day", ["ts", "seq"], ["ts", "event_kind"])
+    ev = hot_key_buckets(events, "tool_code", "ts", "_bucket", rows_per_task)
+    nxt = following(ev, "tool_code", "_bucket", ["ts", "seq"], ["ts", "event_kind"])
     s = nxt.where((F.col("event_kind") == K.CHECKOUT) & (F.col("next_event_kind") == K.CHECKIN))
     return s.select("tool_code", "user_id", F.col("seq").alias("checkout_seq"),
                     F.col("ts").alias("checkout_time"), F.col("next_ts").alias("checkin_time"),
                     hours_between(F.col("ts"), F.col("next_ts")).alias("duration_hours"))
 
 
-def condition_trend(maintenance: DataFrame) -> DataFrame:
+def condition_trend(maintenance: DataFrame, rows_per_task: int = 2_000_000) -> DataFrame:
     """per tool, by maintenance date then arrival: previous condition,
-    change, and mean of the last three conditions (nulls ignored)."""
-    m = maintenance.withColumn("_month", F.trunc("maintenance_date", "month"))
-    nb = with_neighbours(m, "tool_code", "_month", ["maintenance_date", "seq"],
+    change, and mean of the last three conditions (nulls ignored).  Hot tools
+    are split by month (two ghost rows carried per month)."""
+    m = hot_key_buckets(maintenance, "tool_code", "maintenance_date", "_bucket", rows_per_task, unit="month")
+    nb = with_neighbours(m, "tool_code", "_bucket", ["maintenance_date", "seq"],
                          ["condition_after"], lookback=2)
-    w = seq_window("tool_code", "_month", ["maintenance_date", "seq"])
+    w = seq_window("tool_code", "_bucket", ["maintenance_date", "seq"])
     out = (nb.withColumn("prev_condition", F.lag("condition_after").over(w))
              .withColumn("rolling_condition_3", F.avg("condition_after").over(w.rowsBetween(-2, 0)))
              .where(~F.col(GHOST)))
@@ -52,8 +54,3 @@ def top_risk(predictions: DataFrame, threshold: float = K.RISK_HIGH, k: int = 5)
     return (predictions.where(F.col("confidence_score") > F.lit(float(threshold)))
             .orderBy(F.col("confidence_score").desc(), F.col("tool_code").asc())
             .limit(k))
-
-
-def rank_within(df: DataFrame, key: str, order) -> DataFrame:
-    """Helper for dictionary-sized frames only."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -105,3 +105,31 @@ def test_repartition_invariance(spark, parts, make_tools):
     s1 = sorted(tuple(r) for r in windows.paired_sessions(ev).collect())
     s2 = sorted(tuple(r) for r in windows.paired_sessions(rep).collect())
     assert s1 == s2
+
+
+def test_hot_key_path_equals_plain(spark, make_tools):
+    """With a tiny rows-per-task the HOT key (half of all rows) gets hourly
+    buckets; results must not change."""
+    from fleetkit.operators.sequence import hot_key_buckets
+    ev = _random_events(spark).drop("_day")
+    b = {r.tool_code for r in hot_key_buckets(ev, "tool_code", "ts", "_b", rows_per_task=100)
+         .where("_b <> timestamp_ntz'1970-01-01 00:00:00'").select("tool_code").distinct().collect()}
+    assert b == {"HOT"}
+    tools = make_tools([tool_row("HOT"), tool_row("K0", status="in_use"), tool_row("K1"), tool_row("K2")])
+    hist = _usage(spark, [(1, "K0", "h", dt.datetime(2023, 1, 1), None, None, "checkout", None, None)])
+    plain = sorted(tuple(r) for r in ledger.checkin_rows(ledger.accepted_events(tools, hist, ev), hist).collect())
+    acc = ledger.accepted_events(tools, hist, ev, rows_per_task=100)
+    hot = sorted(tuple(r) for r in ledger.checkin_rows(acc, hist, rows_per_task=100).collect())
+    assert plain == hot and len(plain) > 0
+    s1 = sorted(tuple(r) for r in windows.paired_sessions(ev).collect())
+    s2 = sorted(tuple(r) for r in windows.paired_sessions(ev, rows_per_task=100).collect())
+    assert s1 == s2
+
+
+def test_condition_trend_hot_path(spark):
+    from conftest import SF_SMALL
+    from fleetkit.sources.testdata import load
+    m = load(spark, SF_SMALL).maintenance
+    a = sorted(tuple(r) for r in windows.condition_trend(m).collect())
+    b = sorted(tuple(r) for r in windows.condition_trend(m, rows_per_task=1).collect())   # every tool hot
+    assert a == b and len(a) > 0
