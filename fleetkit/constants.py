@@ -16,7 +16,6 @@ AS_OF = _dt.datetime(2001, 12, 1, 12, 0, 0)
 # ---- fixed values: tool table defaults -------------------------------------
 DEFAULT_STATUS = "available"
 DEFAULT_CONDITION = 10.0
-STATUSES = ("available", "in_use", "maintenance")
 
 # ---- fixed values: usage event kinds ----------------------------------------
 CHECKOUT = "checkout"

@@ -141,9 +141,3 @@ def recipient_list(csv_text) -> Column:
     """Split a comma list, trim each entry, drop empty ones."""
     parts = F.transform(F.split(_c(csv_text), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
-
-
-def nonblank(c) -> Column:
-    """Present and not the empty string."""
-    c = _c(c)
-    return c.isNotNull() & (c != "")

@@ -94,6 +94,8 @@ class IsolationModel:
 
 def fit(df: DataFrame, key: str, features: Sequence[str], n_trees: int = 100, max_samples: int = 256,
         seed: int = 42) -> IsolationModel:
+    from fleetkit.session import ship_package
+    ship_package(df.sparkSession)
     features = list(features)
     n = df.count()
     psi = int(min(max_samples, n))
@@ -137,6 +139,8 @@ def _arrays(model: IsolationModel):
 
 def path_lengths(df: DataFrame, model: IsolationModel, key: str, out_col: str = "mean_path") -> DataFrame:
     """Mean isolation path length per row (vectorised over Arrow batches)."""
+    from fleetkit.session import ship_package
+    ship_package(df.sparkSession)
     arr = _arrays(model)
     bc = df.sparkSession.sparkContext.broadcast(arr)
     feats = model.features

@@ -65,3 +65,36 @@ def shared_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""
     return f"{base}/fleetkit/{name}{suffix}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``fleetkit`` importable in Python workers (what ``--py-files``
+    does): the package is zipped in memory, written into the shared
+    checkpoint folder through the Hadoop FileSystem API and added with
+    ``addPyFile`` once per application.  Needed by operators whose Python
+    functions run on executors (isolation forest, stateful sessions)."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.join("fleetkit", os.path.relpath(full, root)))
+    target = shared_path(spark, "pyfiles") + "/fleetkit.zip"
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(target)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

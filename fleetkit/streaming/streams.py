@@ -123,6 +123,9 @@ def _pair(key, pdfs, state):
 def session_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """M2 over a tool-event stream (seq, ts, tool_code, user_id, event_kind)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from fleetkit.session import ship_package
+    ship_package(events.sparkSession)
     ev = (events.withColumn("ts", event_instant("ts")).withWatermark("ts", watermark)
           .select("seq", "ts", "tool_code", "user_id", "event_kind"))
     out = ev.groupBy("tool_code").applyInPandasWithState(
