@@ -33,7 +33,11 @@ def classify_intake(intake: DataFrame, tools: DataFrame) -> DataFrame:
     for c in REQUIRED:
         cond = F.col(c).isNull()
         missing = cond if missing is None else (missing | cond)
-    stored = tools.select("tool_code").distinct().withColumn("_stored", F.lit(True))
+    # stored codes among the batch's codes: an inner join, so AQE may
+    # broadcast the (small) batch side and the tools table is only scanned
+    batch_codes = intake.where(F.col("tool_code").isNotNull()).select("tool_code").distinct()
+    stored = (tools.select("tool_code").join(batch_codes, "tool_code", "inner")
+              .distinct().withColumn("_stored", F.lit(True)))
     candidates = intake.where(~missing)
     # first arrival per code among complete rows (aggregate, not a window)
     first = candidates.groupBy("tool_code").agg(F.min("seq").alias("_first_seq"))

@@ -42,13 +42,17 @@ def instant_wall(c: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
-def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
-    """A file stream over one table of a scale directory (schema taken from
-    the files, never inferred per batch)."""
+def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1,
+                 pattern: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """A file stream over the files of one table in a directory (default:
+    ``<table>.parquet``); the schema is fixed up front, never inferred per
+    batch.  Each trigger takes at most ``max_files`` files, which bounds the
+    rows one key can bring into a micro-batch."""
     path = sf_dir.rstrip("/")
-    schema = spark.read.parquet(f"{path}/{table}.parquet").schema
+    if schema is None:
+        schema = spark.read.parquet(f"{path}/{table}.parquet").schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{table}.parquet").parquet(path))
+            .option("pathGlobFilter", pattern or f"{table}.parquet").parquet(path))
 
 
 def run_to_end(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> None:
