@@ -117,13 +117,19 @@ def unmatched_updates(tools: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B4
-def apply_usage(tools: DataFrame, usage: DataFrame, as_of) -> DataFrame:
-    """usage_hours += sum of truthy durations; updated_at bumps only when
-    some duration is neither null nor 0.  Orphan rows change nothing."""
+def usage_deltas(usage: DataFrame) -> DataFrame:
+    """B4, first half: per-tool sum of the truthy durations (neither null
+    nor 0) — one row per touched tool."""
     d = F.col("usage_duration")
-    truthy = d.isNotNull() & (d != 0)
-    per_tool = (usage.where(truthy).groupBy("tool_code")
-                .agg(F.sum(d).alias("_added")).withColumn("_hit", F.lit(True)))
+    return (usage.where(d.isNotNull() & (d != 0)).groupBy("tool_code")
+            .agg(F.sum(d).alias("added_hours")))
+
+
+def apply_usage_deltas(tools: DataFrame, deltas: DataFrame, as_of) -> DataFrame:
+    """B4, second half: add per-tool deltas (several rows per tool allowed,
+    e.g. one per stream batch) to the snapshot."""
+    per_tool = (deltas.groupBy("tool_code").agg(F.sum("added_hours").alias("_added"))
+                .withColumn("_hit", F.lit(True)))
     j = tools.join(per_tool, "tool_code", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return j.select(*[
@@ -133,6 +139,12 @@ def apply_usage(tools: DataFrame, usage: DataFrame, as_of) -> DataFrame:
         for c in TOOL_COLUMNS])
 
 
+def apply_usage(tools: DataFrame, usage: DataFrame, as_of) -> DataFrame:
+    """usage_hours += sum of truthy durations; updated_at bumps only when
+    some duration is neither null nor 0.  Orphan rows change nothing."""
+    return apply_usage_deltas(tools, usage_deltas(usage), as_of)
+
+
 # ---------------------------------------------------------------- B5
 def apply_maintenance(tools: DataFrame, maintenance: DataFrame, as_of) -> DataFrame:
     """The last *arrived* record sets last_maintenance_date and the

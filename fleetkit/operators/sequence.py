@@ -129,7 +129,7 @@ def following(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
 
 
 def hot_key_buckets(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
-                    rows_per_task: int = 2_000_000, max_hot: int = 1000, unit: str = "hour") -> DataFrame:
+                    rows_per_task: int = 2_000_000, max_hot: int = 100_000, unit: str = "hour") -> DataFrame:
     """Adds ``bucket``: a fine time bucket (``date_trunc(unit, ts)``) for hot
     keys, one constant bucket for every other key.
 
@@ -143,7 +143,7 @@ def hot_key_buckets(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
     threshold = max(rows_per_task, -(-n // max_hot))
     hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") > threshold).select(key, F.lit(True).alias("_hot")))
-    flagged = df.join(F.broadcast(hot), key, "left")          # <= max_hot rows by construction
+    flagged = df.join(F.broadcast(hot), key, "left")          # <= max_hot keys by construction
     fine = F.date_trunc(unit, F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
     const = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return (flagged.withColumn(bucket, F.when(F.col("_hot"), fine).otherwise(const)).drop("_hot"))

@@ -116,12 +116,12 @@ def q_model_roundtrip(spark, sf):
 # ------------------------------------------------------------ streams (M1, M2)
 @register("stream_ledger")
 def q_stream_ledger(spark, sf):
-    """M1: lineitem file stream -> usage rows -> foreachBatch B4 on a
-    versioned snapshot; returns the final snapshot."""
+    """M1: lineitem file stream -> usage rows -> foreachBatch per-tool
+    deltas; returns the tools snapshot with all deltas applied."""
     root = shared_path(spark, "ledger")
     usage = shape_usage(streams.table_stream(spark, sf, "lineitem"))
-    streams.ledger_stream(spark, usage, tools(spark, sf), f"{root}/snapshots", f"{root}/_checkpoint", AS_OF)
-    return spark.read.parquet(streams.latest_snapshot(spark, f"{root}/snapshots"))
+    streams.ledger_stream(spark, usage, f"{root}/deltas", f"{root}/_checkpoint")
+    return streams.ledger_snapshot(spark, tools(spark, sf), f"{root}/deltas", AS_OF)
 
 
 @register("stream_sessions")

@@ -2,9 +2,9 @@
 
 The reference only polls; here the same operators run on streams:
 
-* M1 ``ledger_stream``: usage events -> ``foreachBatch`` applying B4 to a
-  versioned tools snapshot (idempotent per batch id, never overwriting the
-  version being read).
+* M1 ``ledger_stream``: usage events -> ``foreachBatch`` writing each batch's
+  per-tool usage delta (idempotent per batch id); ``ledger_snapshot`` adds
+  the deltas to the tools table when read.
 * M2 ``session_stream``: check-out / check-in pairing with per-tool state
   (``applyInPandasWithState``; an open check-out waits in state, a later
   check-out replaces it, an event-time timeout drops stale ones).
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from fleetkit import constants as K
 from fleetkit.operators.joins import scan_enrich
-from fleetkit.operators.ledger import apply_usage
+from fleetkit.operators.ledger import apply_usage_deltas, usage_deltas
 
 EPOCH_NTZ = "1970-01-01 00:00:00"
 
@@ -149,43 +149,23 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path + "/_SUCCESS")
-    return fs.exists(p)
+def ledger_stream(spark: SparkSession, usage: DataFrame, root: str, checkpoint: str) -> None:
+    """M1: every micro-batch of usage rows becomes its per-tool delta (B4's
+    per-tool sums), written to ``<root>/batch=<id>``.  A replayed batch
+    overwrites its own partition with the same content, so restarts after a
+    failure never double-count, and no micro-batch rewrites the snapshot."""
 
+    def write_delta(batch: DataFrame, batch_id: int) -> None:
+        usage_deltas(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-    return sorted(n for n in names if n.startswith("v") and _committed(spark, f"{root}/{n}"))
-
-
-def latest_snapshot(spark: SparkSession, root: str) -> str:
-    return f"{root}/{_versions(spark, root)[-1]}"
-
-
-def ledger_stream(spark: SparkSession, usage: DataFrame, initial_tools: DataFrame, root: str,
-                  checkpoint: str, as_of) -> None:
-    """M1: apply every micro-batch of usage rows to the tools snapshot.
-
-    Versions are ``v<batch id + 1>`` under ``root`` (``v00000000`` is the
-    initial snapshot); a replayed batch whose version is committed is
-    skipped, so a restart after executor or driver loss does not double-add
-    hours.  A version is only read after its ``_SUCCESS`` marker exists.
-    """
-    if not _versions(spark, root):
-        initial_tools.write.mode("overwrite").parquet(f"{root}/v00000000")
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        target = f"{root}/v{batch_id + 1:08d}"
-        if _committed(spark, target):
-            return
-        done = [v for v in _versions(spark, root) if v < f"v{batch_id + 1:08d}"]
-        snap = spark.read.parquet(f"{root}/{done[-1]}")
-        apply_usage(snap, batch, as_of).write.mode("overwrite").parquet(target)
-
-    q = (usage.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    q = (usage.writeStream.foreachBatch(write_delta).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def ledger_snapshot(spark: SparkSession, tools: DataFrame, root: str, as_of) -> DataFrame:
+    """The tools snapshot after all committed stream batches."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return apply_usage_deltas(tools, tools.select("tool_code", F.lit(0.0).alias("added_hours")).limit(0), as_of)
+    return apply_usage_deltas(tools, spark.read.parquet(root).select("tool_code", "added_hours"), as_of)

@@ -42,3 +42,16 @@ def test_stale_checkout_times_out(spark):
     streams.run_to_end(streams.session_stream(ev), root + "/out", root + "/_ck")
     got = sorted((r.tool_code, r.checkout_seq) for r in spark.read.parquet(root + "/out").collect())
     assert got == [("TL-000001", 1), ("TL-000003", 4)]      # tool 2's stale session was dropped
+
+
+def test_ledger_stream_restart_does_not_double_count(spark):
+    from conftest import AS_OF, SF_SMALL
+    from fleetkit.sources.testdata import shape_usage, tools
+    root = shared_path(spark, "ledger-restart")
+    run = lambda: streams.ledger_stream(
+        spark, shape_usage(streams.table_stream(spark, SF_SMALL, "lineitem")), root + "/deltas", root + "/_ck")
+    run()
+    first = {r.tool_code: r.usage_hours for r in streams.ledger_snapshot(spark, tools(spark, SF_SMALL), root + "/deltas", AS_OF).collect()}
+    run()                                   # restart from the same checkpoint: nothing is re-applied
+    again = {r.tool_code: r.usage_hours for r in streams.ledger_snapshot(spark, tools(spark, SF_SMALL), root + "/deltas", AS_OF).collect()}
+    assert first == again and sum(first.values()) > 0
