@@ -2,8 +2,9 @@
 features, one row per tool.
 
 Both statistics are aggregated *before* the joins (no usage x maintenance
-fan-out); each aggregate comes out hash-partitioned by ``tool_code`` so the
-two left joins reuse that partitioning instead of reshuffling.
+fan-out) and are one row per tool; each aggregate is already hash-partitioned
+by ``tool_code``, so when the joins are sort-merge joins only the tools side
+is shuffled (AQE broadcasts the statistics instead when they are small).
 Derived features are computed before the null-fill, as in the reference: a
 tool without usage rows gets a null ratio that is then filled with 0.
 """

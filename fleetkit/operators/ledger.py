@@ -243,9 +243,14 @@ def checkin_rows(accepted: DataFrame, usage: DataFrame, rows_per_task: int = 2_0
     """
     acc = hot_key_buckets(accepted, "tool_code", "ts", "_bucket", rows_per_task)
     acc = previous(acc, "tool_code", "_bucket", ["ts", "seq"], ["ts", "user_id", "event_kind"])
-    latest = latest_usage_row(usage).select(
+    ci = acc.where(F.col("event_kind") == K.CHECKIN)
+    # only tools whose first accepted event is a check-in need their stored
+    # history: filter the usage table to them (a semi join; AQE broadcasts the
+    # small side) before the per-tool max_by
+    need = ci.where(F.col("prev_event_kind").isNull()).select("tool_code").distinct()
+    latest = latest_usage_row(usage.join(need, "tool_code", "left_semi")).select(
         "tool_code", F.col("checkout_time").alias("_h_time"), F.col("user_id").alias("_h_user"))
-    ci = acc.where(F.col("event_kind") == K.CHECKIN).join(latest, "tool_code", "left")
+    ci = ci.join(latest, "tool_code", "left")
     from_batch = F.col("prev_event_kind").isNotNull()
     out_time = F.when(from_batch, F.col("prev_ts")).otherwise(F.col("_h_time"))
     out_user = F.when(from_batch, F.col("prev_user_id")).otherwise(F.col("_h_user"))
