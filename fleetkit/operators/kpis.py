@@ -83,11 +83,17 @@ def category_counts(tools: DataFrame) -> DataFrame:
 
 
 def _date_range(df: DataFrame, col: str, start, end) -> DataFrame:
-    """Optional inclusive date range, pushed to the scan as a filter."""
+    """Optional inclusive date range, pushed to the scan as a filter; on
+    a month-partitioned usage table (``files.write_usage``) the month bounds
+    also prune partitions."""
     if start is not None:
         df = df.where(F.to_date(F.col(col)) >= date_lit(start))
+        if "usage_month" in df.columns:
+            df = df.where(F.col("usage_month") >= F.lit(str(start)[:7]))
     if end is not None:
         df = df.where(F.to_date(F.col(col)) <= date_lit(end))
+        if "usage_month" in df.columns:
+            df = df.where(F.col("usage_month") <= F.lit(str(end)[:7]))
     return df
 
 

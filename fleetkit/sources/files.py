@@ -53,3 +53,15 @@ def append_predictions(predictions: DataFrame, path: str) -> None:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_usage(usage: DataFrame, path: str) -> None:
+    """Usage history partitioned by check-out month (rows without a check-out
+    time go to their check-in month), so date-range queries prune whole
+    directories; appends never rewrite older months."""
+    month = F.date_format(F.coalesce(F.col("checkout_time"), F.col("checkin_time")), "yyyy-MM")
+    usage.withColumn("usage_month", month).write.mode("append").partitionBy("usage_month").parquet(path)
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -167,5 +167,6 @@ def ledger_snapshot(spark: SparkSession, tools: DataFrame, root: str, as_of) ->
     """The tools snapshot after all committed stream batches."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
-        return apply_usage_deltas(tools, tools.select("tool_code", F.lit(0.0).alias("added_hours")).limit(0), as_of)
+        none = spark.createDataFrame([], "tool_code string, added_hours double")
+        return apply_usage_deltas(tools, none, as_of)
     return apply_usage_deltas(tools, spark.read.parquet(root).select("tool_code", "added_hours"), as_of)

@@ -68,3 +68,17 @@ def test_urgency_score(spark):
                                "condition_score double, usage_intensity double, days_since_last_maintenance int")
     got = [r.urgency_score for r in risk.urgency_scores(df).collect()]
     assert got == [1.0 + 3.0 + 3.0, 0.0, 2.0 + 0.30000000000000004 + 1.5]
+
+
+def test_daily_and_today_usage_edges(spark):
+    from fleetkit.operators import kpis
+    day = dt.datetime(2001, 11, 5, 9)
+    u = _usage(spark, [(1, "A", "u", day, None, None, "checkout", None, None),
+                       (2, "B", "u", day, None, None, "checkout", None, None),
+                       (3, "A", "u", None, day, 4.0, "checkin", None, None)])
+    daily = kpis.daily_usage(u).collect()
+    assert [(r.usage_date, r.total_hours) for r in daily] == [(day.date(), 0.0)]   # all-null day -> 0
+    t = kpis.today_usage(u, day.date()).first()
+    assert (t.total_hours, t.active_tools, t.avg_usage) == (0.0, 2, None)          # non-empty, all null
+    e = kpis.today_usage(u, dt.date(2001, 11, 6)).first()
+    assert (e.total_hours, e.active_tools, e.avg_usage) == (0.0, 0, 0.0)           # empty day -> 0/0/0

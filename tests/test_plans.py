@@ -49,3 +49,17 @@ def test_maintenance_apply_is_hash_aggregated(spark):
     t = _stored(spark, "plan-tools2", load(spark, SF_SMALL).tools)
     plan = _plan(ledger.apply_maintenance(t, m, AS_OF))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_month_partitioned_usage_prunes(spark):
+    import datetime as dt
+    from fleetkit.sources import files
+    path = shared_path(spark, "plan-usage-months")
+    files.write_usage(load(spark, SF_SMALL).usage, path)
+    usage = files.read_usage(spark, path)
+    q = kpis.daily_usage(usage, start=dt.date(2000, 6, 1), end=dt.date(2000, 6, 30))
+    plan = _plan(q)
+    assert "PartitionFilters: [isnotnull(usage_month" in plan and "(usage_month" in plan
+    full = {r.usage_date: r.total_hours for r in kpis.daily_usage(load(spark, SF_SMALL).usage).collect()
+            if dt.date(2000, 6, 1) <= r.usage_date <= dt.date(2000, 6, 30)}
+    assert {r.usage_date: r.total_hours for r in q.collect()} == full and full
