@@ -78,6 +78,7 @@ def train(features: DataFrame, as_of, n_trees: int = K.RF_TREES, depth: int = K.
     iso = isolation.fit(data, KEY, zcols, n_trees=if_trees, max_samples=K.IF_MAX_SAMPLES, seed=seed)
     iso.nodes = iso.nodes.cache()
     isolation.fit_offset(data, iso, KEY, K.IF_CONTAMINATION)
+    data.unpersist()                     # the training matrix is not part of the bundle
     return Bundle(forest=rf, iforest=iso, dictionary=dictionary, scaler=scaler, features=cols,
                   version=K.MODEL_VERSION, created_at=as_of, metrics=metrics)
 
