@@ -150,3 +150,12 @@ def test_json_export_and_csv_preview(spark, make_tools, sample_tool):
     files.export_csv(t.select("tool_code", "tool_name"), csv)
     back = files.read_export_csv(spark, csv, t.select("tool_code", "tool_name").schema)
     assert sorted(r.tool_code for r in back.collect()) == ["EJ-002", "TEST-001"]
+
+
+def test_seed_only_when_empty(spark, make_tools, seed_tools, sample_tool):
+    def seeded(tools):
+        return tools if not tools.isEmpty() else make_tools(seed_tools)     # guard: LIMIT-1 probe
+    t = seeded(make_tools([]))
+    assert t.count() == 5 and t.select("category").distinct().count() == 4
+    assert [r.tool_code for r in A.due_scan(t, AS_OF, 30).collect()] == ["SEED-PWR-2", "SEED-PWR-1"]
+    assert seeded(make_tools([sample_tool])).count() == 1
