@@ -155,25 +155,27 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk-import batch: every part as a new code (some with null / empty
-    names, some sent twice) plus existing codes sent twice."""
+    names, some sent twice) plus existing codes sent twice.  One scan of
+    part; each part row emits its 1-4 batch rows through ``explode``."""
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    common = [
-        F.col("p_type").alias("category"), F.col("p_brand").alias("location"),
-        F.date_add(date_lit("1995-01-01"), ((k * 37) % 1500).cast("int")).alias("purchase_date"),
-        _condition_of_size(F.col("p_size")).alias("condition_score"),
-    ]
     new_code = F.concat(F.lit("TL-"), (k + 1_000_000).cast("string"))
     new_name = (F.when(k % 11 == 0, F.lit(None).cast("string"))
                  .when(k % 13 == 0, F.lit("")).otherwise(F.col("p_name")))
-    fresh = p.select((k * 4).alias("seq"), new_code.alias("tool_code"), new_name.alias("tool_name"), *common)
-    fresh_again = p.where(k % 7 == 0).select((k * 4 + 3).alias("seq"), new_code.alias("tool_code"),
-                                              F.col("p_name").alias("tool_name"), *common)
-    old1 = p.where(k % 5 == 0).select((k * 4 + 1).alias("seq"), code_of(k).alias("tool_code"),
-                                       F.col("p_name").alias("tool_name"), *common)
-    old2 = p.where(k % 5 == 0).select((k * 4 + 2).alias("seq"), code_of(k).alias("tool_code"),
-                                       F.col("p_name").alias("tool_name"), *common)
-    return fresh.unionByName(fresh_again).unionByName(old1).unionByName(old2)
+
+    def row(seq_off, code, name):
+        return F.struct((k * 4 + seq_off).alias("seq"), code.alias("tool_code"), name.alias("tool_name"))
+
+    none = F.lit(None).cast("struct<seq:bigint,tool_code:string,tool_name:string>")
+    rows = F.array(row(0, new_code, new_name),
+                   F.when(k % 7 == 0, row(3, new_code, F.col("p_name"))).otherwise(none),
+                   F.when(k % 5 == 0, row(1, code_of(k), F.col("p_name"))).otherwise(none),
+                   F.when(k % 5 == 0, row(2, code_of(k), F.col("p_name"))).otherwise(none))
+    return (p.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"), "p_type", "p_brand",
+                     F.date_add(date_lit("1995-01-01"), ((k * 37) % 1500).cast("int")).alias("purchase_date"),
+                     _condition_of_size(F.col("p_size")).alias("condition_score"))
+             .select("r.seq", "r.tool_code", "r.tool_name", F.col("p_type").alias("category"),
+                     F.col("p_brand").alias("location"), "purchase_date", "condition_score"))
 
 
 def prediction_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,18 +192,20 @@ def prediction_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label-printing batch: tool codes (some missing) plus '/' and ' '
-    variants of some codes, which collide on file name."""
+    variants of some codes, which collide on file name (one scan of part)."""
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
     pad = F.lpad(k.cast("string"), 6, "0")
-    base = p.select((k * 3).alias("seq"),
-                    F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(code_of(k)).alias("tool_code"),
-                    F.col("p_name").alias("tool_name"))
-    slash = p.where(k % 50 == 0).select((k * 3 + 1).alias("seq"), F.concat(F.lit("TL/"), pad).alias("tool_code"),
-                                         F.col("p_name").alias("tool_name"))
-    space = p.where(k % 50 == 0).select((k * 3 + 2).alias("seq"), F.concat(F.lit("TL "), pad).alias("tool_code"),
-                                         F.col("p_name").alias("tool_name"))
-    return base.unionByName(slash).unionByName(space)
+
+    def row(seq_off, code):
+        return F.struct((k * 3 + seq_off).alias("seq"), code.alias("tool_code"))
+
+    none = F.lit(None).cast("struct<seq:bigint,tool_code:string>")
+    rows = F.array(row(0, F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(code_of(k))),
+                   F.when(k % 50 == 0, row(1, F.concat(F.lit("TL/"), pad))).otherwise(none),
+                   F.when(k % 50 == 0, row(2, F.concat(F.lit("TL "), pad))).otherwise(none))
+    return (p.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"), "p_name")
+             .select("r.seq", "r.tool_code", F.col("p_name").alias("tool_name")))
 
 
 def raw_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
