@@ -159,3 +159,26 @@ def test_seed_only_when_empty(spark, make_tools, seed_tools, sample_tool):
     assert t.count() == 5 and t.select("category").distinct().count() == 4
     assert [r.tool_code for r in A.due_scan(t, AS_OF, 30).collect()] == ["SEED-PWR-2", "SEED-PWR-1"]
     assert seeded(make_tools([sample_tool])).count() == 1
+
+
+def test_orphans_facets_and_alert_text(spark, make_tools, sample_tool):
+    from fleetkit.operators import digests, filters
+    t = make_tools([sample_tool, tool_row("NULL-STATUS", status=None, category="Hand Tools", due=d(1))])
+    u = spark.createDataFrame([(1, "GHOST", "u", AS_OF, None, 1.0, "checkout", None, AS_OF),
+                               (2, "TEST-001", "u", AS_OF, None, 1.0, "checkout", None, AS_OF)], schemas.USAGE)
+    m = spark.createDataFrame([(1, "GHOST2", AS_OF.date(), "P", None, decimal.Decimal("1.00"), None, None, None, None)],
+                              schemas.MAINTENANCE)
+    p = fuse(spark.createDataFrame([("GHOST3", 1.0, 0.0)], "tool_code string, condition_pred double, anomaly_score double"),
+             AS_OF)
+    got = sorted(tuple(r) for r in ledger.orphan_rows(t, u, m, p).collect())
+    assert got == [("maintenance_history", "GHOST2"), ("predictions", "GHOST3"), ("usage_history", "GHOST")]
+    # pandas-style membership: a None in the selection keeps null statuses
+    assert {r.tool_code for r in filters.facet_filter(t, ["available"]).collect()} == {"TEST-001"}
+    assert {r.tool_code for r in filters.facet_filter(t, ["available", None]).collect()} == {"TEST-001", "NULL-STATUS"}
+    alerts = digests.alert_rows(make_tools([tool_row("A-1", "Drill", "Power Tools", "Bay 1", due=d(0), condition=8.5)]), AS_OF)
+    rows = digests.alert_text(alerts, AS_OF).orderBy("block").collect()
+    assert [r.block for r in rows] == [0, 1, 2]
+    assert rows[1].text == ("\nTool: Drill (A-1)\nCategory: Power Tools\nLocation: Bay 1\n"
+                            f"Maintenance Due: {d(0).isoformat()}\nStatus: OVERDUE by 1 days\n"
+                            "Condition: 8.5/10\nUsage Hours: 0.0\n---\n")
+    assert rows[2].text.endswith("Generated on: 2001-12-01 12:00:00\n")
