@@ -25,28 +25,18 @@ DERIVED = ("days_since_purchase", "days_since_last_maintenance", "usage_intensit
            "maintenance_frequency", "cost_per_hour")
 
 
-def prepare_features(tools: DataFrame, usage: DataFrame, maintenance: DataFrame, as_of,
-                     usage_empty: bool | None = None, maintenance_empty: bool | None = None) -> DataFrame:
-    """J1.  ``*_empty`` may be passed when known; otherwise a LIMIT-1 probe
-    (``isEmpty``) decides, since a wholly empty table yields 0-filled
-    statistics *before* the derived features (not nulls)."""
-    if usage_empty is None:
-        usage_empty = usage.isEmpty()
-    if maintenance_empty is None:
-        maintenance_empty = maintenance.isEmpty()
-
-    f = tools
-    if usage_empty:
-        f = f.select("*", F.lit(0.0).alias("total_usage_hours"), F.lit(0.0).alias("avg_usage_hours"),
-                     F.lit(0).cast("long").alias("usage_count"), F.lit(0).cast("long").alias("checkout_count"))
-    else:
-        f = f.join(usage_stats(usage), "tool_code", "left")
-    if maintenance_empty:
-        f = f.select("*", F.lit(0.0).alias("total_maintenance_cost"), F.lit(0.0).alias("avg_maintenance_cost"),
-                     F.lit(0).cast("long").alias("maintenance_count"),
-                     F.lit(None).cast("date").alias("last_maintenance"))
-    else:
-        f = f.join(maintenance_stats(maintenance), "tool_code", "left")
+def prepare_features(tools: DataFrame, usage: DataFrame, maintenance: DataFrame, as_of) -> DataFrame:
+    """J1.  A wholly empty usage (maintenance) table yields 0-filled
+    statistics *before* the derived features, not nulls; emptiness is an
+    EXISTS subquery inside the plan (no driver-side probe)."""
+    has_usage, has_maint = usage.exists(), maintenance.exists()
+    f = (tools.join(usage_stats(usage), "tool_code", "left")
+              .join(maintenance_stats(maintenance), "tool_code", "left"))
+    zero_when_empty = {
+        **{c: F.when(has_usage, F.col(c)).otherwise(F.lit(0).cast(f.schema[c].dataType)) for c in USAGE_STATS},
+        **{c: F.when(has_maint, F.col(c)).otherwise(F.lit(0).cast(f.schema[c].dataType)) for c in MAINT_STATS},
+    }
+    f = f.withColumns(zero_when_empty)
 
     dsp = days_since("purchase_date", as_of)
     f = f.select(
