@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetkit import constants as K
 from fleetkit.functions.dates import hours_between, ts_lit
-from fleetkit.operators.sequence import hot_key_buckets, previous
+from fleetkit.operators.sequence import hot_key_plan, previous
 from fleetkit.sources.tables import TOOL_COLUMNS
 
 REQUIRED = ("tool_code", "tool_name", "category", "location")
@@ -201,8 +201,8 @@ def accepted_events(tools: DataFrame, usage: DataFrame, events: DataFrame,
     The previous kind is a bucketed lag (see ``operators.sequence``): hot
     tools are split by hour, others are one window each.
     """
-    ev = hot_key_buckets(events, "tool_code", "ts", "_bucket", rows_per_task)
-    ev = previous(ev, "tool_code", "_bucket", ["ts", "seq"], ["event_kind"]).drop("_bucket")
+    ev, hot = hot_key_plan(events, "tool_code", "ts", "_bucket", rows_per_task)
+    ev = previous(ev, "tool_code", "_bucket", ["ts", "seq"], ["event_kind"], ghosts=hot).drop("_bucket")
     snap = tools.select("tool_code", F.col("status").alias("_s0"))
     hist = usage.select("tool_code").distinct().withColumn("_has_usage", F.lit(True))
     j = ev.join(snap, "tool_code", "left").join(hist, "tool_code", "left")
@@ -241,8 +241,8 @@ def checkin_rows(accepted: DataFrame, usage: DataFrame, rows_per_task: int = 2_0
     of a tool that was already in use takes the newest stored usage row.
     Duration = elapsed seconds / 3600; the user is copied from the check-out.
     """
-    acc = hot_key_buckets(accepted, "tool_code", "ts", "_bucket", rows_per_task)
-    acc = previous(acc, "tool_code", "_bucket", ["ts", "seq"], ["ts", "user_id", "event_kind"])
+    acc, hot = hot_key_plan(accepted, "tool_code", "ts", "_bucket", rows_per_task)
+    acc = previous(acc, "tool_code", "_bucket", ["ts", "seq"], ["ts", "user_id", "event_kind"], ghosts=hot)
     ci = acc.where(F.col("event_kind") == K.CHECKIN)
     # only tools whose first accepted event is a check-in need their stored
     # history: filter the usage table to them (a semi join; AQE broadcasts the

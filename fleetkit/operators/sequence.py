@@ -49,13 +49,17 @@ def _edge_rows(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
 
 
 def with_neighbours(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
-                    payload: Sequence[str], lookback: int = 0, lookahead: int = 0) -> DataFrame:
+                    payload: Sequence[str], lookback: int = 0, lookahead: int = 0,
+                    ghosts: bool = True) -> DataFrame:
     """Rows of ``df`` (``GHOST`` = false) plus ghost rows (``GHOST`` = true)
     carrying ``payload`` + ``order_cols`` of neighbouring buckets, labelled
-    with the bucket they serve."""
+    with the bucket they serve.  ``ghosts=False`` (every key in one bucket,
+    see ``hot_key_plan``) skips the ghost machinery."""
     cols = list(dict.fromkeys([*payload, *order_cols]))
     real = df.select(key, bucket, *cols).withColumn(GHOST, F.lit(False))
     out = real
+    if not ghosts:
+        return out
     for n, last in ((lookback, True), (lookahead, False)):
         if n <= 0:
             continue
@@ -104,46 +108,56 @@ def seq_window(key: str, bucket: str, order_cols: Sequence[str]) -> Window:
 
 
 def previous(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
-             cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
+             cols: Sequence[str], prefix: str = "prev_", ghosts: bool = True) -> DataFrame:
     """Adds ``prefix + c`` = value of ``c`` in the previous row of the key
     (lag 1 across bucket borders): one full shuffle by (key, bucket); the
     ghost rows come from a partially aggregated per-bucket summary."""
     cols = list(cols)
     keep = [c for c in df.columns if c not in (key, bucket)]
-    nb = with_neighbours(df, key, bucket, order_cols, keep, lookback=1)
+    nb = with_neighbours(df, key, bucket, order_cols, keep, lookback=1, ghosts=ghosts)
     w = seq_window(key, bucket, order_cols)
     out = nb.withColumn("_p", F.lag(F.struct(*cols)).over(w)).where(~F.col(GHOST))
     return out.select(*df.columns, *[F.col(f"_p.{c}").alias(prefix + c) for c in cols])
 
 
 def following(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
-              cols: Sequence[str], prefix: str = "next_") -> DataFrame:
+              cols: Sequence[str], prefix: str = "next_", ghosts: bool = True) -> DataFrame:
     """Adds ``prefix + c`` = value of ``c`` in the next row of the key
     (lead 1 across bucket borders)."""
     cols = list(cols)
     keep = [c for c in df.columns if c not in (key, bucket)]
-    nb = with_neighbours(df, key, bucket, order_cols, keep, lookahead=1)
+    nb = with_neighbours(df, key, bucket, order_cols, keep, lookahead=1, ghosts=ghosts)
     w = seq_window(key, bucket, order_cols)
     out = nb.withColumn("_n", F.lead(F.struct(*cols)).over(w)).where(~F.col(GHOST))
     return out.select(*df.columns, *[F.col(f"_n.{c}").alias(prefix + c) for c in cols])
 
 
-def hot_key_buckets(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
-                    rows_per_task: int = 2_000_000, max_hot: int = 100_000, unit: str = "hour") -> DataFrame:
+def hot_key_plan(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
+                 rows_per_task: int = 2_000_000, max_hot: int = 100_000,
+                 unit: str = "hour") -> tuple[DataFrame, bool]:
     """Adds ``bucket``: a fine time bucket (``date_trunc(unit, ts)``) for hot
-    keys, one constant bucket for every other key.
+    keys, one constant bucket for every other key; also returns whether any
+    key is hot (when none is, callers skip the ghost rows entirely).
 
     A key is hot when it has more than ``T = max(rows_per_task, N / max_hot)``
     rows, so there are at most ``max_hot`` hot keys: the hot-key list has a
     proven size bound and is broadcast.  Ordinary keys then behave like a
-    plain per-key window (one bucket, no ghost rows); a hot key is spread
-    over its time buckets.  N is one row count (a driver-side number).
+    plain per-key window; a hot key is spread over its time buckets.  N and
+    the number of hot keys are two row counts (driver-side numbers).
     """
     n = df.count()
     threshold = max(rows_per_task, -(-n // max_hot))
     hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") > threshold).select(key, F.lit(True).alias("_hot")))
+    const = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    if hot.isEmpty():
+        return df.withColumn(bucket, const), False
     flagged = df.join(F.broadcast(hot), key, "left")          # <= max_hot keys by construction
     fine = F.date_trunc(unit, F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
-    const = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return (flagged.withColumn(bucket, F.when(F.col("_hot"), fine).otherwise(const)).drop("_hot"))
+    return flagged.withColumn(bucket, F.when(F.col("_hot"), fine).otherwise(const)).drop("_hot"), True
+
+
+def hot_key_buckets(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
+                    rows_per_task: int = 2_000_000, max_hot: int = 100_000, unit: str = "hour") -> DataFrame:
+    """``hot_key_plan`` without the flag."""
+    return hot_key_plan(df, key, ts, bucket, rows_per_task, max_hot, unit)[0]

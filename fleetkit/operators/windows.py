@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fleetkit import constants as K
 from fleetkit.functions.dates import hours_between
 from fleetkit.operators.ledger import latest_usage_row
-from fleetkit.operators.sequence import GHOST, following, hot_key_buckets, seq_window, with_neighbours
+from fleetkit.operators.sequence import GHOST, following, hot_key_plan, seq_window, with_neighbours
 
 
 def latest_usage(usage: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def latest_usage(usage: DataFrame) -> DataFrame:
 def paired_sessions(events: DataFrame, rows_per_task: int = 2_000_000) -> DataFrame:
     """a check-out immediately followed (per tool, by time then arrival)
     by a check-in forms a session; duration in hours."""
-    ev = hot_key_buckets(events, "tool_code", "ts", "_bucket", rows_per_task)
-    nxt = following(ev, "tool_code", "_bucket", ["ts", "seq"], ["ts", "event_kind"])
+    ev, hot = hot_key_plan(events, "tool_code", "ts", "_bucket", rows_per_task)
+    nxt = following(ev, "tool_code", "_bucket", ["ts", "seq"], ["ts", "event_kind"], ghosts=hot)
     s = nxt.where((F.col("event_kind") == K.CHECKOUT) & (F.col("next_event_kind") == K.CHECKIN))
     return s.select("tool_code", "user_id", F.col("seq").alias("checkout_seq"),
                     F.col("ts").alias("checkout_time"), F.col("next_ts").alias("checkin_time"),
@@ -36,9 +36,9 @@ def condition_trend(maintenance: DataFrame, rows_per_task: int = 2_000_000) -> D
     """per tool, by maintenance date then arrival: previous condition,
     change, and mean of the last three conditions (nulls ignored).  Hot tools
     are split by month (two ghost rows carried per month)."""
-    m = hot_key_buckets(maintenance, "tool_code", "maintenance_date", "_bucket", rows_per_task, unit="month")
+    m, hot = hot_key_plan(maintenance, "tool_code", "maintenance_date", "_bucket", rows_per_task, unit="month")
     nb = with_neighbours(m, "tool_code", "_bucket", ["maintenance_date", "seq"],
-                         ["condition_after"], lookback=2)
+                         ["condition_after"], lookback=2, ghosts=hot)
     w = seq_window("tool_code", "_bucket", ["maintenance_date", "seq"])
     out = (nb.withColumn("prev_condition", F.lag("condition_after").over(w))
              .withColumn("rolling_condition_3", F.avg("condition_after").over(w.rowsBetween(-2, 0)))

@@ -790,7 +790,10 @@ def _scaled_sql() -> str:
 
 @register("scaled_features", _scaled_sql())
 def q_scaled_features(spark, sf):
-    enc = encoded_features(spark, sf)
+    from fleetkit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # fitted once, applied once: checkpoint so the feature joins run once
+    enc = encoded_features(spark, sf).checkpoint(eager=True)
     params = encode.fit_scaler(enc, K.FEATURE_COLUMNS)      # one aggregate pass -> 2 x 17 numbers
     out = encode.scale(enc, params)
     return out.select("tool_code", *[r6(c).alias(c) for c in K.FEATURE_COLUMNS])
