@@ -55,3 +55,39 @@ def test_ledger_stream_restart_does_not_double_count(spark):
     run()                                   # restart from the same checkpoint: nothing is re-applied
     again = {r.tool_code: r.usage_hours for r in streams.ledger_snapshot(spark, tools(spark, SF_SMALL), root + "/deltas", AS_OF).collect()}
     assert first == again and sum(first.values()) > 0
+
+
+def test_daily_window_drops_and_reports_late_rows(spark):
+    """M3: a check-out more than the 1-day watermark behind the newest event
+    time is dropped by Spark and reported from the query progress."""
+    import pandas as pd
+    root = shared_path(spark, "late-test")
+    src = root + "/src"
+    os.makedirs(src)
+    li = pa.schema([("l_orderkey", pa.int64()), ("l_partkey", pa.int64()), ("l_suppkey", pa.int64()),
+                    ("l_linenumber", pa.int32()), ("l_quantity", pa.float64()), ("l_extendedprice", pa.float64()),
+                    ("l_discount", pa.float64()), ("l_tax", pa.float64()), ("l_returnflag", pa.string()),
+                    ("l_linestatus", pa.string()), ("l_shipdate", pa.timestamp("us"))])
+
+    def write(name, days):
+        n = len(days)
+        t = pa.table({"l_orderkey": list(range(n)), "l_partkey": [1] * n, "l_suppkey": [1] * n,
+                      "l_linenumber": pa.array([1] * n, pa.int32()), "l_quantity": [4.0] * n,
+                      "l_extendedprice": [1.0] * n, "l_discount": [0.0] * n, "l_tax": [0.0] * n,
+                      "l_returnflag": ["N"] * n, "l_linestatus": ["O"] * n,
+                      "l_shipdate": [pd.Timestamp("2001-01-01") + pd.Timedelta(days=x) for x in days]}, schema=li)
+        pq.write_table(t, os.path.join(src, name))
+        time.sleep(1.1)
+
+    from fleetkit.sources.testdata import shape_usage
+    write("part-0.parquet", [10, 11, 12])
+    write("part-1.parquet", [13])
+    # late rows are judged against the previous batch's watermark, so the
+    # late check-out (day 1 -> Jan 2) arrives in the third batch
+    write("part-2.parquet", [1, 14])
+    schema = spark.read.parquet(src).schema
+    u = shape_usage(streams.table_stream(spark, src, "lineitem", pattern="part-*.parquet", schema=schema))
+    progress = streams.run_to_end(streams.daily_usage_stream(u), root + "/out", root + "/_ck")
+    days = sorted(r.usage_date.day for r in spark.read.parquet(root + "/out").collect())
+    assert 2 not in days and days[:3] == [11, 12, 13]      # the late day never appears
+    assert streams.late_rows_dropped(progress) == 1
