@@ -143,13 +143,16 @@ def hot_key_plan(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
     rows, so there are at most ``max_hot`` hot keys: the hot-key list has a
     proven size bound and is broadcast.  Ordinary keys then behave like a
     plain per-key window; a hot key is spread over its time buckets.  N and
-    the number of hot keys are two row counts (driver-side numbers).
+    the number of large keys come from one aggregate (driver-side numbers).
     """
-    n = df.count()
-    threshold = max(rows_per_task, -(-n // max_hot))
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > threshold).select(key, F.lit(True).alias("_hot")))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    # one job: N and whether any key is above the floor of the threshold
+    st = counts.agg(F.sum("_n").alias("n"), F.count_if(F.col("_n") > rows_per_task).alias("over")).first()
     const = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    if not st["over"]:
+        return df.withColumn(bucket, const), False
+    threshold = max(rows_per_task, -(-int(st["n"]) // max_hot))
+    hot = counts.where(F.col("_n") > threshold).select(key, F.lit(True).alias("_hot"))
     if hot.isEmpty():
         return df.withColumn(bucket, const), False
     flagged = df.join(F.broadcast(hot), key, "left")          # <= max_hot keys by construction
