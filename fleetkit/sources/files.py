@@ -65,3 +65,13 @@ def write_usage(usage: DataFrame, path: str) -> None:
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "tool_code", buckets: int = 64) -> DataFrame:
+    """Store ``df`` bucketed and sorted by ``key`` as an external table in
+    the session catalog (files under ``path``, e.g. the shared folder).
+    Tables bucketed on the same key with the same bucket count join and
+    aggregate by that key without a shuffle (co-located).  Returns the table."""
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)

@@ -63,3 +63,23 @@ def test_month_partitioned_usage_prunes(spark):
     full = {r.usage_date: r.total_hours for r in kpis.daily_usage(load(spark, SF_SMALL).usage).collect()
             if dt.date(2000, 6, 1) <= r.usage_date <= dt.date(2000, 6, 30)}
     assert {r.usage_date: r.total_hours for r in q.collect()} == full and full
+
+
+def test_bucketed_tables_make_features_shuffle_free(spark):
+    """Tools, usage and maintenance bucketed by tool_code (same bucket count):
+    the per-tool statistics and both feature joins need no Exchange."""
+    from fleetkit.operators.features import prepare_features
+    from fleetkit.sources import files
+    f = load(spark, SF_SMALL)
+    t = files.write_bucketed(f.tools, "fk_tools_b", shared_path(spark, "b-tools"), buckets=8)
+    u = files.write_bucketed(f.usage, "fk_usage_b", shared_path(spark, "b-usage"), buckets=8)
+    m = files.write_bucketed(f.maintenance, "fk_maint_b", shared_path(spark, "b-maint"), buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # force the shuffle-join path
+    try:
+        df = prepare_features(t, u, m, AS_OF, usage_empty=False, maintenance_empty=False)
+        plan = _plan(df)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        expect = sorted(tuple(r) for r in prepare_features(f.tools, f.usage, f.maintenance, AS_OF).collect())
+        assert sorted(tuple(r) for r in df.collect()) == expect
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
