@@ -96,3 +96,21 @@ def test_intake_csv_roundtrip_matches_batch(spark):
     expect = Counter((r.seq, r.reject_reason) for r in ledger.classify_intake(nulled, f.tools).collect())
     got = Counter((r.seq, r.reject_reason) for r in queries()["intake_csv"](spark, SF_SMALL).collect())
     assert got == expect and f.intake.where("tool_name = ''").count() > 0
+
+
+@pytest.mark.parametrize("key", ["latest_usage", "checkin_apply", "paired_sessions", "condition_trend",
+                                 "intake_rejects", "features", "label_codes", "status_apply", "maintenance_apply"])
+def test_results_do_not_depend_on_partitioning(spark, key):
+    from __spark_entry__ import queries
+    fn = queries()[key]
+    results = []
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            results.append(Counter(tuple(_norm(x) for x in r) for r in fn(spark, SF_SMALL).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1] and sum(results[0].values()) > 0
