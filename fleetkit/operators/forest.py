@@ -55,9 +55,15 @@ def prepare(features: DataFrame, dictionary: DataFrame, scaler: dict, cols: list
 
 
 def train(features: DataFrame, as_of, n_trees: int = K.RF_TREES, depth: int = K.RF_DEPTH,
-          if_trees: int = K.IF_TREES, seed: int = K.SPLIT_SEED) -> Bundle | None:
-    """J15 retrain flow; returns None when there is not enough data."""
-    cols = [c for c in K.FEATURE_COLUMNS if c in features.columns or c.endswith("_encoded")]
+          if_trees: int = K.IF_TREES, seed: int = K.SPLIT_SEED,
+          exclude: tuple[str, ...] = ()) -> Bundle | None:
+    """J15 retrain flow; returns None when there is not enough data.
+
+    The label is 10 - condition_score while condition_score is also the first
+    feature (target leakage, kept for parity); ``exclude`` drops feature
+    columns, e.g. ``("condition_score",)`` for an honest hold-out score."""
+    cols = [c for c in K.FEATURE_COLUMNS
+            if (c in features.columns or c.endswith("_encoded")) and c not in exclude]
     n = features.count()
     if n <= K.MIN_TRAIN_ROWS or len(cols) < K.MIN_FEATURES:
         return None

@@ -59,3 +59,12 @@ def test_too_little_data_trains_nothing(spark):
     feats = catalog.features(spark, SF_SMALL).limit(10)
     assert forest.train(feats, AS_OF) is None
     assert forest.score(feats, None, AS_OF).count() == 0
+
+
+def test_target_leakage_and_exclusion(spark):
+    feats = catalog.features(spark, SF_SMALL)
+    leaky = forest.train(feats, AS_OF, n_trees=10, depth=5, if_trees=10)
+    honest = forest.train(feats, AS_OF, n_trees=10, depth=5, if_trees=10, exclude=("condition_score",))
+    assert leaky.metrics["r2"] > 0.9                      # the label is a function of a feature
+    assert "condition_score" not in honest.features and len(honest.features) == 16
+    assert honest.metrics["r2"] < leaky.metrics["r2"]
