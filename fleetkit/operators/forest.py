@@ -62,6 +62,8 @@ def train(features: DataFrame, as_of, n_trees: int = K.RF_TREES, depth: int = K.
     The label is 10 - condition_score while condition_score is also the first
     feature (target leakage, kept for parity); ``exclude`` drops feature
     columns, e.g. ``("condition_score",)`` for an honest hold-out score."""
+    from fleetkit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(features.sparkSession)
     cols = [c for c in K.FEATURE_COLUMNS
             if (c in features.columns or c.endswith("_encoded")) and c not in exclude]
     n = features.count()
@@ -74,8 +76,11 @@ def train(features: DataFrame, as_of, n_trees: int = K.RF_TREES, depth: int = K.
     zcols = [c + "_z" for c in cols]
     rf = Pipeline(stages=[
         VectorAssembler(inputCols=zcols, outputCol="features"),
+        # node-id caching (checkpointed every 10 iterations into the shared
+        # folder) is MLlib's recommended setting for deep trees
         RandomForestRegressor(numTrees=n_trees, maxDepth=depth, featureSubsetStrategy="all",
-                              subsamplingRate=1.0, seed=seed, labelCol="label"),
+                              subsamplingRate=1.0, seed=seed, labelCol="label",
+                              cacheNodeIds=True, checkpointInterval=10),
     ]).fit(data.where(~is_test()))
     scored = rf.transform(data.where(is_test()))
     ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
