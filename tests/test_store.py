@@ -138,18 +138,18 @@ def test_store_and_get_predictions(spark):
 
 def test_json_export_and_csv_preview(spark, make_tools, sample_tool):
     import json
-    t = make_tools([sample_tool, tool_row("EJ-002", "Torque Wrench", "Hand Tools", "Workshop B", condition=8.0)])
+    t = make_tools([sample_tool, tool_row("TW-002", "Torque Wrench", "Hand Tools", "Workshop B", condition=8.0)])
     rows = [json.loads(r.json) for r in files.tools_json(t).collect()]
     assert rows[0] == {"tool_code": "TEST-001", "tool_name": "Test Pneumatic Drill", "category": "Power Tools",
                        "location": "Test Workshop", "status": "available", "condition_score": 8.5, "usage_hours": 0.0}
     path = shared_path(spark, "test-json")
     files.write_json(t.select("tool_code", "condition_score"), path)
     assert spark.read.json(path).count() == 2
-    assert [r.tool_code for r in files.preview(t, n=1).collect()] == ["EJ-002"]
+    assert [r.tool_code for r in files.preview(t, n=1).collect()] == ["TW-002"]
     csv = shared_path(spark, "test-csv")
     files.export_csv(t.select("tool_code", "tool_name"), csv)
     back = files.read_export_csv(spark, csv, t.select("tool_code", "tool_name").schema)
-    assert sorted(r.tool_code for r in back.collect()) == ["EJ-002", "TEST-001"]
+    assert sorted(r.tool_code for r in back.collect()) == ["TW-002", "TEST-001"]
 
 
 def test_seed_only_when_empty(spark, make_tools, seed_tools, sample_tool):
