@@ -145,11 +145,11 @@ def test_json_export_and_csv_preview(spark, make_tools, sample_tool):
     path = shared_path(spark, "test-json")
     files.write_json(t.select("tool_code", "condition_score"), path)
     assert spark.read.json(path).count() == 2
-    assert [r.tool_code for r in files.preview(t, n=1).collect()] == ["TW-002"]
+    assert [r.tool_code for r in files.preview(t, n=1).collect()] == ["TEST-001"]
     csv = shared_path(spark, "test-csv")
     files.export_csv(t.select("tool_code", "tool_name"), csv)
     back = files.read_export_csv(spark, csv, t.select("tool_code", "tool_name").schema)
-    assert sorted(r.tool_code for r in back.collect()) == ["TW-002", "TEST-001"]
+    assert sorted(r.tool_code for r in back.collect()) == ["TEST-001", "TW-002"]
 
 
 def test_seed_only_when_empty(spark, make_tools, seed_tools, sample_tool):
