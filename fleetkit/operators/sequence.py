@@ -3,8 +3,8 @@
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to
 one task; when one tool holds a third of all events that task holds a third
 of the data.  Here the window is partitioned by ``(key, bucket)`` — a time
-bucket such as the day — and the few rows a frame needs from *neighbouring*
-buckets are added as "ghost" rows:
+bucket (an hour, say) for hot keys, a single bucket for all others — and the
+few rows a frame needs from *neighbouring* buckets are added as "ghost" rows:
 
 * lookback n: the last n rows before each bucket,
 * lookahead n: the first n rows after each bucket.
@@ -18,9 +18,10 @@ order columns and then drop the ghosts with ``where(~F.col(GHOST))``.
 
 The order columns must make rows unique within a key (add ``seq``).
 
-Which bucket?  ``hot_key_buckets`` gives hot keys (more than
+Which bucket?  ``hot_key_plan`` gives hot keys (more than
 max(rows_per_task, N / max_hot) rows) fine time buckets and all other keys a
-single bucket, so only hot keys pay for ghost rows.
+single bucket, so only hot keys pay for ghost rows; when there is no hot key
+at all it tells the caller to skip the ghost machinery.
 """
 
 from __future__ import annotations
@@ -69,10 +70,10 @@ def with_neighbours(df: DataFrame, key: str, bucket: str, order_cols: Sequence[s
             # previous (next) non-empty bucket — a lag (lead) over the key's buckets
             bw = Window.partitionBy(key).orderBy(F.col(bucket).asc())
             nb = (F.lag if last else F.lead)(F.struct(*cols)).over(bw)
-            ghosts = (edges.select(key, bucket, nb.alias("_g")).where(F.col("_g").isNotNull())
-                      .select(key, bucket, *[F.col(f"_g.{c}").alias(c) for c in cols])
-                      .withColumn(GHOST, F.lit(True)))
-            out = out.unionByName(ghosts)
+            ghost_rows = (edges.select(key, bucket, nb.alias("_g")).where(F.col("_g").isNotNull())
+                          .select(key, bucket, *[F.col(f"_g.{c}").alias(c) for c in cols])
+                          .withColumn(GHOST, F.lit(True)))
+            out = out.unionByName(ghost_rows)
             continue
         # each bucket's first edge row also emits the bucket's marker (_m = 1)
         # through a generator, so the edge table is referenced once
@@ -95,11 +96,11 @@ def with_neighbours(df: DataFrame, key: str, bucket: str, order_cols: Sequence[s
                  .orderBy(F.col(bucket).asc(), F.col("_m").asc(), *[F.col(c).asc() for c in order_cols])
                  .rowsBetween(1, 2 * n))
             carried = F.slice(F.collect_list("_row").over(w), 1, n)
-        ghosts = (combined.withColumn("_carry", carried).where(F.col("_m") == 1)
+        ghost_rows = (combined.withColumn("_carry", carried).where(F.col("_m") == 1)
                   .select(key, bucket, F.explode("_carry").alias("_g"))
                   .select(key, bucket, *[F.col(f"_g.{c}").alias(c) for c in cols])
                   .withColumn(GHOST, F.lit(True)))
-        out = out.unionByName(ghosts)
+        out = out.unionByName(ghost_rows)
     return out
 
 
