@@ -3,8 +3,9 @@
 J2 is a dictionary table, not MLlib's ``StringIndexer`` (whose 'keep' mode
 gives k, not -1, for unseen values): sorted distinct text values get codes
 0..k-1 per column, missing values are the text 'None', unseen values -1.
-The dictionary is as large as the number of distinct values; applying it is
-an ordinary join, broadcast by AQE when the dictionary is small.
+The dictionary is as large as the number of distinct values; it is ranked
+without sorting a whole column in one task, and applying it is an ordinary
+join, broadcast by AQE when the dictionary is small.
 
 J3 uses the *population* standard deviation with sigma = 0 treated as 1
 (MLlib's StandardScaler uses the sample sigma).  Fitting is one aggregate
@@ -26,12 +27,32 @@ def _text(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(K.NULL_LABEL))
 
 
-def fit_label_dictionary(df: DataFrame, cols: Sequence[str] = K.CATEGORICAL_COLUMNS) -> DataFrame:
-    """(column, value, code) with code = rank of value among sorted distinct values."""
+def fit_label_dictionary(df: DataFrame, cols: Sequence[str] = K.CATEGORICAL_COLUMNS,
+                         partitions: int | None = None) -> DataFrame:
+    """(column, value, code) with code = rank of value among the sorted
+    distinct values of its column.
+
+    Distributed ranking: the distinct pairs are range-partitioned by
+    (column, value), ranked inside each range partition, and shifted by the
+    number of values of the same column in earlier partitions — taken from a
+    per-partition count table (partitions x columns rows, broadcast).  No
+    task sorts a whole column."""
     vals = (df.select(*[_text(c).alias(c) for c in cols])
             .unpivot([], list(cols), "column", "value").distinct())
-    w = Window.partitionBy("column").orderBy("value")   # dictionary-sized frame
-    return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    from fleetkit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the partition ids are materialised once (a dictionary-sized checkpoint),
+    # so both branches below see the same range bounds
+    ranged = (vals.repartitionByRange(n, "column", "value").withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    local = ranged.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_pid", "column").orderBy("value")) - 1)
+    counts = ranged.groupBy("_pid", "column").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", "column", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (local.join(F.broadcast(offsets), ["_pid", "column"])     # bounded: partitions x columns
+            .select("column", "value", (F.col("_local") + F.col("_off")).cast("int").alias("code")))
 
 
 def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str] = K.CATEGORICAL_COLUMNS) -> DataFrame:

@@ -82,3 +82,18 @@ def test_daily_and_today_usage_edges(spark):
     assert (t.total_hours, t.active_tools, t.avg_usage) == (0.0, 2, None)          # non-empty, all null
     e = kpis.today_usage(u, dt.date(2001, 11, 6)).first()
     assert (e.total_hours, e.active_tools, e.avg_usage) == (0.0, 0, 0.0)           # empty day -> 0/0/0
+
+
+def test_distributed_dictionary_equals_dense_rank(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rows = [tool_row(f"T{i}", category=f"c{i % 37:02d}", location=f"loc{i % 101}", status=["a", "b", None][i % 3])
+            for i in range(400)]
+    from conftest import tool_row as _tr  # noqa: F401
+    t = spark.createDataFrame(rows, schemas.TOOLS)
+    for parts in (1, 5, 16):
+        got = {(r.column, r.value): r.code for r in encode.fit_label_dictionary(t, partitions=parts).collect()}
+        vals = (t.select(*[F.coalesce(F.col(c), F.lit("None")).alias(c) for c in ("category", "location", "status")])
+                .unpivot([], ["category", "location", "status"], "column", "value").distinct())
+        ref = vals.withColumn("code", F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1)
+        assert got == {(r.column, r.value): r.code for r in ref.collect()}
