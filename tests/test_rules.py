@@ -114,3 +114,46 @@ def test_display_formats(spark):
     df = spark.createDataFrame([(7.25, 0.859, 1234567.5, "in use")], "c double, r double, m double, s string")
     r = df.select(R.fmt1("c"), R.percent1("r"), R.money("m"), R.status_css("s"), F.upper("s")).first()
     assert tuple(r) == ("7.3", "85.9%", "€1,234,567.50", "in-use", "IN USE")
+
+
+def test_code_rule_matches_python_semantics(spark):
+    """Property: the Spark rule equals the spec evaluated with Python's re
+    (``$`` also matches before one final newline) on random ASCII text."""
+    import re
+    from hypothesis import given, settings, strategies as st
+
+    alphabet = "ABZaz09-_ /#\n\r\t."
+    samples: list[str | None] = []
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(alphabet=alphabet, min_size=0, max_size=24))
+    def collect(text):
+        samples.append(text)
+
+    collect()
+    samples.append(None)
+
+    def spec(s):
+        if not s or len(s.strip()) == 0 or not 3 <= len(s) <= 20:
+            return False
+        return re.match(r"^[A-Z0-9\-_]+$", s.upper()) is not None
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, v string")
+    got = {r.i: r.ok for r in df.select("i", R.code_valid("v").alias("ok")).collect()}
+    bad = [(samples[i], got[i]) for i in got if got[i] != spec(samples[i])]
+    assert not bad, bad[:5]
+
+
+def test_day_counts_match_timedelta_days(spark):
+    """Property: days_until / days_since equal Python's timedelta.days (a
+    floor) for dates and timestamps around the noon as-of."""
+    import random
+    rnd = random.Random(11)
+    stamps = [AS_OF + dt.timedelta(minutes=rnd.randrange(-60 * 24 * 400, 60 * 24 * 400)) for _ in range(500)]
+    dates = [s.date() for s in stamps]
+    df = spark.createDataFrame(list(zip(range(500), stamps, dates)), "i int, t timestamp_ntz, d date")
+    rows = df.select("i", D.days_until("t", AS_OF).alias("ut"), D.days_since("t", AS_OF).alias("st"),
+                     D.days_until("d", AS_OF).alias("ud"), D.days_since("d", AS_OF).alias("sd")).collect()
+    for r in rows:
+        t, d = stamps[r.i], dt.datetime.combine(dates[r.i], dt.time())
+        assert (r.ut, r.st, r.ud, r.sd) == ((t - AS_OF).days, (AS_OF - t).days, (d - AS_OF).days, (AS_OF - d).days)
