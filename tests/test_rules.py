@@ -157,3 +157,40 @@ def test_day_counts_match_timedelta_days(spark):
     for r in rows:
         t, d = stamps[r.i], dt.datetime.combine(dates[r.i], dt.time())
         assert (r.ut, r.st, r.ud, r.sd) == ((t - AS_OF).days, (AS_OF - t).days, (d - AS_OF).days, (AS_OF - d).days)
+
+
+def test_fusion_and_recommendations_match_python_spec(spark):
+    """Property: fusion, priority, days, failure date, recommendation cost,
+    action and reasons equal the formulas evaluated in plain Python."""
+    import math
+    import random
+    rnd = random.Random(5)
+    rows = [(f"T{i}", rnd.uniform(-2, 14), rnd.uniform(-3, 3)) for i in range(400)]
+    preds = fuse(spark.createDataFrame(rows, "tool_code string, condition_pred double, anomaly_score double"), AS_OF)
+    got = {r.tool_code: r for r in preds.collect()}
+    rec = {r.tool_code: r for r in recommendations(preds).collect()}
+
+    def band(r, bands, default):
+        for t, label in bands:
+            if r > t:
+                return label
+        return default
+
+    from fleetkit import constants as K
+    for code, cp, s in rows:
+        cr = min(cp / 10, 1.0)
+        ar = 1 / (1 + math.exp(s))
+        risk = cr * 0.7 + ar * 0.3
+        days = max(1, int(30 * (1 - risk)))
+        g = got[code]
+        assert abs(g.confidence_score - risk) < 1e-12 and g.days_until_maintenance == days
+        assert g.maintenance_priority == band(risk, K.PRIORITY_BANDS, K.PRIORITY_DEFAULT)
+        assert g.predicted_failure_date == AS_OF.date() + dt.timedelta(days=days)
+        if risk > 0.6:
+            reasons = [m for ok, m in ((cr > 0.7, K.REASON_CONDITION), (ar > 0.7, K.REASON_ANOMALY),
+                                       (risk > 0.8, K.REASON_HIGH)) if ok]
+            assert rec[code].estimated_cost == round(100.0 * (1 + risk * 2), 2)
+            assert rec[code].recommended_action == band(risk, K.ACTION_BANDS, K.ACTION_DEFAULT)
+            assert rec[code].reasoning == ("; ".join(reasons) if reasons else K.REASON_DEFAULT)
+        else:
+            assert code not in rec
