@@ -97,3 +97,37 @@ def test_distributed_dictionary_equals_dense_rank(spark):
                 .unpivot([], ["category", "location", "status"], "column", "value").distinct())
         ref = vals.withColumn("code", F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1)
         assert got == {(r.column, r.value): r.code for r in ref.collect()}
+
+
+def test_features_match_pandas_spec(spark):
+    """J1 against the algorithm written with pandas (groupby statistics
+    rounded to 2, left merges, derived ratios, numeric fill) on sf0.001."""
+    import numpy as np
+    import pandas as pd
+    from conftest import SF_SMALL
+    from fleetkit.sources.testdata import load
+    f = load(spark, SF_SMALL)
+    t, u, m = f.tools.toPandas(), f.usage.toPandas(), f.maintenance.toPandas()
+    m["cost"] = m["cost"].astype(float)
+    us = u.groupby("tool_code").agg(total_usage_hours=("usage_duration", "sum"),
+                                    avg_usage_hours=("usage_duration", "mean"),
+                                    usage_count=("usage_duration", "count"),
+                                    checkout_count=("checkout_time", "count")).round(2).reset_index()
+    ms = m.groupby("tool_code").agg(total_maintenance_cost=("cost", "sum"), avg_maintenance_cost=("cost", "mean"),
+                                    maintenance_count=("cost", "count"),
+                                    last_maintenance=("maintenance_date", "max")).round(2).reset_index()
+    p = t.merge(us, on="tool_code", how="left").merge(ms, on="tool_code", how="left")
+    now = pd.Timestamp(AS_OF)
+    p["days_since_purchase"] = (now - pd.to_datetime(p["purchase_date"])).dt.days
+    p["days_since_last_maintenance"] = (now - pd.to_datetime(p["last_maintenance"])).dt.days
+    p["usage_intensity"] = p["total_usage_hours"] / (p["days_since_purchase"] + 1)
+    p["maintenance_frequency"] = p["maintenance_count"] / (p["days_since_purchase"] + 1) * 365
+    p["cost_per_hour"] = p["total_maintenance_cost"] / (p["total_usage_hours"] + 1)
+    num = p.select_dtypes(include=[np.number]).columns
+    p[num] = p[num].fillna(0)
+    s = prepare_features(f.tools, f.usage, f.maintenance, AS_OF).toPandas().set_index("tool_code")
+    p = p.set_index("tool_code").loc[s.index]
+    for c in ("total_usage_hours", "avg_usage_hours", "usage_count", "checkout_count", "total_maintenance_cost",
+              "avg_maintenance_cost", "maintenance_count", "days_since_purchase", "days_since_last_maintenance",
+              "usage_intensity", "maintenance_frequency", "cost_per_hour"):
+        assert np.allclose(s[c].astype(float), p[c].astype(float), rtol=0, atol=1e-9), c
