@@ -57,11 +57,20 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int =
             .option("pathGlobFilter", pattern or f"{table}.parquet").parquet(path))
 
 
+def start(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
+          trigger: dict | None = None):
+    """Start a streaming query into a Parquet sink.  ``trigger`` is passed to
+    ``DataStreamWriter.trigger`` — e.g. ``{"processingTime": "2 hours"}`` for
+    a recurring job (the reference's polling cadences); default: process
+    everything available, then stop."""
+    return (df.writeStream.outputMode(mode).format("parquet").option("path", out_path)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
 def run_to_end(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> list[dict]:
     """Run a streaming query over everything available, then stop; returns
     the progress reports of its micro-batches."""
-    q = (df.writeStream.outputMode(mode).format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = start(df, out_path, checkpoint, mode)
     q.awaitTermination()
     return list(q.recentProgress)
 
@@ -160,7 +169,8 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def ledger_stream(spark: SparkSession, usage: DataFrame, root: str, checkpoint: str) -> None:
+def ledger_stream(spark: SparkSession, usage: DataFrame, root: str, checkpoint: str,
+                  trigger: dict | None = None) -> None:
     """M1: every micro-batch of usage rows becomes its per-tool delta (B4's
     per-tool sums), written to ``<root>/batch=<id>``.  A replayed batch
     overwrites its own partition with the same content, so restarts after a
@@ -170,8 +180,9 @@ def ledger_stream(spark: SparkSession, usage: DataFrame, root: str, checkpoint:
         usage_deltas(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     q = (usage.writeStream.foreachBatch(write_delta).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+         .trigger(**(trigger or {"availableNow": True})).start())
+    if trigger is None:
+        q.awaitTermination()
 
 
 def ledger_snapshot(spark: SparkSession, tools: DataFrame, root: str, as_of) -> DataFrame:
