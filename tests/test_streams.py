@@ -91,3 +91,24 @@ def test_daily_window_drops_and_reports_late_rows(spark):
     days = sorted(r.usage_date.day for r in spark.read.parquet(root + "/out").collect())
     assert 2 not in days and days[:3] == [11, 12, 13]      # the late day never appears
     assert streams.late_rows_dropped(progress) == 1
+
+
+def test_recurring_trigger_equals_batch(spark):
+    from collections import Counter
+
+    from conftest import SF_SMALL
+    from fleetkit.operators.joins import scan_enrich
+    from fleetkit.sources.testdata import load, part_count, shape_scans
+    root = shared_path(spark, "recurring")
+    f = load(spark, SF_SMALL)
+    s = shape_scans(streams.table_stream(spark, SF_SMALL, "events"), part_count(spark, SF_SMALL))
+    q = streams.start(streams.scan_stream(s, f.tools), root + "/out", root + "/_ck",
+                      trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    cols = ["seq", "code", "found", "tool_name"]
+    got = Counter(tuple(r) for r in spark.read.parquet(root + "/out").select(*cols).collect())
+    want = Counter(tuple(r) for r in scan_enrich(f.scans, f.tools).select(*cols).collect())
+    assert got == want and len(want) > 0
