@@ -131,3 +131,16 @@ def test_features_match_pandas_spec(spark):
               "avg_maintenance_cost", "maintenance_count", "days_since_purchase", "days_since_last_maintenance",
               "usage_intensity", "maintenance_frequency", "cost_per_hour"):
         assert np.allclose(s[c].astype(float), p[c].astype(float), rtol=0, atol=1e-9), c
+
+
+def test_today_usage_approx_distinct(spark):
+    from conftest import SF_SMALL
+    from fleetkit.operators import kpis
+    from fleetkit.sources.testdata import load
+    u = load(spark, SF_SMALL).usage
+    day = u.where("checkout_time is not null").select(F.to_date("checkout_time").alias("d")) \
+           .groupBy("d").count().orderBy(F.col("count").desc(), "d").first().d
+    exact = kpis.today_usage(u, day).first()
+    approx = kpis.today_usage(u, day, approx=True).first()
+    assert exact.active_tools > 0 and abs(approx.active_tools - exact.active_tools) <= max(1, 0.05 * exact.active_tools)
+    assert approx.total_hours == exact.total_hours
