@@ -114,3 +114,11 @@ def test_results_do_not_depend_on_partitioning(spark, key):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert results[0] == results[1] and sum(results[0].values()) > 0
+
+
+def test_cli_list_and_unknown_key(capsys):
+    from fleetkit.__main__ import main
+    assert main(["list"]) == 0
+    out = capsys.readouterr().out
+    assert "features" in out and "stream_sessions" in out and len(out.strip().splitlines()) == 77
+    assert main(["run", "no_such_key", "--tables", SF_SMALL]) == 2
