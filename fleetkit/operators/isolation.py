@@ -19,8 +19,9 @@ Score
   trees at once (vectorised).  Score s = 2^(-E[h] / c(psi)); the decision
   value is -s - offset, where offset is the ``contamination`` quantile of
   the training values (negative = anomalous), as in the common library
-  convention.  The quantile is ``percentile_approx`` with accuracy 1e5
-  (bounded memory; rank error <= n / 1e5).
+  convention.  The quantile is exact (numpy-style interpolation), found
+  from a ``percentile_approx`` bracket plus one pass that collects only the
+  values inside the bracket.
 """
 
 from __future__ import annotations
@@ -175,10 +176,38 @@ def raw_scores(df: DataFrame, model: IsolationModel, key: str) -> DataFrame:
     return h.select(key, (-F.pow(F.lit(2.0), -F.col("mean_path") / F.lit(c))).alias("score_samples"))
 
 
+def exact_percentile(df: DataFrame, col: str, p: float, accuracy: int = 100_000) -> float:
+    """Exact p-quantile with linear interpolation between order statistics
+    (the usual numpy convention), without collecting the column.
+
+    ``percentile_approx`` has rank error at most n / accuracy, so its values
+    at p -/+ (2 / accuracy + 2 / n) bracket the two order statistics needed;
+    one more pass counts the values below the bracket and collects only the
+    values inside it (about 4 n / accuracy + 4 of them)."""
+    import math
+    c = F.col(col)
+    n = df.where(c.isNotNull()).count()
+    if n == 0:
+        return float("nan")
+    margin = 2.0 / accuracy + 2.0 / n
+    p_lo, p_hi = p - margin, p + margin
+    b = df.agg(F.percentile_approx(col, [max(0.0, p_lo), min(1.0, p_hi)], accuracy).alias("b")).first()["b"]
+    lo = -math.inf if p_lo <= 0 else float(b[0])
+    hi = math.inf if p_hi >= 1 else float(b[1])
+    in_range = (c >= F.lit(lo)) & (c <= F.lit(hi))
+    st = df.agg(F.count_if(c < F.lit(lo)).alias("below"),
+                F.collect_list(F.when(in_range, c)).alias("inside")).first()   # bounded slice
+    inside = sorted(st["inside"])
+    pos = (n - 1) * p - int(st["below"])
+    i = int(math.floor(pos))
+    a, b2 = inside[i], inside[min(i + 1, len(inside) - 1)]
+    return float(a + (b2 - a) * (pos - i))
+
+
 def fit_offset(df: DataFrame, model: IsolationModel, key: str, contamination: float = 0.1) -> IsolationModel:
-    q = raw_scores(df, model, key).agg(
-        F.percentile_approx("score_samples", contamination, 100_000).alias("q")).first()["q"]
-    model.offset = float(q)
+    """offset = the exact ``contamination`` quantile of the training scores."""
+    scores = raw_scores(df, model, key)
+    model.offset = exact_percentile(scores, "score_samples", contamination)
     return model
 
 

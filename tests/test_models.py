@@ -68,3 +68,13 @@ def test_target_leakage_and_exclusion(spark):
     assert leaky.metrics["r2"] > 0.9                      # the label is a function of a feature
     assert "condition_score" not in honest.features and len(honest.features) == 16
     assert honest.metrics["r2"] < leaky.metrics["r2"]
+
+
+def test_exact_percentile_matches_numpy(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 7, 1000, 20000):
+        vals = rng.normal(size=n)
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        for p in (0.0, 0.1, 0.5, 0.999, 1.0):
+            assert isolation.exact_percentile(df, "x", p, accuracy=1000) == pytest.approx(
+                float(np.percentile(vals, 100 * p)), abs=1e-12), (n, p)
