@@ -205,8 +205,12 @@ def exact_percentile(df: DataFrame, col: str, p: float, accuracy: int = 100_000)
 
 
 def fit_offset(df: DataFrame, model: IsolationModel, key: str, contamination: float = 0.1) -> IsolationModel:
-    """offset = the exact ``contamination`` quantile of the training scores."""
-    scores = raw_scores(df, model, key)
+    """offset = the exact ``contamination`` quantile of the training scores.
+    The scores are materialised once (checkpoint), so the vectorised tree
+    walk runs once for the three small passes of ``exact_percentile``."""
+    from fleetkit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    scores = raw_scores(df, model, key).select("score_samples").checkpoint(eager=True)
     model.offset = exact_percentile(scores, "score_samples", contamination)
     return model
 
