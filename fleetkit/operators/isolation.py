@@ -182,8 +182,9 @@ def exact_percentile(df: DataFrame, col: str, p: float, accuracy: int = 100_000)
 
     ``percentile_approx`` has rank error at most n / accuracy, so its values
     at p -/+ (2 / accuracy + 2 / n) bracket the two order statistics needed;
-    one more pass counts the values below the bracket and collects only the
-    values inside it (about 4 n / accuracy + 4 of them)."""
+    one more pass counts the values below the bracket and collects the
+    distinct values inside it with their counts (at most about
+    4 n / accuracy + 4 pairs, however many ties there are)."""
     import math
     c = F.col(col)
     n = df.where(c.isNotNull()).count()
@@ -194,13 +195,22 @@ def exact_percentile(df: DataFrame, col: str, p: float, accuracy: int = 100_000)
     b = df.agg(F.percentile_approx(col, [max(0.0, p_lo), min(1.0, p_hi)], accuracy).alias("b")).first()["b"]
     lo = -math.inf if p_lo <= 0 else float(b[0])
     hi = math.inf if p_hi >= 1 else float(b[1])
-    in_range = (c >= F.lit(lo)) & (c <= F.lit(hi))
-    st = df.agg(F.count_if(c < F.lit(lo)).alias("below"),
-                F.collect_list(F.when(in_range, c)).alias("inside")).first()   # bounded slice
-    inside = sorted(st["inside"])
-    pos = (n - 1) * p - int(st["below"])
+    below = df.where(c < F.lit(lo)).count()
+    # (value, count) pairs: ties collapse, so the collected slice is bounded
+    # by the number of distinct values inside the bracket
+    pairs = sorted((r[0], r[1]) for r in df.where((c >= F.lit(lo)) & (c <= F.lit(hi)))
+                   .groupBy(col).count().collect())
+    pos = (n - 1) * p - below
     i = int(math.floor(pos))
-    a, b2 = inside[i], inside[min(i + 1, len(inside) - 1)]
+
+    def nth(k: int) -> float:                  # k-th smallest (0-based) inside the bracket
+        for v, cnt in pairs:
+            if k < cnt:
+                return v
+            k -= cnt
+        return pairs[-1][0]
+
+    a, b2 = nth(i), nth(i + 1)
     return float(a + (b2 - a) * (pos - i))
 
 

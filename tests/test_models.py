@@ -78,3 +78,11 @@ def test_exact_percentile_matches_numpy(spark):
         for p in (0.0, 0.1, 0.5, 0.999, 1.0):
             assert isolation.exact_percentile(df, "x", p, accuracy=1000) == pytest.approx(
                 float(np.percentile(vals, 100 * p)), abs=1e-12), (n, p)
+
+
+def test_exact_percentile_with_heavy_ties(spark):
+    vals = [1.0] * 3000 + [2.0] * 5 + [0.5] * 40
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for p in (0.0, 0.01, 0.013, 0.1, 0.5, 0.999, 1.0):
+        assert isolation.exact_percentile(df, "x", p, accuracy=100) == pytest.approx(
+            float(np.percentile(vals, 100 * p)), abs=1e-12), p
