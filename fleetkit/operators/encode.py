@@ -28,17 +28,21 @@ def _text(col: str):
 
 
 def fit_label_dictionary(df: DataFrame, cols: Sequence[str] = K.CATEGORICAL_COLUMNS,
-                         partitions: int | None = None) -> DataFrame:
+                         partitions: int | None = None, max_local: int = 1_000_000) -> DataFrame:
     """(column, value, code) with code = rank of value among the sorted
     distinct values of its column.
 
-    Distributed ranking: the distinct pairs are range-partitioned by
+    Up to ``max_local`` distinct (column, value) pairs (a checked bound) a
+    window per column ranks them — one task sorts at most that many values.
+    Beyond it the ranking is distributed: the pairs are range-partitioned by
     (column, value), ranked inside each range partition, and shifted by the
     number of values of the same column in earlier partitions — taken from a
-    per-partition count table (partitions x columns rows, broadcast).  No
-    task sorts a whole column."""
+    per-partition count table (partitions x columns rows, broadcast)."""
     vals = (df.select(*[_text(c).alias(c) for c in cols])
             .unpivot([], list(cols), "column", "value").distinct())
+    if partitions is None and vals.count() <= max_local:
+        w = Window.partitionBy("column").orderBy("value")
+        return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
     from fleetkit.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
