@@ -122,3 +122,18 @@ def test_cli_list_and_unknown_key(capsys):
     out = capsys.readouterr().out
     assert "features" in out and "stream_sessions" in out and len(out.strip().splitlines()) == 77
     assert main(["run", "no_such_key", "--tables", SF_SMALL]) == 2
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_RUNS="1")
+    out = subprocess.run([sys.executable, os.path.join(root, "bench.py"), "usage_stats"], env=env,
+                         capture_output=True, text=True, timeout=600, check=True).stdout
+    lines = [ln for ln in out.splitlines() if ln.strip()]
+    assert len(lines) == 1
+    rec = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(rec) and rec["unit"] == "sec"
+    assert rec["queries"]["usage_stats"] > 0 and rec["sf"] == "sf0.001"
