@@ -89,7 +89,6 @@ def test_distributed_dictionary_equals_dense_rank(spark):
     from pyspark.sql import functions as F
     rows = [tool_row(f"T{i}", category=f"c{i % 37:02d}", location=f"loc{i % 101}", status=["a", "b", None][i % 3])
             for i in range(400)]
-    from conftest import tool_row as _tr  # noqa: F401
     t = spark.createDataFrame(rows, schemas.TOOLS)
     for parts in (1, 5, 16):
         got = {(r.column, r.value): r.code for r in encode.fit_label_dictionary(t, partitions=parts).collect()}
