@@ -11,6 +11,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 #: query -> module that defines it
 MODULES = {
+    "op1_packing": "packing",
     "op2_simhash_dedup": "simhash",
 }
 
