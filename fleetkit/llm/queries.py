@@ -11,6 +11,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 #: query -> module that defines it
 MODULES = {
+    "op4_quality_rules": "quality_rules",
     "op3_html_extraction": "html_text",
     "op1_packing": "packing",
     "op2_simhash_dedup": "simhash",
