@@ -179,7 +179,8 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHA
     lo, hi = F.greatest(F.col("from"), F.col("block") * b), F.least(F.col("end"), (F.col("block") + 1) * b)
     cut = cut.select("sid", "block", "rid", (lo - F.col("from")).alias("start"), (hi - lo).alias("words"))
     made = slots(spark, blocks, quota, seed, shard_blocks)
-    return sources, made.join(cut, ["sid", "block"]).select("shard", "slot", "epoch", "rid", "start", "words")
+    # the sizes of generated rows are guessed far too low for a broadcast to be safe
+    return sources, made.hint("merge").join(cut.hint("merge"), ["sid", "block"]).select("shard", "slot", "epoch", "rid", "start", "words")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
