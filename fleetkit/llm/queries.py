@@ -11,6 +11,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 #: query -> module that defines it
 MODULES = {
+    "op6_url_filter": "url_filter",
     "op5_mixing": "mixing",
     "op4_quality_rules": "quality_rules",
     "op3_html_extraction": "html_text",
