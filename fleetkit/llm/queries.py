@@ -11,6 +11,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 #: query -> module that defines it
 MODULES = {
+    "op8_quality_classifier": "quality_knn",
     "op10_secret_scan": "secrets",
     "op6_url_filter": "url_filter",
     "op5_mixing": "mixing",
