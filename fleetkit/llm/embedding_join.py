@@ -188,8 +188,8 @@ ORACLE_SQL = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
          (label IS NOT NULL AND embedding IS NOT NULL
-          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-          AND len(list_filter(embedding, x -> x <> 0)) > 0) AS sound
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0) AS sound
   FROM embeddings),
 l AS (
   SELECT a.vec_id AS a, b.vec_id AS b
