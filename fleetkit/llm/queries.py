@@ -11,6 +11,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 #: query -> module that defines it
 MODULES = {
+    "op7_lm_scoring": "lm_scores",
     "op9_embedding_dedup": "embedding_join",
     "op8_quality_classifier": "quality_knn",
     "op10_secret_scan": "secrets",
