@@ -29,10 +29,12 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         n, top = len(v), int(v[-1]) if len(v) else 0
         low = max(0, ((top + 1) // n).bit_length() - 1) if n else 0
-        bits = (v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
+        bits = np.zeros((n, low), np.uint8)
+        for k in range(low):
+            bits[:, k] = (v >> np.uint64(k)) & np.uint64(1)
         high = np.zeros((top >> low) + n + 1, np.uint8)
         high[(v >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
-        return {"low": np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"),
+        return {"low": np.packbits(bits.ravel(), bitorder="little"),
                 "high": np.packbits(high, bitorder="little"), "shape": np.array([n, low], np.int64)}
 
     @staticmethod

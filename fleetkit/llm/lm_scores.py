@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetkit.llm.common import keep, prepare, table
+from fleetkit.llm.elias_fano import Trie, dequantise, quantise
 
 #: Tokens of a chunk of documents, and n-grams of a shard of the trie, about.
-CHUNK_TOKENS, SHARD_PAIRS = 2 << 20, 4 << 20
+CHUNK_TOKENS, SHARD_PAIRS = 2 << 20, 2 << 20
 #: Words of a shard of the vocabulary, about.
 SHARD_WORDS = 1 << 20
 #: Pairs a context may have in one shard; a commoner context is split by its successors.
@@ -44,12 +45,13 @@ def _unzip(blob: bytes, kind: str) -> np.ndarray:
 
 
 CHUNKS = ("chunk long, ids array<long>, held array<boolean>, lengths binary, codes binary, "
-          "words array<string>, counts binary")
+          "words array<string>, turn binary, counts binary")
 
 
 def chunks(docs: DataFrame, chunk_tokens: int, held) -> DataFrame:
     """``docs`` (doc_id, text) as rows of about ``chunk_tokens`` tokens: local
-    codes of the tokens, the chunk's words and how often each is a training token."""
+    codes of the tokens, the chunk's words, the words' turn by crc32 and how
+    often each is a training token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -71,13 +73,14 @@ def chunks(docs: DataFrame, chunk_tokens: int, held) -> DataFrame:
             length = np.array(lengths)
             train = np.repeat(~np.array(flags, bool), length)
             counts = np.bincount(codes[train], minlength=len(index))
+            turn = np.argsort(np.fromiter(map(crc32, index), np.uint32, len(index)), kind="stable")
             row = [[base + made], [ids], [flags], [_zip(length, "<u4")], [_zip(codes, "<u4")],
-                   [[w.decode() for w in index]], [_zip(counts, "<u4")]]
+                   [[w.decode() for w in index]], [_zip(turn, "<u4")], [_zip(counts, "<u4")]]
             made += 1
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(),
-                     pa.list_(pa.string()), pa.binary())
+                     pa.list_(pa.string()), pa.binary(), pa.binary())
             return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds)],
-                                   ["chunk", "ids", "held", "lengths", "codes", "words", "counts"])
+                                   ["chunk", "ids", "held", "lengths", "codes", "words", "turn", "counts"])
 
         for batch in batches:
             for key, out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -98,17 +101,17 @@ def chunks(docs: DataFrame, chunk_tokens: int, held) -> DataFrame:
 
 
 def word_replies(made: DataFrame, shards: int) -> DataFrame:
-    """(chunk, shard, known, rows, ids, counts): for the chunk's words of a
-    shard, in the chunk's order, their global number and training count."""
+    """(chunk, shard, known, ids, counts): for the chunk's words of a shard (a
+    range of crc32), in their turn, their global number and training count."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for chunk, words, counts in zip(b["chunk"], b["words"], b["counts"]):
-                words, counts = np.asarray(words, object), _unzip(counts, "<u4")
-                of = np.fromiter((crc32(w.encode()) % shards for w in words), np.int64, len(words))
-                order = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[order], np.arange(shards + 1))
-                rows = [(chunk, s, words[order[a:z]].tolist(), _zip(counts[order[a:z]], "<u4"))
+            for chunk, words, turn, counts in zip(b["chunk"], b["words"], b["turn"], b["counts"]):
+                turn = _unzip(turn, "<u4")
+                words, counts = np.asarray(words, object)[turn], _unzip(counts, "<u4")[turn]
+                of = np.fromiter((crc32(w.encode()) * shards >> 32 for w in words), np.int64, len(words))
+                cuts = np.searchsorted(of, np.arange(shards + 1))
+                rows = [(chunk, s, words[a:z].tolist(), _zip(counts[a:z], "<u4"))
                         for s, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
                 yield pd.DataFrame(rows, columns=["chunk", "shard", "words", "counts"])
 
@@ -123,22 +126,25 @@ def word_replies(made: DataFrame, shards: int) -> DataFrame:
                              "ids": [_zip(number[a:z], "<u8") for a, z in zip(cuts, cuts[1:])],
                              "counts": [_zip(total[code[a:z]], "<u8") for a, z in zip(cuts, cuts[1:])]})
 
-    return (made.select("chunk", "words", "counts")
+    return (made.select("chunk", "words", "turn", "counts")
             .mapInPandas(send, "chunk long, shard long, words array<string>, counts binary")
             .groupBy("shard").applyInPandas(merge, "chunk long, shard long, known long, ids binary, counts binary"))
 
 
-def _vocabulary(words: list[str], replies: pd.DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+def _vocabulary(turn: bytes, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Global numbers and training counts of a chunk's words, in code order."""
-    of = np.fromiter((crc32(w.encode()) % shards for w in words), np.int64, len(words))
-    order = np.argsort(of, kind="stable")
-    replies = replies.sort_values("shard")
-    number, count = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    order, replies = _unzip(turn, "<u4"), replies.sort_values("shard")
+    number, count = np.zeros(len(order), np.uint64), np.zeros(len(order), np.uint64)
     number[order] = np.concatenate([_unzip(x, "<u8") for x in replies["ids"]])
     count[order] = np.concatenate([_unzip(x, "<u8") for x in replies["counts"]])
     return number, count
 
 
+def _alone(context: np.ndarray, mu: float) -> np.ndarray:
+    """Code of a successor seen once.  Answers are sent relative to it: most are."""
+    return quantise(-np.log(context.astype(float) + mu)).astype(np.int64)
+
+
 def _pairs(codes: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (context, word) pairs of a chunk, sorted, as codes; and of each
     token its pair.  The context of a text's first token is the end before it."""
@@ -198,7 +204,7 @@ def score(docs: DataFrame, held, mu: float = MU, chunk_tokens: int = CHUNK_TOKEN
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c = left.iloc[0]
-        number, count = _vocabulary(list(c["words"]), right, word_shards)
+        number, count = _vocabulary(c["turn"], right)
         codes, length = _unzip(c["codes"], "<u4"), _unzip(c["lengths"], "<u4").astype(int)
         v, w, of, _ = _pairs(codes)
         train = np.repeat(~np.asarray(c["held"], bool), length)
@@ -214,7 +220,7 @@ def score(docs: DataFrame, held, mu: float = MU, chunk_tokens: int = CHUNK_TOKEN
                              _zip(seen[at], "<u4"), _zip(count[v[at]], "<u8")))
         return pd.DataFrame(rows, columns=["chunk", "shard", "v", "w", "seen", "context"])
 
-    asked = made.select("chunk", "held", "lengths", "codes", "words").groupBy("chunk").cogroup(
+    asked = made.select("chunk", "held", "lengths", "codes", "turn").groupBy("chunk").cogroup(
         words.select("chunk", "shard", "ids", "counts").groupBy("chunk")).applyInPandas(
         send, "chunk long, shard long, v binary, w binary, seen binary, context binary")
 
@@ -232,25 +238,26 @@ def score(docs: DataFrame, held, mu: float = MU, chunk_tokens: int = CHUNK_TOKEN
         at = first[some]
         log_q = np.log(c[some] / (context[order[at]].astype(float) + mu))
         with tempfile.TemporaryDirectory() as folder:            # the task's own; gone when it ends
-            code = Trie.write(folder, a[at], b[at], log_q).codes_of(v, w)
+            code = Trie.write(folder, a[at], b[at], log_q).codes_of(v, w).astype(np.int64)
+        code = np.where(code > 0, 1 + _alone(context, mu) - code, 0)
         return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"],
-                             "codes": [_zip(code[i:j], "<u2") for i, j in zip(cuts, cuts[1:])]})
+                             "codes": [_zip(code[i:j], "<u4") for i, j in zip(cuts, cuts[1:])]})
 
-    from fleetkit.llm.elias_fano import Trie, dequantise
     pairs = asked.groupBy("shard").applyInPandas(answer, "chunk long, shard long, codes binary")
 
     def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c = left.iloc[0]
         of_words = right[right["kind"] == 0].rename(columns={"a": "ids", "b": "counts"})
-        number, count = _vocabulary(list(c["words"]), of_words, word_shards)
+        number, count = _vocabulary(c["turn"], of_words)
         codes, length = _unzip(c["codes"], "<u4"), _unzip(c["lengths"], "<u4").astype(int)
         v, w, of, _ = _pairs(codes)
         shard = _route(number, count, v, w, shards, context_pairs)
-        code = np.zeros(len(v), np.uint16)
+        code = np.zeros(len(v), np.int64)
         order = np.argsort(shard, kind="stable")[int((shard < 0).sum()):]
         replies = right[right["kind"] == 1].sort_values("shard")
         if len(replies):
-            code[order] = np.concatenate([_unzip(x, "<u2") for x in replies["a"]])
+            code[order] = np.concatenate([_unzip(x, "<u4") for x in replies["a"]])
+            code = np.where(code > 0, 1 + _alone(count[v], mu) - code, 0)
         unigram = (count.astype(float) + 0.5) / (train_tokens + 0.5 * (known + 1))
         p = np.exp(dequantise(code)) + unigram[w] * (mu / (count[v].astype(float) + mu))
         starts = np.cumsum(length) - length
@@ -261,7 +268,7 @@ def score(docs: DataFrame, held, mu: float = MU, chunk_tokens: int = CHUNK_TOKEN
 
     replies = words.select("chunk", F.lit(0).alias("kind"), "shard", F.col("ids").alias("a"), F.col("counts").alias("b")) \
         .union(pairs.select("chunk", F.lit(1), "shard", "codes", F.lit(None).cast("binary")))
-    return made.select("chunk", "ids", "held", "lengths", "codes", "words").groupBy("chunk").cogroup(
+    return made.select("chunk", "ids", "held", "lengths", "codes", "turn").groupBy("chunk").cogroup(
         replies.groupBy("chunk")).applyInPandas(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double")
