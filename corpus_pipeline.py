@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetkit.llm import mixing, packing, quality_knn, secrets, simhash
-from fleetkit.llm.common import keep, prepare, table
+from fleetkit.llm.common import keep, prepare, table, with_row_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,10 +30,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each SimHash group the row with the smallest doc_id (null last)."""
     prepare(spark)
-    rows = keep(docs.select(F.monotonically_increasing_id().alias("rid"), *COLUMNS), "dedup-texts")
-    groups = simhash.simhash_groups(rows.select(F.col("rid").alias("doc_id"), "text"), 3, 2).select(
-        F.col("doc_id").alias("rid"), "component_id")
-    stays = rows.select("rid", "doc_id").join(groups, "rid").groupBy("component_id").agg(
+    rows = with_row_key(docs, COLUMNS, "dedup-texts")
+    marked = keep(simhash.with_fingerprint(rows.select("rid", "doc_id", "text"), 3), "dedup-marks")
+    roots = simhash.rooted(marked.select("fp").distinct(), 2)
+    stays = marked.join(roots, "fp").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid"))
     return rows.join(stays, "rid", "left_semi").select(COLUMNS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ def prepare(spark: SparkSession) -> None:
     """Make the package importable on executors and the shared folder known."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    # whole texts travel in these batches: fewer rows bound a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +35,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``columns`` of ``docs`` with a key per row, rid, that stays the same
+    whenever the frame is read again: file and row number of a table as it is
+    read from files, else the frame is written with a number first."""
+    try:
+        return docs.select(F.struct("_metadata.file_path", "_metadata.row_index").alias("rid"), *columns)
+    except AnalysisException:                       # not a table of files
+        return keep(docs.select(F.monotonically_increasing_id().alias("rid"), *columns), name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long).
 

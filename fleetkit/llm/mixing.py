@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from fleetkit.llm.common import keep, prepare, table
+from fleetkit.llm.common import keep, prepare, table, with_row_key
 from fleetkit.llm.quality_rules import SPACE
 
 #: Words in a block and blocks in an output shard.
@@ -189,8 +189,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     text itself, unchanged, if it takes all of them).  Documents without words
     have nothing to take.  Other columns are ignored."""
     prepare(docs.sparkSession)
-    rows = keep(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "lang", "source"),
-                "mix-texts")
+    rows = with_row_key(docs, ["doc_id", "text", "lang", "source"], "mix-texts")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda x: x != "")
     measured = keep(rows.select("rid", "doc_id", "source", F.size(words).cast("long").alias("size")), "mix-rows")
     _, spans = mix(measured, **options)
@@ -198,7 +197,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.col("start").cast("int").alias("start"), F.col("words").cast("int").alias("n")))).alias("spans"))
     whole = F.aggregate("spans", F.lit(0), lambda a, s: a + s["n"])
     cut = F.flatten(F.transform("spans", lambda s: F.slice(F.col("w"), s["start"] + 1, s["n"])))
-    return (rows.withColumn("w", words).join(taken, "rid")
+    return (rows.join(taken, "rid").withColumn("w", words)     # words are cut after the shuffle
             .select("doc_id", F.when(whole == F.size("w"), F.col("text")).otherwise(F.array_join(cut, " "))
                     .alias("text"), "lang", "source")
             .withColumn("n_chars", F.length("text").cast("long")))

@@ -22,7 +22,7 @@ TERMS, DIMENSIONS, NEIGHBOURS, PRIOR = 1024, 32, 25, 1.0
 FIT_ROWS = 4000
 #: Documents whose cosines are computed together.
 BLOCK = 512
-CACHE = 500_000
+CACHE = 200_000
 REPEATED, SEEN = TERMS - 1, TERMS - 2
 LETTERS, DIGITS, SAME = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(\W)\1+")
 

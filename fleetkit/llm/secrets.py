@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fleetkit.llm.common import keep, prepare, table
+from fleetkit.llm.common import keep, prepare, table, with_row_key
 
 # The base patterns of the contract.  A maximal run of the last
 # two is a match only from its least length on, so the length is in the pattern.
@@ -170,8 +170,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) with every span, and what
     overlaps it, replaced by one ``mark``; documents stay, n_chars follows."""
     prepare(docs.sparkSession)
-    rows = keep(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "lang", "source",
-                            "n_chars"), "secret-texts")
+    rows = with_row_key(docs, ["doc_id", "text", "lang", "source", "n_chars"], "secret-texts")
     _, spans = find(rows.select("rid", "doc_id", "text"), **options)
     w = W.partitionBy("rid").orderBy("start", "end")
     far = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))

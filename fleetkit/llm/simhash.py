@@ -44,14 +44,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` (doc_id, text) -> (doc_id, fp); fp is the fingerprint as a signed long."""
+    """``docs`` (text, ...) with fp, the fingerprint as a signed long, instead of the text."""
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in batch], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"))
+    return docs.withColumn("fp", fp("text")).drop("text")
 
 
 # -- plan: bit groups and thresholds ---------------------------------------------------------
@@ -235,22 +235,25 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2,
     grouped but never names a group; repeated rows stay repeated; other columns
     are ignored.  Empty input: no rows.  Exact copies are one fingerprint from
     the first step on, so a large group of copies costs one row."""
-    spark = docs.sparkSession
-    prepare(spark)
-    marked = keep(with_fingerprint(docs, shingle), "simhash-docs")
-    fps = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-fps")
-    if fps.isEmpty():
-        groups = fps.select("fp", F.col("head").alias("component_id"))
-    else:
-        found = components(links(fps, distance, plan(fps, distance), bucket_pairs))
-        rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "head", F.coalesce("root", "fp").alias("root"))
-        heads = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-        groups = rooted.join(heads, "root").select("fp", "component_id")
-    return marked.join(groups, "fp").select(
+    prepare(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = keep(with_fingerprint(ids, shingle), "simhash-docs")
+    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("head"))
+    groups = rooted(fps, distance, bucket_pairs)
+    heads = groups.groupBy("root").agg(F.min("head").alias("component_id"))
+    return marked.join(groups.join(heads, "root").select("fp", "component_id"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def rooted(fps: DataFrame, distance: int = 2, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """Distinct fingerprints (fp, ...) with root, the same for all of a component."""
+    fps = keep(fps, "simhash-fps")
+    if fps.isEmpty():
+        return fps.withColumn("root", F.col("fp"))
+    found = components(links(fps, distance, plan(fps, distance), bucket_pairs))
+    return fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: SimHash groups of all whole documents, 3-word shingles, 2 bits."""
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 2)
