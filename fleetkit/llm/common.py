@@ -35,6 +35,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the machine: workers
+    serve many tasks, and what one task needed must not add to the next."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):               # not glibc
+        pass
+
+
 def with_row_key(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
     """``columns`` of ``docs`` with a key per row, rid, that stays the same
     whenever the frame is read again: file and row number of a table as it is

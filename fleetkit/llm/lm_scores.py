@@ -17,7 +17,7 @@ from fleetkit.llm.common import keep, prepare, table
 from fleetkit.llm.elias_fano import Trie, dequantise, quantise
 
 #: Tokens of a chunk of documents, and n-grams of a shard of the trie, about.
-CHUNK_TOKENS, SHARD_PAIRS = 2 << 20, 2 << 20
+CHUNK_TOKENS, SHARD_PAIRS = 1 << 20, 2 << 20
 #: Words of a shard of the vocabulary, about.
 SHARD_WORDS = 1 << 20
 #: Pairs a context may have in one shard; a commoner context is split by its successors.

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetkit.llm.common import prepare, table
+from fleetkit.llm.common import prepare, release, table
 
 WINDOW = 4096
 #: Id that ends every document.
@@ -19,10 +19,10 @@ END_ID = 2
 UNITS = 64
 #: Most pieces in an enumerated combination.
 DEPTH = 3
-#: Ids planned together: the bound on a task's memory (16 MB of ids).
-BLOCK_IDS = 4 << 20
+#: Ids planned together: the bound on a task's memory (8 MB of ids).
+BLOCK_IDS = 2 << 20
 #: Characters tokenised together.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 19
 
 
 def combinations(units: int = UNITS, depth: int = DEPTH) -> np.ndarray:
@@ -243,6 +243,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         groups, count = pack_tail(*pieces, window)
         if count:
             yield emit(groups, count)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

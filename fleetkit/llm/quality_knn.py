@@ -14,15 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetkit.llm.common import prepare, table
+from fleetkit.llm.common import prepare, release, table
 
 #: Hashed terms, latent dimensions, neighbours that vote, votes the base rate counts for.
 TERMS, DIMENSIONS, NEIGHBOURS, PRIOR = 1024, 32, 25, 1.0
 #: Labelled documents the model is fitted on and votes with, at most (by hash).
 FIT_ROWS = 4000
 #: Documents whose cosines are computed together.
-BLOCK = 512
-CACHE = 200_000
+BLOCK = 256
+CACHE = 150_000
 REPEATED, SEEN = TERMS - 1, TERMS - 2
 LETTERS, DIGITS, SAME = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(\W)\1+")
 
@@ -129,6 +129,8 @@ def scored(docs: DataFrame, voters: Voters, column: str = "score") -> DataFrame:
             parts = [np.array([term_rates(t, terms) for t in batch.iloc[lo:lo + BLOCK]]).reshape(-1, TERMS)
                      for lo in range(0, len(batch), BLOCK)]
             yield pd.Series(np.concatenate([voters.score(p) for p in parts]) if parts else np.zeros(0))
+        terms.clear()
+        release()
 
     return docs.withColumn(column, score("text"))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetkit.llm.common import components, keep, prepare, table
+from fleetkit.llm.common import components, keep, prepare, release, table
 
 BITS = 64
 #: Hash seed of the contract.
@@ -50,6 +50,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in batch], np.uint64).view(np.int64))
+        release()
 
     return docs.withColumn("fp", fp("text")).drop("text")
 

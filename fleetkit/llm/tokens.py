@@ -18,7 +18,7 @@ class WordBpe:
     ``cache`` pieces.  Texts with other characters than plain Latin ones, or
     with a special token's bracket, go through the library whole."""
 
-    def __init__(self, path: str | None = None, cache: int = 400_000):
+    def __init__(self, path: str | None = None, cache: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
