@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 
-#: Fixed value: how the vocabulary file splits a lower-cased text before merging.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters whose normal form and classes are beyond doubt: printable Latin and plain white space.
-PLAIN = r"[^\t-\r\x20-\x7e\xa1-ɏ]|<\|"
+# Fixed value: how the vocabulary file splits a lower-cased text before merging
+# ({L} and {N} stand for the letters and numbers of Unicode).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
+#: Characters other than those whose normal form and classes are beyond doubt:
+#: printable Latin and plain white space.
+LAST = 0x24F
+ODD = re.compile(rf"[^\t-\r\x20-\x7e\xa1-{chr(LAST)}]")
+
+
+def _of_category(first: str) -> str:
+    """The plain characters of a Unicode category, for a regular expression's class."""
+    return "".join(chr(c) for c in range(LAST + 1) if unicodedata.category(chr(c))[0] == first)
 
 
 class WordBpe:
@@ -19,7 +30,6 @@ class WordBpe:
     with a special token's bracket, go through the library whole."""
 
     def __init__(self, path: str | None = None, cache: int = 300_000):
-        import regex
         from tokenizers import Tokenizer
 
         if path is None:
@@ -27,7 +37,8 @@ class WordBpe:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.lib, self.cache = Tokenizer.from_file(path), cache
         self.lib.encode_special_tokens = True
-        self.pieces, self.odd = regex.compile(PIECES).findall, regex.compile(PLAIN).search
+        classes = {"L": _of_category("L"), "N": _of_category("N")}
+        self.pieces = re.compile(PIECES.format(**classes)).findall
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -65,7 +76,7 @@ class WordBpe:
         codes: list[int] = []
         ends, whole = [], {}
         for k, text in enumerate(texts):
-            if text and self.odd(text):
+            if text and (ODD.search(text) or "<|" in text):
                 whole[k] = np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
             elif text:
                 codes.extend(map(self.index.__getitem__, self.pieces(text.lower())))
