@@ -68,18 +68,19 @@ def facet_counts(tools: DataFrame) -> DataFrame:
     return g.select(facet.alias("facet"), value.alias("value"), "n")
 
 
+def _counts(tools: DataFrame, column: str) -> DataFrame:
+    return (tools.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n_tools"))
+            .orderBy(F.col("n_tools").desc(), column))
+
+
 def status_counts(tools: DataFrame) -> DataFrame:
     """Tools per status, most frequent first, nulls dropped."""
-    return (facet_counts(tools).where((F.col("facet") == "status") & F.col("value").isNotNull())
-            .select(F.col("value").alias("status"), F.col("n").alias("n_tools"))
-            .orderBy(F.col("n_tools").desc(), "status"))
+    return _counts(tools, "status")
 
 
 def category_counts(tools: DataFrame) -> DataFrame:
     """Tools per category, most frequent first."""
-    return (facet_counts(tools).where((F.col("facet") == "category") & F.col("value").isNotNull())
-            .select(F.col("value").alias("category"), F.col("n").alias("n_tools"))
-            .orderBy(F.col("n_tools").desc(), "category"))
+    return _counts(tools, "category")
 
 
 def _date_range(df: DataFrame, col: str, start, end) -> DataFrame:
@@ -135,15 +136,17 @@ def today_usage(usage: DataFrame, day: _dt.date | str, approx: bool = False) ->
 
 def condition_histogram(tools: DataFrame, bins: int = K.HIST_BINS,
                         low: float = K.HIST_LOW, high: float = K.HIST_HIGH) -> DataFrame:
-    """Equal-width bins on [low, high], the last bin closed."""
+    """Equal-width bins on [low, high], the last bin closed.  Scores below
+    and above fall into the open bins -1 (bin_low null) and ``bins`` (bin_high
+    null); null scores are not counted."""
     x = F.col("condition_score")
     width = (high - low) / bins
-    b = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    return (tools.where(x.between(low, high))
-            .groupBy(b.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n_tools"))
-            .select("bin", (F.lit(low) + F.col("bin") * F.lit(width)).alias("bin_low"),
-                    (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("bin_high"), "n_tools"))
+    inside = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+    b = F.when(x < low, -1).when(x > high, bins).otherwise(inside).cast("int")
+    edge = lambda k: F.lit(low) + (F.col("bin") + k) * F.lit(width)
+    return (tools.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n_tools"))
+            .select("bin", F.when(F.col("bin") >= 0, edge(0)).alias("bin_low"),
+                    F.when(F.col("bin") < bins, edge(1)).alias("bin_high"), "n_tools"))
 
 
 def usage_stats(usage: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ prunes the CTEs it does not use.
 
 ADAPTER_CTES = r"""
 tools AS (
-  SELECT 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS tool_code,
+  SELECT 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) AS tool_code,
          p_name AS tool_name, p_type AS category, p_brand AS location,
          DATE '1995-01-01' + CAST((p_partkey * 37) % 1500 AS INTEGER) AS purchase_date,
          CAST(NULL AS DATE) AS last_maintenance_date,
@@ -21,9 +21,9 @@ tools AS (
          TIMESTAMP '2001-01-01 00:00:00' AS updated_at
   FROM part),
 usage_history AS (
-  SELECT CAST(l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000
-              + l_partkey * 10000 + l_suppkey AS BIGINT) AS seq,
-         'TL-' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS tool_code,
+  SELECT CAST((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1048576
+              + (CAST(l_partkey AS BIGINT) * 7919 + l_suppkey) % 1048573 AS BIGINT) AS seq,
+         'TL-' || (CASE WHEN length(CAST(l_partkey AS VARCHAR)) < 6 THEN lpad(CAST(l_partkey AS VARCHAR), 6, '0') ELSE CAST(l_partkey AS VARCHAR) END) AS tool_code,
          'U' || CAST(l_suppkey AS VARCHAR) AS user_id,
          CASE WHEN l_linenumber = 7 THEN CAST(NULL AS TIMESTAMP)
               ELSE l_shipdate + to_hours(CAST(l_linenumber + 7 AS BIGINT)) END AS checkout_time,
@@ -35,9 +35,9 @@ usage_history AS (
          l_shipdate AS created_at
   FROM lineitem),
 maintenance_history AS (
-  SELECT CAST(l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000
-              + l_partkey * 10000 + l_suppkey AS BIGINT) AS seq,
-         'TL-' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS tool_code,
+  SELECT CAST((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1048576
+              + (CAST(l_partkey AS BIGINT) * 7919 + l_suppkey) % 1048573 AS BIGINT) AS seq,
+         'TL-' || (CASE WHEN length(CAST(l_partkey AS VARCHAR)) < 6 THEN lpad(CAST(l_partkey AS VARCHAR), 6, '0') ELSE CAST(l_partkey AS VARCHAR) END) AS tool_code,
          CAST(l_shipdate AS DATE) AS maintenance_date,
          o_orderpriority AS maintenance_type,
          'order ' || CAST(l_orderkey AS VARCHAR) AS description,
@@ -52,23 +52,23 @@ maintenance_history AS (
   WHERE l_returnflag = 'R'),
 tool_events AS (
   SELECT event_id AS seq, ts,
-         'TL-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS tool_code,
+         'TL-' || (CASE WHEN length(CAST(user_id AS VARCHAR)) < 6 THEN lpad(CAST(user_id AS VARCHAR), 6, '0') ELSE CAST(user_id AS VARCHAR) END) AS tool_code,
          'U' || CAST(event_id % 97 AS VARCHAR) AS user_id,
          CASE WHEN event_type = 'view' THEN 'checkout' ELSE 'checkin' END AS event_kind
   FROM events WHERE event_type IN ('view', 'click')),
 scans AS (
   SELECT event_id AS seq, ts,
-         'TL-' || lpad(CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR), 6, '0')
+         'TL-' || (CASE WHEN length(CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR)) < 6 THEN lpad(CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR), 6, '0') ELSE CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR) END)
            AS code
   FROM events WHERE event_type IN ('error', 'signup')),
 status_updates AS (
   SELECT event_id AS seq,
-         'TL-' || lpad(CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR), 6, '0')
+         'TL-' || (CASE WHEN length(CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR)) < 6 THEN lpad(CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR), 6, '0') ELSE CAST((user_id * 7 + event_id) % (2 * (SELECT count(*) FROM part)) AS VARCHAR) END)
            AS tool_code,
          CASE WHEN event_type = 'error' THEN 'maintenance' ELSE 'available' END AS status
   FROM events WHERE event_type IN ('error', 'signup')),
 intake AS (
-  SELECT p_partkey * 4 AS seq, 'TL-' || CAST(p_partkey + 1000000 AS VARCHAR) AS tool_code,
+  SELECT p_partkey * 4 AS seq, 'TN-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) AS tool_code,
          CASE WHEN p_partkey % 11 = 0 THEN CAST(NULL AS VARCHAR) WHEN p_partkey % 13 = 0 THEN ''
               ELSE p_name END AS tool_name,
          p_type AS category, p_brand AS location,
@@ -76,49 +76,49 @@ intake AS (
          CAST(10.0 - CAST(p_size AS DOUBLE) * 0.171875 AS DOUBLE) AS condition_score
   FROM part
   UNION ALL
-  SELECT p_partkey * 4 + 3, 'TL-' || CAST(p_partkey + 1000000 AS VARCHAR), p_name, p_type, p_brand,
+  SELECT p_partkey * 4 + 3, 'TN-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END), p_name, p_type, p_brand,
          DATE '1995-01-01' + CAST((p_partkey * 37) % 1500 AS INTEGER),
          CAST(10.0 - CAST(p_size AS DOUBLE) * 0.171875 AS DOUBLE)
   FROM part WHERE p_partkey % 7 = 0
   UNION ALL
-  SELECT p_partkey * 4 + 1, 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), p_name, p_type, p_brand,
+  SELECT p_partkey * 4 + 1, 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END), p_name, p_type, p_brand,
          DATE '1995-01-01' + CAST((p_partkey * 37) % 1500 AS INTEGER),
          CAST(10.0 - CAST(p_size AS DOUBLE) * 0.171875 AS DOUBLE)
   FROM part WHERE p_partkey % 5 = 0
   UNION ALL
-  SELECT p_partkey * 4 + 2, 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), p_name, p_type, p_brand,
+  SELECT p_partkey * 4 + 2, 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END), p_name, p_type, p_brand,
          DATE '1995-01-01' + CAST((p_partkey * 37) % 1500 AS INTEGER),
          CAST(10.0 - CAST(p_size AS DOUBLE) * 0.171875 AS DOUBLE)
   FROM part WHERE p_partkey % 5 = 0),
 prediction_inputs AS (
-  SELECT 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS tool_code,
+  SELECT 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) AS tool_code,
          CAST(p_size AS DOUBLE) / 5.0 AS condition_pred,
          CAST((p_partkey * 7) % 101 - 50 AS DOUBLE) / 25.0 AS anomaly_score
   FROM part),
 label_batch AS (
   SELECT p_partkey * 3 AS seq,
          CASE WHEN p_partkey % 97 = 0 THEN CAST(NULL AS VARCHAR)
-              ELSE 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS tool_code,
+              ELSE 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) END AS tool_code,
          p_name AS tool_name
   FROM part
   UNION ALL
-  SELECT p_partkey * 3 + 1, 'TL/' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), p_name
+  SELECT p_partkey * 3 + 1, 'TL/' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END), p_name
   FROM part WHERE p_partkey % 50 = 0
   UNION ALL
-  SELECT p_partkey * 3 + 2, 'TL ' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), p_name
+  SELECT p_partkey * 3 + 2, 'TL ' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END), p_name
   FROM part WHERE p_partkey % 50 = 0),
 raw_codes AS (
   SELECT p_partkey AS seq,
          CASE p_partkey % 9
-           WHEN 0 THEN lower('TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'))
+           WHEN 0 THEN lower('TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END))
            WHEN 1 THEN p_name
            WHEN 2 THEN p_brand
-           WHEN 3 THEN 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || chr(10)
-           WHEN 4 THEN 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || chr(13) || chr(10)
-           WHEN 5 THEN substr('TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 1, 2)
-           WHEN 6 THEN repeat('TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 3)
+           WHEN 3 THEN 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) || chr(10)
+           WHEN 4 THEN 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) || chr(13) || chr(10)
+           WHEN 5 THEN substr('TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END), 1, 2)
+           WHEN 6 THEN repeat('TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END), 3)
            WHEN 7 THEN CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CAST(NULL AS VARCHAR) END
-           ELSE 'TL-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS code
+           ELSE 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) END AS code
   FROM part),
 raw_timestamps AS (
   SELECT o_orderkey AS seq,

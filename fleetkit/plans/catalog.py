@@ -492,9 +492,12 @@ def q_analytics_kpis(spark, sf):
     return df.select(*[r6(c).alias(c) for c in df.columns])
 
 
-@register("daily_usage", """
+DAILY_USAGE_SQL = """
 SELECT CAST(checkout_time AS DATE) AS usage_date, round(coalesce(sum(usage_duration), 0.0), 6) AS total_hours
-FROM usage_history WHERE checkout_time IS NOT NULL GROUP BY 1""")
+FROM usage_history WHERE checkout_time IS NOT NULL GROUP BY 1"""
+
+
+@register("daily_usage", DAILY_USAGE_SQL)
 def q_daily_usage(spark, sf):
     return kpis.daily_usage(load(spark, sf).usage).withColumn("total_hours", r6("total_hours"))
 
@@ -515,9 +518,11 @@ def q_today_usage(spark, sf):
 
 
 @register("condition_histogram", """
-SELECT bin, CAST(bin AS DOUBLE) AS bin_low, CAST(bin + 1 AS DOUBLE) AS bin_high, count(*) AS n_tools
-FROM (SELECT CAST(least(floor(condition_score / 1.0), 9) AS INTEGER) AS bin FROM tools
-      WHERE condition_score BETWEEN 0.0 AND 10.0) GROUP BY bin""")
+SELECT bin, CASE WHEN bin >= 0 THEN CAST(bin AS DOUBLE) END AS bin_low,
+       CASE WHEN bin < 10 THEN CAST(bin + 1 AS DOUBLE) END AS bin_high, count(*) AS n_tools
+FROM (SELECT CAST(CASE WHEN condition_score < 0.0 THEN -1 WHEN condition_score > 10.0 THEN 10
+                       ELSE least(floor(condition_score / 1.0), 9) END AS INTEGER) AS bin FROM tools
+      WHERE condition_score IS NOT NULL) GROUP BY bin""")
 def q_condition_histogram(spark, sf):
     return kpis.condition_histogram(load(spark, sf).tools)
 
@@ -880,22 +885,16 @@ def q_label_summary(spark, sf):
 
 
 # ============================================================== 2.11 streams (oracle on the batch SQL)
-@register("stream_daily", """
-SELECT CAST(checkout_time AS DATE) AS usage_date, round(coalesce(sum(usage_duration), 0.0), 6) AS total_hours
-FROM usage_history WHERE checkout_time IS NOT NULL
-  AND CAST(CAST(checkout_time AS DATE) + INTERVAL 1 DAY AS TIMESTAMP)
-      <= (SELECT max(checkout_time) FROM usage_history) - INTERVAL 1 DAY
-GROUP BY 1""")
+@register("stream_daily", DAILY_USAGE_SQL)
 def q_stream_daily(spark, sf):
-    """M3: 1-day tumbling windows, 1-day watermark, append mode: a day is
-    emitted once the watermark (max event time - 1 day) passes its end."""
+    """M3: daily totals of the usage stream, the days still open included."""
     from fleetkit.session import shared_path
     from fleetkit.sources.testdata import shape_usage
     from fleetkit.streaming import streams
     root = shared_path(spark, "stream-daily")
     u = shape_usage(streams.table_stream(spark, sf, "lineitem"))
-    streams.run_to_end(streams.daily_usage_stream(u), f"{root}/out", f"{root}/_checkpoint")
-    return spark.read.parquet(f"{root}/out").withColumn("total_hours", r6("total_hours"))
+    streams.daily_upserts(u, f"{root}/days", f"{root}/_checkpoint")
+    return streams.daily_latest(spark, f"{root}/days").withColumn("total_hours", r6("total_hours"))
 
 
 @register("stream_scans", """

@@ -49,12 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The folder is read from ``spark.checkpoint.dir``.  Only when it is unset
     (local runs, tests) do we create one — under the system temp folder, which
-    is acceptable only because local mode has a single machine.
+    is acceptable only because local mode has a single machine.  Any other
+    master without the setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="fleetkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

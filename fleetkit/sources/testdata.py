@@ -6,9 +6,9 @@ adapter has a DuckDB twin in ``fleetkit.plans.adapters_sql`` that yields the
 identical rows, so oracle queries see the same input.
 
 ``seq`` is the arrival order used for tie-breaks.  For lineitem-derived rows
-it packs (l_orderkey, l_linenumber, l_partkey, l_suppkey) into one BIGINT,
-collision-free while l_partkey < 1e5 and l_suppkey < 1e4 (true at every
-provided scale).
+it is (l_orderkey, l_linenumber) in one BIGINT, exact up to l_orderkey 2^40,
+with a remainder of (l_partkey, l_suppkey) below it that orders rows which
+repeat the same order line.
 """
 
 from __future__ import annotations
@@ -25,9 +25,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def padded(key: Column) -> Column:
+    """A numeric key as text, zero-padded to six digits; longer keys stay whole."""
+    text = key.cast("string")
+    return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
+
+
 def code_of(key: Column) -> Column:
-    """Tool code of a numeric key: 'TL-' + zero-padded key."""
-    return F.concat(F.lit("TL-"), F.lpad(key.cast("string"), 6, "0"))
+    """Tool code of a numeric key: 'TL-' + padded key."""
+    return F.concat(F.lit("TL-"), padded(key))
 
 
 def _condition_of_size(p_size: Column) -> Column:
@@ -36,10 +42,9 @@ def _condition_of_size(p_size: Column) -> Column:
 
 def _seq(alias: str = "") -> Column:
     p = alias
-    return (F.col(f"{p}l_orderkey") * F.lit(10_000_000_000)
-            + F.col(f"{p}l_linenumber").cast("long") * F.lit(1_000_000_000)
-            + F.col(f"{p}l_partkey") * F.lit(10_000)
-            + F.col(f"{p}l_suppkey")).cast("long")
+    line = F.col(f"{p}l_orderkey").cast("long") * F.lit(8) + F.col(f"{p}l_linenumber").cast("long")
+    rest = (F.col(f"{p}l_partkey").cast("long") * F.lit(7919) + F.col(f"{p}l_suppkey")) % F.lit(1_048_573)
+    return (line * F.lit(1_048_576) + rest).cast("long")
 
 
 def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +164,7 @@ def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     part; each part row emits its 1-4 batch rows through ``explode``."""
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    new_code = F.concat(F.lit("TL-"), (k + 1_000_000).cast("string"))
+    new_code = F.concat(F.lit("TN-"), padded(k))      # codes of their own, whatever the number of parts
     new_name = (F.when(k % 11 == 0, F.lit(None).cast("string"))
                  .when(k % 13 == 0, F.lit("")).otherwise(F.col("p_name")))
 
@@ -195,7 +200,7 @@ def label_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants of some codes, which collide on file name (one scan of part)."""
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    pad = F.lpad(k.cast("string"), 6, "0")
+    pad = padded(k)
 
     def row(seq_off, code):
         return F.struct((k * 3 + seq_off).alias("seq"), code.alias("tool_code"))

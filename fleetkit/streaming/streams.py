@@ -7,9 +7,11 @@ The reference only polls; here the same operators run on streams:
   the deltas to the tools table when read.
 * M2 ``session_stream``: check-out / check-in pairing with per-tool state
   (``applyInPandasWithState``; an open check-out waits in state, a later
-  check-out replaces it, an event-time timeout drops stale ones).
+  check-out replaces it; an optional event-time timeout lets stale ones go as
+  open rows).
 * M3 ``daily_usage_stream``: 1-day tumbling windows with a 1-day watermark;
-  append mode emits a day once the watermark passes its end.  Spark drops a
+  append mode emits a day once the watermark passes its end, ``daily_upserts``
+  writes every change of a day, so the newest days are there as well.  Spark drops a
   row that is behind the watermark of the *previous* micro-batch (the
   late-event threshold lags one batch); ``late_rows_dropped`` reports how
   many were dropped, from the query progress.
@@ -44,17 +46,26 @@ def instant_wall(c: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
-def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1,
+def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None,
                  pattern: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """A file stream over the files of one table in a directory (default:
-    ``<table>.parquet``); the schema is fixed up front, never inferred per
-    batch.  Each trigger takes at most ``max_files`` files, which bounds the
-    rows one key can bring into a micro-batch."""
-    path = sf_dir.rstrip("/")
+    """A file stream over one table: the files of ``<table>.parquet`` if that is
+    a directory (the layout a cluster writes), else the one file.  ``pattern``
+    streams the matching files of ``sf_dir`` itself.  The schema is fixed up
+    front, never inferred per batch; ``max_files`` limits a micro-batch's files
+    (default: whatever is there)."""
+    base = sf_dir.rstrip("/")
+    path = f"{base}/{table}.parquet"
     if schema is None:
-        schema = spark.read.parquet(f"{path}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", pattern or f"{table}.parquet").parquet(path))
+        schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if pattern is not None:
+        return reader.option("pathGlobFilter", pattern).parquet(base)
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(base)
 
 
 def start(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
@@ -91,6 +102,23 @@ def daily_usage_stream(usage: DataFrame, watermark: str = "1 day") -> DataFrame:
     return agg.select(day.alias("usage_date"), F.coalesce(F.col("_s"), F.lit(0.0)).alias("total_hours"))
 
 
+def daily_upserts(usage: DataFrame, root: str, checkpoint: str, watermark: str = "1 day") -> None:
+    """Run M3 over what is available, writing the days each micro-batch changed
+    to ``<root>/batch=<id>`` (a replayed batch overwrites its own)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    (daily_usage_stream(usage, watermark).writeStream.outputMode("update").foreachBatch(write)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
+def daily_latest(spark: SparkSession, root: str) -> DataFrame:
+    """The last written total of every day."""
+    days = spark.read.parquet(root)
+    return days.groupBy("usage_date").agg(F.max_by("total_hours", "batch").alias("total_hours"))
+
+
 # ----------------------------------------------------------------- M4
 def scan_stream(scans: DataFrame, tools: DataFrame) -> DataFrame:
     return scan_enrich(scans, tools)
@@ -106,55 +134,67 @@ OPEN_STATE = T.StructType([
     T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()),
     T.StructField("user_id", T.StringType()),
 ])
-STALE_AFTER_MS = 24 * 3600 * 1000
-
-
-def _pair(key, pdfs, state):
-    """Pair one tool's events of a micro-batch (vectorised), carrying the
-    open check-out between batches in state."""
-    import pandas as pd
-    if state.hasTimedOut:
-        state.remove()
-        return
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True)[["seq", "ts", "user_id", "event_kind"]]
-    if state.exists:
-        ts, seq, user = state.get
-        pdf = pd.concat([pd.DataFrame({"seq": [seq], "ts": [pd.Timestamp(ts)], "user_id": [user],
-                                       "event_kind": [K.CHECKOUT]}), pdf], ignore_index=True)
-    pdf = pdf.sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
-    nxt_kind, nxt_ts = pdf["event_kind"].shift(-1), pdf["ts"].shift(-1)
-    hit = (pdf["event_kind"] == K.CHECKOUT) & (nxt_kind == K.CHECKIN)
-    s = pdf[hit]
-    out = pd.DataFrame({
-        "tool_code": key[0], "user_id": s["user_id"].values, "checkout_seq": s["seq"].values,
-        "checkout_time": s["ts"].values, "checkin_time": nxt_ts[hit].values,
-        "duration_hours": (nxt_ts[hit] - s["ts"]).dt.total_seconds().values / 3600.0,
-    })
-    last = pdf.iloc[-1]
-    if last["event_kind"] == K.CHECKOUT:
-        ts = pd.Timestamp(last["ts"])
-        state.update((ts.to_pydatetime(), int(last["seq"]), last["user_id"]))
-        state.setTimeoutTimestamp(int(ts.value // 1_000_000) + STALE_AFTER_MS)
-    elif state.exists:
-        state.remove()
-    if len(out):
-        yield out
-
-
-def session_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """M2 over a tool-event stream (seq, ts, tool_code, user_id, event_kind)."""
+
+
+def _pairing(stale_after_ms: int | None):
+    """The state function that pairs one tool's events of a micro-batch,
+    carrying the open check-out between batches."""
+
+    def pair(key, pdfs, state):
+        import pandas as pd
+        cols = ["tool_code", "user_id", "checkout_seq", "checkout_time", "checkin_time", "duration_hours"]
+        if state.hasTimedOut:
+            ts, seq, user = state.get
+            state.remove()                    # the stale check-out leaves as an open row
+            yield pd.DataFrame([[key[0], user, seq, pd.Timestamp(ts), pd.NaT, None]], columns=cols)
+            return
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)[["seq", "ts", "user_id", "event_kind"]]
+        if state.exists:
+            ts, seq, user = state.get
+            pdf = pd.concat([pd.DataFrame({"seq": [seq], "ts": [pd.Timestamp(ts)], "user_id": [user],
+                                           "event_kind": [K.CHECKOUT]}), pdf], ignore_index=True)
+        pdf = pdf.sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
+        nxt_kind, nxt_ts = pdf["event_kind"].shift(-1), pdf["ts"].shift(-1)
+        hit = (pdf["event_kind"] == K.CHECKOUT) & (nxt_kind == K.CHECKIN)
+        s = pdf[hit]
+        out = pd.DataFrame({
+            "tool_code": key[0], "user_id": s["user_id"].values, "checkout_seq": s["seq"].values,
+            "checkout_time": s["ts"].values, "checkin_time": nxt_ts[hit].values,
+            "duration_hours": (nxt_ts[hit] - s["ts"]).dt.total_seconds().values / 3600.0,
+        })
+        last = pdf.iloc[-1]
+        if last["event_kind"] == K.CHECKOUT:
+            ts = pd.Timestamp(last["ts"])
+            state.update((ts.to_pydatetime(), int(last["seq"]), last["user_id"]))
+            if stale_after_ms is not None:
+                state.setTimeoutTimestamp(int(ts.value // 1_000_000) + stale_after_ms)
+        elif state.exists:
+            state.remove()
+        if len(out):
+            yield out
+
+    return pair
+
+
+def session_stream(events: DataFrame, watermark: str = "1 day", stale_after_ms: int | None = None) -> DataFrame:
+    """M2 over a tool-event stream (seq, ts, tool_code, user_id, event_kind).
+
+    An open check-out waits as long as it takes; with ``stale_after_ms`` it is
+    given up that long after its time (by the watermark) and leaves as a row
+    without a check-in."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from fleetkit.session import ship_package
     ship_package(events.sparkSession)
-    ev = (events.withColumn("ts", event_instant("ts")).withWatermark("ts", watermark)
-          .select("seq", "ts", "tool_code", "user_id", "event_kind"))
-    out = ev.groupBy("tool_code").applyInPandasWithState(
-        _pair, SESSION_SCHEMA, OPEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out
+    ev = events.withColumn("ts", event_instant("ts"))
+    if stale_after_ms is not None:
+        ev = ev.withWatermark("ts", watermark)
+    timeout = GroupStateTimeout.NoTimeout if stale_after_ms is None else GroupStateTimeout.EventTimeTimeout
+    return (ev.select("seq", "ts", "tool_code", "user_id", "event_kind").groupBy("tool_code")
+            .applyInPandasWithState(_pairing(stale_after_ms), SESSION_SCHEMA, OPEN_STATE, "append", timeout))
 
 
 def sessions_as_wall_time(df: DataFrame) -> DataFrame:

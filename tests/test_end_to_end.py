@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
-TABLES = ["part", "lineitem", "orders", "supplier", "events"]
+TABLES = ["part", "lineitem", "orders", "supplier", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+          "conversations"]
 
 
 def _norm(v):

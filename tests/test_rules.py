@@ -194,3 +194,29 @@ def test_fusion_and_recommendations_match_python_spec(spark):
             assert rec[code].reasoning == ("; ".join(reasons) if reasons else K.REASON_DEFAULT)
         else:
             assert code not in rec
+
+
+def test_long_keys_stay_distinct_in_both_engines(spark, tmp_path):
+    """Keys of more than six digits and large order keys, shaped by Spark and by the SQL twin."""
+    import datetime as dt
+
+    import duckdb
+
+    from fleetkit.plans.adapters_sql import with_adapters
+    from fleetkit.sources import testdata
+    rows = [(5, 1, 100001, 3), (5, 2, 1, 3), (10_000_000_000, 1, 100000, 1), (10_000_000_000, 1, 1000001, 1),
+            (900_000_000_000, 7, 7, 12_345)]
+    li = spark.createDataFrame(
+        [(o, p, s, n, 4.0, 1.0, 0.0, 0.0, "N", "O", dt.datetime(2001, 1, 1)) for o, n, p, s in rows],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    li.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.seq, r.tool_code) for r in testdata.usage(spark, str(tmp_path)).collect())
+    assert len({s for s, _ in got}) == len(rows) and [s for s, _ in got] == sorted(s for s, _ in got)
+    assert {c for _, c in got} == {"TL-100001", "TL-000001", "TL-100000", "TL-1000001", "TL-000007"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("part", "orders", "supplier", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    sql = con.execute(with_adapters("SELECT seq, tool_code FROM usage_history")).fetchall()
+    assert sorted(sql) == got

@@ -38,10 +38,28 @@ def test_stale_checkout_times_out(spark):
     # day 6.5: tool 2 checks in, but its check-out is gone
     _write(src, "part-3.parquet", [(6, 156, 2, "click")])
     schema = spark.read.parquet(src).schema
-    ev = shape_tool_events(streams.table_stream(spark, src, "events", pattern="part-*.parquet", schema=schema))
-    streams.run_to_end(streams.session_stream(ev), root + "/out", root + "/_ck")
+    ev = shape_tool_events(streams.table_stream(spark, src, "events", 1, "part-*.parquet", schema))
+    streams.run_to_end(streams.session_stream(ev, stale_after_ms=24 * 3600 * 1000), root + "/out", root + "/_ck")
     got = sorted((r.tool_code, r.checkout_seq) for r in spark.read.parquet(root + "/out").collect())
-    assert got == [("TL-000001", 1), ("TL-000003", 4)]      # tool 2's stale session was dropped
+    assert got == [("TL-000001", 1), ("TL-000002", 2), ("TL-000003", 4)]
+    open_rows = [r.checkout_seq for r in spark.read.parquet(root + "/out").where("checkin_time is null").collect()]
+    assert open_rows == [2]                 # tool 2's stale check-out left as an open row
+    # without the timeout nothing is given up, however many files a trigger takes
+    for k, files in enumerate((1, None)):
+        ev = shape_tool_events(streams.table_stream(spark, src, "events", files, "part-*.parquet", schema))
+        streams.run_to_end(streams.session_stream(ev), f"{root}/out{k}", f"{root}/_ck{k}")
+        got = sorted((r.tool_code, r.checkout_seq) for r in spark.read.parquet(f"{root}/out{k}").collect())
+        assert got == [("TL-000001", 1), ("TL-000002", 2), ("TL-000003", 4)]
+
+
+def test_table_as_a_directory_of_files(spark):
+    from conftest import SF_SMALL
+    root = shared_path(spark, "directory-test")
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(5).write.parquet(f"{root}/events.parquet")
+    for k, sf in enumerate((root, SF_SMALL)):
+        streams.run_to_end(streams.table_stream(spark, sf, "events"), f"{root}/out{k}", f"{root}/_ck{k}")
+    counts = [spark.read.parquet(f"{root}/out{k}").count() for k in (0, 1)]
+    assert counts[0] == counts[1] == spark.read.parquet(f"{SF_SMALL}/events.parquet").count() > 0
 
 
 def test_ledger_stream_restart_does_not_double_count(spark):
@@ -86,7 +104,7 @@ def test_daily_window_drops_and_reports_late_rows(spark):
     # late check-out (day 1 -> Jan 2) arrives in the third batch
     write("part-2.parquet", [1, 14])
     schema = spark.read.parquet(src).schema
-    u = shape_usage(streams.table_stream(spark, src, "lineitem", pattern="part-*.parquet", schema=schema))
+    u = shape_usage(streams.table_stream(spark, src, "lineitem", 1, "part-*.parquet", schema))
     progress = streams.run_to_end(streams.daily_usage_stream(u), root + "/out", root + "/_ck")
     days = sorted(r.usage_date.day for r in spark.read.parquet(root + "/out").collect())
     assert 2 not in days and days[:3] == [11, 12, 13]      # the late day never appears
