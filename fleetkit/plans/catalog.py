@@ -156,6 +156,13 @@ def q_predictions_scan(spark, sf):
     return pred_out(A.predictions_scan(predictions(spark, sf)))
 
 
+@register("predictions_by_tool", f"{PRED_SQL} SELECT {PRED_OUT_SQL} FROM predictions WHERE tool_code = '{USAGE_CODE}' "
+                                 f"ORDER BY prediction_date DESC, created_at DESC, confidence_score DESC")
+def q_predictions_by_tool(spark, sf):
+    """A4, one tool."""
+    return pred_out(A.predictions_scan(predictions(spark, sf), USAGE_CODE))
+
+
 @register("due_7d", f"SELECT {TOOL_OUT_SQL} FROM tools WHERE {sql_due(7)} ORDER BY next_maintenance_due, tool_code")
 def q_due_7d(spark, sf):
     return tool_out(A.due_scan(load(spark, sf).tools, AS_OF, 7))

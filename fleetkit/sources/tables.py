@@ -39,12 +39,14 @@ def usage_scan(usage: DataFrame, tool_code: str | None = None) -> DataFrame:
 
 def predictions_scan(predictions: DataFrame, tool_code: str | None = None) -> DataFrame:
     """A4: all predictions by confidence then date (both descending); one
-    tool's predictions by date descending."""
+    tool's predictions by date descending, repeats of a date by creation time and
+    confidence."""
     if tool_code is None:
         return predictions.orderBy(F.col("confidence_score").desc_nulls_last(),
                                    F.col("prediction_date").desc_nulls_last(), F.col("tool_code"))
     return (predictions.where(F.col("tool_code") == F.lit(tool_code))
-            .orderBy(F.col("prediction_date").desc_nulls_last()))
+            .orderBy(F.col("prediction_date").desc_nulls_last(), F.col("created_at").desc_nulls_last(),
+                     F.col("confidence_score").desc_nulls_last()))
 
 
 def due_filter(as_of, days_ahead: int):
