@@ -83,10 +83,7 @@ LABEL_DIR = "qr_codes/"
 MISSING_CODE_ERROR = "Missing tool_code"
 
 # ---- fixed values: text formats ----------------------------------------------
-OVERDUE_BY = "OVERDUE by {n} days"
-DUE_IN = "Due in {n} days"
 DASH_OVERDUE = "OVERDUE"
-PAGE_DAYS = "{n} days"
 URGENCY_URGENT = "urgent"
 URGENCY_WARNING = "warning"
 MAINT_FLAG_OVERDUE = "overdue"
@@ -95,9 +92,79 @@ MAINT_FLAG_WARN_DAYS = 7
 KPI_URGENT = "Urgent"
 KPI_NORMAL = "Normal"
 CURRENCY = "€"
-MAINTENANCE_ALERT_TITLE = "TOOL MAINTENANCE ALERT"
-MAINTENANCE_ALERT_INTRO = "The following tools require maintenance attention:"
-DIGEST_FOOTER = "This is an automated message from the Tool Inventory System."
+
+# ---- fixed values: plain-text digests (header, one block per item, footer) -------
+MAINTENANCE_HEADER = """
+TOOL MAINTENANCE ALERT
+{company} - Tool Inventory System
+
+The following tools require maintenance attention:
+
+"""
+MAINTENANCE_BLOCK = """
+Tool: %s (%s)
+Category: %s
+Location: %s
+Maintenance Due: %s
+Status: %s
+Condition: %s/10
+Usage Hours: %s
+---
+"""
+MAINTENANCE_FOOTER = """
+
+This is an automated message from the Tool Inventory System.
+Generated on: {stamp}
+"""
+RISK_HEADER = """
+HIGH RISK TOOL ALERT
+{company} - AI Prediction System
+
+Our AI system has identified the following tools at high risk of failure:
+
+"""
+RISK_BLOCK = """
+Tool Code: %s
+Risk Score: %s
+Priority: %s
+Estimated Failure Date: %s
+Days Until Maintenance: %s
+Recommended Action: Immediate inspection and preventive maintenance
+---
+"""
+RISK_FOOTER = """
+
+This alert was generated by the AI predictive maintenance system.
+Please take immediate action to prevent tool failures and potential safety issues.
+
+Generated on: {stamp}
+"""
+SUMMARY_HEADER = """
+DAILY TOOL INVENTORY SUMMARY
+{company} - {day}
+
+OVERVIEW:
+Total Tools: %s
+Available: %s
+In Use: %s
+Need Maintenance: %s
+
+USAGE STATISTICS:
+Total Usage Today: %s hours
+Active Tools: %s
+Average Usage per Tool: %s hours
+"""
+SUMMARY_URGENT_TITLE = """
+
+URGENT MAINTENANCE REQUIRED:
+"""
+SUMMARY_URGENT_LINE = "• %s (%s) - %s"
+SUMMARY_FOOTER = """
+
+Daily summary generated automatically by the Tool Inventory System.
+Generated on: {stamp}
+"""
+STAMP_FORMAT = "%Y-%m-%d %H:%M:%S"
 
 # ---- fixed values: histogram ---------------------------------------------------
 HIST_BINS = 10

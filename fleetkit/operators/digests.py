@@ -47,9 +47,7 @@ def due_labels(tools: DataFrame, as_of, days_ahead: int = K.DUE_HORIZON_PAGE) ->
 
 def _block(alerts: DataFrame) -> DataFrame:
     body = F.format_string(
-        "\nTool: %s (%s)\nCategory: %s\nLocation: %s\nMaintenance Due: %s\nStatus: %s\n"
-        "Condition: %s/10\nUsage Hours: %s\n---\n",
-        "tool_name", "tool_code", "category", "location",
+        K.MAINTENANCE_BLOCK, "tool_name", "tool_code", "category", "location",
         F.col("next_maintenance_due").cast("string"), "urgency_text",
         F.col("condition_score").cast("string"), F.col("usage_hours").cast("string"))
     return alerts.select("location", F.lit(1).alias("block"), "next_maintenance_due", "tool_code",
@@ -59,10 +57,8 @@ def _block(alerts: DataFrame) -> DataFrame:
 def alert_text(alerts: DataFrame, as_of, company: str = "Engineering") -> DataFrame:
     """K4: plain-text maintenance digest per location as ordered text rows
     (order by location, block, next_maintenance_due, tool_code)."""
-    header = (f"\n{K.MAINTENANCE_ALERT_TITLE}\n{company} - Tool Inventory System\n\n"
-              f"{K.MAINTENANCE_ALERT_INTRO}\n\n")
-    stamp = as_of.strftime("%Y-%m-%d %H:%M:%S")
-    footer = f"\n\n{K.DIGEST_FOOTER}\nGenerated on: {stamp}\n"
+    header = K.MAINTENANCE_HEADER.format(company=company)
+    footer = K.MAINTENANCE_FOOTER.format(stamp=as_of.strftime(K.STAMP_FORMAT))
     locations = alerts.groupBy("location").agg(F.count(F.lit(1)).alias("_n"))
     edge = lambda blk, text: locations.select(
         "location", F.lit(blk).alias("block"), F.lit(None).cast("date").alias("next_maintenance_due"),
@@ -70,6 +66,47 @@ def alert_text(alerts: DataFrame, as_of, company: str = "Engineering") -> DataFr
     return edge(0, header).unionByName(_block(alerts)).unionByName(edge(2, footer))
 
 
+def risk_text(predictions: DataFrame, as_of, threshold: float = K.RISK_HIGH,
+              company: str = "Engineering") -> DataFrame:
+    """K4: plain-text high-risk alert as ordered text rows (order by block,
+    confidence_score desc, tool_code).  Without a prediction above the
+    threshold there is no alert, hence no row."""
+    high = predictions.where(F.col("confidence_score") > F.lit(float(threshold)))
+    body = F.format_string(
+        K.RISK_BLOCK, "tool_code", R.percent1(F.col("confidence_score")), "maintenance_priority",
+        F.col("predicted_failure_date").cast("string"), F.col("days_until_maintenance").cast("string"))
+    items = high.select(F.lit(1).alias("block"), "confidence_score", "tool_code", body.alias("text"))
+    texts = {0: K.RISK_HEADER.format(company=company),
+             2: K.RISK_FOOTER.format(stamp=as_of.strftime(K.STAMP_FORMAT))}
+    some = high.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0)
+    edges = [some.select(F.lit(b).alias("block"), F.lit(None).cast("double").alias("confidence_score"),
+                         F.lit(None).cast("string").alias("tool_code"), F.lit(t).alias("text"))
+             for b, t in texts.items()]
+    return edges[0].unionByName(items).unionByName(edges[1])
+
+
+def summary_text(summary: DataFrame, urgent: DataFrame, as_of, company: str = "Engineering") -> DataFrame:
+    """K4: plain-text daily summary as ordered text rows (order by block,
+    next_maintenance_due, tool_code): the numbers of ``kpis.daily_summary``,
+    a title and one line per urgent item (both only if there is one), a
+    footer.  Lines within the list are joined by a line feed."""
+    one = lambda c: R.fmt1(F.coalesce(F.col(c), F.lit(0.0)))
+    head = F.format_string(
+        K.SUMMARY_HEADER.format(company=company, day=as_of.strftime("%Y-%m-%d")),
+        *[F.col(c).cast("string") for c in ("total_tools", "available_tools", "in_use_tools", "need_maintenance")],
+        one("total_hours"), F.col("active_tools").cast("string"), one("avg_usage"))
+    row = lambda df, blk, text: df.select(
+        F.lit(blk).alias("block"), F.lit(None).cast("date").alias("next_maintenance_due"),
+        F.lit(None).cast("string").alias("tool_code"), text.alias("text"))
+    some = urgent.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0)
+    line = F.format_string(K.SUMMARY_URGENT_LINE, "tool_name", "tool_code", "urgency_text")
+    footer = K.SUMMARY_FOOTER.format(stamp=as_of.strftime(K.STAMP_FORMAT))
+    return (row(summary, 0, head).unionByName(row(some, 1, F.lit(K.SUMMARY_URGENT_TITLE)))
+            .unionByName(urgent.select(F.lit(2).alias("block"), "next_maintenance_due", "tool_code",
+                                       line.alias("text")))
+            .unionByName(row(summary, 3, F.lit(footer))))
+
+
 def alert_fanout(alerts: DataFrame, recipients_csv: str) -> DataFrame:
     """K5 + S18: one row per (recipient, alert).  The recipient list is a
     parameter (bounded), expanded by a generator — no join."""

@@ -191,7 +191,8 @@ def orphan_rows(tools: DataFrame, usage: DataFrame, maintenance: DataFrame,
 # ---------------------------------------------------------------- B8, B9
 def accepted_events(tools: DataFrame, usage: DataFrame, events: DataFrame,
                     rows_per_task: int = 2_000_000) -> DataFrame:
-    """B8/B9 guards applied in arrival order per tool.
+    """B8/B9 guards applied in arrival order per tool; events without a tool
+    code are never accepted.
 
     Check-out needs status 'available', check-in needs 'in_use' (and some
     usage row of the tool).  With two alternating states the event at
@@ -201,11 +202,13 @@ def accepted_events(tools: DataFrame, usage: DataFrame, events: DataFrame,
     The previous kind is a bucketed lag (see ``operators.sequence``): hot
     tools are split by hour, others are one window each.
     """
-    ev, hot = hot_key_plan(events, "tool_code", "ts", "_bucket", rows_per_task)
+    ev, hot = hot_key_plan(events.where(F.col("tool_code").isNotNull()), "tool_code", "ts", "_bucket", rows_per_task)
     ev = previous(ev, "tool_code", "_bucket", ["ts", "seq"], ["event_kind"], ghosts=hot).drop("_bucket")
     snap = tools.select("tool_code", F.col("status").alias("_s0"))
-    hist = usage.select("tool_code").distinct().withColumn("_has_usage", F.lit(True))
-    j = ev.join(snap, "tool_code", "left").join(hist, "tool_code", "left")
+    # only tools in use need the usage table for their flag
+    used = (usage.join(tools.where(F.col("status") == "in_use").select("tool_code"), "tool_code", "left_semi")
+            .select("tool_code").distinct().withColumn("_has_usage", F.lit(True)))
+    j = ev.join(snap, "tool_code", "left").join(used, "tool_code", "left")
     s0 = F.col("_s0")
     has_usage = F.coalesce(F.col("_has_usage"), F.lit(False))
     live = (s0 == "available") | ((s0 == "in_use") & has_usage)
@@ -238,8 +241,11 @@ def checkin_rows(accepted: DataFrame, usage: DataFrame, rows_per_task: int = 2_0
 
     After an accepted check-out the next accepted event is the check-in, so
     its check-out is the previous *accepted* event; the first accepted event
-    of a tool that was already in use takes the newest stored usage row.
-    Duration = elapsed seconds / 3600; the user is copied from the check-out.
+    of a tool that was already in use takes the newest stored usage row as of
+    its own time: check-outs after the check-in do not count (a row without a
+    check-out time counts, last).  Without such a row user, check-out time and
+    duration are null.  Duration = elapsed seconds / 3600; the user is copied
+    from the check-out.
     """
     acc, hot = hot_key_plan(accepted, "tool_code", "ts", "_bucket", rows_per_task)
     acc = previous(acc, "tool_code", "_bucket", ["ts", "seq"], ["ts", "user_id", "event_kind"], ghosts=hot)
@@ -247,8 +253,10 @@ def checkin_rows(accepted: DataFrame, usage: DataFrame, rows_per_task: int = 2_0
     # only tools whose first accepted event is a check-in need their stored
     # history: filter the usage table to them (a semi join; AQE broadcasts the
     # small side) before the per-tool max_by
-    need = ci.where(F.col("prev_event_kind").isNull()).select("tool_code").distinct()
-    latest = latest_usage_row(usage.join(need, "tool_code", "left_semi")).select(
+    need = ci.where(F.col("prev_event_kind").isNull()).select("tool_code", F.col("ts").alias("_asof"))
+    asof = usage.join(need, "tool_code").where(
+        F.col("checkout_time").isNull() | (F.col("checkout_time") <= F.col("_asof")))
+    latest = latest_usage_row(asof).select(
         "tool_code", F.col("checkout_time").alias("_h_time"), F.col("user_id").alias("_h_user"))
     ci = ci.join(latest, "tool_code", "left")
     from_batch = F.col("prev_event_kind").isNotNull()
@@ -279,7 +287,11 @@ def status_after_events(tools: DataFrame, accepted: DataFrame, as_of) -> DataFra
 def retained_usage(usage: DataFrame, as_of, days: int = K.RETENTION_DAYS_DEFAULT) -> DataFrame:
     """Usage rows younger than ``days`` days (by check-out, else check-in)."""
     cutoff = F.timestamp_add("DAY", F.lit(-days), ts_lit(as_of))
-    return usage.where(F.coalesce(F.col("checkout_time"), F.col("checkin_time")) >= cutoff)
+    out, back = F.col("checkout_time"), F.col("checkin_time")
+    keep = (out >= cutoff) | (out.isNull() & (back >= cutoff))       # reaches the scan, a coalesce would not
+    if "usage_month" in usage.columns:
+        keep = keep & (F.col("usage_month") >= F.date_format(cutoff, "yyyy-MM"))
+    return usage.where(keep)
 
 
 # ---------------------------------------------------------------- G6

@@ -34,6 +34,14 @@ usage_history AS (
          CAST(NULL AS VARCHAR) AS notes,
          l_shipdate AS created_at
   FROM lineitem),
+recent_usage AS (
+  SELECT -event_id AS seq, 'TL-' || (CASE WHEN length(CAST(user_id AS VARCHAR)) < 6 THEN lpad(CAST(user_id AS VARCHAR), 6, '0') ELSE CAST(user_id AS VARCHAR) END) AS tool_code,
+         'U' || CAST(event_id % 97 AS VARCHAR) AS user_id, ts AS checkout_time, CAST(NULL AS TIMESTAMP) AS checkin_time,
+         CAST(NULL AS DOUBLE) AS usage_duration, 'checkout' AS usage_type, CAST(NULL AS VARCHAR) AS notes, ts AS created_at
+  FROM events WHERE event_type = 'purchase'),
+listed_tools AS (
+  SELECT 'TL-' || (CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 6 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END) AS tool_code
+  FROM part WHERE p_size < 45),
 maintenance_history AS (
   SELECT CAST((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1048576
               + (CAST(l_partkey AS BIGINT) * 7919 + l_suppkey) % 1048573 AS BIGINT) AS seq,

@@ -287,22 +287,26 @@ def q_maintenance_apply(spark, sf):
 
 
 @register("orphan_rows", f"""{PRED_SQL}
-SELECT 'usage_history' AS source_table, tool_code FROM usage_history WHERE tool_code NOT IN (SELECT tool_code FROM tools)
+SELECT 'usage_history' AS source_table, tool_code FROM usage_history
+WHERE tool_code NOT IN (SELECT tool_code FROM listed_tools)
 UNION ALL
-SELECT 'maintenance_history', tool_code FROM maintenance_history WHERE tool_code NOT IN (SELECT tool_code FROM tools)
+SELECT 'maintenance_history', tool_code FROM maintenance_history
+WHERE tool_code NOT IN (SELECT tool_code FROM listed_tools)
 UNION ALL
-SELECT 'predictions', tool_code FROM predictions WHERE tool_code NOT IN (SELECT tool_code FROM tools)""")
+SELECT 'predictions', tool_code FROM predictions WHERE tool_code NOT IN (SELECT tool_code FROM listed_tools)""")
 def q_orphan_rows(spark, sf):
+    """B7 against a catalogue that has lost some tools."""
     f = load(spark, sf)
-    return ledger.orphan_rows(f.tools, f.usage, f.maintenance, predictions(spark, sf))
+    return ledger.orphan_rows(f.listed_tools, f.usage, f.maintenance, predictions(spark, sf))
 
 
 ACCEPTED_SQL = """
+history AS (SELECT * FROM usage_history UNION ALL SELECT * FROM recent_usage),
 ev AS (SELECT e.*, lag(event_kind) OVER (PARTITION BY tool_code ORDER BY ts, seq) AS prev_kind FROM tool_events e),
 acc AS (
   SELECT ev.seq, ev.ts, ev.tool_code, ev.user_id, ev.event_kind
   FROM ev LEFT JOIN tools t ON ev.tool_code = t.tool_code
-  LEFT JOIN (SELECT DISTINCT tool_code FROM usage_history) h ON ev.tool_code = h.tool_code
+  LEFT JOIN (SELECT DISTINCT tool_code FROM history) h ON ev.tool_code = h.tool_code
   WHERE (t.status = 'available' OR (t.status = 'in_use' AND h.tool_code IS NOT NULL))
     AND CASE WHEN ev.prev_kind IS NULL
              THEN ev.event_kind = CASE WHEN t.status = 'available' THEN 'checkout' ELSE 'checkin' END
@@ -310,40 +314,51 @@ acc AS (
 """
 
 
+def history(f) -> DataFrame:
+    """Stored usage rows, some of them later than the replayed tool events."""
+    return f.usage.unionByName(f.recent_usage)
+
+
+def accepted(f) -> DataFrame:
+    return ledger.accepted_events(f.tools, history(f), f.tool_events)
+
+
 @register("checkout_apply", f"""{ACCEPTED_SQL}
 SELECT seq, tool_code, user_id, ts AS checkout_time, CAST(NULL AS TIMESTAMP) AS checkin_time,
        CAST(NULL AS DOUBLE) AS usage_duration, 'checkout' AS usage_type
 FROM acc WHERE event_kind = 'checkout'""")
 def q_checkout_apply(spark, sf):
+    return ledger.checkout_rows(accepted(load(spark, sf)))
+
+
+@register("events_status", f"""{ACCEPTED_SQL},
+l AS (SELECT tool_code, arg_max(event_kind, (ts, seq)) AS kind FROM acc GROUP BY tool_code)
+SELECT t.tool_code, CASE l.kind WHEN 'checkout' THEN 'in_use' WHEN 'checkin' THEN 'available' ELSE t.status END AS status,
+       CASE WHEN l.kind IS NULL THEN t.updated_at ELSE {ASOF_TS} END AS updated_at
+FROM tools t LEFT JOIN l ON t.tool_code = l.tool_code""")
+def q_events_status(spark, sf):
+    """The tools snapshot after the accepted check-outs and check-ins."""
     f = load(spark, sf)
-    return ledger.checkout_rows(ledger.accepted_events(f.tools, f.usage, f.tool_events))
+    return ledger.status_after_events(f.tools, accepted(f), AS_OF).select("tool_code", "status", "updated_at")
 
 
 CHECKIN_SQL = f"""{ACCEPTED_SQL},
 accp AS (SELECT a.*, lag(ts) OVER w AS prev_ts, lag(user_id) OVER w AS prev_user, lag(event_kind) OVER w AS prev_kind
          FROM acc a WINDOW w AS (PARTITION BY tool_code ORDER BY ts, seq)),
-latest AS (SELECT tool_code, r.t AS h_time, r.u AS h_user
-           FROM (SELECT tool_code, arg_max(struct_pack(t := checkout_time, u := user_id),
-                                           (checkout_time IS NOT NULL, checkout_time, -seq)) AS r
-                 FROM usage_history GROUP BY tool_code)),
 ci AS (SELECT p.seq, p.tool_code,
               CASE WHEN p.prev_kind IS NOT NULL THEN p.prev_user ELSE l.h_user END AS user_id,
               CASE WHEN p.prev_kind IS NOT NULL THEN p.prev_ts ELSE l.h_time END AS checkout_time,
               p.ts AS checkin_time
-       FROM accp p LEFT JOIN latest l ON p.tool_code = l.tool_code WHERE p.event_kind = 'checkin')
+       FROM accp p LEFT JOIN (
+         SELECT q.seq, arg_max(h.user_id, k) AS h_user, arg_max(struct_pack(t := h.checkout_time), k).t AS h_time
+         FROM (SELECT seq, tool_code, ts FROM accp WHERE prev_kind IS NULL AND event_kind = 'checkin') q
+         JOIN (SELECT *, (checkout_time IS NOT NULL, checkout_time, -seq) AS k FROM history) h
+           ON h.tool_code = q.tool_code AND (h.checkout_time IS NULL OR h.checkout_time <= q.ts)
+         GROUP BY q.seq) l ON p.seq = l.seq
+       WHERE p.event_kind = 'checkin')
 """
 
 
-def accepted(spark, sf) -> DataFrame:
-    """Accepted tool events, checkpointed to the shared checkpoint folder:
-    both output branches and the second sequence pass read them, so the first
-    pass runs once, and a lost executor does not re-run its lineage."""
-    from fleetkit.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    f = load(spark, sf)
-    return ledger.accepted_events(f.tools, f.usage, f.tool_events).checkpoint(eager=True)
-
-
 @register("checkin_apply", f"""{CHECKIN_SQL}
 SELECT seq, tool_code, user_id, checkout_time, checkin_time,
        round(date_diff('microsecond', checkout_time, checkin_time) / 3600000000.0, 6) AS usage_duration,
@@ -351,8 +366,7 @@ SELECT seq, tool_code, user_id, checkout_time, checkin_time,
 FROM ci""")
 def q_checkin_apply(spark, sf):
     f = load(spark, sf)
-    acc = accepted(spark, sf)
-    return ledger.checkin_rows(acc, f.usage).withColumn("usage_duration", r6("usage_duration"))
+    return ledger.checkin_rows(accepted(f), history(f)).withColumn("usage_duration", r6("usage_duration"))
 
 
 @register("usage_retained", f"""SELECT {USAGE_OUT} FROM usage_history
@@ -362,7 +376,7 @@ def q_usage_retained(spark, sf):
 
 
 @register("usage_union", f"""{CHECKIN_SQL}
-SELECT seq, tool_code, user_id, checkout_time, checkin_time, usage_duration, usage_type FROM usage_history
+SELECT seq, tool_code, user_id, checkout_time, checkin_time, usage_duration, usage_type FROM history
 UNION ALL
 SELECT seq, tool_code, user_id, ts, CAST(NULL AS TIMESTAMP), CAST(NULL AS DOUBLE), 'checkout' FROM acc
 WHERE event_kind = 'checkout'
@@ -371,8 +385,8 @@ SELECT seq, tool_code, user_id, checkout_time, checkin_time,
        date_diff('microsecond', checkout_time, checkin_time) / 3600000000.0, 'checkin' FROM ci""")
 def q_usage_union(spark, sf):
     f = load(spark, sf)
-    acc = accepted(spark, sf)
-    out = ledger.usage_union(f.usage, ledger.checkout_rows(acc), ledger.checkin_rows(acc, f.usage))
+    acc, old = accepted(f), history(f)
+    out = ledger.usage_union(old, ledger.checkout_rows(acc), ledger.checkin_rows(acc, old))
     return out.select("seq", "tool_code", "user_id", "checkout_time", "checkin_time", "usage_duration", "usage_type")
 
 
@@ -836,14 +850,21 @@ def q_recommendations(spark, sf):
 
 
 # ============================================================== 2.10 digests, labels
+def sql_block(template: str, *values: str) -> str:
+    """SQL text of a template whose ``%s`` are the given text expressions."""
+    parts = [f"'{p}'" for p in template.split("%s")]
+    return " || ".join(x for pair in zip(parts, [*values, None]) for x in pair if x is not None)
+
+
+STAMP = AS_OF.strftime(K.STAMP_FORMAT)
+
+
 def _alert_text_sql() -> str:
-    header = (f"\n{K.MAINTENANCE_ALERT_TITLE}\nEngineering - Tool Inventory System\n\n"
-              f"{K.MAINTENANCE_ALERT_INTRO}\n\n")
-    footer = f"\n\n{K.DIGEST_FOOTER}\nGenerated on: {AS_OF.strftime('%Y-%m-%d %H:%M:%S')}\n"
-    body = ("'\nTool: ' || tool_name || ' (' || tool_code || ')\nCategory: ' || category || '\nLocation: ' || location"
-            " || '\nMaintenance Due: ' || CAST(next_maintenance_due AS VARCHAR) || '\nStatus: ' || urgency_text"
-            " || '\nCondition: ' || CAST(condition_score AS VARCHAR) || '/10\nUsage Hours: '"
-            " || CAST(usage_hours AS VARCHAR) || '\n---\n'")
+    header = K.MAINTENANCE_HEADER.format(company="Engineering")
+    footer = K.MAINTENANCE_FOOTER.format(stamp=STAMP)
+    body = sql_block(K.MAINTENANCE_BLOCK, "tool_name", "tool_code", "category", "location",
+                     "CAST(next_maintenance_due AS VARCHAR)", "urgency_text", "CAST(condition_score AS VARCHAR)",
+                     "CAST(usage_hours AS VARCHAR)")
     return f"""
 a AS (SELECT *, {sql_alert_label('d')} AS urgency_text
       FROM (SELECT *, {sql_days_until('next_maintenance_due')} AS d FROM tools WHERE {sql_due(7)}))
@@ -855,6 +876,58 @@ UNION ALL
 SELECT location, 2, CAST(NULL AS DATE), CAST(NULL AS VARCHAR), '{footer}' FROM (SELECT DISTINCT location FROM a)"""
 
 
+def _risk_text_sql() -> str:
+    header = K.RISK_HEADER.format(company="Engineering")
+    footer = K.RISK_FOOTER.format(stamp=STAMP)
+    body = sql_block(K.RISK_BLOCK, "tool_code", "printf('%.1f', round(confidence_score * 100.0, 1)) || '%'",
+                     "maintenance_priority", "CAST(predicted_failure_date AS VARCHAR)",
+                     "CAST(days_until_maintenance AS VARCHAR)")
+    return f"""{PRED_SQL}, high AS (SELECT * FROM predictions WHERE confidence_score > {K.RISK_HIGH})
+SELECT 0 AS block, CAST(NULL AS DOUBLE) AS confidence_score, CAST(NULL AS VARCHAR) AS tool_code, '{header}' AS text
+WHERE EXISTS (SELECT 1 FROM high)
+UNION ALL
+SELECT 1, round(confidence_score, 6), tool_code, {body} FROM high
+UNION ALL
+SELECT 2, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), '{footer}' WHERE EXISTS (SELECT 1 FROM high)"""
+
+
+def _summary_text_sql() -> str:
+    one = lambda c: f"printf('%.1f', round(coalesce({c}, 0.0), 1))"
+    head = sql_block(K.SUMMARY_HEADER.format(company="Engineering", day=AS_OF.strftime("%Y-%m-%d")),
+                     *[f"CAST({c} AS VARCHAR)" for c in ("total_tools", "available_tools", "in_use_tools", "need")],
+                     one("total_hours"), "CAST(active_tools AS VARCHAR)", one("avg_usage"))
+    line = sql_block(K.SUMMARY_URGENT_LINE, "tool_name", "tool_code", sql_alert_label("d"))
+    footer = K.SUMMARY_FOOTER.format(stamp=STAMP)
+    return f"""{TODAY_SQL},
+u AS (SELECT * FROM (SELECT *, {sql_days_until('next_maintenance_due')} AS d FROM tools WHERE {sql_due(30)})
+      WHERE d <= 3),
+a AS (SELECT count(*) AS total_tools, count(*) FILTER (WHERE status = 'available') AS available_tools,
+             count(*) FILTER (WHERE status = 'in_use') AS in_use_tools, count(*) FILTER (WHERE {sql_due(30)}) AS need
+      FROM tools)
+SELECT 0 AS block, CAST(NULL AS DATE) AS next_maintenance_due, CAST(NULL AS VARCHAR) AS tool_code, {head} AS text
+FROM a, today
+UNION ALL
+SELECT 1, CAST(NULL AS DATE), CAST(NULL AS VARCHAR), '{K.SUMMARY_URGENT_TITLE}' WHERE EXISTS (SELECT 1 FROM u)
+UNION ALL
+SELECT 2, next_maintenance_due, tool_code, {line} FROM u
+UNION ALL
+SELECT 3, CAST(NULL AS DATE), CAST(NULL AS VARCHAR), '{footer}'"""
+
+
+@register("risk_text", _risk_text_sql())
+def q_risk_text(spark, sf):
+    """K4, high-risk alert."""
+    return digests.risk_text(predictions(spark, sf), AS_OF).withColumn("confidence_score", r6("confidence_score"))
+
+
+@register("summary_text", _summary_text_sql())
+def q_summary_text(spark, sf):
+    """K4, daily summary with its urgent list."""
+    f = load(spark, sf)
+    urgent = filters.urgent_items(A.due_scan(f.tools, AS_OF, K.DUE_HORIZON_PAGE), AS_OF)
+    return digests.summary_text(kpis.daily_summary(f.tools, f.usage, AS_OF, TODAY), urgent, AS_OF)
+
+
 @register("alert_text", _alert_text_sql())
 def q_alert_text(spark, sf):
     return digests.alert_text(digests.alert_rows(load(spark, sf).tools, AS_OF), AS_OF)

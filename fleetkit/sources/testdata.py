@@ -121,6 +121,23 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_tool_events(read(spark, sf_dir, "events"))
 
 
+def recent_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage rows from the time of the tool events (purchases), negative
+    arrival numbers apart from the stored ones."""
+    e = read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    return e.select(
+        (-F.col("event_id")).alias("seq"), code_of(F.col("user_id")).alias("tool_code"),
+        F.concat(F.lit("U"), (F.col("event_id") % 97).cast("string")).alias("user_id"),
+        F.col("ts").alias("checkout_time"), F.lit(None).cast("timestamp_ntz").alias("checkin_time"),
+        F.lit(None).cast("double").alias("usage_duration"), F.lit("checkout").alias("usage_type"),
+        F.lit(None).cast("string").alias("notes"), F.col("ts").alias("created_at"))
+
+
+def listed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the tools still in the catalogue (large parts have left it)."""
+    return read(spark, sf_dir, "part").where(F.col("p_size") < 45).select(code_of(F.col("p_partkey")).alias("tool_code"))
+
+
 def shape_tool_events(e: DataFrame) -> DataFrame:
     """events rows (batch or stream) as tool events."""
     return e.where(F.col("event_type").isin("view", "click")).select(
@@ -250,6 +267,7 @@ class Fleet:
 
     _BUILDERS = {
         "tools": tools, "usage": usage, "maintenance": maintenance, "tool_events": tool_events,
+        "recent_usage": recent_usage, "listed_tools": listed_tools,
         "scans": scans, "status_updates": status_updates, "intake": intake,
         "prediction_inputs": prediction_inputs, "label_batch": label_batch,
         "raw_codes": raw_codes, "raw_timestamps": raw_timestamps,
