@@ -257,12 +257,15 @@ def q_status_unmatched(spark, sf):
     return ledger.unmatched_updates(f.tools, f.status_updates)
 
 
-@register("usage_apply", f"""
+USAGE_APPLY_SQL = f"""
 u AS (SELECT tool_code, sum(usage_duration) AS added FROM usage_history
       WHERE usage_duration IS NOT NULL AND usage_duration <> 0 GROUP BY tool_code)
 SELECT t.tool_code, round(t.usage_hours + coalesce(u.added, 0.0), 6) AS usage_hours,
        CASE WHEN u.tool_code IS NOT NULL THEN {ASOF_TS} ELSE t.updated_at END AS updated_at
-FROM tools t LEFT JOIN u ON t.tool_code = u.tool_code""")
+FROM tools t LEFT JOIN u ON t.tool_code = u.tool_code"""
+
+
+@register("usage_apply", USAGE_APPLY_SQL)
 def q_usage_apply(spark, sf):
     f = load(spark, sf)
     return (ledger.apply_usage(f.tools, f.usage, AS_OF)
@@ -612,12 +615,15 @@ def q_latest_usage(spark, sf):
     return windows.latest_usage(load(spark, sf).usage)
 
 
-@register("paired_sessions", """
+SESSIONS_SQL = """
 SELECT tool_code, user_id, seq AS checkout_seq, ts AS checkout_time, next_ts AS checkin_time,
        round(date_diff('microsecond', ts, next_ts) / 3600000000.0, 6) AS duration_hours
 FROM (SELECT *, lead(ts) OVER w AS next_ts, lead(event_kind) OVER w AS next_kind
       FROM tool_events WINDOW w AS (PARTITION BY tool_code ORDER BY ts, seq))
-WHERE event_kind = 'checkout' AND next_kind = 'checkin'""")
+WHERE event_kind = 'checkout' AND next_kind = 'checkin'"""
+
+
+@register("paired_sessions", SESSIONS_SQL)
 def q_paired_sessions(spark, sf):
     return windows.paired_sessions(load(spark, sf).tool_events).withColumn("duration_hours", r6("duration_hours"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetkit import constants as K
 from fleetkit.operators import risk
-from fleetkit.plans import catalog
+from fleetkit.plans import catalog, rows_only
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -23,19 +23,16 @@ def flagship(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
             .orderBy(F.col("urgency_score").desc(), "tool_code").limit(k))
 
 
-def _rows_only() -> dict[str, Builder]:
-    from fleetkit.plans import rows_only
-    return dict(rows_only.REGISTRY)
-
-
 def spark_queries() -> dict[str, Builder]:
     out = {k: fn for k, (fn, _) in catalog.REGISTRY.items()}
-    out.update(_rows_only())
+    out.update(rows_only.REGISTRY)
     return out
 
 
 def oracle_queries() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in catalog.REGISTRY.items() if sql is not None}
+    out = {k: sql for k, (_, sql) in catalog.REGISTRY.items() if sql is not None}
+    out.update(rows_only.ORACLES)
+    return out
 
 
 __all__ = ["flagship", "spark_queries", "oracle_queries", "K"]

@@ -1,5 +1,5 @@
-"""Registered queries without a SQL oracle (file round-trips, models,
-stateful streams).  Each reads the given tables through the adapters; any
+"""Registered queries over files, models and stateful streams; the file and
+stream queries have a SQL oracle, the model queries none.  Each reads the given tables through the adapters; any
 intermediate files go to the shared checkpoint folder
 (``spark.checkpoint.dir``), in a fresh sub-folder per run."""
 
@@ -14,6 +14,7 @@ from fleetkit import constants as K
 from fleetkit import schemas
 from fleetkit.operators import forest, ledger
 from fleetkit.plans import catalog
+from fleetkit.plans.adapters_sql import with_adapters
 from fleetkit.session import shared_path
 from fleetkit.sources import files
 from fleetkit.sources.testdata import load, shape_tool_events, shape_usage, tools
@@ -22,18 +23,29 @@ from fleetkit.streaming import streams
 AS_OF = K.AS_OF
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Builder] = {}
+ORACLES: dict[str, str] = {}
 _BUNDLES: dict[tuple[str, str], forest.Bundle | None] = {}
 
 
-def register(key: str):
+def register(key: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         REGISTRY[key] = fn
+        if sql is not None:
+            ORACLES[key] = with_adapters(sql)
         return fn
     return deco
 
 
 # ------------------------------------------------------------ files
-@register("intake_csv")
+#: A file keeps no empty cells: they come back as null.
+FILED_INTAKE_SQL = """
+filed AS (SELECT seq, nullif(tool_code, '') AS tool_code, nullif(tool_name, '') AS tool_name,
+                 nullif(category, '') AS category, nullif(location, '') AS location, purchase_date, condition_score
+          FROM intake)"""
+
+
+@register("intake_csv", f"""{FILED_INTAKE_SQL}, {catalog.INTAKE_CLS.replace("FROM intake", "FROM filed")}
+SELECT *, CASE WHEN reject_reason IS NULL THEN 'added' ELSE 'error' END AS outcome FROM cls""")
 def q_intake_csv(spark, sf):
     """A8 export of the intake batch to CSV, A6 typed read-back (PERMISSIVE),
     then B1/B2 classification of the rows read from the file."""
@@ -45,7 +57,10 @@ def q_intake_csv(spark, sf):
     return ledger.classify_intake(back.drop(files.CORRUPT), f.tools)
 
 
-@register("export_csv")
+@register("export_csv", f"""
+SELECT 'tools' AS export, {catalog.TOOL_OUT_SQL} FROM tools
+UNION ALL BY NAME
+SELECT 'usage' AS export, {catalog.USAGE_OUT} FROM usage_history""")
 def q_export_csv(spark, sf):
     """Tools and usage exported as header CSV and read back typed."""
     f = load(spark, sf)
@@ -53,19 +68,20 @@ def q_export_csv(spark, sf):
     t = catalog.tool_out(f.tools)
     files.export_csv(t, tp)
     files.export_csv(f.usage, up)
-    tb = files.read_export_csv(spark, tp, t.schema).select(F.lit("tools").alias("export"), "tool_code")
-    ub = files.read_export_csv(spark, up, f.usage.schema).select(F.lit("usage").alias("export"), "tool_code")
-    return tb.unionByName(ub)
+    tb = files.read_export_csv(spark, tp, t.schema).select(F.lit("tools").alias("export"), "*")
+    ub = files.read_export_csv(spark, up, f.usage.schema).select(F.lit("usage").alias("export"), "*")
+    return tb.unionByName(ub, allowMissingColumns=True)
 
 
-@register("predictions_append")
+@register("predictions_append", f"""{catalog.PRED_SQL}
+SELECT {catalog.PRED_OUT_SQL} FROM (SELECT * FROM predictions UNION ALL SELECT * FROM predictions)""")
 def q_predictions_append(spark, sf):
     """B6 append (twice: no de-duplication) then A4 read-back order."""
     path = shared_path(spark, "predictions")
     pred = catalog.predictions(spark, sf)
     files.append_predictions(pred, path)
     files.append_predictions(pred, path)
-    return catalog.A.predictions_scan(files.read_predictions(spark, path))
+    return catalog.pred_out(catalog.A.predictions_scan(files.read_predictions(spark, path)))
 
 
 # ------------------------------------------------------------ models
@@ -114,23 +130,25 @@ def q_model_roundtrip(spark, sf):
 
 
 # ------------------------------------------------------------ streams (M1, M2)
-@register("stream_ledger")
+@register("stream_ledger", catalog.USAGE_APPLY_SQL)
 def q_stream_ledger(spark, sf):
     """M1: lineitem file stream -> usage rows -> foreachBatch per-tool
     deltas; returns the tools snapshot with all deltas applied."""
     root = shared_path(spark, "ledger")
     usage = shape_usage(streams.table_stream(spark, sf, "lineitem"))
     streams.ledger_stream(spark, usage, f"{root}/deltas", f"{root}/_checkpoint")
-    return streams.ledger_snapshot(spark, tools(spark, sf), f"{root}/deltas", AS_OF)
+    return (streams.ledger_snapshot(spark, tools(spark, sf), f"{root}/deltas", AS_OF)
+            .select("tool_code", catalog.r6("usage_hours").alias("usage_hours"), "updated_at"))
 
 
-@register("stream_sessions")
+@register("stream_sessions", catalog.SESSIONS_SQL)
 def q_stream_sessions(spark, sf):
     """M2: event file stream -> stateful check-out/check-in pairing."""
     root = shared_path(spark, "sessions")
     ev = shape_tool_events(streams.table_stream(spark, sf, "events"))
     streams.run_to_end(streams.session_stream(ev), f"{root}/out", f"{root}/_checkpoint")
-    return streams.sessions_as_wall_time(spark.read.parquet(f"{root}/out"))
+    return (streams.sessions_as_wall_time(spark.read.parquet(f"{root}/out"))
+            .withColumn("duration_hours", catalog.r6("duration_hours")))
 
 
 @register("retrain_due")

@@ -51,6 +51,23 @@ def test_checkin_without_checkout_and_double_checkout(spark, make_tools):
     assert snap == {"A": "available", "B": "available", "C": "in_use", "M": "maintenance"}
 
 
+def test_checkin_takes_the_history_as_of_its_time(spark, make_tools):
+    tools = make_tools([tool_row("B", status="in_use"), tool_row("L", status="in_use"), tool_row("N", status="in_use")])
+    before, later = dt.datetime(2023, 12, 31, 9), dt.datetime(2024, 2, 1, 9)
+    hist = _usage(spark, [(1, "B", "first", before, None, None, "checkout", None, None),
+                          (2, "B", "later", later, None, None, "checkout", None, None),
+                          (3, "L", "later", later, None, None, "checkout", None, None),
+                          (4, "N", "untimed", None, None, None, "checkout", None, None)])
+    ev = _events(spark, [(20, 0, "B", "u", "checkin"), (21, 0, "L", "u", "checkin"), (22, 0, "N", "u", "checkin"),
+                         (23, 0, None, "u", "checkin")])
+    acc = ledger.accepted_events(tools, hist, ev)
+    ins = {r.tool_code: r for r in ledger.checkin_rows(acc, hist).collect()}
+    assert (ins["B"].user_id, ins["B"].checkout_time, ins["B"].usage_duration) == ("first", before, 23.0)
+    assert (ins["L"].user_id, ins["L"].checkout_time, ins["L"].usage_duration) == (None, None, None)
+    assert (ins["N"].user_id, ins["N"].checkout_time, ins["N"].usage_duration) == ("untimed", None, None)
+    assert sorted(ins) == ["B", "L", "N"]
+
+
 def test_paired_sessions_across_days(spark):
     ev = _events(spark, [(1, 0, "A", "u1", "checkout"), (2, 40, "A", "u2", "checkin"),   # across 2 days
                          (3, 50, "A", "u3", "checkout"), (4, 51, "A", "u4", "checkout"),

@@ -182,3 +182,25 @@ def test_orphans_facets_and_alert_text(spark, make_tools, sample_tool):
                             f"Maintenance Due: {d(0).isoformat()}\nStatus: OVERDUE by 1 days\n"
                             "Condition: 8.5/10\nUsage Hours: 0.0\n---\n")
     assert rows[2].text.endswith("Generated on: 2001-12-01 12:00:00\n")
+
+
+def test_risk_and_summary_texts(spark, make_tools):
+    from fleetkit.operators import digests, filters, kpis
+    from fleetkit.sources.tables import due_scan
+    inputs = "tool_code string, condition_pred double, anomaly_score double"
+    p = fuse(spark.createDataFrame([("R-1", 10.0, -9.0), ("R-2", 0.0, 5.0)], inputs), AS_OF)
+    rows = digests.risk_text(p, AS_OF).orderBy("block").collect()
+    assert [r.block for r in rows] == [0, 1, 2] and rows[1].tool_code == "R-1"
+    assert rows[0].text.startswith("\nHIGH RISK TOOL ALERT\nEngineering - AI Prediction System\n")
+    assert rows[1].text.startswith("\nTool Code: R-1\nRisk Score: 100.0%\nPriority: Critical\n")
+    assert digests.risk_text(p.where("tool_code = 'R-2'"), AS_OF).count() == 0
+    u = spark.createDataFrame([], schemas.USAGE)
+    for tools, blocks in ((make_tools([tool_row("A-1", "Drill", due=d(0))]), [0, 1, 2, 3]),
+                          (make_tools([tool_row("A-1", "Drill")]), [0, 3])):
+        urgent = filters.urgent_items(due_scan(tools, AS_OF, 30), AS_OF)
+        text = digests.summary_text(kpis.daily_summary(tools, u, AS_OF, AS_OF.date()), urgent, AS_OF)
+        rows = text.orderBy("block").collect()
+        assert [r.block for r in rows] == blocks
+        assert "Total Tools: 1\n" in rows[0].text and "Total Usage Today: 0.0 hours\n" in rows[0].text
+        if len(blocks) == 4:
+            assert rows[2].text == "• Drill (A-1) - OVERDUE by 1 days"
