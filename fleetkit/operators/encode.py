@@ -4,7 +4,7 @@ J2 is a dictionary table, not MLlib's ``StringIndexer`` (whose 'keep' mode
 gives k, not -1, for unseen values): sorted distinct text values get codes
 0..k-1 per column, missing values are the text 'None', unseen values -1.
 The dictionary is as large as the number of distinct values; it is ranked
-without sorting a whole column in one task, and applying it is an ordinary
+without ever sorting a whole column in one task, and applying it is an ordinary
 join, broadcast by AQE when the dictionary is small.
 
 J3 uses the *population* standard deviation with sigma = 0 treated as 1
@@ -28,23 +28,19 @@ def _text(col: str):
 
 
 def fit_label_dictionary(df: DataFrame, cols: Sequence[str] = K.CATEGORICAL_COLUMNS,
-                         partitions: int | None = None, max_local: int = 1_000_000) -> DataFrame:
+                         partitions: int | None = None) -> DataFrame:
     """(column, value, code) with code = rank of value among the sorted
     distinct values of its column.
 
-    Up to ``max_local`` distinct (column, value) pairs (a checked bound) a
-    window per column ranks them — one task sorts at most that many values.
-    Beyond it the ranking is distributed: the pairs are range-partitioned by
-    (column, value), ranked inside each range partition, and shifted by the
-    number of values of the same column in earlier partitions — taken from a
-    per-partition count table (partitions x columns rows, broadcast)."""
-    vals = (df.select(*[_text(c).alias(c) for c in cols])
-            .unpivot([], list(cols), "column", "value").distinct())
-    if partitions is None and vals.count() <= max_local:
-        w = Window.partitionBy("column").orderBy("value")
-        return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    The pairs are range-partitioned by (column, value), ranked inside each
+    range partition, and shifted by the number of values of the same column in
+    earlier partitions — taken from a per-partition count table (partitions x
+    columns rows, broadcast).  The result is written once (``checkpoint``):
+    every column's lookup reads it."""
     from fleetkit.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
+    vals = (df.select(*[_text(c).alias(c) for c in cols])
+            .unpivot([], list(cols), "column", "value").distinct())
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the partition ids are materialised once (a dictionary-sized checkpoint),
     # so both branches below see the same range bounds
@@ -56,7 +52,8 @@ def fit_label_dictionary(df: DataFrame, cols: Sequence[str] = K.CATEGORICAL_COLU
     before = Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", "column", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offsets), ["_pid", "column"])     # bounded: partitions x columns
-            .select("column", "value", (F.col("_local") + F.col("_off")).cast("int").alias("code")))
+            .select("column", "value", (F.col("_local") + F.col("_off")).cast("int").alias("code"))
+            .checkpoint(eager=True))
 
 
 def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str] = K.CATEGORICAL_COLUMNS) -> DataFrame:

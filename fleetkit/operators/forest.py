@@ -56,9 +56,12 @@ def prepare(features: DataFrame, dictionary: DataFrame, scaler: dict, cols: list
 
 def train(features: DataFrame, as_of, n_trees: int = K.RF_TREES, depth: int = K.RF_DEPTH,
           if_trees: int = K.IF_TREES, seed: int = K.SPLIT_SEED,
-          exclude: tuple[str, ...] = ()) -> Bundle | None:
+          exclude: tuple[str, ...] = (), dictionary: DataFrame | None = None) -> Bundle | None:
     """J15 retrain flow; returns None when there is not enough data.
 
+    A retrain passes the last bundle's ``dictionary``: its codes keep their
+    meaning and labels new since then are -1; without it one is fitted.
+
     The label is 10 - condition_score while condition_score is also the first
     feature (target leakage, kept for parity); ``exclude`` drops feature
     columns, e.g. ``("condition_score",)`` for an honest hold-out score."""
@@ -66,10 +69,13 @@ def train(features: DataFrame, as_of, n_trees: int = K.RF_TREES, depth: int = K.
     ensure_checkpoint_dir(features.sparkSession)
     cols = [c for c in K.FEATURE_COLUMNS
             if (c in features.columns or c.endswith("_encoded")) and c not in exclude]
+    features = features.persist()        # counted, scaled and assembled from one pass
     n = features.count()
     if n <= K.MIN_TRAIN_ROWS or len(cols) < K.MIN_FEATURES:
+        features.unpersist()
         return None
-    dictionary = encode.fit_label_dictionary(features).cache()
+    if dictionary is None:
+        dictionary = encode.fit_label_dictionary(features)
     enc = encode.encode(features, dictionary)
     scaler = encode.fit_scaler(enc, cols)
     data = prepare(features, dictionary, scaler, cols).cache()
@@ -90,6 +96,7 @@ def train(features: DataFrame, as_of, n_trees: int = K.RF_TREES, depth: int = K.
     iso.nodes = iso.nodes.cache()
     isolation.fit_offset(data, iso, KEY, K.IF_CONTAMINATION)
     data.unpersist()                     # the training matrix is not part of the bundle
+    features.unpersist()
     return Bundle(forest=rf, iforest=iso, dictionary=dictionary, scaler=scaler, features=cols,
                   version=K.MODEL_VERSION, created_at=as_of, metrics=metrics)
 
@@ -102,8 +109,11 @@ def metrics_frame(spark: SparkSession, bundle: Bundle | None) -> DataFrame:
     return spark.createDataFrame([(bundle.metrics["rmse"], bundle.metrics["r2"])], schema)
 
 
-def feature_importance(spark: SparkSession, bundle: Bundle) -> DataFrame:
-    """Feature name -> importance, most important first."""
+def feature_importance(spark: SparkSession, bundle: Bundle | None) -> DataFrame:
+    """Feature name -> importance, most important first (empty when no
+    model was trained)."""
+    if bundle is None:
+        return spark.createDataFrame([], "feature string, importance double")
     imp = bundle.forest.stages[-1].featureImportances.toArray().tolist()
     rows = [(name, float(v)) for name, v in zip(bundle.features, imp)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
@@ -117,14 +127,23 @@ def score(features: DataFrame, bundle: Bundle | None, as_of) -> DataFrame:
         from fleetkit.schemas import PREDICTIONS
         return spark.createDataFrame([], PREDICTIONS)
     data = prepare(features, bundle.dictionary, bundle.scaler, bundle.features)
-    pred = bundle.forest.transform(data).select(KEY, F.col("prediction").alias("condition_pred"))
-    anom = isolation.decision(data, bundle.iforest, KEY)
-    fused = fuse(pred.join(anom, KEY, "inner"), as_of, bundle.version)
-    return fused
+    pred = bundle.forest.transform(data).withColumnRenamed("prediction", "condition_pred")
+    both = isolation.decision(pred, bundle.iforest, KEY, carry=["condition_pred"])     # one pass, no join
+    return fuse(both, as_of, bundle.version)
+
+
+def anomaly_scores(features: DataFrame, bundle: Bundle | None) -> DataFrame:
+    """Decision value and flag per tool (empty when no model was trained)."""
+    if bundle is None:
+        return features.sparkSession.createDataFrame([], "tool_code string, anomaly_score double, anomalous boolean")
+    data = prepare(features, bundle.dictionary, bundle.scaler, bundle.features)
+    return isolation.decision(data, bundle.iforest, KEY).withColumn("anomalous", F.col("anomaly_score") < 0)
 
 
-def rf_scores(features: DataFrame, bundle: Bundle) -> DataFrame:
-    """Hold-out predictions of the condition model."""
+def rf_scores(features: DataFrame, bundle: Bundle | None) -> DataFrame:
+    """Hold-out predictions of the condition model (empty when no model was trained)."""
+    if bundle is None:
+        return features.sparkSession.createDataFrame([], "tool_code string, label double, prediction double")
     data = prepare(features, bundle.dictionary, bundle.scaler, bundle.features)
     return bundle.forest.transform(data.where(is_test())).select(KEY, "label", "prediction")
 
@@ -133,7 +152,10 @@ def rf_scores(features: DataFrame, bundle: Bundle) -> DataFrame:
 PARTS = ("forest", "iforest_nodes", "dictionary", "scaler", "metadata")
 
 
-def save(bundle: Bundle, path: str) -> None:
+def save(bundle: Bundle | None, path: str) -> None:
+    """Writes all parts; without a model nothing is written."""
+    if bundle is None:
+        return
     spark = bundle.dictionary.sparkSession
     bundle.forest.write().overwrite().save(f"{path}/forest")
     bundle.iforest.nodes.write.mode("overwrite").parquet(f"{path}/iforest_nodes")

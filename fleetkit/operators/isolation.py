@@ -138,14 +138,17 @@ def _arrays(model: IsolationModel):
                 adj=adj, roots=roots, depth=int(pdf["depth"].max()) + 1)
 
 
-def path_lengths(df: DataFrame, model: IsolationModel, key: str, out_col: str = "mean_path") -> DataFrame:
-    """Mean isolation path length per row (vectorised over Arrow batches)."""
+def path_lengths(df: DataFrame, model: IsolationModel, key: str, out_col: str = "mean_path",
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """Mean isolation path length per row (vectorised over Arrow batches), with
+    the columns of ``carry`` beside it."""
     from fleetkit.session import ship_package
     ship_package(df.sparkSession)
     arr = _arrays(model)
     bc = df.sparkSession.sparkContext.broadcast(arr)
     feats = model.features
-    schema = T.StructType([df.schema[key], T.StructField(out_col, T.DoubleType())])
+    ids = [key, *carry]
+    schema = T.StructType([*[df.schema[c] for c in ids], T.StructField(out_col, T.DoubleType())])
 
     def walk(batches):
         a = bc.value
@@ -164,54 +167,65 @@ def path_lengths(df: DataFrame, model: IsolationModel, key: str, out_col: str =
                     nxt = np.where(v < a["threshold"][idx], a["left"][idx], a["right"][idx])
                     idx = np.where(inner, nxt, idx)
                 total += a["adj"][idx]
-            yield pd.DataFrame({key: pdf[key].values, out_col: total / len(a["roots"])})
+            yield pd.DataFrame({**{c: pdf[c].values for c in ids}, out_col: total / len(a["roots"])})
 
-    return df.select(key, *feats).mapInPandas(walk, schema)
+    return df.select(*ids, *feats).mapInPandas(walk, schema)
 
 
-def raw_scores(df: DataFrame, model: IsolationModel, key: str) -> DataFrame:
+def raw_scores(df: DataFrame, model: IsolationModel, key: str, carry: Sequence[str] = ()) -> DataFrame:
     """score_samples = -2^(-E[h]/c(psi)) (higher = more normal)."""
     c = avg_path(model.psi)
-    h = path_lengths(df, model, key)
-    return h.select(key, (-F.pow(F.lit(2.0), -F.col("mean_path") / F.lit(c))).alias("score_samples"))
+    h = path_lengths(df, model, key, carry=carry)
+    return h.select(key, *carry, (-F.pow(F.lit(2.0), -F.col("mean_path") / F.lit(c))).alias("score_samples"))
 
 
-def exact_percentile(df: DataFrame, col: str, p: float, accuracy: int = 100_000) -> float:
+def exact_percentile(df: DataFrame, col: str, p: float, accuracy: int = 100_000,
+                     max_pairs: int = 100_000) -> float:
     """Exact p-quantile with linear interpolation between order statistics
-    (the usual numpy convention), without collecting the column.
+    (the usual numpy convention), without collecting the column; NaN for no
+    values.
 
     ``percentile_approx`` has rank error at most n / accuracy, so its values
-    at p -/+ (2 / accuracy + 2 / n) bracket the two order statistics needed;
-    one more pass counts the values below the bracket and collects the
-    distinct values inside it with their counts (at most about
-    4 n / accuracy + 4 pairs, however many ties there are)."""
+    2 / accuracy + 2 / n away from the wanted ranks bracket them.  The bracket
+    is narrowed, each time within the rows of the last one, until it holds at
+    most ``max_pairs`` distinct values; only these and their counts are
+    collected, whatever the table size and however many ties there are."""
     import math
-    c = F.col(col)
-    n = df.where(c.isNotNull()).count()
-    if n == 0:
+    part = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v"))
+    c = F.col("_v")
+    inside = part.count()
+    if inside == 0:
         return float("nan")
-    margin = 2.0 / accuracy + 2.0 / n
-    p_lo, p_hi = p - margin, p + margin
-    b = df.agg(F.percentile_approx(col, [max(0.0, p_lo), min(1.0, p_hi)], accuracy).alias("b")).first()["b"]
-    lo = -math.inf if p_lo <= 0 else float(b[0])
-    hi = math.inf if p_hi >= 1 else float(b[1])
-    below = df.where(c < F.lit(lo)).count()
-    # (value, count) pairs: ties collapse, so the collected slice is bounded
-    # by the number of distinct values inside the bracket
-    pairs = sorted((r[0], r[1]) for r in df.where((c >= F.lit(lo)) & (c <= F.lit(hi)))
-                   .groupBy(col).count().collect())
-    pos = (n - 1) * p - below
-    i = int(math.floor(pos))
-
-    def nth(k: int) -> float:                  # k-th smallest (0-based) inside the bracket
+    pos = (inside - 1) * p
+    first = int(math.floor(pos))
+    last = min(first + 1, inside - 1)
+    below, narrowed = 0, False
+    while True:
+        # few rows, or a bracket of many: look at no more values than the bound allows
+        if inside <= max_pairs or narrowed:
+            pairs = sorted(tuple(r) for r in part.groupBy("_v").count().limit(max_pairs + 1).collect())
+            if len(pairs) <= max_pairs:
+                break
+        margin = 2.0 / accuracy + 2.0 / inside
+        ends = [max(0.0, (first - below) / inside - margin), min(1.0, (last - below + 1) / inside + margin)]
+        lo, hi = part.agg(F.percentile_approx("_v", ends, accuracy).alias("b")).first()["b"]
+        st = part.agg(F.count_if(c < lo).alias("less"), F.count_if(c.between(lo, hi)).alias("n")).first()
+        if lo == hi:
+            return float(lo)
+        if narrowed and st["n"] == inside:       # no narrower with this accuracy
+            accuracy = min(accuracy * 10, 2**31 - 1)
+        narrowed = True
+        part, below, inside = part.where(c.between(lo, hi)), below + st["less"], st["n"]
+
+    def nth(k: int) -> float:                  # k-th smallest (0-based) of all values
+        k -= below
         for v, cnt in pairs:
             if k < cnt:
                 return v
             k -= cnt
         return pairs[-1][0]
 
-    a, b2 = nth(i), nth(i + 1)
-    return float(a + (b2 - a) * (pos - i))
+    return float(nth(first) + (nth(last) - nth(first)) * (pos - first))
 
 
 def fit_offset(df: DataFrame, model: IsolationModel, key: str, contamination: float = 0.1) -> IsolationModel:
@@ -225,7 +239,7 @@ def fit_offset(df: DataFrame, model: IsolationModel, key: str, contamination: fl
     return model
 
 
-def decision(df: DataFrame, model: IsolationModel, key: str) -> DataFrame:
-    """Signed decision value (negative = anomalous)."""
-    return (raw_scores(df, model, key)
-            .select(key, (F.col("score_samples") - F.lit(model.offset)).alias("anomaly_score")))
+def decision(df: DataFrame, model: IsolationModel, key: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Signed decision value (negative = anomalous), with the columns of ``carry``."""
+    return (raw_scores(df, model, key, carry)
+            .select(key, *carry, (F.col("score_samples") - F.lit(model.offset)).alias("anomaly_score")))

@@ -156,7 +156,9 @@ def hot_key_plan(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
     hot = counts.where(F.col("_n") > threshold).select(key, F.lit(True).alias("_hot"))
     if hot.isEmpty():
         return df.withColumn(bucket, const), False
-    flagged = df.join(F.broadcast(hot), key, "left")          # <= max_hot keys by construction
+    hot = hot.withColumnRenamed(key, "_hot_key")
+    # <= max_hot keys by construction; null-safe, as a null key may be hot, too
+    flagged = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
     fine = F.date_trunc(unit, F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
     return flagged.withColumn(bucket, F.when(F.col("_hot"), fine).otherwise(const)).drop("_hot"), True
 

@@ -58,6 +58,16 @@ maintenance_history AS (
          l_shipdate AS created_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE l_returnflag = 'R'),
+maintenance_facts AS (
+  SELECT CAST((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1048576
+              + (CAST(l_partkey AS BIGINT) * 7919 + l_suppkey) % 1048573 AS BIGINT) AS seq,
+         'TL-' || (CASE WHEN length(CAST(l_partkey AS VARCHAR)) < 6 THEN lpad(CAST(l_partkey AS VARCHAR), 6, '0') ELSE CAST(l_partkey AS VARCHAR) END) AS tool_code,
+         CAST(l_shipdate AS DATE) AS maintenance_date, CAST(l_extendedprice AS DECIMAL(18,2)) AS cost,
+         CASE WHEN l_linenumber = 1 THEN CAST(NULL AS DOUBLE) ELSE 10.0 - l_quantity / 16.0 END - 1.0
+           AS condition_before,
+         CASE WHEN l_linenumber = 1 THEN CAST(NULL AS DOUBLE) ELSE 10.0 - l_quantity / 16.0 END AS condition_after,
+         l_shipdate AS created_at
+  FROM lineitem WHERE l_returnflag = 'R'),
 tool_events AS (
   SELECT event_id AS seq, ts,
          'TL-' || (CASE WHEN length(CAST(user_id AS VARCHAR)) < 6 THEN lpad(CAST(user_id AS VARCHAR), 6, '0') ELSE CAST(user_id AS VARCHAR) END) AS tool_code,

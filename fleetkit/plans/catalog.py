@@ -275,7 +275,7 @@ def q_usage_apply(spark, sf):
 @register("maintenance_apply", f"""
 m AS (SELECT tool_code, arg_max(maintenance_date, seq) AS d, arg_max(coalesce(condition_after, 10.0), seq) AS c,
              sum(coalesce(cost, 0)) AS cost
-      FROM maintenance_history GROUP BY tool_code)
+      FROM maintenance_facts GROUP BY tool_code)
 SELECT t.tool_code,
        CASE WHEN m.tool_code IS NOT NULL THEN m.d ELSE t.last_maintenance_date END AS last_maintenance_date,
        CASE WHEN m.tool_code IS NOT NULL THEN m.c ELSE t.condition_score END AS condition_score,
@@ -284,7 +284,7 @@ SELECT t.tool_code,
 FROM tools t LEFT JOIN m ON t.tool_code = m.tool_code""")
 def q_maintenance_apply(spark, sf):
     f = load(spark, sf)
-    return (ledger.apply_maintenance(f.tools, f.maintenance, AS_OF)
+    return (ledger.apply_maintenance(f.tools, f.maintenance_facts, AS_OF)
             .select("tool_code", "last_maintenance_date", "condition_score",
                     F.col("maintenance_cost").cast("double").alias("maintenance_cost"), "updated_at"))
 
@@ -293,14 +293,14 @@ def q_maintenance_apply(spark, sf):
 SELECT 'usage_history' AS source_table, tool_code FROM usage_history
 WHERE tool_code NOT IN (SELECT tool_code FROM listed_tools)
 UNION ALL
-SELECT 'maintenance_history', tool_code FROM maintenance_history
+SELECT 'maintenance_history', tool_code FROM maintenance_facts
 WHERE tool_code NOT IN (SELECT tool_code FROM listed_tools)
 UNION ALL
 SELECT 'predictions', tool_code FROM predictions WHERE tool_code NOT IN (SELECT tool_code FROM listed_tools)""")
 def q_orphan_rows(spark, sf):
     """B7 against a catalogue that has lost some tools."""
     f = load(spark, sf)
-    return ledger.orphan_rows(f.listed_tools, f.usage, f.maintenance, predictions(spark, sf))
+    return ledger.orphan_rows(f.listed_tools, f.usage, f.maintenance_facts, predictions(spark, sf))
 
 
 ACCEPTED_SQL = """
@@ -499,7 +499,7 @@ mt AS (
   SELECT t.tool_code, t.condition_score,
          CAST(t.maintenance_cost + coalesce(m.cost, 0) AS DECIMAL(18,2)) AS maintenance_cost
   FROM tools t LEFT JOIN (SELECT tool_code, arg_max(coalesce(condition_after, 10.0), seq) AS c,
-                                 sum(coalesce(cost, 0)) AS cost FROM maintenance_history GROUP BY tool_code) m
+                                 sum(coalesce(cost, 0)) AS cost FROM maintenance_facts GROUP BY tool_code) m
        ON t.tool_code = m.tool_code)
 """
 
@@ -510,7 +510,7 @@ SELECT (SELECT round(avg(usage_duration), 6) FROM usage_history) AS avg_usage_ho
        (SELECT round(avg(condition_score), 6) FROM tools) AS avg_condition_score""")
 def q_analytics_kpis(spark, sf):
     f = load(spark, sf)
-    costed = ledger.apply_maintenance(f.tools, f.maintenance, AS_OF).select("tool_code", "maintenance_cost")
+    costed = ledger.apply_maintenance(f.tools, f.maintenance_facts, AS_OF).select("tool_code", "maintenance_cost")
     base = f.tools.drop("maintenance_cost").join(costed, "tool_code", "left")
     df = kpis.analytics_kpis(f.usage, base)
     return df.select(*[r6(c).alias(c) for c in df.columns])
@@ -564,7 +564,7 @@ ms AS (SELECT tool_code,
               {sql_r2('CASE WHEN count(cost) = 0 THEN NULL ELSE CAST(sum(cost) AS DOUBLE) / count(cost) END')}
                 AS avg_maintenance_cost,
               count(cost) AS maintenance_count, max(maintenance_date) AS last_maintenance
-       FROM maintenance_history GROUP BY tool_code)
+       FROM maintenance_facts GROUP BY tool_code)
 """
 
 
@@ -575,7 +575,7 @@ def q_usage_stats(spark, sf):
 
 @register("maintenance_stats", f"{MAINT_STATS_SQL} SELECT * FROM ms")
 def q_maintenance_stats(spark, sf):
-    return kpis.maintenance_stats(load(spark, sf).maintenance)
+    return kpis.maintenance_stats(load(spark, sf).maintenance_facts)
 
 
 @register("daily_summary", f"""{TODAY_SQL}
@@ -596,11 +596,11 @@ SELECT t.category, CAST(date_trunc('month', m.maintenance_date) AS DATE) AS mont
        round(CAST(sum(m.cost) AS DOUBLE), 6) AS total_cost,
        round(avg(m.condition_after - m.condition_before), 6) AS avg_condition_change,
        count(*) AS n_records
-FROM maintenance_history m JOIN tools t ON m.tool_code = t.tool_code
+FROM maintenance_facts m JOIN tools t ON m.tool_code = t.tool_code
 GROUP BY ROLLUP (t.category, CAST(date_trunc('month', m.maintenance_date) AS DATE))""")
 def q_maintenance_trend(spark, sf):
     f = load(spark, sf)
-    df = kpis.maintenance_trend(f.maintenance, f.tools)
+    df = kpis.maintenance_trend(f.maintenance_facts, f.tools)
     return df.withColumn("total_cost", r6("total_cost")).withColumn("avg_condition_change", r6("avg_condition_change"))
 
 
@@ -633,9 +633,9 @@ SELECT tool_code, seq, maintenance_date, condition_after, prev_condition,
        condition_after - prev_condition AS condition_change, round(rolling_condition_3, 6) AS rolling_condition_3
 FROM (SELECT *, lag(condition_after) OVER w AS prev_condition,
              avg(condition_after) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_condition_3
-      FROM maintenance_history WINDOW w AS (PARTITION BY tool_code ORDER BY maintenance_date, seq))""")
+      FROM maintenance_facts WINDOW w AS (PARTITION BY tool_code ORDER BY maintenance_date, seq))""")
 def q_condition_trend(spark, sf):
-    return windows.condition_trend(load(spark, sf).maintenance).withColumn(
+    return windows.condition_trend(load(spark, sf).maintenance_facts).withColumn(
         "rolling_condition_3", r6("rolling_condition_3"))
 
 
@@ -703,7 +703,7 @@ SELECT t.tool_code, upper(t.status) AS status_upper, replace(t.status, ' ', '-')
 FROM tools t JOIN mt ON t.tool_code = mt.tool_code""")
 def q_display_rules(spark, sf):
     f = load(spark, sf)
-    costed = ledger.apply_maintenance(f.tools, f.maintenance, AS_OF).select("tool_code", "maintenance_cost")
+    costed = ledger.apply_maintenance(f.tools, f.maintenance_facts, AS_OF).select("tool_code", "maintenance_cost")
     t = f.tools.drop("maintenance_cost").join(costed, "tool_code", "inner")
     return t.select("tool_code", F.upper("status").alias("status_upper"), R.status_css("status").alias("status_css"),
                     R.fmt1("condition_score").alias("condition_text"),
@@ -762,7 +762,7 @@ ROUNDED = {"usage_intensity", "maintenance_frequency", "cost_per_hour"}
 
 def features(spark, sf) -> DataFrame:
     f = load(spark, sf)
-    return prepare_features(f.tools, f.usage, f.maintenance, AS_OF)
+    return prepare_features(f.tools, f.usage, f.maintenance_facts, AS_OF)
 
 
 @register("features", FEATURES_SQL + " SELECT " + ", ".join(
@@ -799,8 +799,8 @@ enc AS (SELECT f.*, coalesce(c.code, -1) AS category_encoded, coalesce(l.code, -
 
 
 def encoded_features(spark, sf) -> DataFrame:
-    feats = features(spark, sf)
-    return encode.encode(feats, encode.fit_label_dictionary(feats))
+    # one feature row per tool, so the tools alone hold every label
+    return encode.encode(features(spark, sf), encode.fit_label_dictionary(load(spark, sf).tools))
 
 
 @register("label_codes", FEATURES_SQL + "," + DICT_SQL +
@@ -809,6 +809,26 @@ def q_label_codes(spark, sf):
     return encoded_features(spark, sf).select("tool_code", "category_encoded", "location_encoded", "status_encoded")
 
 
+@register("label_codes_kept", """
+dict AS (SELECT col, value, CAST(dense_rank() OVER (PARTITION BY col ORDER BY value) - 1 AS INTEGER) AS code
+         FROM (SELECT DISTINCT col, value FROM (
+               SELECT 'category' AS col, coalesce(category, 'None') AS value FROM tools WHERE status = 'available'
+               UNION ALL SELECT 'location', coalesce(location, 'None') FROM tools WHERE status = 'available'
+               UNION ALL SELECT 'status', coalesce(status, 'None') FROM tools WHERE status = 'available')))
+SELECT t.tool_code, coalesce(c.code, -1) AS category_encoded, coalesce(l.code, -1) AS location_encoded,
+       coalesce(s.code, -1) AS status_encoded
+FROM tools t
+LEFT JOIN dict c ON c.col = 'category' AND c.value = coalesce(t.category, 'None')
+LEFT JOIN dict l ON l.col = 'location' AND l.value = coalesce(t.location, 'None')
+LEFT JOIN dict s ON s.col = 'status' AND s.value = coalesce(t.status, 'None')""")
+def q_label_codes_kept(spark, sf):
+    """J2 after a retrain: the dictionary fitted on the available tools is kept
+    and meets the whole fleet; labels new to it are -1."""
+    t = load(spark, sf).tools
+    kept = encode.fit_label_dictionary(t.where(F.col("status") == "available"))
+    return encode.encode(t, kept).select("tool_code", "category_encoded", "location_encoded", "status_encoded")
+
+
 def _scaled_sql() -> str:
     stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{i}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{i}"
                       for i, c in enumerate(K.FEATURE_COLUMNS))

@@ -104,10 +104,7 @@ def q_rf_scores(spark, sf):
 
 @register("anomaly_scores")
 def q_anomaly_scores(spark, sf):
-    b = bundle(spark, sf)
-    data = forest.prepare(catalog.features(spark, sf), b.dictionary, b.scaler, b.features)
-    from fleetkit.operators import isolation
-    return isolation.decision(data, b.iforest, forest.KEY).withColumn("anomalous", F.col("anomaly_score") < 0)
+    return forest.anomaly_scores(catalog.features(spark, sf), bundle(spark, sf))
 
 
 @register("risk_ml")
@@ -143,11 +140,11 @@ def q_stream_ledger(spark, sf):
 
 @register("stream_sessions", catalog.SESSIONS_SQL)
 def q_stream_sessions(spark, sf):
-    """M2: event file stream -> stateful check-out/check-in pairing."""
+    """M2: event file stream -> check-out/check-in pairing across micro-batches."""
     root = shared_path(spark, "sessions")
     ev = shape_tool_events(streams.table_stream(spark, sf, "events"))
-    streams.run_to_end(streams.session_stream(ev), f"{root}/out", f"{root}/_checkpoint")
-    return (streams.sessions_as_wall_time(spark.read.parquet(f"{root}/out"))
+    streams.session_batches(ev, root, f"{root}/_checkpoint")
+    return (spark.read.parquet(f"{root}/out").drop("batch")
             .withColumn("duration_hours", catalog.r6("duration_hours")))
 
 

@@ -94,14 +94,18 @@ def shape_usage(li: DataFrame) -> DataFrame:
     )
 
 
+def _condition_after() -> Column:
+    return (F.when(F.col("l_linenumber") == 1, F.lit(None).cast("double"))
+            .otherwise(F.lit(10.0) - F.col("l_quantity") / F.lit(16.0)))
+
+
 def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     j = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
            .join(s, li.l_suppkey == s.s_suppkey, "inner"))
-    after = (F.when(F.col("l_linenumber") == 1, F.lit(None).cast("double"))
-             .otherwise(F.lit(10.0) - F.col("l_quantity") / F.lit(16.0)))
+    after = _condition_after()
     return j.select(
         _seq().alias("seq"),
         code_of(F.col("l_partkey")).alias("tool_code"),
@@ -116,6 +120,19 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def maintenance_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maintenance rows without the texts (type, description, technician):
+    the measures alone need no join."""
+    li = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    after = _condition_after()
+    return li.select(
+        _seq().alias("seq"), code_of(F.col("l_partkey")).alias("tool_code"),
+        F.to_date(F.col("l_shipdate")).alias("maintenance_date"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("cost"),
+        (after - F.lit(1.0)).alias("condition_before"), after.alias("condition_after"),
+        F.col("l_shipdate").alias("created_at"))
+
+
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check-out (view) / check-in (click) events."""
     return shape_tool_events(read(spark, sf_dir, "events"))
@@ -266,7 +283,7 @@ class Fleet:
     (lazy DataFrames; ``scans`` / ``status_updates`` need a part count)."""
 
     _BUILDERS = {
-        "tools": tools, "usage": usage, "maintenance": maintenance, "tool_events": tool_events,
+        "tools": tools, "usage": usage, "maintenance": maintenance, "maintenance_facts": maintenance_facts, "tool_events": tool_events,
         "recent_usage": recent_usage, "listed_tools": listed_tools,
         "scans": scans, "status_updates": status_updates, "intake": intake,
         "prediction_inputs": prediction_inputs, "label_batch": label_batch,

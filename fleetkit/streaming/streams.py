@@ -5,7 +5,8 @@ The reference only polls; here the same operators run on streams:
 * M1 ``ledger_stream``: usage events -> ``foreachBatch`` writing each batch's
   per-tool usage delta (idempotent per batch id); ``ledger_snapshot`` adds
   the deltas to the tools table when read.
-* M2 ``session_stream``: check-out / check-in pairing with per-tool state
+* M2 ``session_batches``: check-out / check-in pairing per micro-batch, the open
+  check-outs kept in a table between batches; ``session_stream`` does it with per-tool state
   (``applyInPandasWithState``; an open check-out waits in state, a later
   check-out replaces it; an optional event-time timeout lets stale ones go as
   open rows).
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 from fleetkit import constants as K
 from fleetkit.operators.joins import scan_enrich
 from fleetkit.operators.ledger import apply_usage_deltas, usage_deltas
+from fleetkit.operators.windows import paired_sessions
 
 EPOCH_NTZ = "1970-01-01 00:00:00"
 
@@ -197,6 +199,34 @@ def session_stream(events: DataFrame, watermark: str = "1 day", stale_after_ms:
             .applyInPandasWithState(_pairing(stale_after_ms), SESSION_SCHEMA, OPEN_STATE, "append", timeout))
 
 
+def session_batches(events: DataFrame, root: str, checkpoint: str, rows_per_task: int = 2_000_000,
+                    trigger: dict | None = None) -> None:
+    """M2 with the batch pairing: each micro-batch is paired by
+    ``windows.paired_sessions`` together with the check-outs left open before
+    it, so a hot tool is split like in a batch job.  Sessions go to
+    ``<root>/out/batch=<id>``, the check-outs still open (at most one row per
+    tool) to ``<root>/open/batch=<id>``; a replayed batch reads the same open
+    rows and overwrites its own folders."""
+    spark = events.sparkSession
+    columns = ["seq", "ts", "tool_code", "user_id", "event_kind"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*columns)
+        fs, p = _fs(spark, f"{root}/open/batch={batch_id - 1}")
+        if fs.exists(p):
+            rows = rows.unionByName(spark.read.parquet(f"{root}/open/batch={batch_id - 1}"))
+        paired_sessions(rows, rows_per_task).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        last = rows.groupBy("tool_code").agg(
+            F.max_by(F.struct("seq", "ts", "user_id", "event_kind"), F.struct("ts", "seq")).alias("r"))
+        (last.where(F.col("r.event_kind") == K.CHECKOUT).select("r.seq", "r.ts", "tool_code", "r.user_id", "r.event_kind")
+         .write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}"))
+
+    q = (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(**(trigger or {"availableNow": True})).start())
+    if trigger is None:
+        q.awaitTermination()
+
+
 def sessions_as_wall_time(df: DataFrame) -> DataFrame:
     return df.select("tool_code", "user_id", "checkout_seq", instant_wall("checkout_time").alias("checkout_time"),
                      instant_wall("checkin_time").alias("checkin_time"), "duration_hours")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import AS_OF, SF_SMALL
-from fleetkit.operators import forest, isolation
+from fleetkit.operators import encode, forest, isolation, risk
 from fleetkit.plans import catalog
 from fleetkit.session import shared_path
 
@@ -86,3 +86,33 @@ def test_exact_percentile_with_heavy_ties(spark):
     for p in (0.0, 0.01, 0.013, 0.1, 0.5, 0.999, 1.0):
         assert isolation.exact_percentile(df, "x", p, accuracy=100) == pytest.approx(
             float(np.percentile(vals, 100 * p)), abs=1e-12), p
+
+
+def test_exact_percentile_collects_no_more_than_its_bound(spark):
+    rng = np.random.default_rng(3)
+    mixed = np.concatenate([rng.normal(size=4000), np.full(3000, 0.25), np.full(2000, 0.5)])
+    two = np.array([1.0] * 500 + [2.0] * 500)
+    for vals in (mixed, two):
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        for p in (0.0, 0.1, 0.5, 0.6, 1.0):
+            assert isolation.exact_percentile(df, "x", p, accuracy=100, max_pairs=20) == pytest.approx(
+                float(np.percentile(vals, 100 * p)), abs=1e-12), p
+
+
+def test_without_a_model_every_result_is_empty(spark, tmp_path):
+    feats = catalog.features(spark, SF_SMALL).limit(5)
+    assert forest.rf_scores(feats, None).count() == forest.anomaly_scores(feats, None).count() == 0
+    assert forest.feature_importance(spark, None).count() == forest.metrics_frame(spark, None).count() == 0
+    forest.save(None, str(tmp_path / "none"))
+    assert forest.load(spark, str(tmp_path / "none")) is None
+    assert risk.retrain_due(forest.metadata_frame(spark, str(tmp_path / "none")), AS_OF).first().retrain
+
+
+def test_retrain_keeps_the_codes(spark):
+    feats = catalog.features(spark, SF_SMALL)
+    old = forest.train(feats.where("status = 'available'"), AS_OF, n_trees=2, depth=2, if_trees=2)
+    new = forest.train(feats, AS_OF, n_trees=2, depth=2, if_trees=2, dictionary=old.dictionary)
+    assert sorted(map(tuple, new.dictionary.collect())) == sorted(map(tuple, old.dictionary.collect()))
+    codes = {r.status: r.status_encoded for r in
+             encode.encode(feats, new.dictionary).select("status", "status_encoded").distinct().collect()}
+    assert codes == {"available": 0, "in_use": -1, "maintenance": -1}

@@ -6,6 +6,7 @@ import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from fleetkit.session import shared_path
 from fleetkit.sources.testdata import shape_tool_events
@@ -62,6 +63,28 @@ def test_table_as_a_directory_of_files(spark):
     assert counts[0] == counts[1] == spark.read.parquet(f"{SF_SMALL}/events.parquet").count() > 0
 
 
+def test_session_batches_equal_the_batch_pairing(spark):
+    """Many files, one a trigger, a hot tool that is split, a restart, and a null tool."""
+    from conftest import SF_SMALL
+    from fleetkit.operators.windows import paired_sessions
+    root = shared_path(spark, "session-batches")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 7).when(F.col("event_id") % 3 == 1, None)
+                       .otherwise(F.col("user_id")))
+    ev.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/events.parquet")
+    batch = [tuple(r) for r in paired_sessions(shape_tool_events(ev)).collect()]
+    stored = [f"{root}/events.parquet/{n}" for n in sorted(os.listdir(f"{root}/events.parquet")) if n.startswith("part")]
+    for k, rows_per_task in enumerate((50, 2_000_000)):
+        src = f"{root}/src{k}"
+        os.makedirs(src)
+        for n, f in enumerate(stored):                       # files arrive one after the other, each in its own run
+            os.link(f, f"{src}/part-{n}.parquet")
+            s = streams.table_stream(spark, src, "events", None, "part-*.parquet", ev.schema)
+            streams.session_batches(shape_tool_events(s), f"{root}/out{k}", f"{root}/_ck{k}", rows_per_task)
+        got = spark.read.parquet(f"{root}/out{k}/out").drop("batch")
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(batch, key=str) and batch
+
+
 def test_ledger_stream_restart_does_not_double_count(spark):
     from conftest import AS_OF, SF_SMALL
     from fleetkit.sources.testdata import shape_usage, tools
