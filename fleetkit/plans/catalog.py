@@ -20,6 +20,7 @@ from fleetkit.functions.dates import days_since, days_until, tolerant_date, tole
 from fleetkit.operators import digests, encode, filters, joins, kpis, labels, ledger, risk, windows
 from fleetkit.operators.features import prepare_features
 from fleetkit.plans.adapters_sql import with_adapters
+from fleetkit.sources import files
 from fleetkit.sources import tables as A
 from fleetkit.sources.testdata import load
 
@@ -178,6 +179,15 @@ def q_tools_json(spark, sf):
     return filters.api_projection(load(spark, sf).tools)
 
 
+@register("tools_json_text", """
+SELECT CAST(to_json({'tool_code': tool_code, 'tool_name': tool_name, 'category': category, 'location': location,
+                     'status': status, 'condition_score': condition_score, 'usage_hours': usage_hours}) AS VARCHAR) AS json
+FROM tools""")
+def q_tools_json_text(spark, sf):
+    """A9 + S17: one JSON object per tool."""
+    return files.tools_json(load(spark, sf).tools)
+
+
 @register("maintenance_log", f"SELECT {MAINT_OUT_SQL} FROM maintenance_history ORDER BY maintenance_date DESC, seq DESC")
 def q_maintenance_log(spark, sf):
     return maint_out(A.maintenance_log(load(spark, sf).maintenance))
@@ -230,6 +240,14 @@ def q_intake_summary(spark, sf):
     return ledger.intake_summary(ledger.classify_intake(f.intake, f.tools))
 
 
+@register("intake_preview", """
+SELECT seq, tool_code, tool_name, category, location, purchase_date, condition_score FROM intake ORDER BY seq LIMIT 5""")
+def q_intake_preview(spark, sf):
+    """The first rows of a batch in arrival order."""
+    return files.preview(load(spark, sf).intake, "seq").select(
+        "seq", "tool_code", "tool_name", "category", "location", "purchase_date", "condition_score")
+
+
 @register("intake_form_valid", """
 SELECT seq, tool_code,
        (tool_code IS NOT NULL AND tool_code <> '' AND tool_name IS NOT NULL AND tool_name <> ''
@@ -526,6 +544,17 @@ def q_daily_usage(spark, sf):
     return kpis.daily_usage(load(spark, sf).usage).withColumn("total_hours", r6("total_hours"))
 
 
+RANGE = (_dt.date(2000, 1, 1), _dt.date(2000, 12, 31))
+
+
+@register("daily_usage_range", f"""
+SELECT CAST(checkout_time AS DATE) AS usage_date, round(coalesce(sum(usage_duration), 0.0), 6) AS total_hours
+FROM usage_history WHERE CAST(checkout_time AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}' GROUP BY 1""")
+def q_daily_usage_range(spark, sf):
+    """C5 on E6: one year."""
+    return kpis.daily_usage(load(spark, sf).usage, *RANGE).withColumn("total_hours", r6("total_hours"))
+
+
 TODAY_SQL = f"""
 today AS (
   SELECT coalesce(sum(usage_duration), 0.0) AS total_hours, count(DISTINCT tool_code) AS active_tools,

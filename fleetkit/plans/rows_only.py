@@ -5,6 +5,8 @@ intermediate files go to the shared checkpoint folder
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetkit import constants as K
 from fleetkit import schemas
+from fleetkit.functions.dates import ts_lit
 from fleetkit.operators import forest, ledger
 from fleetkit.plans import catalog
 from fleetkit.plans.adapters_sql import with_adapters
@@ -148,11 +151,28 @@ def q_stream_sessions(spark, sf):
             .withColumn("duration_hours", catalog.r6("duration_hours")))
 
 
-@register("retrain_due")
+@register("retrain_due", f"""
+SELECT {catalog.ASOF_TS} + to_hours(h) AS as_of, {catalog.ASOF_TS} AS newest_model, h > {K.RETRAIN_AFTER_HOURS} AS retrain
+FROM (VALUES (0), (24), (25), (72)) AS t(h)""")
 def q_retrain_due(spark, sf):
-    """The saved bundle's metadata decides whether to retrain at the
-    as-of instant (newest model older than 24 hours, or none)."""
+    """The saved bundle's metadata decides whether to retrain (newest
+    model older than 24 hours, or none), asked at four later instants."""
     from fleetkit.operators.risk import retrain_due
     path = shared_path(spark, "model-meta")
     forest.save(bundle(spark, sf), path)
-    return retrain_due(forest.metadata_frame(spark, path), AS_OF)
+    meta = forest.metadata_frame(spark, path)
+    asked = [AS_OF + dt.timedelta(hours=h) for h in (0, 24, 25, 72)]
+    rows = [retrain_due(meta, t).select(ts_lit(t).alias("as_of"), "newest_model", "retrain") for t in asked]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+@register("model_reload_same", "SELECT tool_code, true AS same FROM tools")
+def q_model_reload_same(spark, sf):
+    """Every tool scored before saving and after loading the bundle."""
+    path = shared_path(spark, "model-same")
+    b, feats = bundle(spark, sf), catalog.features(spark, sf)
+    forest.save(b, path)
+    score = lambda m, name: forest.score(feats, m, AS_OF).select(
+        "tool_code", F.col("confidence_score").alias(name))
+    both = score(b, "before").join(score(forest.load(spark, path), "after"), "tool_code", "full")
+    return both.select("tool_code", F.col("before").eqNullSafe(F.col("after")).alias("same"))
