@@ -77,7 +77,7 @@ RETRAIN_AFTER_HOURS = 24
 # ---- fixed values: labels and codes -------------------------------------------
 CODE_MIN_LEN = 3
 CODE_MAX_LEN = 20
-CODE_PATTERN_CHARS = "A-Z0-9_-"    # character class of a valid tool code
+CODE_PATTERN = r"^[A-Z0-9\-_]+$"   # a valid tool code, upper-cased
 LABEL_SUFFIX = "_qr.png"
 LABEL_DIR = "qr_codes/"
 MISSING_CODE_ERROR = "Missing tool_code"

@@ -75,9 +75,3 @@ def tolerant_date(text: Column | str) -> Column:
 
 def as_of_date(as_of) -> Column:
     return date_lit(as_of)
-
-
-def to_day(ts: Column | str) -> Column:
-    """Calendar day of a timestamp (the bucket of per-day sequences)."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.to_date(ts)

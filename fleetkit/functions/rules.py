@@ -125,7 +125,7 @@ def code_valid(code) -> Column:
     ``^[A-Z0-9-_]+$`` where ``$`` also accepts one final newline (the
     semantics of a Python ``re.match`` with ``$``).  Null -> False."""
     c = _c(code)
-    pattern = f"^[{K.CODE_PATTERN_CHARS}]+\\n?\\z"
+    pattern = K.CODE_PATTERN.removesuffix("$") + r"\n?\z"
     ok = (F.length(c).between(K.CODE_MIN_LEN, K.CODE_MAX_LEN)
           & (F.length(F.trim(c, F.lit(" \t\n\r\f\u000b"))) > 0)
           & F.upper(c).rlike(pattern))
