@@ -11,12 +11,17 @@ from pyspark.sql import Window as W
 from fleetkit.llm.common import keep, prepare, table
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Transformed statistics with the least spread that counts: a group in which a
-#: statistic hardly varies must not reject a document for one odd character.
-STATISTICS = {"word_length": 0.15, "symbols": 0.45, "dup_lines": 0.6, "repeats": 0.35, "capitals": 0.5, "marks": 0.5}
+#: Transformed statistics with the spread that stands in for a group's own where
+#: that is smaller, so that one odd character rejects nothing.  From a center of
+#: 0, symbols and marks reject alone beyond 2% of the characters, duplicate
+#: lines and repeated words beyond 20%.
+STATISTICS = {"word_length": 0.01, "symbols": 0.208, "dup_lines": 0.208, "repeats": 0.088, "capitals": 0.05,
+              "marks": 0.208}
 P = len(STATISTICS)
 # Quantiles of the chi-squared distribution with 6 degrees of freedom.
-CHI2_HALF, CHI2_CUT = 5.348, 27.856           # 0.5 and 0.9999
+CHI2_CUT = 27.856                             # 0.9999
+#: Medians of the chi-squared distribution with 1 to 6 degrees of freedom.
+CHI2_HALF = [0.455, 1.386, 2.366, 3.357, 4.351, 5.348]
 #: Resolution of the quantiles of ln(1 + squared distance).
 STEP = 0.002
 
@@ -101,23 +106,29 @@ def _inverse(matrix: Column) -> Column:
     return F.transform(swept, lambda row: F.transform(row, lambda x: -x))
 
 
+def _floored(cov: Column) -> Column:
+    """Inverse of a covariance whose variances are raised to the least spreads where they are smaller."""
+    least = F.array(*[F.lit(v * v) for v in STATISTICS.values()])
+    return _inverse(F.transform(cov, lambda row, i: F.transform(row, lambda x, j: F.when(
+        i == j, F.greatest(x, least[i])).otherwise(x))))
+
+
 def _estimate(df: DataFrame) -> DataFrame:
-    """Per group: center and inverse covariance (with the least spreads added) of the given rows."""
+    """Per group: center, covariance and its inverse (see _floored) of the given rows."""
     x = [F.col("x")[i] for i in range(P)]
     sums = [F.avg(x[i]).alias(f"m{i}") for i in range(P)]
     sums += [F.avg(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-    cov = [[F.col(f"s{min(i, j)}_{max(i, j)}") - F.col(f"m{i}") * F.col(f"m{j}")
-            + (list(STATISTICS.values())[i] ** 2 if i == j else 0) for j in range(P)] for i in range(P)]
+    cov = [[F.col(f"s{min(i, j)}_{max(i, j)}") - F.col(f"m{i}") * F.col(f"m{j}") for j in range(P)] for i in range(P)]
     return df.groupBy("g").agg(*sums).select(
-        "g", F.array(*[f"m{i}" for i in range(P)]).alias("center"),
-        _inverse(F.array(*[F.array(*r) for r in cov])).alias("inverse"))
+        "g", F.array(*[f"m{i}" for i in range(P)]).alias("center"), F.array(*[F.array(*r) for r in cov]).alias("cov")
+    ).withColumn("inverse", _floored(F.col("cov")))
 
 
 def _distance(df: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds ln(1 + squared Mahalanobis distance) as d."""
     z = [F.col("x")[i] - F.col("center")[i] for i in range(P)]
     d2 = sum((1 if i == j else 2) * z[i] * z[j] * F.col("inverse")[i][j] for i in range(P) for j in range(i, P))
-    return df.join(estimate, "g").withColumn("d", F.log1p(F.greatest(d2, F.lit(0.0)))).drop("center", "inverse")
+    return df.join(estimate, "g").withColumn("d", F.log1p(F.greatest(d2, F.lit(0.0)))).drop("center", "cov", "inverse")
 
 
 def outliers(stats: DataFrame, share: float = 0.75, steps: int = 4, least: int = 100,
@@ -127,9 +138,11 @@ def outliers(stats: DataFrame, share: float = 0.75, steps: int = 4, least: int =
     Per language and source the minimum-covariance-determinant estimate is
     sought over the documents that pass the base rules: start from the
     ``share`` nearest to the medians, then ``steps`` concentration steps (mean
-    and covariance of the nearest ``share``, distances anew).  Distances are
-    scaled so that their median is that of the chi-squared distribution;
-    a document beyond its 0.9999 quantile is rejected.  Groups of fewer than
+    and covariance of the nearest ``share``, distances anew).  The covariance
+    is scaled, up or down, so that the median distance is that of the
+    chi-squared distribution over the statistics that vary in the group (more
+    than the least spreads); then only the others get the least spread.  A
+    document beyond the 0.9999 quantile over all statistics is rejected.  Groups of fewer than
     ``least`` documents use their language's estimate, languages of fewer all
     documents'.  Null languages and sources are groups of their own.  Medians
     and shares come from counts per fixed step, covariances from sums, both
@@ -164,15 +177,20 @@ def outliers(stats: DataFrame, share: float = 0.75, steps: int = 4, least: int =
         limit = _quantile(near, ["g"], F.col("d"), share)
         estimate = keep(_estimate(near.join(limit, "g").where(F.col("d") <= F.col("q"))), "rules-step")
     near = _distance(sound, estimate)
-    scale = _quantile(near, ["g"], F.col("d"), 0.5).select(
-        "g", F.greatest(F.expm1("q") / CHI2_HALF, F.lit(1.0)).alias("scale"))
-    final = keep(estimate.join(scale, "g"), "rules-final")
-    left = marked.join(final.select("g", "center", "inverse", "scale"), "g", "left")
+    cov = F.col("cov")
+    varying = sum((cov[i][i] > v * v).cast("int") for i, v in enumerate(STATISTICS.values()))
+    half = F.array(*[F.lit(v) for v in CHI2_HALF])
+    middle = _quantile(near, ["g"], F.col("d"), 0.5).withColumnRenamed("q", "middle")
+    final = estimate.join(middle, "g").withColumn("varying", varying).withColumn(
+        "scale", F.when(F.col("varying") > 0, F.expm1("middle") / F.get(half, F.col("varying") - 1)).otherwise(F.lit(1.0)))
+    final = keep(final.select("g", "center", _floored(F.transform(cov, lambda row: F.transform(
+        row, lambda x: x * F.col("scale")))).alias("inverse")), "rules-final")
+    left = marked.join(final, "g", "left")
     z = [F.col("x")[i] - F.col("center")[i] for i in range(P)]
     d2 = sum((1 if i == j else 2) * z[i] * z[j] * F.col("inverse")[i][j] for i in range(P) for j in range(i, P))
-    return (left.withColumn("distance2", d2 / F.col("scale"))
+    return (left.withColumn("distance2", d2)
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut))
-            .drop("x", "g", "center", "inverse", "scale"))
+            .drop("x", "g", "center", "inverse"))
 
 
 def judge(docs: DataFrame, **options) -> DataFrame:

@@ -52,3 +52,25 @@ def test_outliers_go_and_clean_ones_stay(spark):
     assert len(got) == len(rows)
     assert all(r.kept == (r.doc_id is not None and r.doc_id % 10 != 0) for r in got if r.doc_id != 7)
     assert Q.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_duplicate_lines_and_repeated_words_reject_alone(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(600):
+        lines = [line(8) for _ in range(int(rng.integers(10, 30)))]
+        if i % 50 == 0:                     # nearly all lines are copies of one of two words
+            lines = [line(40), line(40)] + ["ab cd"] * 6
+        elif i % 50 == 1:                   # two fifths of the words in repeated windows, no repeated line
+            again = line(16)
+            lines = [again, again + " " + line(24), line(24)]
+        elif i % 50 == 2:                   # one odd character
+            lines[0] = "!" + lines[0] + "#"
+        rows.append((i, "\n".join(lines), "en", "s", "k", 1))
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in got if i % 50 < 2)
+    assert all(got[i].kept for i in got if i % 50 == 2)
+    assert sum(not got[i].kept for i in got if i % 50 > 2) <= 3
