@@ -4,6 +4,8 @@ Everything here is DataFrame functions; no Python runs on the executors."""
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,13 +24,23 @@ KINDS = [*PATTERNS, "random"]
 #: Parts of the assign keywords, to skip texts without one before the pattern runs.
 KEYWORDS = ("passw", "secret", "token", "api")
 #: Token-like runs that the battery tests.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 # Alphabets of the encodings, in the order they are tried.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ENCODINGS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": UPPER + "234567",
-             "base36": LOWER + DIGITS, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/-_="}
-#: In text, character classes change about this often per character, and once at a capital.
-CHANGE_RATE, CHANGE_BASE = 0.04, 1.0
+ENCODINGS = {"digits": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower": LOWER, "upper": UPPER,
+             "base32": UPPER + "234567", "base36": LOWER + DIGITS, "BASE36": UPPER + DIGITS,
+             "base62": UPPER + LOWER + DIGITS}
+#: Signs of base64 (+ / or - _) and its padding: at their places nothing is tested.
+SIGNS = r"[+/_=-]+"
+#: The text alternative.  Chances of the class (digit, small, capital letter) after each class:
+NEXT = [[0.8, 0.1, 0.1], [0.04, 0.84, 0.12], [0.04, 0.5, 0.46]]
+#: letters a to z in texts of Latin script, percent:
+FREQUENCY = [8.0, 1.6, 3.2, 4.0, 14.0, 1.8, 2.1, 3.8, 7.4, 0.35, 0.7, 4.4, 2.6, 7.4, 6.8, 2.4, 0.4, 6.6, 6.9, 7.6, 3.6,
+             1.3, 1.4, 0.25, 1.3, 0.6]
+#: chance of a vowel after a consonant and after a vowel:
+VOWELS, VOWEL_NEXT = "aeiouy", (0.52, 0.15)
+#: chances that a digit is the one before or its neighbour, a zero, or any.
+DIGIT_NEXT = (0.5, 0.2, 0.3)
 #: A run whose combined randomness test is below this does not look random.
 LEVEL = 0.001
 #: Share of false discoveries allowed among the added spans, and the resolution of ln p.
@@ -66,35 +78,87 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(700.0))))
 
 
+def _text_ln_p(text: Column, encoding: Column) -> Column:
+    """ln of the combined p-value of the battery's three tests under text.
+
+    Each test is the likelihood ratio of a uniformly random string against text:
+    of the classes of characters given the one before (runs), of the letter or
+    digit given its class (frequencies), and of vowels and digits given the one
+    before (serial).  They are conditional on each other, so under text their
+    product exceeds 1 / p with a chance of p at most (Markov's inequality).  The
+    encoding is chosen from the run: p is multiplied by the number of encodings.
+    Without small letters, capitals are read as small ones: text may be all capitals."""
+    listed = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    freq = [x / sum(FREQUENCY) for x in FREQUENCY]
+    vowel = sum(f for f, c in zip(freq, LOWER) if c in VOWELS)
+    # per letter: ln frequency; and the serial ratio after a consonant or vowel
+    ln_freq = listed(log(f) for f in freq)
+    serial = listed(log(vowel / VOWEL_NEXT[p] if c in VOWELS else (1 - vowel) / (1 - VOWEL_NEXT[p]))
+                    for p in (0, 1) for c in LOWER)
+    is_vowel = listed(c in VOWELS for c in LOWER)
+    ln_next = listed(log(x) for row in NEXT for x in row)
+    counts = {k: [sum(c in s for c in a) for s in (DIGITS, LOWER, UPPER)] for k, a in ENCODINGS.items()}
+    by = lambda f: F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), listed(f(v)))])[encoding]
+    near, zero, any_ = DIGIT_NEXT
+
+    def digit(x: Column, y: Column) -> Column:
+        apart = F.abs(x - y)
+        return log(0.1) - F.log(F.when(apart.isin(0, 1, 9), near / 3).otherwise(0.0) + F.when(y == 0, zero).otherwise(0.0)
+                                + any_ / 10)
+
+    def total(s: Column) -> Column:
+        at, share, size = s["at"], s["share"], s["size"]
+
+        def step(y: Column, i: Column) -> Column:
+            x = F.when(i > 0, F.get(at, i - 1)).otherwise(F.lit(-1))
+            kind = lambda v: F.when(v < 10, 0).when(v < 36, 1).otherwise(2)
+            letter = lambda v: F.when(v < 36, v - 10).otherwise(v - 36)
+            runs = F.when(x < 0, 0.0).otherwise(F.get(share, kind(y)) - F.get(ln_next, 3 * kind(x) + kind(y)))
+            same = (x >= 0) & (kind(x) == kind(y))
+            of_letter = (-F.get(size, kind(y)) - F.get(ln_freq, letter(y)) + F.when(same, F.get(
+                serial, (26 * F.get(is_vowel, letter(x))).cast("int") + letter(y))).otherwise(0.0))
+            of_digit = F.when(same, digit(x, y)).otherwise(0.0)
+            return F.when(y < 0, 0.0).otherwise(runs + F.when(y < 10, of_digit).otherwise(of_letter))
+
+        return F.aggregate(F.transform(at, step), F.lit(0.0), lambda acc, x: acc + x)
+
+    small = text.rlike("[a-z]")
+    # all capitals: the text is read as small letters, and so are the encoding's capitals
+    read = lambda v: F.when(small, v).otherwise(F.array(F.get(v, 0), F.get(v, 2), F.lit(0.0)))
+    return log(len(ENCODINGS)) - _let(F.struct(
+        F.transform(F.split(F.when(small, text).otherwise(F.lower(text)), ""),
+                    lambda c: F.instr(F.lit(DIGITS + LOWER + UPPER), c) - 1).alias("at"),
+        read(by(lambda v: [log(x / sum(v)) if x else 0.0 for x in v])).alias("share"),
+        read(by(lambda v: [log(x) if x else 0.0 for x in v])).alias("size")), total)
+
+
 def battery(runs: DataFrame, text: str = "text") -> DataFrame:
     """Adds encoding, p_random and ln_p to rows with a token-like run.
 
-    The encoding is the smallest alphabet that holds the run, if it has two
-    classes of characters at least (digits, small, capital letters).
+    The encoding is the smallest alphabet that holds the run's letters and
+    digits.  Signs are left out before the tests: base64, its url-safe form and
+    a base62 run with a sign are all uniform over their letters and digits.
     p_random combines, under a uniformly random string, chi-squared uniformity
     over the alphabet (exact mean and variance), a runs test of the character
     classes and the lag-1 serial correlation (smallest of three, times three).
-    ln_p bounds the chance that text changes class as often over this length
-    (Chernoff bound of a Poisson tail): longer runs can be surer."""
-    out = runs.withColumn("n", F.length(text))
-    classes = sum(F.col(text).rlike(f"[{c}]").cast("int") for c in ("0-9", "a-z", "A-Z"))
-    # a hyphen or equals sign alone does not make a word base64
+    ln_p combines the three tests under text (see _text_ln_p): this is what
+    the false-discovery step works on."""
+    out = runs.withColumn("core", F.regexp_replace(text, SIGNS, "")).withColumn("n", F.length("core"))
     named = F.lit(None).cast("string")
-    for name, letters in reversed(ENCODINGS.items()):
-        inside = "".join("\\" + c if c in "+/-_=" else c for c in letters)
-        named = F.when(F.col(text).rlike(f"^[{inside}]+$"), F.lit(name)).otherwise(named)
-    out = out.withColumn("encoding", F.when(classes >= 2, named))
+    for name, letters in reversed(sorted(ENCODINGS.items(), key=lambda kv: len(kv[1]))):
+        named = F.when(F.col("core").rlike(f"^[{letters}]+$"), F.lit(name)).otherwise(named)
+    out = out.withColumn("encoding", F.when(F.col("n") > 1, named))
     out = out.withColumn("alphabet", F.create_map(*[F.lit(x) for kv in ENCODINGS.items() for x in kv])[F.col("encoding")])
     # written, so that nothing below works the encoding out again for every character
     known = keep(out.where("encoding is not null"), "secret-runs")
     n, a = F.col("n").cast("double"), F.length("alphabet").cast("double")
-    chars = F.split(text, "")
+    chars = F.split("core", "")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(
-        F.length(F.col(text)) - F.length(F.replace(F.col(text), c, F.lit(""))), F.lit(2.0)))
+        F.length("core") - F.length(F.replace(F.col("core"), c, F.lit(""))), F.lit(2.0)))
     chi = ((a / n) * squares - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-    # classes: digits, small letters, capitals, signs
-    members = [F.length(F.regexp_replace(text, f"[^{c}]+", "")).cast("double") for c in ("0-9", "a-z", "A-Z", r"+/\-_=")]
-    changes = F.size(F.regexp_extract_all(text, F.lit(r"[0-9]+|[a-z]+|[A-Z]+|[+/\-_=]+"), F.lit(0))).cast("double") - 1
+    # classes: digits, small letters, capitals
+    members = [F.length(F.regexp_replace("core", f"[^{c}]+", "")).cast("double") for c in ("0-9", "a-z", "A-Z")]
+    changes = F.size(F.regexp_extract_all("core", F.lit(r"[0-9]+|[a-z]+|[A-Z]+"), F.lit(0))).cast("double") - 1
     same = sum(m * (m - 1) for m in members) / (n * (n - 1))
     runs_z = (changes - (n - 1) * (1 - same)) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(0.25)))
     at = F.transform(chars, lambda c: F.instr(F.col("alphabet"), c).cast("double"))
@@ -106,13 +170,11 @@ def battery(runs: DataFrame, text: str = "text") -> DataFrame:
                     / F.greatest(total(F.transform(d, lambda x: x * x)), F.lit(1e-9)))
 
     known = known.withColumn("chi_z", chi).withColumn("runs_z", runs_z) \
-        .withColumn("serial_z", _let(at, serial) * F.sqrt(n)).withColumn("changes", changes)
+        .withColumn("serial_z", _let(at, serial) * F.sqrt(n))
     least = F.least(_tail(F.col("chi_z")), 2 * _tail(F.abs("runs_z")), 2 * _tail(F.abs("serial_z")))
-    rate = CHANGE_BASE + CHANGE_RATE * n
-    s = F.greatest(F.col("changes"), F.lit(1.0))
-    ln_p = F.when(s > rate, s - rate - s * F.log(s / rate)).otherwise(F.lit(0.0))
-    return known.withColumn("p_random", F.least(3 * least, F.lit(1.0))).withColumn("ln_p", ln_p).drop(
-        "alphabet", "chi_z", "runs_z", "serial_z", "changes")
+    return known.withColumn("p_random", F.least(3 * least, F.lit(1.0))) \
+        .withColumn("ln_p", F.least(_text_ln_p(F.col(text), F.col("encoding")), F.lit(0.0))).drop(
+        "core", "alphabet", "chi_z", "runs_z", "serial_z")
 
 
 def discoveries(tested: DataFrame, fdr: float = FDR, level: float = LEVEL) -> DataFrame:

@@ -78,3 +78,21 @@ def test_redaction(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in S.redacted(docs).collect()}
     assert got == {0: ("é [secret] end", 14), 1: ("nothing", 7), 2: (None, 0), 3: ("[secret] and [secret]", 21),
                    4: ("[secret]", 8), 5: ("[secret] z", 10)}
+
+
+def planted(spark, letters, n, tokens, words=1980, seed=6):
+    rng = np.random.default_rng(seed)
+    make = lambda a, k: "".join(rng.choice(list(a), k))
+    common = ["the", "inter", "nation", "form", "ation", "con", "sider", "able", "und", "heit", "lich", "keit", "ment"]
+    texts = ["".join(rng.choice(common, 6)) for _ in range(words)] + [make(letters, n) for _ in range(tokens)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in S.scan(rows).collect() if any(s["kind"] == "random" for s in r.spans)}
+    return sum(i >= words for i in got), sum(i < words for i in got)
+
+
+def test_each_encoding_is_found_among_text(spark):
+    for letters, n in ((S.UPPER + "234567", 24), (S.LOWER + S.DIGITS, 32), (S.DIGITS + "ABCDEF", 24), (S.LOWER, 48),
+                       (S.DIGITS, 48)):
+        found, wrong = planted(spark, letters, n, 20)
+        print(letters, n, found, wrong)
+        assert found >= 14 and wrong <= 1, (letters, found, wrong)
