@@ -96,3 +96,10 @@ def test_each_encoding_is_found_among_text(spark):
         found, wrong = planted(spark, letters, n, 20)
         print(letters, n, found, wrong)
         assert found >= 14 and wrong <= 1, (letters, found, wrong)
+
+
+def test_long_runs_stay_random(spark):
+    alnum = S.UPPER + S.LOWER + S.DIGITS
+    for n in (500, 2_500, 10_000):
+        for letters in (alnum + "+/", alnum + "-_"):
+            assert planted(spark, letters, n, 20, words=20)[0] >= 19, (n, letters)
