@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,11 +30,15 @@ BOILERPLATE = set("""ad ads adv advert adverts advertisement advertising adsense
     responses disqus cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay lightbox
     newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations
     widget widgets pagination pager toolbar skip hidden outbrain taboola popover toast""".split())
+#: Words that make a class or id one of layout.
+MODIFIERS = {"has", "no", "with", "without", "print"}
 STEMS = ("advert", "comment", "cookie", "footer", "sidebar", "sponsor", "navbar", "breadcrumb", "newsletter", "disqus")
 ROLES = set("""navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form
     toolbar tablist""".split())
-#: Elements that a boilerplate class does not remove.
+#: Elements whose class or id is not looked at.
 ROOTS = {"html", "body", "main", "article"}
+#: Unlinked characters outside named elements that make a page's main text.
+PROSE = 80
 #: Start tags that end an open element of the second kind, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -49,7 +54,7 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is hidden or marked as something else than article text."""
+    """Whether an element is hidden or of a kind that holds no article text."""
     if tag in DROPPED or tag == "header" and not inside_article:
         return True
     if not attrs.strip() or tag in ROOTS:
@@ -61,8 +66,21 @@ def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
         return True
     if "display:none" in got.get("style", "").replace(" ", "").lower():
         return True
-    marks = CAMEL.sub(" ", f"{got.get('class', '')} {got.get('id', '')}").lower()
-    return any(w in BOILERPLATE or any(s in w for s in STEMS) for w in WORDS.findall(marks))
+    return False
+
+
+def _named(tag: str, attrs: str) -> bool:
+    """Whether a class or id names boilerplate; layout modifiers (has-sidebar) do not."""
+    if tag in ROOTS or not attrs.strip():
+        return False
+    got = {}
+    for m in ATTR.finditer(attrs):
+        got.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
+    for name in f"{got.get('class', '')} {got.get('id', '')}".split():
+        words = WORDS.findall(CAMEL.sub(" ", name).lower())
+        if not MODIFIERS & set(words) and any(w in BOILERPLATE or any(s in w for s in STEMS) for w in words):
+            return True
+    return False
 
 
 class _Page:
@@ -70,6 +88,7 @@ class _Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.last, self.drop = ["#page"], [-1], [0], [False]
+        self.named = [False]
         self.links = [0]
         self.blocks: list[tuple[int, str, int]] = []       # node, text, characters inside links
         self._open, self._text, self._linked = [0], [], 0
@@ -159,6 +178,7 @@ class _Page:
         self.parent.append(up)
         self.last.append(len(self.tag))
         self.drop.append(self.drop[up] or _boilerplate(name, attrs, inside))
+        self.named.append(_named(name, attrs))
         if name == "a":
             self.links.extend([0] * (len(self.tag) - len(self.links)))
             for k in self._open:
@@ -175,6 +195,34 @@ class _Page:
         return at
 
 
+def _drop_named(page: _Page) -> None:
+    """Takes out the blocks of elements that a class or id names as boilerplate,
+    unless they hold an <article> or <main>, or most of the page's unlinked
+    paragraph text while hardly any (PROSE, or a twentieth) is outside."""
+    n = len(page.tag)
+    if not any(page.named):
+        return
+    # the outermost named element that does not hold the article
+    holds = [False] * n
+    for k in range(1, n):
+        if page.tag[k] in ("article", "main") and not page.drop[k]:
+            up = page.parent[k]
+            while up >= 0 and not holds[up]:
+                holds[up] = True
+                up = page.parent[up]
+    top = [0] * n
+    for k in range(1, n):
+        top[k] = top[page.parent[k]] or (k if page.named[k] and not holds[k] else 0)
+    unlinked = Counter()
+    for node, text, link in page.blocks:
+        if page.tag[node] not in HEADINGS:
+            unlinked[top[node]] += len(text) - link
+    # with prose outside, the names are right
+    whole = sum(unlinked.values())
+    wrong = {k for k in unlinked if 2 * unlinked[k] > whole and unlinked[0] < max(PROSE, unlinked[k] / 20)}
+    page.blocks = [b for b in page.blocks if not top[b[0]] or top[b[0]] in wrong]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, blocks joined by one newline.
 
@@ -189,6 +237,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
+    _drop_named(page)
     if not page.blocks:
         return ""
     n = len(page.tag)

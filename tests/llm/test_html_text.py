@@ -48,3 +48,13 @@ def test_edges(spark):
     got = extract(df).collect()
     assert [r.n_chars for r in got] == [0, len(BODY), 899_999, 899_999]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div id='page' class='no-sidebar'",
+                                     "div class='hidden-print'", "section class='social-science'", "div class=commentary"])
+def test_names_do_not_drop_the_article(wrapper):
+    end = f"</{wrapper.split()[0]}>"
+    for inner in (f"<article><p>{BODY}</p><p>{BODY}</p></article>", f"<p>{BODY}</p><p>{BODY}</p>"):
+        page = f"<body><nav>x</nav><{wrapper}>{inner}<div class=ad><p>Buy</p></div>{end}<div class=ad>Buy</div></body>"
+        assert main_text(page).split("\n")[:2] == [BODY, BODY], page
+        assert main_text(f"<body><{wrapper}>{inner}{end}<footer>f</footer></body>") == f"{BODY}\n{BODY}"
