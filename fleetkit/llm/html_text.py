@@ -37,6 +37,8 @@ ROLES = set("""navigation banner contentinfo complementary search alert alertdia
     toolbar tablist""".split())
 #: Elements whose class or id is not looked at.
 ROOTS = {"html", "body", "main", "article"}
+#: Characters per link below which a list of links is a menu; references have more.
+MENU = 25
 #: Unlinked characters outside named elements that make a page's main text.
 PROSE = 80
 #: Start tags that end an open element of the second kind, up to the third.
@@ -217,9 +219,13 @@ def _drop_named(page: _Page) -> None:
     for node, text, link in page.blocks:
         if page.tag[node] not in HEADINGS:
             unlinked[top[node]] += len(text) - link
-    # with prose outside, the names are right
+    inside = [False] * n
+    for k in range(1, n):
+        inside[k] = inside[page.parent[k]] or page.tag[k] in ("article", "main")
+    # with prose outside, or an article that has paragraphs of its own, the names are right
     whole = sum(unlinked.values())
-    wrong = {k for k in unlinked if 2 * unlinked[k] > whole and unlinked[0] < max(PROSE, unlinked[k] / 20)}
+    article = any(inside[b[0]] and not top[b[0]] and page.tag[b[0]] not in HEADINGS for b in page.blocks)
+    wrong = {k for k in unlinked if k and not article and 2 * unlinked[k] > whole and unlinked[0] < max(PROSE, unlinked[k] / 20)}
     page.blocks = [b for b in page.blocks if not top[b[0]] or top[b[0]] in wrong]
 
 
@@ -230,10 +236,11 @@ def main_text(html: str | None) -> str:
     its share of link text; its container gets all of it, the next half, the
     k-th above a 3k-th.  A container's score is again discounted by its link
     density.  The best one is kept (lifted to the <article> or <main> around
-    it) with the siblings that score a fifth of it, or are prose themselves.
+    it) with the siblings that score a fifth of it, or are prose themselves, and
+    else the unlinked ones beside it in their container, headings included.
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-    and reader comments are never scored or kept, nor are lists of links inside
-    the article.  Null, empty or textless pages give an empty string."""
+    and reader comments are never scored or kept, nor are lists of short links
+    inside the article.  Null, empty or textless pages give an empty string."""
     if not html:
         return ""
     page = _Page(html)
@@ -265,14 +272,24 @@ def main_text(html: str | None) -> str:
         if page.tag[k] == "article" or page.tag[k] == "main" and page.tag[best] != "article":
             best = k
         k = page.parent[k]
-    kept = [best]
-    for k in range(1, n):
-        if page.parent[k] == page.parent[best] and k != best and chars[k]:
-            prose = page.tag[k] == "p" and density[k] < 0.25 and chars[k] > 80 and page.tag[best] not in ROOTS
-            if score[k] >= max(10.0, 0.2 * score[best]) or prose:
-                kept.append(k)
+    kept, up = [best], page.parent[best]
+    beside = [k for k in range(1, n) if page.parent[k] == up and k != best and chars[k]]
+    for k in beside:
+        prose = page.tag[k] == "p" and density[k] < 0.25 and chars[k] > 80 and page.tag[best] not in ROOTS
+        if score[k] >= max(10.0, 0.2 * score[best]) or prose:
+            kept.append(k)
+    if page.tag[best] not in ROOTS:
+        # other parts of the article: all in a container of its own, on the page itself those among the kept ones,
+        # and the headings right before them
+        outer = up < 0 or page.tag[up] in ("#page", "html", "body")
+        first, last = min(kept), max(kept)
+        for k in reversed(beside):
+            if outer and k < first and page.tag[k] in HEADINGS and not any(k < x < first for x in beside):
+                first = k
+        kept += [k for k in beside if k not in kept and density[k] < 0.25 and (not outer or first <= k <= last)]
     menus = [k for k in range(1, n) if page.links[k] > 1 and density[k] > 0.8
-             and page.tag[k] in ("ul", "ol", "dl", "div", "section", "table", "p") and k not in kept]
+             and page.tag[k] in ("ul", "ol", "dl", "div", "section", "table") and k not in kept
+             and linked[k] < MENU * page.links[k]]
     cut = [0] * (n + 1)
     for group, step in ((kept, 1), (menus, -n)):
         for k in group:

@@ -58,3 +58,12 @@ def test_names_do_not_drop_the_article(wrapper):
         page = f"<body><nav>x</nav><{wrapper}>{inner}<div class=ad><p>Buy</p></div>{end}<div class=ad>Buy</div></body>"
         assert main_text(page).split("\n")[:2] == [BODY, BODY], page
         assert main_text(f"<body><{wrapper}>{inner}{end}<footer>f</footer></body>") == f"{BODY}\n{BODY}"
+
+
+def test_short_sections_headings_and_references_stay():
+    five, refs = f"<p>{BODY}</p>" * 5, "<ul><li><a href=1>A cited work with a long title, 2020</a></li>" \
+        "<li><a href=2>Another cited work with a long title</a></li></ul>"
+    page = f"<body><nav>x</nav><div id=c><h1>T</h1><div>{five}</div><div><p>Short.</p><p>End.</p></div></div></body>"
+    assert main_text(page) == "\n".join(["T"] + [BODY] * 5 + ["Short.", "End."])
+    assert main_text(f"<body><h1>T</h1><div>{five}</div><p>Copyright</p></body>") == "\n".join(["T"] + [BODY] * 5)
+    assert "A cited work with a long title, 2020\nAnother" in main_text(f"<article>{five}{refs}</article>")
