@@ -6,12 +6,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from fleetkit import constants as K  # noqa: E402
 from fleetkit import schemas  # noqa: E402
 
-AS_OF = K.AS_OF
-TODAY = AS_OF.date()
-SF_SMALL = "/root/testdata/sf0.001"
+from fleet_rows import d, tool_row  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,18 +18,6 @@ def spark():
     yield s
 
 
-def d(days: int) -> dt.date:
-    return TODAY + dt.timedelta(days=days)
-
-
-def tool_row(code, name="Tool", category="Power Tools", location="Workshop", purchase=None,
-             last=None, due=None, status="available", condition=10.0, hours=0.0, cost=0):
-    import decimal
-    t0 = dt.datetime(2001, 1, 1)
-    return (code, name, category, location, purchase, last, due, status, condition, hours,
-            decimal.Decimal(cost).quantize(decimal.Decimal("0.01")), t0, t0)
-
-
 @pytest.fixture
 def make_tools(spark):
     def _make(rows):

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from fleet_rows import SF_SMALL
 
 TABLES = ["part", "lineitem", "orders", "supplier", "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]

@@ -5,7 +5,7 @@ import decimal
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, d, tool_row
+from fleet_rows import AS_OF, d, tool_row
 from fleetkit import schemas
 from fleetkit.operators import encode, risk
 from fleetkit.operators.features import prepare_features
@@ -103,7 +103,7 @@ def test_features_match_pandas_spec(spark):
     rounded to 2, left merges, derived ratios, numeric fill) on sf0.001."""
     import numpy as np
     import pandas as pd
-    from conftest import SF_SMALL
+    from fleet_rows import SF_SMALL
     from fleetkit.sources.testdata import load
     f = load(spark, SF_SMALL)
     t, u, m = f.tools.toPandas(), f.usage.toPandas(), f.maintenance.toPandas()
@@ -133,7 +133,7 @@ def test_features_match_pandas_spec(spark):
 
 
 def test_today_usage_approx_distinct(spark):
-    from conftest import SF_SMALL
+    from fleet_rows import SF_SMALL
     from fleetkit.operators import kpis
     from fleetkit.sources.testdata import load
     u = load(spark, SF_SMALL).usage

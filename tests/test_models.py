@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, SF_SMALL
+from fleet_rows import AS_OF, SF_SMALL
 from fleetkit.operators import encode, forest, isolation, risk
 from fleetkit.plans import catalog
 from fleetkit.session import shared_path

@@ -2,7 +2,7 @@
 the scan, columns are pruned, aggregates are partial+final, and no operator
 plans a cartesian product."""
 
-from conftest import AS_OF, SF_SMALL
+from fleet_rows import AS_OF, SF_SMALL
 from fleetkit.operators import kpis, ledger
 from fleetkit.session import shared_path
 from fleetkit.sources import tables as A

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, d
+from fleet_rows import AS_OF, d
 from fleetkit.functions import dates as D
 from fleetkit.functions import rules as R
 from fleetkit.operators import labels

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, tool_row
+from fleet_rows import AS_OF, tool_row
 from fleetkit import schemas
 from fleetkit.operators import ledger, windows
 from fleetkit.operators.sequence import following, previous, seq_window, with_neighbours, GHOST
@@ -144,7 +144,7 @@ def test_hot_key_path_equals_plain(spark, make_tools):
 
 
 def test_condition_trend_hot_path(spark):
-    from conftest import SF_SMALL
+    from fleet_rows import SF_SMALL
     from fleetkit.sources.testdata import load
     m = load(spark, SF_SMALL).maintenance
     a = sorted(tuple(r) for r in windows.condition_trend(m).collect())

@@ -5,7 +5,7 @@ import decimal
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, d, tool_row
+from fleet_rows import AS_OF, d, tool_row
 from fleetkit import schemas
 from fleetkit.operators import ledger
 from fleetkit.operators.risk import fuse

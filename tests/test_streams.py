@@ -54,7 +54,7 @@ def test_stale_checkout_times_out(spark):
 
 
 def test_table_as_a_directory_of_files(spark):
-    from conftest import SF_SMALL
+    from fleet_rows import SF_SMALL
     root = shared_path(spark, "directory-test")
     spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(5).write.parquet(f"{root}/events.parquet")
     for k, sf in enumerate((root, SF_SMALL)):
@@ -65,7 +65,7 @@ def test_table_as_a_directory_of_files(spark):
 
 def test_session_batches_equal_the_batch_pairing(spark):
     """Many files, one a trigger, a hot tool that is split, a restart, and a null tool."""
-    from conftest import SF_SMALL
+    from fleet_rows import SF_SMALL
     from fleetkit.operators.windows import paired_sessions
     root = shared_path(spark, "session-batches")
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
@@ -86,7 +86,7 @@ def test_session_batches_equal_the_batch_pairing(spark):
 
 
 def test_ledger_stream_restart_does_not_double_count(spark):
-    from conftest import AS_OF, SF_SMALL
+    from fleet_rows import AS_OF, SF_SMALL
     from fleetkit.sources.testdata import shape_usage, tools
     root = shared_path(spark, "ledger-restart")
     run = lambda: streams.ledger_stream(
@@ -137,7 +137,7 @@ def test_daily_window_drops_and_reports_late_rows(spark):
 def test_recurring_trigger_equals_batch(spark):
     from collections import Counter
 
-    from conftest import SF_SMALL
+    from fleet_rows import SF_SMALL
     from fleetkit.operators.joins import scan_enrich
     from fleetkit.sources.testdata import load, part_count, shape_scans
     root = shared_path(spark, "recurring")
