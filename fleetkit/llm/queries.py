@@ -21,6 +21,7 @@ MODULES = {
     "op3_html_extraction": "html_text",
     "op1_packing": "packing",
     "op2_simhash_dedup": "simhash",
+    "op11_source_audit": "source_audit",
 }
 
 
