@@ -22,6 +22,7 @@ MODULES = {
     "op1_packing": "packing",
     "op2_simhash_dedup": "simhash",
     "op11_source_audit": "source_audit",
+    "op12_conversation_repair": "conversation_repair",
 }
 
 

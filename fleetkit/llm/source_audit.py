@@ -23,6 +23,7 @@ The sums add up over trees, so a task starts a new tree when one is full.
 from __future__ import annotations
 
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def _counted(batches):
+def _counted(batches, dictionary: int):
     """(lang, source, text) -> partial (lang, source, term, n, docs); the term '' marks the group itself."""
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
@@ -72,7 +73,7 @@ def _counted(batches):
             n.update(found)
             docs.update(set(found))
             size += len(n) - before
-            if size > DICTIONARY:
+            if size > dictionary:
                 yield from out()
                 counts, size = {}, 0
     yield from out()
@@ -80,10 +81,11 @@ def _counted(batches):
     release()
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """(lang, term, source) -> n, docs: summed over all tasks behind one exchange by (lang, term)."""
     text = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    part = text.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    part = text.mapInArrow(partial(_counted, dictionary=dictionary),
+                           "lang string, source string, term string, n long, docs long")
     return (part.repartition("lang", "term").groupBy("lang", "term", "source")
             .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
@@ -141,7 +143,7 @@ class Tree:
         return total
 
 
-def _trees(batches):
+def _trees(batches, nodes: int):
     """Rows (lang, term, sid, p, p0), sorted by lang, term, sid, -> (lang, a, b, value)."""
     lang = term = None
     tree, row = Tree(), []
@@ -158,7 +160,7 @@ def _trees(batches):
             if (now, word) != (lang, term):
                 tree.insert(row)
                 row = []
-                if now != lang or len(tree.parent) > NODES:
+                if now != lang or len(tree.parent) > nodes:
                     yield from out()
                     tree = Tree()
                 lang, term = now, word
@@ -169,7 +171,8 @@ def _trees(batches):
     release()
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, dictionary: int = DICTIONARY,
+          nodes: int = NODES) -> DataFrame:
     """Divergence of every source of ``docs`` (text, lang, source) from the others and from its language.
 
     Returns lang, source, part, item, value, rank (see the module; part 'pair':
@@ -180,7 +183,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     rank by item.  A table of groups (one row per lang and source) is joined
     as Spark sees fit; it is never collected."""
     prepare(docs.sparkSession)
-    counts = counted(docs)
+    counts = counted(docs, dictionary)
     rows = keep(counts.groupBy("lang", "term").agg(
         F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("has"))
         .where((F.col("term") == "") | (F.col("docs") >= min_docs)), "audit-terms")
@@ -220,7 +223,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
         F.struct(F.col("other").alias("a"), F.col("sid").alias("b"),
                  (wide(F.col("h")) * wide(apart(o0, p) - apart(o0, p0))).alias("value")))).alias("x")).select("lang", "x.*")
     both = (items.select("lang", "term", "sid", "p", "p0").repartition("lang", "term")
-            .sortWithinPartitions("lang", "term", "sid").mapInArrow(_trees, "lang string, a long, b long, value long")
+            .sortWithinPartitions("lang", "term", "sid").mapInArrow(partial(_trees, nodes=nodes), "lang string, a long, b long, value long")
             .withColumn("value", wide(F.col("value"))))
     summed = absent.union(either).union(both).groupBy("lang", "a", "b").agg(F.sum("value").cast("long").alias("value"))
     name = groups.select("lang", "sid", "source")

@@ -54,11 +54,10 @@ ROWS = [
 
 
 @pytest.mark.parametrize("limit", [A.DICTIONARY, 2])
-def test_cases_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(A, "DICTIONARY", limit)
+def test_cases_against_brute_force(spark, limit):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     want = brute(ROWS)
-    assert as_set(A.audit(docs)) == want and {x[2] for x in want} == {"pair", "term"}
+    assert as_set(A.audit(docs, dictionary=limit, nodes=limit)) == want and {x[2] for x in want} == {"pair", "term"}
     assert as_set(A.audit(docs, min_docs=1, top_terms=2)) == brute(ROWS, 1, 2)
     assert ("", "a", "pair", "b", 0, 1) in want                        # a language without kept terms
     assert A.audit(docs.limit(0)).count() == 0
