@@ -23,6 +23,7 @@ MODULES = {
     "op2_simhash_dedup": "simhash",
     "op11_source_audit": "source_audit",
     "op12_conversation_repair": "conversation_repair",
+    "op13_license_scan": "license_scan",
 }
 
 
