@@ -36,25 +36,25 @@ GNU = r"(?:gnu )?"
 
 #: label -> (keywords, names, SPDX identifier, web address); the order is the priority within a kind.
 LICENSES: dict[str, tuple[tuple[str, ...], list[str], str | None, str | None]] = {
-    "agpl-3": (("agpl", "agplv3", "affero"), [rf"{GNU}affero general public {L}(?: {V}3{ZERO})?", rf"{GNU}agpl ?(?:v ?)?3{ZERO}{LATER}", rf"agplv3\+?{LATER}"], rf"agpl 3 0{LATER}", "gnu org licenses agpl(?: 3 0)?"),
-    "lgpl-2.1": (("lgpl", "lgplv2", "lesser"), [rf"{GNU}lesser general public {L} {V}2 1", rf"{GNU}lgpl ?(?:v ?)?2 1{LATER}", rf"lgplv2 1{LATER}"], rf"lgpl 2 1{LATER}", "gnu org licenses (?:old licenses )?lgpl 2 1"),
-    "lgpl-2": (("lgpl", "lgplv2", "library"), [rf"{GNU}library general public {L}(?: {V}2{ZERO})?", rf"{GNU}lgpl ?(?:v ?)?2{ZERO}{LATER}", "lgplv2"], rf"lgpl 2 0{LATER}", "gnu org licenses (?:old licenses )?lgpl 2 0"),
-    "lgpl-3": (("lgpl", "lgplv3", "lesser"), [rf"{GNU}lesser general public {L} {V}3{ZERO}", rf"{GNU}lgpl ?(?:v ?)?3{ZERO}{LATER}", "lgplv3"], rf"lgpl 3 0{LATER}", "gnu org licenses lgpl 3 0"),
+    "agpl-3": (("agpl", "agpl3", "agplv3", "affero"), [rf"{GNU}affero general public {L}(?: {V}3{ZERO})?", rf"{GNU}agpl ?(?:v ?)?3{ZERO}{LATER}", rf"agplv3\+?{LATER}"], rf"agpl 3 0{LATER}", "gnu org licenses agpl(?: 3 0)?"),
+    "lgpl-2.1": (("lgpl", "lgpl2", "lgplv2", "lesser"), [rf"{GNU}lesser general public {L} {V}2 1", rf"{GNU}lgpl ?(?:v ?)?2 1{LATER}", rf"lgplv2 1{LATER}"], rf"lgpl 2 1{LATER}", "gnu org licenses (?:old licenses )?lgpl 2 1"),
+    "lgpl-2": (("lgpl", "lgpl2", "lgplv2", "library"), [rf"{GNU}library general public {L}(?: {V}2{ZERO})?", rf"{GNU}lgpl ?(?:v ?)?2{ZERO}{LATER}", "lgplv2"], rf"lgpl 2 0{LATER}", "gnu org licenses (?:old licenses )?lgpl 2 0"),
+    "lgpl-3": (("lgpl", "lgpl3", "lgplv3", "lesser"), [rf"{GNU}lesser general public {L} {V}3{ZERO}", rf"{GNU}lgpl ?(?:v ?)?3{ZERO}{LATER}", "lgplv3"], rf"lgpl 3 0{LATER}", "gnu org licenses lgpl 3 0"),
     "lgpl": (("lgpl", "lesser"), [rf"{GNU}lesser general public {L}", rf"(?:gnu )?lgpl(?: {L})?"], None, "gnu org licenses lgpl"),
     "gfdl": (("gfdl", "documentation"), [rf"gnu free documentation {L}(?: {V}1 [123])?", r"gfdl(?: 1 [123])?"], rf"gfdl 1 [123]{LATER}", "gnu org licenses fdl"),
-    "gpl-2": (("gpl", "gplv2", "general"), [rf"{GNU}general public {L} {V}2{ZERO}{LATER}", rf"{GNU}gpl ?(?:v ?)?2{ZERO}{LATER}", rf"gplv2{LATER}"], rf"gpl 2 0{LATER}", "gnu org licenses (?:old licenses )?gpl 2 0"),
-    "gpl-3": (("gpl", "gplv3", "general"), [rf"{GNU}general public {L} {V}3{ZERO}{LATER}", rf"{GNU}gpl ?(?:v ?)?3{ZERO}{LATER}", rf"gplv3{LATER}"], rf"gpl 3 0{LATER}", "gnu org licenses gpl 3 0"),
-    "gpl-1": (("gpl", "general"), [rf"{GNU}general public {L} {V}1{ZERO}{LATER}", rf"gnu gpl ?(?:v ?)?1{ZERO}"], rf"gpl 1 0{LATER}", None),
+    "gpl-2": (("gpl", "gpl2", "gplv2", "general"), [rf"{GNU}general public {L} {V}2{ZERO}{LATER}", rf"{GNU}gpl ?(?:v ?)?2{ZERO}{LATER}", rf"gplv2{LATER}"], rf"gpl 2 0{LATER}", "gnu org licenses (?:old licenses )?gpl 2 0"),
+    "gpl-3": (("gpl", "gpl3", "gplv3", "general"), [rf"{GNU}general public {L} {V}3{ZERO}{LATER}", rf"{GNU}gpl ?(?:v ?)?3{ZERO}{LATER}", rf"gplv3{LATER}"], rf"gpl 3 0{LATER}", "gnu org licenses gpl 3 0"),
+    "gpl-1": (("gpl", "gpl1", "general"), [rf"{GNU}general public {L} {V}1{ZERO}{LATER}", rf"gnu gpl ?(?:v ?)?1{ZERO}"], rf"gpl 1 0{LATER}", None),
     "gpl": (("gpl", "general"), [rf"(?:gnu )?general public {L}", rf"gnu gpl|gpl {L}"], None, "gnu org licenses gpl"),
     "apache-1.1": (("apache",), [rf"apache (?:software )?{L} (?:{V})?1 1", r"apache 1 1"], r"apache 1 1", "apache org licenses license 1 1"),
-    "apache-2": (("apache",), [rf"apache (?:software )?{L} (?:{V})?2{ZERO}", rf"apache (?:v ?)?2(?: 0)?(?: {L})?", r"apl ?2 0"], r"apache 2 0", "apache org licenses license 2 0"),
-    "apache": (("apache",), [rf"apache (?:software )?{L}", r"asl 2 0"], None, "apache org licenses"),
+    "apache-2": (("apache", "apl", "apl2"), [rf"apache (?:software )?{L} (?:{V})?2{ZERO}", rf"apache (?:v ?)?2(?: 0)?(?: {L})?", r"apl ?2 0"], r"apache 2 0", "apache org licenses license 2 0"),
+    "apache": (("apache", "asl"), [rf"apache (?:software )?{L}", r"asl 2 0"], None, "apache org licenses"),
     "bsd-4": (("bsd",), [rf"(?:4 clause|four clause|original) bsd(?: {L})?", rf"bsd 4 clause(?: {L})?"], r"bsd 4 clause", "opensource org licenses bsd 4 clause"),
     "bsd-3": (("bsd",), [rf"(?:3 clause|three clause|new|modified|revised) bsd(?: {L})?", rf"bsd 3 clause(?: {L})?"], r"bsd 3 clause", "opensource org licenses bsd 3 clause"),
     "bsd-2": (("bsd", "freebsd"), [rf"(?:2 clause|two clause|simplified) bsd(?: {L})?", rf"bsd 2 clause(?: {L})?", rf"freebsd {L}"], r"bsd 2 clause", "opensource org licenses bsd 2 clause"),
     "bsd-0": (("bsd", "0bsd"), [rf"(?:zero|0) clause bsd(?: {L})?", rf"0bsd(?: {L})?"], r"0bsd", "opensource org licenses 0bsd"),
     "bsd": (("bsd",), [rf"bsd(?: style)? {L}", r"berkeley software distribution license"], None, "opensource org licenses bsd"),
-    "mit-0": (("mit",), [rf"mit no attribution(?: {L})?", rf"mit 0 {L}"], r"mit 0", "opensource org licenses mit 0"),
+    "mit-0": (("attribution", "license", "licence", "licenses", "licences"), [rf"mit no attribution(?: {L})?", rf"mit 0 {L}"], r"mit 0", "opensource org licenses mit 0"),
     "x11": (("x11", "consortium"), [rf"x11 {L}", rf"mit x11 {L}", rf"x consortium {L}"], r"x11", None),
     "mit": (("license", "licence", "licenses", "licences", "expat"), [rf"mit {L}", rf"expat {L}", rf"mit expat {L}", r"the mit licence terms"], r"mit", "opensource org licenses? mit"),
     "isc": (("isc",), [rf"isc {L}", rf"internet systems consortium {L}"], r"isc", "opensource org licenses isc"),
@@ -65,7 +65,7 @@ LICENSES: dict[str, tuple[tuple[str, ...], list[str], str | None, str | None]] =
     "epl-2": (("eclipse", "epl"), [rf"eclipse public {L} (?:{V})?2{ZERO}", r"epl (?:v ?)?2 0"], r"epl 2 0", "eclipse org legal epl (?:2 0|v20)"),
     "epl": (("eclipse",), [rf"eclipse public {L}", rf"eclipse distribution {L}"], None, None),
     "cddl": (("cddl", "common"), [rf"common development and distribution {L}(?: (?:{V})?1 [01])?", r"cddl(?: 1 [01])?"], r"cddl 1 [01]", "opensource org licenses cddl"),
-    "cpl": (("common",), [rf"common public {L}(?: (?:{V})?1{ZERO})?", rf"ibm public {L}"], r"cpl 1 0", "opensource org licenses cpl"),
+    "cpl": (("common", "ibm"), [rf"common public {L}(?: (?:{V})?1{ZERO})?", rf"ibm public {L}"], r"cpl 1 0", "opensource org licenses cpl"),
     "cpal": (("cpal", "common"), [rf"common public attribution {L}(?: (?:{V})?1{ZERO})?", r"cpal 1 0"], r"cpal 1 0", None),
     "eupl": (("eupl", "european"), [rf"european union public {L}(?: (?:{V})?1 [0-2])?", r"eupl(?: (?:v ?)?1 [0-2])?"], r"eupl 1 [0-2]", "joinup ec europa eu .{0,40}eupl"),
     "artistic-1": (("artistic",), [rf"artistic {L} (?:{V})?1{ZERO}", rf"perl artistic {L}"], r"artistic 1 0(?: perl)?", "opensource org licenses artistic 1"),
@@ -176,7 +176,7 @@ def rules() -> list[dict]:
         if spdx:
             out["spdx"].append((label, ("spdx",), f"spdx license identifier {spdx}"))
         if address:
-            out["address"].append((label, ("licenses", "license", "org", "net", "com", "io", "co", "ai", "eu", "dev", "uk"), address))
+            out["address"].append((label, (address.split()[0],), address))
     out["phrase"] = [(label, tuple(p.split()[-2:-1] if p.startswith("apache") else p.split()[:1] if p.startswith("cc") else p.split()[-1:]), p)
                      for p, label in PHRASES.items()]
     listed = [(kind, *rule) for kind in KINDS for rule in out[kind]]
@@ -219,9 +219,8 @@ def detections(rows: DataFrame) -> DataFrame:
                 F.filter(listed, lambda r: F.arrays_overlap(r["keywords"], present)), lambda r: matches(c, r))))
         return F.struct((_spaces(c) - 1).alias("n_words"), _let(F.array_intersect(F.split(c, " "), gate), found).alias("hits"))
 
-    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), GAP, " ")
-    return rows.select("rid", "doc_id", _let(F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), " +", " "), scanned)
-                       .alias("x")).select("rid", "doc_id", "x.n_words", "x.hits")
+    framed = F.concat(F.lit(" "), F.lower(F.coalesce("text", F.lit(""))), F.lit(" "))
+    return rows.select("rid", "doc_id", _let(F.regexp_replace(framed, GAP, " "), scanned).alias("x")).select("rid", "doc_id", "x.n_words", "x.hits")
 
 
 def resolved(found: DataFrame) -> DataFrame:

@@ -49,6 +49,7 @@ CASES = [
     ("Mozilla Public License 2.0", "mpl-2"),
     ("veröffentlicht unter der MIT Lizenz, mit Lizenz", ""),
     ("Er kam mit dem Hund. A license plate, a public domain name, cc by mail.", "cc-by"),
+    ("GPL3 only, or LGPL2.1; APL 2.0", "apache-2,gpl-3,lgpl-2.1"),
     ("under the\n\nmit-license apache license version 2", "apache-2,mit"),
     ("under the mitt license; under them it license", ""),
     ("", ""), (None, ""), (" .,;", ""), ("MIT", ""), (" under\u0085 the mit license", "mit"),
