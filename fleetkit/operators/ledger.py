@@ -10,12 +10,12 @@ order (``seq``), never the business date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetkit import constants as K
 from fleetkit.functions.dates import hours_between, ts_lit
-from fleetkit.operators.sequence import hot_key_plan, previous
+from fleetkit.operators.sequence import WHOLE, hot_key_plan
 from fleetkit.sources.tables import TOOL_COLUMNS
 
 REQUIRED = ("tool_code", "tool_name", "category", "location")
@@ -189,42 +189,106 @@ def orphan_rows(tools: DataFrame, usage: DataFrame, maintenance: DataFrame,
 
 
 # ---------------------------------------------------------------- B8, B9
+def _with_last_change(events: DataFrame, rows_per_task: int) -> DataFrame:
+    """Adds prev_kind (of the tool's event before) and last_change: time, user, kind of the latest earlier event whose
+    kind differs from the one before it, and whether it is the tool's first event.
+
+    One window per tool.  A hot tool is cut into buckets (``operators.sequence``); what reaches a bucket from
+    the earlier ones (the kind before it, the last change before it) comes from one summary row per
+    bucket.  The summary has a bounded number of rows and is broadcast, so events are shuffled once."""
+    ev, hot = hot_key_plan(events, "tool_code", ["ts", "seq"], "_bucket", rows_per_task)
+    keys = ["tool_code", "_bucket"] if hot else ["tool_code"]
+    w = Window.partitionBy(*keys).orderBy("ts", "seq")
+    kind, prev = F.col("event_kind"), F.col("prev_kind")
+    what = lambda first: F.struct("ts", "user_id", "event_kind", first.alias("first"))
+    ev = ev.withColumn("prev_kind", F.lag(kind).over(w))
+    carry = F.lit(None)
+    if hot:
+        at = F.struct("ts", "seq")
+        edges = ev.where(F.col("_bucket") != WHOLE).groupBy(*keys).agg(
+            F.min_by(what(F.lit(False)), at).alias("_first"), F.max_by(kind, at).alias("_last_kind"),
+            F.max_by(what(F.lit(False)), F.when(kind != prev, at)).alias("_inside"))
+        by_tool = Window.partitionBy("tool_code").orderBy("_bucket")
+        edges = edges.withColumn("_before", F.lag("_last_kind").over(by_tool))
+        start = F.when(F.col("_before").isNull() | (F.col("_first.event_kind") != F.col("_before")), F.struct(
+            "_first.ts", "_first.user_id", "_first.event_kind", F.col("_before").isNull().alias("first")))
+        edges = (edges.withColumn("_change", F.coalesce("_inside", start))
+                 .withColumn("_carry", F.last("_change", ignorenulls=True).over(by_tool.rowsBetween(Window.unboundedPreceding, -1)))
+                 .select(F.col("tool_code").alias("_t"), F.col("_bucket").alias("_b"), "_before", "_carry"))
+        ev = (ev.join(F.broadcast(edges), (F.col("tool_code") == F.col("_t")) & (F.col("_bucket") == F.col("_b")), "left")
+              .withColumn("prev_kind", F.coalesce("prev_kind", "_before")))
+        carry = F.col("_carry")
+    change = F.when(prev.isNull() | (kind != prev), what(prev.isNull()))
+    last = F.last(change, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return ev.withColumn("last_change", F.coalesce(last, carry)).select(
+        "seq", "ts", "tool_code", "user_id", "event_kind", "prev_kind", "last_change")
+
+
 def accepted_events(tools: DataFrame, usage: DataFrame, events: DataFrame,
                     rows_per_task: int = 2_000_000) -> DataFrame:
     """B8/B9 guards applied in arrival order per tool; events without a tool
-    code are never accepted.
+    code, or of a kind that is neither check-out nor check-in, are never accepted.
 
     Check-out needs status 'available', check-in needs 'in_use' (and some
     usage row of the tool).  With two alternating states the event at
     position i > 1 is accepted exactly when its kind differs from the kind of
     event i-1; the first event must match the snapshot status.  A tool in use
     without any usage row, in maintenance, or unknown accepts nothing.
-    The previous kind is a bucketed lag (see ``operators.sequence``): hot
-    tools are split by hour, others are one window each.
+
+    Returns seq, ts, tool_code, user_id, event_kind and, for check-ins, the check-out that ends (out_time,
+    out_user_id): the accepted event before, which is the last change of kind; the first accepted event
+    of a tool that was already in use takes the newest stored usage row as of
+    its own time: check-outs after the check-in do not count (a row without a
+    check-out time counts, last).  Without such a row both are null.
+
+    Events are shuffled once (by tool, see ``_with_last_change``); usage rows are read for tools in use only.
     """
-    ev, hot = hot_key_plan(events.where(F.col("tool_code").isNotNull()), "tool_code", "ts", "_bucket", rows_per_task)
-    ev = previous(ev, "tool_code", "_bucket", ["ts", "seq"], ["event_kind"], ghosts=hot).drop("_bucket")
-    snap = tools.select("tool_code", F.col("status").alias("_s0"))
-    # only tools in use need the usage table for their flag
-    used = (usage.join(tools.where(F.col("status") == "in_use").select("tool_code"), "tool_code", "left_semi")
-            .select("tool_code").distinct().withColumn("_has_usage", F.lit(True)))
-    j = ev.join(snap, "tool_code", "left").join(used, "tool_code", "left")
-    s0 = F.col("_s0")
-    has_usage = F.coalesce(F.col("_has_usage"), F.lit(False))
-    live = (s0 == "available") | ((s0 == "in_use") & has_usage)
-    first_kind = F.when(s0 == "available", F.lit(K.CHECKOUT)).otherwise(F.lit(K.CHECKIN))
-    kind, prev = F.col("event_kind"), F.col("prev_event_kind")
-    ok = F.coalesce(live, F.lit(False)) & F.when(prev.isNull(), kind == first_kind).otherwise(kind != prev)
-    return j.where(ok).drop("_s0", "_has_usage", "prev_event_kind")
+    kind = F.col("event_kind")
+    ev = events.where(F.col("tool_code").isNotNull() & kind.isin(K.CHECKOUT, K.CHECKIN))
+    # a tool in use accepts its first check-in, whatever came before: that needs the stored history
+    need = (tools.where(F.col("status") == "in_use").select("tool_code")
+            .join(ev.where(kind == K.CHECKIN).groupBy("tool_code").agg(F.min(F.struct("ts", "seq"))["ts"].alias("_asof")), "tool_code"))
+    as_of = F.col("checkout_time").isNull() | (F.col("checkout_time") <= F.col("_asof"))
+    newest = F.struct(F.col("checkout_time").isNotNull(), F.col("checkout_time"), -F.col("seq"))
+    stored = (usage.select("tool_code", "seq", "user_id", "checkout_time").join(need, "tool_code").groupBy("tool_code")
+              .agg(F.max_by(F.struct("checkout_time", "user_id"), F.when(as_of, newest)).alias("_stored"))
+              .withColumn("_has_usage", F.lit(True)))
+    state = (tools.where(F.col("status").isin("available", "in_use")).select("tool_code", F.col("status").alias("_s0"))
+             .join(stored, "tool_code", "left"))
+    j = _with_last_change(ev, rows_per_task).join(state, "tool_code")
+    available = F.col("_s0") == "available"
+    first_kind = F.when(available, F.lit(K.CHECKOUT)).otherwise(F.lit(K.CHECKIN))
+    prev, last = F.col("prev_kind"), F.col("last_change")
+    ok = (available | F.col("_has_usage").isNotNull()) & F.when(prev.isNull(), kind == first_kind).otherwise(kind != prev)
+    # the last change is the accepted event before, unless it is a first event that did not fit the snapshot
+    known = last.isNotNull() & (~last["first"] | (last["event_kind"] == first_kind))
+    out = lambda a, b: F.when(kind == K.CHECKIN, F.when(known, last[a]).otherwise(F.col("_stored")[b]))
+    return j.where(ok).select("seq", "ts", "tool_code", "user_id", "event_kind", out("ts", "checkout_time").alias("out_time"),
+                              out("user_id", "user_id").alias("out_user_id"))
+
+
+def event_usage_rows(accepted: DataFrame) -> DataFrame:
+    """The usage row that every accepted event writes, in one pass.
+
+    A check-out row has no check-in time and duration.  A check-in row copies the
+    user from its check-out; duration = elapsed seconds / 3600."""
+    back = F.col("event_kind") == K.CHECKIN
+    return accepted.select(
+        "seq", "tool_code", F.when(back, F.col("out_user_id")).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(back, F.col("out_time")).otherwise(F.col("ts")).alias("checkout_time"),
+        F.when(back, F.col("ts")).alias("checkin_time"),
+        F.when(back, hours_between(F.col("out_time"), F.col("ts"))).alias("usage_duration"),
+        F.col("event_kind").alias("usage_type"))
 
 
 def checkout_rows(accepted: DataFrame) -> DataFrame:
     """Usage rows written by accepted check-outs."""
-    return (accepted.where(F.col("event_kind") == K.CHECKOUT)
-            .select("seq", "tool_code", "user_id", F.col("ts").alias("checkout_time"),
-                    F.lit(None).cast("timestamp_ntz").alias("checkin_time"),
-                    F.lit(None).cast("double").alias("usage_duration"),
-                    F.lit(K.CHECKOUT).alias("usage_type")))
+    return event_usage_rows(accepted.where(F.col("event_kind") == K.CHECKOUT))
+
+
+def checkin_rows(accepted: DataFrame) -> DataFrame:
+    """Usage rows written by accepted check-ins."""
+    return event_usage_rows(accepted.where(F.col("event_kind") == K.CHECKIN))
 
 
 def latest_usage_row(usage: DataFrame) -> DataFrame:
@@ -236,39 +300,6 @@ def latest_usage_row(usage: DataFrame) -> DataFrame:
             .select("tool_code", "_r.*"))
 
 
-def checkin_rows(accepted: DataFrame, usage: DataFrame, rows_per_task: int = 2_000_000) -> DataFrame:
-    """Accepted check-ins with the latest check-out before them.
-
-    After an accepted check-out the next accepted event is the check-in, so
-    its check-out is the previous *accepted* event; the first accepted event
-    of a tool that was already in use takes the newest stored usage row as of
-    its own time: check-outs after the check-in do not count (a row without a
-    check-out time counts, last).  Without such a row user, check-out time and
-    duration are null.  Duration = elapsed seconds / 3600; the user is copied
-    from the check-out.
-    """
-    acc, hot = hot_key_plan(accepted, "tool_code", "ts", "_bucket", rows_per_task)
-    acc = previous(acc, "tool_code", "_bucket", ["ts", "seq"], ["ts", "user_id", "event_kind"], ghosts=hot)
-    ci = acc.where(F.col("event_kind") == K.CHECKIN)
-    # only tools whose first accepted event is a check-in need their stored
-    # history: filter the usage table to them (a semi join; AQE broadcasts the
-    # small side) before the per-tool max_by
-    need = ci.where(F.col("prev_event_kind").isNull()).select("tool_code", F.col("ts").alias("_asof"))
-    asof = usage.join(need, "tool_code").where(
-        F.col("checkout_time").isNull() | (F.col("checkout_time") <= F.col("_asof")))
-    latest = latest_usage_row(asof).select(
-        "tool_code", F.col("checkout_time").alias("_h_time"), F.col("user_id").alias("_h_user"))
-    ci = ci.join(latest, "tool_code", "left")
-    from_batch = F.col("prev_event_kind").isNotNull()
-    out_time = F.when(from_batch, F.col("prev_ts")).otherwise(F.col("_h_time"))
-    out_user = F.when(from_batch, F.col("prev_user_id")).otherwise(F.col("_h_user"))
-    return ci.select(
-        "seq", "tool_code", out_user.alias("user_id"),
-        out_time.alias("checkout_time"), F.col("ts").alias("checkin_time"),
-        hours_between(out_time, F.col("ts")).alias("usage_duration"),
-        F.lit(K.CHECKIN).alias("usage_type"))
-
-
 def status_after_events(tools: DataFrame, accepted: DataFrame, as_of) -> DataFrame:
     """Snapshot after B8/B9: the last accepted event decides the status."""
     last = (accepted.groupBy("tool_code")

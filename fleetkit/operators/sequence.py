@@ -2,8 +2,7 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to
 one task; when one tool holds a third of all events that task holds a third
-of the data.  Here the window is partitioned by ``(key, bucket)`` — a time
-bucket (an hour, say) for hot keys, a single bucket for all others — and the
+of the data.  Here the window is partitioned by ``(key, bucket)`` and the
 few rows a frame needs from *neighbouring* buckets are added as "ghost" rows:
 
 * lookback n: the last n rows before each bucket,
@@ -11,26 +10,28 @@ few rows a frame needs from *neighbouring* buckets are added as "ghost" rows:
 
 The ghosts are found from a per-(key, bucket) summary (at most n rows per
 bucket, computed with partial aggregation for n = 1), ordered by a window over
-the summary partitioned by key only — its size is the number of non-empty
-buckets of a key (bounded by time span / bucket width), not by its row
-count.  Callers apply their window over ``(key, bucket)`` ordered by the same
+the summary partitioned by key only, whose size is the number of buckets of a
+key.  Callers apply their window over ``(key, bucket)`` ordered by the same
 order columns and then drop the ghosts with ``where(~F.col(GHOST))``.
 
 The order columns must make rows unique within a key (add ``seq``).
 
-Which bucket?  ``hot_key_plan`` gives hot keys (more than
-max(rows_per_task, N / max_hot) rows) fine time buckets and all other keys a
-single bucket, so only hot keys pay for ghost rows; when there is no hot key
-at all it tells the caller to skip the ghost machinery.
+Which bucket?  ``hot_key_plan`` cuts hot keys (more than
+T = max(rows_per_task, N / max_hot) rows) at quantiles of their order columns,
+so a bucket holds about T / 2 rows however they lie in time: a burst within one
+second is split like a quiet year.  All other keys are one bucket; when there
+is no hot key at all it tells the caller to skip the ghost machinery.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetkit.session import ensure_checkpoint_dir
+
 GHOST = "_ghost"
 
 
@@ -133,37 +134,66 @@ def following(df: DataFrame, key: str, bucket: str, order_cols: Sequence[str],
     return out.select(*df.columns, *[F.col(f"_n.{c}").alias(prefix + c) for c in cols])
 
 
-def hot_key_plan(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
-                 rows_per_task: int = 2_000_000, max_hot: int = 100_000,
-                 unit: str = "hour") -> tuple[DataFrame, bool]:
-    """Adds ``bucket``: a fine time bucket (``date_trunc(unit, ts)``) for hot
-    keys, one constant bucket for every other key; also returns whether any
-    key is hot (when none is, callers skip the ghost rows entirely).
+#: Sampled rows per cut, and cuts per block of the two-level search.
+SAMPLES, BLOCK = 200, 256
+#: Bucket of a key that is not hot; the buckets of hot keys count from 0.
+WHOLE = -1
+
+
+def _cuts(df: DataFrame, hot: DataFrame, key: str, order_cols: Sequence[str], size: int) -> DataFrame:
+    """Quantile cuts of the hot keys: (_key, _i, _o), the _i-th cut (from 1) at order value _o.
+
+    Every m-th row (by a hash of key and order columns, so any task agrees) stands for m
+    rows; a cut follows every ``size`` rows.  With few rows a cut m is 1 and the cuts are exact."""
+    m = max(1, size // SAMPLES)
+    o = F.struct(*order_cols).alias("_o")
+    rows = (df.select(F.col(key).alias("_key"), o, F.pmod(F.xxhash64(key, *order_cols), F.lit(m)).alias("_m"))
+            .join(F.broadcast(hot), F.col("_key").eqNullSafe(F.col("_hot_key"))).where(F.col("_m") == 0))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_o"))
+    per = max(1, size // m)
+    return (rows.select("_key", "_o", rank.alias("_r")).where(F.col("_r") % per == 0)
+            .select("_key", F.floor(F.col("_r") / per).cast("int").alias("_i"), "_o"))
+
+
+def _at_most(cuts: Column, value: Column, steps: int) -> Column:
+    """How many of the sorted ``cuts`` are <= ``value`` (binary search; 0 without cuts)."""
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    return F.aggregate(powers, F.lit(0), lambda acc, step: F.when(
+        F.get(cuts, acc + step - 1) <= value, acc + step).otherwise(acc))
+
+
+def hot_key_plan(df: DataFrame, key: str, order_cols: Sequence[str], bucket: str = "_bucket",
+                 rows_per_task: int = 2_000_000, max_hot: int = 100_000) -> tuple[DataFrame, bool]:
+    """Adds ``bucket``: the number of the key's cuts at or before a row for hot keys, ``WHOLE`` for every other key;
+    also returns whether any key is hot (when none is, callers skip the ghost rows entirely).
 
     A key is hot when it has more than ``T = max(rows_per_task, N / max_hot)``
-    rows, so there are at most ``max_hot`` hot keys: the hot-key list has a
-    proven size bound and is broadcast.  Ordinary keys then behave like a
-    plain per-key window; a hot key is spread over its time buckets.  N and
-    the number of large keys come from one aggregate (driver-side numbers).
+    rows, so there are at most ``max_hot`` hot keys and, at T / 2 rows a cut, about
+    2 x max_hot cuts: both tables have a proven size bound and are broadcast.  N and
+    the number of large keys come from one aggregate (driver-side numbers).  A row
+    looks its bucket up in two steps (block of cuts, cut), so it never
+    meets more than a few hundred cuts.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     # one job: N and whether any key is above the floor of the threshold
     st = counts.agg(F.sum("_n").alias("n"), F.count_if(F.col("_n") > rows_per_task).alias("over")).first()
-    const = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     if not st["over"]:
-        return df.withColumn(bucket, const), False
+        return df.withColumn(bucket, F.lit(WHOLE)), False
     threshold = max(rows_per_task, -(-int(st["n"]) // max_hot))
-    hot = counts.where(F.col("_n") > threshold).select(key, F.lit(True).alias("_hot"))
-    if hot.isEmpty():
-        return df.withColumn(bucket, const), False
-    hot = hot.withColumnRenamed(key, "_hot_key")
     # <= max_hot keys by construction; null-safe, as a null key may be hot, too
-    flagged = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
-    fine = F.date_trunc(unit, F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
-    return flagged.withColumn(bucket, F.when(F.col("_hot"), fine).otherwise(const)).drop("_hot"), True
-
-
-def hot_key_buckets(df: DataFrame, key: str, ts: str, bucket: str = "_bucket",
-                    rows_per_task: int = 2_000_000, max_hot: int = 100_000, unit: str = "hour") -> DataFrame:
-    """``hot_key_plan`` without the flag."""
-    return hot_key_plan(df, key, ts, bucket, rows_per_task, max_hot, unit)[0]
+    hot = counts.where(F.col("_n") > threshold).select(F.col(key).alias("_hot_key"))
+    if hot.isEmpty():
+        return df.withColumn(bucket, F.lit(WHOLE)), False
+    ensure_checkpoint_dir(df.sparkSession)
+    cuts = _cuts(df, hot, key, order_cols, max(1, threshold // 2)).withColumn(
+        "_b", F.floor((F.col("_i") - 1) / BLOCK).cast("int")).checkpoint(eager=True)
+    listed = lambda when: F.sort_array(F.collect_list(F.when(when, F.col("_o"))))
+    starts = cuts.groupBy("_key").agg(listed((F.col("_i") % BLOCK == 1) & (F.col("_i") > 1)).alias("_starts"))
+    blocks = cuts.groupBy(F.col("_key").alias("_key_b"), "_b").agg(listed(F.lit(True)).alias("_in"))
+    value = F.struct(*order_cols)
+    block = (df.join(F.broadcast(starts), F.col(key).eqNullSafe(F.col("_key")), "left")
+             .withColumn("_g", _at_most(F.col("_starts"), value, (2 * max_hot // BLOCK).bit_length())))
+    found = block.join(F.broadcast(blocks), F.col(key).eqNullSafe(F.col("_key_b")) & (F.col("_g") == F.col("_b")), "left")
+    # (within a block the search ends at BLOCK cuts)
+    at = F.col("_g") * BLOCK + _at_most(F.col("_in"), value, BLOCK.bit_length())
+    return found.select(*df.columns, F.when(F.col("_starts").isNull(), F.lit(WHOLE)).otherwise(at).alias(bucket)), True

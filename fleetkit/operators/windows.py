@@ -1,7 +1,7 @@
 """Row-order idioms as windows (F1-F4) and sort/limit operators.
 
 Per-tool sequences use the bucketed windows of ``operators.sequence``: a hot
-tool is split into hourly (monthly) buckets instead of being sorted in one
+tool is cut into buckets of a bounded row count instead of being sorted in one
 task; every other tool is one window.
 """
 
@@ -24,7 +24,7 @@ def latest_usage(usage: DataFrame) -> DataFrame:
 def paired_sessions(events: DataFrame, rows_per_task: int = 2_000_000) -> DataFrame:
     """a check-out immediately followed (per tool, by time then arrival)
     by a check-in forms a session; duration in hours."""
-    ev, hot = hot_key_plan(events, "tool_code", "ts", "_bucket", rows_per_task)
+    ev, hot = hot_key_plan(events, "tool_code", ["ts", "seq"], "_bucket", rows_per_task)
     nxt = following(ev, "tool_code", "_bucket", ["ts", "seq"], ["ts", "event_kind"], ghosts=hot)
     s = nxt.where((F.col("event_kind") == K.CHECKOUT) & (F.col("next_event_kind") == K.CHECKIN))
     return s.select("tool_code", "user_id", F.col("seq").alias("checkout_seq"),
@@ -35,8 +35,8 @@ def paired_sessions(events: DataFrame, rows_per_task: int = 2_000_000) -> DataFr
 def condition_trend(maintenance: DataFrame, rows_per_task: int = 2_000_000) -> DataFrame:
     """per tool, by maintenance date then arrival: previous condition,
     change, and mean of the last three conditions (nulls ignored).  Hot tools
-    are split by month (two ghost rows carried per month)."""
-    m, hot = hot_key_plan(maintenance, "tool_code", "maintenance_date", "_bucket", rows_per_task, unit="month")
+    are cut by row count (two ghost rows carried per bucket)."""
+    m, hot = hot_key_plan(maintenance, "tool_code", ["maintenance_date", "seq"], "_bucket", rows_per_task)
     nb = with_neighbours(m, "tool_code", "_bucket", ["maintenance_date", "seq"],
                          ["condition_after"], lookback=2, ghosts=hot)
     w = seq_window("tool_code", "_bucket", ["maintenance_date", "seq"])

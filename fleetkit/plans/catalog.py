@@ -344,14 +344,6 @@ def accepted(f) -> DataFrame:
     return ledger.accepted_events(f.tools, history(f), f.tool_events)
 
 
-def accepted_once(spark, f) -> DataFrame:
-    """Accepted events written to the shared checkpoint folder: several branches
-    read them, so the first window pass and its scans run once."""
-    from fleetkit.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return accepted(f).checkpoint(eager=True)
-
-
 @register("checkout_apply", f"""{ACCEPTED_SQL}
 SELECT seq, tool_code, user_id, ts AS checkout_time, CAST(NULL AS TIMESTAMP) AS checkin_time,
        CAST(NULL AS DOUBLE) AS usage_duration, 'checkout' AS usage_type
@@ -395,7 +387,7 @@ SELECT seq, tool_code, user_id, checkout_time, checkin_time,
 FROM ci""")
 def q_checkin_apply(spark, sf):
     f = load(spark, sf)
-    return ledger.checkin_rows(accepted_once(spark, f), history(f)).withColumn("usage_duration", r6("usage_duration"))
+    return ledger.checkin_rows(accepted(f)).withColumn("usage_duration", r6("usage_duration"))
 
 
 @register("usage_retained", f"""SELECT {USAGE_OUT} FROM usage_history
@@ -414,8 +406,7 @@ SELECT seq, tool_code, user_id, checkout_time, checkin_time,
        date_diff('microsecond', checkout_time, checkin_time) / 3600000000.0, 'checkin' FROM ci""")
 def q_usage_union(spark, sf):
     f = load(spark, sf)
-    acc, old = accepted_once(spark, f), history(f)
-    out = ledger.usage_union(old, ledger.checkout_rows(acc), ledger.checkin_rows(acc, old))
+    out = ledger.usage_union(history(f), ledger.event_usage_rows(accepted(f)))
     return out.select("seq", "tool_code", "user_id", "checkout_time", "checkin_time", "usage_duration", "usage_type")
 
 

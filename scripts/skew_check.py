@@ -4,7 +4,7 @@ Builds a skewed copy of the tool events from $BENCH_SF_DIR (every event with
 event_id % 3 == 0 is re-assigned to tool TL-000000), then runs the
 check-out/check-in acceptance and session pairing twice — with the default
 threshold (the hot tool is one window, like a plain per-key window) and with
-a small ``rows_per_task`` (the hot tool is split into hourly buckets) —
+a small ``rows_per_task`` (the hot tool is cut into buckets of about half as many rows) —
 checks that both give the same rows and reports the largest window group
 (rows that one task sorts together) and the wall time of each.
 
@@ -41,7 +41,7 @@ def main() -> None:
     out = {"events": n, "hot_tool_events": hot_rows}
     results = {}
     for label, rpt in (("single_window", 10**12), ("hot_key_split", max(1000, n // 100))):
-        bucketed, hot = hot_key_plan(skewed, "tool_code", "ts", "_b", rows_per_task=rpt)
+        bucketed, hot = hot_key_plan(skewed, "tool_code", ["ts", "seq"], "_b", rows_per_task=rpt)
         biggest = bucketed.groupBy("tool_code", "_b").count().agg(F.max("count")).first()[0]
         t0 = time.perf_counter()
         acc = ledger.accepted_events(f.tools, f.usage, skewed, rows_per_task=rpt)
