@@ -147,8 +147,7 @@ def q_stream_sessions(spark, sf):
     root = shared_path(spark, "sessions")
     ev = shape_tool_events(streams.table_stream(spark, sf, "events"))
     streams.session_batches(ev, root, f"{root}/_checkpoint")
-    return (spark.read.parquet(f"{root}/out").drop("batch")
-            .withColumn("duration_hours", catalog.r6("duration_hours")))
+    return streams.sessions_now(spark, root).withColumn("duration_hours", catalog.r6("duration_hours"))
 
 
 @register("retrain_due", f"""
