@@ -36,7 +36,6 @@ class WordBpe:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
         self.lib, self.cache = Tokenizer.from_file(path), cache
-        self.lib.encode_special_tokens = True
         classes = {"L": _of_category("L"), "N": _of_category("N")}
         self.pieces = re.compile(PIECES.format(**classes)).findall
         vocab = self.lib.get_vocab()

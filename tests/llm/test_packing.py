@@ -13,9 +13,7 @@ SCHEMA = "doc_id long, text string, ids string, offset int"          # the last
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def check(rows, texts, library, window=4096):
@@ -46,9 +44,10 @@ def test_documents(spark, library):
 
 def test_edges(spark, library):
     texts = [None, "", "   ", "it's we'll 'tis ''s !'s", "<|endoftext|> x <|startoftext|>", "ΑΣ Σ ΟΔΟΣ İ ﬁ ½ 漢字 é",
-             "a\x1cb\x85c\xa0d\xade", "word " * 60_000, "</w> <</w>>", "12345 x9", "́a é"]
+             "a\x1cb\x85c\xa0d\xade", "word " * 60_000, "</w> <</w>>", "12345 x9", "́a é", "a<|endoftext|>b", "<|endoftext|>" * 3 + "end"]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
     check(packing.pack(df).collect(), dict(enumerate(texts)), library)
+    assert 49407 in WordBpe().encode(["x<|endoftext|>"])[0].tolist()        # the file's own special tokens
     twice = spark.createDataFrame([(1, "a b c", "x", 1)] * 2 + [(None, "a", "x", 1)], SCHEMA)
     assert sum(r.length for r in packing.pack(twice).collect()) == 4 + 4 + 2
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
