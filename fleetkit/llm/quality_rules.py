@@ -55,7 +55,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     the whole text: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, and what the method needs beside them."""
     only = lambda chars: F.length(F.regexp_replace("text", f"[^{chars}]+", "")).cast("long")
-    lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source",
                       F.coalesce("text", F.lit("")).alias("text"))
     out = out.select(

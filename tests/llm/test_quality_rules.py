@@ -23,7 +23,8 @@ def brute(text):
 def test_base_counts(spark):
     rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r.text) < 9000]
     texts = [r.text for r in rows] + [None, "", "a", "a b", "a b c a b c", "a a a a", "x\n\nx\n \n x\nx\r", "é ü 😀😀 |<>",
-                                      "a b c d a b c d a b", "$%\x0b&\x1c#"]
+                                      "a b c d a b c d a b", "$%\x0b&\x1c#", "\x85\n\x85\nw", "\u2028\nx\n\u2028\n\u2029",
+                                      " \n\x0b\n\x0c\r\n"]
     df = spark.createDataFrame([(i, t, "en", "s", "k", 1) for i, t in enumerate(texts)], SCHEMA)
     for r in Q.base_statistics(df).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == \
