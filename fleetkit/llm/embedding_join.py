@@ -23,7 +23,13 @@ def _matrix(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows brought to a largest component of 0.5 to 1 by a power of two: exact, and no norm over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -43,7 +49,7 @@ def _pivots(reps: DataFrame, cell_rows: int, seed: int) -> dict[tuple, np.ndarra
     """Unit pivots of each (label, dimension) with more rows than a cell, chosen
     by hash; the largest come first while MAX_PIVOTS lasts.  A label without
     pivots is one cell, joined block by block."""
-    sizes = (reps.groupBy("label", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = (reps.groupBy(F.col("label").cast("string").alias("label"), F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") > cell_rows).orderBy(F.desc("n"), "label", "dim").limit(MAX_PIVOTS).collect())
     want, left = [], MAX_PIVOTS
     for r in sizes:
@@ -54,14 +60,16 @@ def _pivots(reps: DataFrame, cell_rows: int, seed: int) -> dict[tuple, np.ndarra
     if not want:
         return {}
     spark = reps.sparkSession
-    share = spark.createDataFrame([(str(a), b, c) for a, b, c, _ in want], "name string, dim int, share double")
+    share = spark.createDataFrame([(a, b, c) for a, b, c, _ in want], "name string, dim int, share double")
     h = F.pmod(F.xxhash64("embedding", F.lit(seed)), F.lit(1 << 30))
     drawn = (reps.withColumn("dim", F.size("embedding")).withColumn("name", F.col("label").cast("string"))
              .join(F.broadcast(share), ["name", "dim"]).where(h < F.col("share") * (1 << 30))
-             .select("label", "dim", "embedding", h.alias("h")).collect())        # about twice MAX_PIVOTS rows
-    out = {}
+             .select(F.col("name").alias("label"), "dim", "embedding", h.alias("h")).collect())        # about twice MAX_PIVOTS rows
+    out, by = {}, {}
+    for r in drawn:
+        by.setdefault((r["label"], r["dim"]), []).append(r)
     for label, dim, _, k in want:
-        mine = sorted((r for r in drawn if r["label"] == label and r["dim"] == dim), key=lambda r: r["h"])[:k]
+        mine = sorted(by.get((label, dim), []), key=lambda r: r["h"])[:k]
         if len(mine) > 1:
             out[(label, dim)] = np.unique(_unit(np.array([r["embedding"] for r in mine], float)), axis=0)
     return out
@@ -90,16 +98,16 @@ def assign(reps: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) -> D
                 row, cell = np.nonzero(there)
                 yield g.iloc[row].assign(cell=cell, home=near[row] == cell)[COLUMNS]
 
-    blob = reps.select("rid", F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"), "copies",
+    blob = reps.select("rid", F.col("label").cast("string").alias("label"), F.size("embedding").alias("dim"), "copies",
                        "embedding")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(vec=[np.asarray(e, "<f8").tobytes() for e in b["embedding"]]).drop(columns="embedding")
 
-    packed = blob.mapInPandas(pack, "rid long, label long, dim int, copies long, vec binary")
+    packed = blob.mapInPandas(pack, "rid long, label string, dim int, copies long, vec binary")
     return packed.mapInPandas(
-        place, "label long, dim int, cell int, home boolean, rid long, copies long, vec binary")
+        place, "label string, dim int, cell int, home boolean, rid long, copies long, vec binary")
 
 
 COLUMNS = ["label", "dim", "cell", "home", "rid", "copies", "vec"]
@@ -126,7 +134,7 @@ def join_cells(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataF
         x, y = pdf[pdf["chunk"] == i], pdf[pdf["chunk"] == j]
         if not len(x) or not len(y):
             return pd.DataFrame({"rid": [], "links": [], "root": []}).astype("int64")
-        a, b = _matrix(x["vec"]), _matrix(y["vec"])
+        a, b = _scaled(_matrix(x["vec"])), _scaled(_matrix(y["vec"]))
         cosine = (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
         near = cosine >= threshold
         xr, yr = x["rid"].to_numpy(), y["rid"].to_numpy()

@@ -65,3 +65,22 @@ def test_table_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
     assert got(E.op9_embedding_dedup(spark, "/root/testdata/sf0.001")) == brute(rows)
+
+
+@pytest.mark.parametrize("cell_rows", [E.CELL_ROWS, 2])
+def test_extreme_magnitudes(spark, cell_rows):
+    """The cosine does not depend on the scale: norms neither underflow nor overflow."""
+    rows = [(1, [1e-200, 0.0], 1, "k", 1), (2, [0.5, 0.866], 1, "k", 1), (3, [0.0, 1e-170], 1, "k", 1), (4, [0.6, 0.8], 1, "k", 1),
+            (5, [1e200, 0.0], 1, "k", 1), (6, [2e200, 1e190], 1, "k", 1), (7, [5e-324, 0.0], 1, "k", 1),
+            (8, [-1.7e308, 1.7e308], 1, "k", 1), (9, [-1e-300, 1e-300], 1, "k", 1), (10, [-1e-250, 1e-260], 1, "k", 1)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    linked = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df, cell_rows=cell_rows).collect()}
+    assert linked == {1: (3, 1), 5: (3, 1), 6: (3, 1), 7: (3, 1), 8: (1, 8), 9: (1, 8),
+                      2: (1, 2), 3: (0, 3), 4: (1, 2), 10: (0, 10)}
+
+
+def test_labels_of_any_type(spark):
+    rows = [(i, [1.0, 0.01 * (i % 4)], "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    for cell_rows in (E.CELL_ROWS, 4):
+        assert got(E.near_duplicates(df, cell_rows=cell_rows)) == brute([(*r, "k", 1) for r in rows])
