@@ -27,7 +27,8 @@ KEYWORDS = ("passw", "secret", "token", "api")
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 # Alphabets of the encodings, in the order they are tried.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ENCODINGS = {"digits": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower": LOWER, "upper": UPPER,
+# Digits alone are no encoding: order, card and invoice numbers are as random as a secret of that length.
+ENCODINGS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower": LOWER, "upper": UPPER,
              "base32": UPPER + "234567", "base36": LOWER + DIGITS, "BASE36": UPPER + DIGITS,
              "base62": UPPER + LOWER + DIGITS}
 #: Signs of base64 (+ / or - _) and its padding: at their places nothing is tested.
@@ -147,7 +148,7 @@ def battery(runs: DataFrame, text: str = "text") -> DataFrame:
     named = F.lit(None).cast("string")
     for name, letters in reversed(sorted(ENCODINGS.items(), key=lambda kv: len(kv[1]))):
         named = F.when(F.col("core").rlike(f"^[{letters}]+$"), F.lit(name)).otherwise(named)
-    out = out.withColumn("encoding", F.when(F.col("n") > 1, named))
+    out = out.withColumn("encoding", F.when((F.col("n") > 1) & F.col("core").rlike("[A-Za-z]"), named))
     out = out.withColumn("alphabet", F.create_map(*[F.lit(x) for kv in ENCODINGS.items() for x in kv])[F.col("encoding")])
     # written, so that nothing below works the encoding out again for every character
     known = keep(out.where("encoding is not null"), "secret-runs")
@@ -207,7 +208,13 @@ def find(rows: DataFrame, fdr: float = FDR, level: float = LEVEL) -> tuple[DataF
                 "secret-spans")
     added = discoveries(battery(each.where("kind = 'random'")), fdr, level)
     cols = ["rid", "kind", "start", "end"]
-    return seen.select("rid", "doc_id"), each.where("kind <> 'random'").select(cols).union(added.select(cols))
+    spans = each.where("kind <> 'random'").select(cols).union(added.select(cols))
+    # a run inside a base span adds nothing
+    random = F.col("kind") == "random"
+    before = W.partitionBy("rid").orderBy("start", random).rowsBetween(W.unboundedPreceding, -1)
+    held = F.coalesce(F.max(F.when(~random, F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+    spans = spans.withColumn("held", random & held).where("not held").select(cols)
+    return seen.select("rid", "doc_id"), spans
 
 
 def scan(docs: DataFrame, fdr: float = FDR, level: float = LEVEL) -> DataFrame:

@@ -91,13 +91,34 @@ def planted(spark, letters, n, tokens, words=1980, seed=6):
 
 
 def test_each_encoding_is_found_among_text(spark):
-    for letters, n in ((S.UPPER + "234567", 24), (S.LOWER + S.DIGITS, 32), (S.DIGITS + "ABCDEF", 24), (S.LOWER, 48),
-                       (S.DIGITS, 48)):
+    for letters, n in ((S.UPPER + "234567", 24), (S.LOWER + S.DIGITS, 32), (S.DIGITS + "ABCDEF", 24), (S.LOWER, 48)):
         found, wrong = planted(spark, letters, n, 20)
         print(letters, n, found, wrong)
         assert found >= 14 and wrong <= 1, (letters, found, wrong)
 
 
+def test_numbers_are_no_secrets(spark):
+    """Order, card and invoice numbers among text; a few tokens among them are still found."""
+    rng = np.random.default_rng(9)
+    number = lambda n: "".join(rng.choice(list(S.DIGITS), n))
+    texts = [f"order {number(16)} shipped" for _ in range(200)] + [f"invoice 2024-{number(16)}-0007" for _ in range(200)] + [
+        "card " + "-".join(number(4) for _ in range(4)) for _ in range(200)] + [f"id {number(24 + k % 20)}" for k in range(200)]
+    tokens = ["key " + "".join(rng.choice(list(a), 40)) for a in (S.UPPER + "234567", S.LOWER + S.DIGITS, S.DIGITS + "ABCDEF")
+              for _ in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts + tokens)), "doc_id long, text string")
+    got = {r.doc_id for r in S.scan(rows).collect() if any(s["kind"] == "random" for s in r.spans)}
+    assert not [i for i in got if i < len(texts)] and len(got) >= 13
+
+
+def test_a_run_inside_a_base_span_is_not_added(spark):
+    key = "x9K2mQ7vB4nR8tL1wZ5cY3pH6jD0sF" * 2
+    texts = [f"secret = {key}", f"see {key} here", "token: " + "0f" * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in S.scan(rows).collect():
+        base = [(s["start"], s["end"]) for s in r.spans if s["kind"] != "random"]
+        assert not any(a <= s["start"] and s["end"] <= b for s in r.spans if s["kind"] == "random" for a, b in base)
+
+
 def test_long_runs_stay_random(spark):
     alnum = S.UPPER + S.LOWER + S.DIGITS
     for n in (500, 2_500, 10_000):
