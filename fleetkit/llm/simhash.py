@@ -210,8 +210,18 @@ def links(fps: DataFrame, distance: int, chosen: list[tuple[list[int], int]],
 
 def _through_centres(hot: DataFrame, distance: int) -> DataFrame:
     """Links among ``hot`` fingerprints: star edges of everyone who shares a centre."""
-    if distance not in (0, 1, 2):
-        raise ValueError("buckets beyond the pair limit are linked for distances up to 2")
+    if distance > 2:
+        # centres within ``up`` bits of one side and ``down`` of the other: everyone around a centre is linked
+        # with the least fingerprint near it
+        up, down = -(-distance // 2), distance // 2
+        step = F.array(F.lit(0).cast("long"), *(F.lit(_bit(b)) for b in range(BITS)))
+        around = hot.select("fp", F.col("fp").alias("c"))
+        for _ in range(up):
+            around = around.select("fp", "c", F.explode(step).alias("flip")).select(
+                "fp", F.col("c").bitwiseXOR(F.col("flip")).alias("c")).distinct()
+        close = F.bit_count(F.col("fp").bitwiseXOR(F.col("c"))) <= down
+        met = around.groupBy("c").agg(F.min(F.when(close, F.col("fp"))).alias("a"), F.collect_set("fp").alias("fps"))
+        return met.where("a is not null").select("a", F.explode("fps").alias("b")).where("a <> b").distinct()
     if distance == 0:
         return hot.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     flips = [F.lit(0).cast("long"), *(F.lit(_bit(b)) for b in range(BITS))]

@@ -91,3 +91,26 @@ def test_links_keep_every_component(spark, cap):
 def test_thresholds_follow_the_general_pigeonhole():
     cost, ts = simhash.allocate([[0, 5, 50], [0, 1, 2], [0, 9, 90]], 0)
     assert sum(ts) == 0 and cost == 7 and ts == [0, 1, -1]
+
+
+@pytest.mark.parametrize("distance, cap", [(3, 64), (3, 1), (4, 64), (1, 1)])
+def test_other_distances_against_brute_force(spark, distance, cap):
+    rng = np.random.default_rng(distance)
+    base = rng.integers(-2 ** 62, 2 ** 62, 8)
+    fps = {int(b) for b in base}
+    for b in base:
+        for _ in range(5):
+            x = int(b)
+            for bit in rng.choice(64, int(rng.integers(1, 7)), replace=False):
+                x ^= simhash._bit(int(bit))
+            fps.add(x)
+    fps = sorted(fps)
+    got = simhash.rooted(spark.createDataFrame([(x,) for x in fps], "fp long"), distance, cap).collect()
+    root = {r.fp: r.root for r in got}
+    parts = {}
+    for x in fps:
+        near = [p for p in parts if any(((x ^ y) & (2 ** 64 - 1)).bit_count() <= distance for y in parts[p])]
+        parts[x] = [x, *(y for p in near for y in parts.pop(p))]
+    assert len(parts) < len(fps)
+    assert sorted(sorted(v) for v in parts.values()) == sorted(
+        sorted(x for x in fps if root[x] == r) for r in set(root.values()))
