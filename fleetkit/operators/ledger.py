@@ -27,7 +27,8 @@ def classify_intake(intake: DataFrame, tools: DataFrame) -> DataFrame:
 
     Sequential semantics of one-insert-per-row: a row with a missing required
     field fails; a code already stored fails; among the remaining rows of a
-    code the first in arrival order wins, later ones are duplicates.
+    code the first in arrival order wins, later ones are duplicates.  A row
+    that is marked ``malformed`` (``files.with_malformed``) fails before all that.
     """
     missing = None
     for c in REQUIRED:
@@ -38,11 +39,14 @@ def classify_intake(intake: DataFrame, tools: DataFrame) -> DataFrame:
     batch_codes = intake.where(F.col("tool_code").isNotNull()).select("tool_code").distinct()
     stored = (tools.select("tool_code").join(batch_codes, "tool_code", "inner")
               .distinct().withColumn("_stored", F.lit(True)))
-    candidates = intake.where(~missing)
+    sound = F.col("malformed").isNull() if "malformed" in intake.columns else F.lit(True)
+    candidates = intake.where(sound & ~missing)
     # first arrival per code among complete rows (aggregate, not a window)
     first = candidates.groupBy("tool_code").agg(F.min("seq").alias("_first_seq"))
     out = (intake.join(stored, "tool_code", "left").join(first, "tool_code", "left"))
-    reason = (F.when(missing, F.lit("missing_required"))
+    broken = F.col("malformed") if "malformed" in intake.columns else F.lit(None).cast("string")
+    reason = (F.when(~sound, F.concat(F.lit("malformed "), broken))
+               .when(missing, F.lit("missing_required"))
                .when(F.col("_stored"), F.lit("already_exists"))
                .when(F.col("seq") > F.col("_first_seq"), F.lit("duplicate_in_batch")))
     return (out.withColumn("reject_reason", reason)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,29 @@ def q_intake_csv(spark, sf):
     return ledger.classify_intake(back.drop(files.CORRUPT), f.tools)
 
 
+BROKEN = "CASE WHEN seq % 23 = 0 THEN 'too_many_fields' WHEN seq % 23 = 1 THEN 'too_few_fields' " \
+         "WHEN seq % 23 = 2 THEN 'bad_value:purchase_date,condition_score' END"
+
+
+@register("intake_csv_rejects", f"""{FILED_INTAKE_SQL},
+sound AS (SELECT * FROM filed WHERE {BROKEN} IS NULL), {catalog.INTAKE_CLS.replace("FROM intake", "FROM sound")}
+SELECT seq, reject_reason FROM cls WHERE reject_reason IS NOT NULL
+UNION ALL SELECT seq, 'malformed ' || {BROKEN} FROM filed WHERE {BROKEN} IS NOT NULL""")
+def q_intake_csv_rejects(spark, sf):
+    """A6 with a reject channel: every 23rd line of the batch's file has a surplus field, the next lacks its last
+    ones, the third has a date and a number that do not parse; all are errors next to the rejects of B1/B2."""
+    f = load(spark, sf)
+    path, cols = shared_path(spark, "intake-broken"), [c.name for c in schemas.INTAKE.fields]
+    line, k = F.to_csv(F.struct(*cols)), F.col("seq") % 23
+    short = F.to_csv(F.struct(*cols[:4]))
+    wrong = F.to_csv(F.struct(*cols[:5], F.lit("soon").alias("purchase_date"), F.lit("good").alias("condition_score")))
+    files.write_lines(f.intake.select(F.when(k == 0, F.concat(line, F.lit(",surplus"))).when(k == 1, short)
+                                      .when(k == 2, wrong).otherwise(line).alias("value")), path)
+    back = files.with_malformed(files.read_intake_csv(spark, path, schemas.INTAKE, header=False), schemas.INTAKE)
+    return (ledger.classify_intake(back, f.tools).where(F.col("reject_reason").isNotNull())
+            .select("seq", "reject_reason"))
+
+
 @register("export_csv", f"""
 SELECT 'tools' AS export, {catalog.TOOL_OUT_SQL} FROM tools
 UNION ALL BY NAME
@@ -67,10 +91,10 @@ SELECT 'usage' AS export, {catalog.USAGE_OUT} FROM usage_history""")
 def q_export_csv(spark, sf):
     """Tools and usage exported as header CSV and read back typed."""
     f = load(spark, sf)
-    tp, up = shared_path(spark, "tools-csv"), shared_path(spark, "usage-csv")
+    folder = shared_path(spark, "exports")
     t = catalog.tool_out(f.tools)
-    files.export_csv(t, tp)
-    files.export_csv(f.usage, up)
+    tp = files.export_dated(t, folder, "tools", AS_OF)
+    up = files.export_dated(f.usage, folder, "usage", AS_OF)
     tb = files.read_export_csv(spark, tp, t.schema).select(F.lit("tools").alias("export"), "*")
     ub = files.read_export_csv(spark, up, f.usage.schema).select(F.lit("usage").alias("export"), "*")
     return tb.unionByName(ub, allowMissingColumns=True)
@@ -150,17 +174,29 @@ def q_stream_sessions(spark, sf):
     return streams.sessions_now(spark, root).withColumn("duration_hours", catalog.r6("duration_hours"))
 
 
-@register("retrain_due", f"""
-SELECT {catalog.ASOF_TS} + to_hours(h) AS as_of, {catalog.ASOF_TS} AS newest_model, h > {K.RETRAIN_AFTER_HOURS} AS retrain
-FROM (VALUES (0), (24), (25), (72)) AS t(h)""")
+#: Times of the published models: the newest moment of each history.
+MODEL_TIMES_SQL = """
+published AS (SELECT max(ts) AS created_at FROM tool_events UNION ALL SELECT max(checkout_time) FROM usage_history
+              UNION ALL SELECT max(checkout_time) FROM recent_usage)"""
+
+
+@register("retrain_due", f"""{MODEL_TIMES_SQL},
+newest AS (SELECT max(created_at) AS newest_model FROM published)
+SELECT newest_model + to_hours(h) AS as_of, newest_model, h > {K.RETRAIN_AFTER_HOURS} AS retrain
+FROM newest, (VALUES (0), (24), (25), (72)) AS t(h)
+UNION ALL SELECT {catalog.ASOF_TS}, newest_model, newest_model < {catalog.ASOF_TS} - INTERVAL {K.RETRAIN_AFTER_HOURS} HOUR FROM newest""")
 def q_retrain_due(spark, sf):
-    """The saved bundle's metadata decides whether to retrain (newest
-    model older than 24 hours, or none), asked at four later instants."""
+    """A model is published per history table, stamped with that table's newest moment; the newest one in the
+    registry decides whether to retrain, asked at four instants after it and at the tables' as-of time."""
+    from fleetkit.operators import registry
     from fleetkit.operators.risk import retrain_due
-    path = shared_path(spark, "model-meta")
-    forest.save(bundle(spark, sf), path)
-    meta = forest.metadata_frame(spark, path)
-    asked = [AS_OF + dt.timedelta(hours=h) for h in (0, 24, 25, 72)]
+    f, root = load(spark, sf), shared_path(spark, "models")
+    stamps = [df.agg(F.max(c)).first()[0] for df, c in (
+        (f.tool_events, "ts"), (f.usage, "checkout_time"), (f.recent_usage, "checkout_time"))]
+    for stamp in stamps:
+        registry.publish(replace(bundle(spark, sf), created_at=stamp), root)
+    meta = registry.models(spark, root)
+    asked = [max(stamps) + dt.timedelta(hours=h) for h in (0, 24, 25, 72)] + [AS_OF]
     rows = [retrain_due(meta, t).select(ts_lit(t).alias("as_of"), "newest_model", "retrain") for t in asked]
     return functools.reduce(DataFrame.unionByName, rows)
 

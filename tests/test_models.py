@@ -116,3 +116,28 @@ def test_retrain_keeps_the_codes(spark):
     codes = {r.status: r.status_encoded for r in
              encode.encode(feats, new.dictionary).select("status", "status_encoded").distinct().collect()}
     assert codes == {"available": 0, "in_use": -1, "maintenance": -1}
+
+
+def test_registry_newest_complete_model_wins(spark):
+    import datetime as dt
+    from dataclasses import replace
+
+    from fleetkit.operators import registry
+    root = shared_path(spark, "registry")
+    assert registry.newest(spark, root) is None and risk.retrain_due(registry.models(spark, root), AS_OF).first().retrain
+    b = forest.train(catalog.features(spark, SF_SMALL), AS_OF, n_trees=3, depth=3, if_trees=5)
+    days = lambda n: AS_OF + dt.timedelta(days=n)
+    registry.publish(replace(b, version="old", created_at=days(-9)), root)
+    registry.publish(replace(b, version="good", created_at=days(-1)), root)
+    registry.publish(replace(b, version="older", created_at=days(-5)), root)        # published late, made early
+    broken = registry.publish(replace(b, version="broken", created_at=days(3)), root)
+    fs, p = spark._jvm.org.apache.hadoop.fs, None
+    p = fs.Path(f"{root}/models/{broken}/scaler")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    forest.save(replace(b, version="killed", created_at=days(9)), f"{root}/models/killed")      # never entered into the log
+    assert registry.newest(spark, root).version == "good"
+    meta = registry.models(spark, root)
+    assert meta.count() == 3
+    assert risk.retrain_due(meta, AS_OF).first().retrain is False
+    assert risk.retrain_due(meta, days(1)).first().retrain is True
+    assert registry.publish(None, root) is None

@@ -204,3 +204,26 @@ def test_risk_and_summary_texts(spark, make_tools):
         assert "Total Tools: 1\n" in rows[0].text and "Total Usage Today: 0.0 hours\n" in rows[0].text
         if len(blocks) == 4:
             assert rows[2].text == "• Drill (A-1) - OVERDUE by 1 days"
+
+
+def test_malformed_lines_are_rejects(spark, make_tools):
+    """Lines with too many, too few and unreadable cells are errors with their text; the other lines are not touched."""
+    import datetime as dt
+
+    from fleetkit.session import shared_path
+    from fleetkit.sources import files
+    lines = ["seq,tool_code,tool_name,category,location,purchase_date,condition_score",
+             "1,A,Drill,Power,Shop,2024-01-05,9.5", "2,B,Saw,Power,Shop,2024-01-05,9.5,extra", "3,C,Saw",
+             "4,D,Saw,Power,Shop,yesterday,9.5", "5,E,Saw,Power,Shop,2024-01-05,very good", '6,F,"Saw, big",Power,Shop,,',
+             "x,G,Saw,Power,Shop,soon,", "8,B,Saw,Power,Shop,,7", "9,,Saw,Power,Shop,,7", "10,A,Drill,Power,Shop,,1", ",,,,,,"]
+    path = shared_path(spark, "broken-csv")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    read = files.with_malformed(files.read_intake_csv(spark, path, schemas.INTAKE), schemas.INTAKE)
+    got = {(r[files.CORRUPT] or r.seq): r for r in ledger.classify_intake(read, make_tools([])).collect()}
+    assert {k: r.reject_reason for k, r in got.items()} == {
+        1: None, lines[2]: "malformed too_many_fields", lines[3]: "malformed too_few_fields",
+        lines[4]: "malformed bad_value:purchase_date", lines[5]: "malformed bad_value:condition_score", 6: None,
+        lines[7]: "malformed bad_value:seq,purchase_date", 8: None, 9: "missing_required", 10: "duplicate_in_batch",
+        None: "missing_required"}
+    assert got[6].tool_name == "Saw, big" and got[8].outcome == "added"     # B's broken line does not count as its first
+    assert files.export_name("tools", dt.date(2024, 6, 1)) == "tools_export_20240601.csv"
