@@ -19,7 +19,7 @@ def test_held_out_accuracy(spark):
 def test_score_against_brute_force():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["the", "Of", "LOUD!!", "a|", "x9", "###"], rng.integers(1, 30))) for _ in range(200)]
-    rates = np.array([Q.term_rates(t, Q.Terms()) for t in texts])
+    rates = [Q.term_rates(t, Q.Terms()) for t in texts]
     model = Q.fit(rates, np.arange(200) % 2)
     z = model.latent(rates).astype(float)
     for i, got in enumerate(model.score(rates)):
@@ -27,7 +27,43 @@ def test_score_against_brute_force():
         near = cos >= np.sort(cos)[-Q.NEIGHBOURS]
         w = np.maximum(cos[near], 0).astype(float) ** 8
         assert abs(got - (w @ model.labels[near] + 0.5) / (w.sum() + 1)) < 0.05
-    assert np.allclose(np.linalg.norm(z, axis=1), 1, atol=1e-4)
+    assert np.allclose(np.linalg.norm(z, axis=1)[:, None] ** 2, 1, atol=1e-3)
+
+
+def test_word_axes_against_a_full_svd():
+    rng = np.random.default_rng(2)
+    topics = rng.dirichlet(np.full(300, 0.05), 6)
+    texts = [" ".join(f"w{i}" for i in rng.choice(300, 60, p=topics[k % 6])) for k in range(240)]
+    rates = [Q.term_rates(t, Q.Terms()) for t in texts]
+    idf = np.linspace(1, 2, Q.WORDS).astype(np.float32)
+    dense = np.zeros((240, Q.WORDS), np.float32)
+    for i, (_, t, v) in enumerate(rates):
+        np.add.at(dense[i], t, v)
+    x = dense * idf
+    axes = Q.word_axes(rates, idf)
+    assert np.allclose(axes.T @ axes, np.eye(Q.DIMENSIONS), atol=1e-4)
+    best = np.linalg.svd(x, full_matrices=False)[2][:6]
+    assert np.linalg.norm(best @ axes, axis=1).min() > 0.99         # the leading axes are held
+
+
+def test_labels_that_depend_on_vocabulary_alone(spark):
+    """All words have one shape and rows one length; which words a text takes decides its label."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    common, good, bad = [word() for _ in range(300)], [word() for _ in range(60)], [word() for _ in range(60)]
+    rows = []
+    for i in range(1600):
+        own = good if i % 2 else bad
+        words = [*rng.choice(common, 70), *rng.choice(own, 30)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1600)], "doc_id long, quality int")
+    got = [(r.score, r.doc_id % 2) for r in Q.classify(docs, labels).collect() if r.held_out]
+    ones, zeros = [s for s, y in got if y], [s for s, y in got if not y]
+    auc = np.mean([[a > b for b in zeros] for a in ones])
+    assert len(got) > 300 and auc > 0.99
+    assert np.mean([(s >= 0.5) == bool(y) for s, y in got]) > 0.97
 
 
 def test_edges(spark):
