@@ -24,9 +24,10 @@ def test_machine_local_temp_only_as_unset_fallback():
 
 def test_explicit_broadcasts_are_the_bounded_ones():
     found = sorted(n for n, t in CORE.items() if "F.broadcast(" in t)
-    # the hot-key list (<= max_hot keys), the label-dictionary offsets
-    # (partitions x columns rows); the node table goes by sc.broadcast
-    assert found == ["operators/encode.py", "operators/sequence.py"]
+    # the hot-key list (<= max_hot keys) and its cuts (about 2 x max_hot), one summary row per bucket of
+    # a hot tool (as many), the label-dictionary offsets (partitions x columns rows); the node table
+    # goes by sc.broadcast
+    assert found == ["operators/encode.py", "operators/ledger.py", "operators/sequence.py"]
 
 
 def test_no_row_at_a_time_python_udfs():
