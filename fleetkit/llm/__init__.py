@@ -1 +1 @@
-"""Training-data operators: ten corpus jobs and the pipeline that chains five of them."""
+"""Training-data operators: thirteen corpus jobs and the pipeline that chains five of them."""
