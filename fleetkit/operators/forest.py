@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from fleetkit import constants as K
 from fleetkit.functions.dates import ts_lit
-from fleetkit.operators import encode, isolation
+from fleetkit.operators import encode, isolation, trees
 from fleetkit.operators.risk import fuse
 
 KEY = "tool_code"
@@ -44,8 +44,11 @@ class Bundle:
 
 
 def is_test(key_col: str = KEY, seed: int = K.SPLIT_SEED):
-    """Deterministic 20 % hold-out by key hash (stable under repartitioning)."""
-    return F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.lit(10)) < K.TEST_FRACTION_TENTHS
+    """Deterministic 20 % hold-out by key hash (stable under repartitioning; md5, so that any engine can repeat
+    it; a null key counts as an empty one)."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key_col).cast("string"), F.lit("")))
+    drawn = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.pmod(drawn, F.lit(10)) < K.TEST_FRACTION_TENTHS
 
 
 def prepare(features: DataFrame, dictionary: DataFrame, scaler: dict, cols: list[str]) -> DataFrame:
@@ -120,6 +123,36 @@ def feature_importance(spark: SparkSession, bundle: Bundle | None) -> DataFrame:
         F.col("importance").desc(), "feature")
 
 
+def forest_nodes(spark: SparkSession, bundle: Bundle | None) -> DataFrame:
+    """The condition model as a node table (see ``trees``; empty when no model was trained)."""
+    if bundle is None:
+        return spark.createDataFrame([], trees.SCHEMA)
+    return trees.forest_nodes(spark, bundle.forest.stages[-1])
+
+
+def isolation_nodes(spark: SparkSession, bundle: Bundle | None) -> DataFrame:
+    """The anomaly model as a node table (empty when no model was trained)."""
+    if bundle is None:
+        return spark.createDataFrame([], trees.SCHEMA)
+    return trees.isolation_nodes(bundle.iforest)
+
+
+def walked(features: DataFrame, bundle: Bundle | None) -> DataFrame:
+    """Both models by their node tables alone: tool_code, condition_pred, score_samples (empty when no model was
+    trained); the tools' codes are unique."""
+    spark = features.sparkSession
+    if bundle is None:
+        return spark.createDataFrame([], "tool_code string, condition_pred double, score_samples double")
+    data = prepare(features, bundle.dictionary, bundle.scaler, bundle.features)
+    cols = [c + "_z" for c in bundle.features]
+    deepest = bundle.iforest.nodes.agg(F.max("depth")).first()[0]
+    pred = trees.walk(data, forest_nodes(spark, bundle), KEY, cols, bundle.forest.stages[-1].getMaxDepth(), inclusive=True)
+    path = trees.walk(data, isolation_nodes(spark, bundle), KEY, cols, deepest, inclusive=False)
+    c = isolation.avg_path(bundle.iforest.psi)
+    return pred.withColumnRenamed("value", "condition_pred").join(
+        path.select(KEY, (-F.pow(F.lit(2.0), -F.col("value") / F.lit(c))).alias("score_samples")), KEY)
+
+
 def score(features: DataFrame, bundle: Bundle | None, as_of) -> DataFrame:
     """J9 + J11: predictions for every tool; empty when no model exists."""
     spark = features.sparkSession

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetkit import constants as K
 from fleetkit import schemas
 from fleetkit.functions.dates import ts_lit
-from fleetkit.operators import forest, ledger
+from fleetkit.operators import forest, ledger, trees
 from fleetkit.plans import catalog
 from fleetkit.plans.adapters_sql import with_adapters
 from fleetkit.session import shared_path
@@ -153,6 +153,98 @@ def q_model_roundtrip(spark, sf):
     return forest.score(catalog.features(spark, sf), forest.load(spark, path), AS_OF)
 
 
+#: The hold-out of J4 in DuckDB.
+HELD_OUT = (f"(('0x' || substr(md5('{K.SPLIT_SEED}:' || coalesce(tool_code, '')), 1, 15))::BIGINT % 10 "
+            f"< {K.TEST_FRACTION_TENTHS})")
+
+
+def near(a: str, b: str):
+    return (F.abs(F.col(a) - F.col(b)) < 1e-9) | (F.col(a).isNull() & F.col(b).isNull())
+
+
+@register("split_rows", f"SELECT tool_code, {HELD_OUT} AS held_out, 10.0::DOUBLE - condition_score AS label FROM tools")
+def q_split_rows(spark, sf):
+    """Which tools are held out, and the label of J5."""
+    return catalog.features(spark, sf).select("tool_code", forest.is_test().alias("held_out"),
+                                              (F.lit(10.0) - F.col("condition_score")).alias("label"))
+
+
+@register("forest_nodes")
+def q_forest_nodes(spark, sf):
+    """The condition model as a node table."""
+    return forest.forest_nodes(spark, bundle(spark, sf))
+
+
+@register("isolation_nodes")
+def q_isolation_nodes(spark, sf):
+    """The anomaly model as a node table."""
+    return forest.isolation_nodes(spark, bundle(spark, sf))
+
+
+@register("scores_by_nodes", "SELECT tool_code, true AS same_prediction, true AS same_anomaly FROM tools")
+def q_scores_by_nodes(spark, sf):
+    """Every tool scored by joins over the node tables against the library's scorers; the offset of J7 is
+    taken anew from the walked scores."""
+    feats, b = catalog.features(spark, sf), bundle(spark, sf)
+    data = forest.prepare(feats, b.dictionary, b.scaler, b.features)
+    pred = b.forest.transform(data).select("tool_code", "prediction")
+    flags = forest.anomaly_scores(feats, b).select("tool_code", "anomaly_score")
+    walked = forest.walked(feats, b)
+    offset = walked.agg(F.percentile("score_samples", F.lit(K.IF_CONTAMINATION)).alias("offset"))
+    mine = walked.join(F.broadcast(offset)).select(                  # one row
+        "tool_code", "condition_pred", (F.col("score_samples") - F.col("offset")).alias("decision"))
+    return mine.join(pred, "tool_code", "full").join(flags, "tool_code", "full").select(
+        "tool_code", near("condition_pred", "prediction").alias("same_prediction"),
+        near("decision", "anomaly_score").alias("same_anomaly"))
+
+
+@register("importance_by_nodes", f"""
+SELECT feature, true AS same, (SELECT count(*) FROM tools WHERE NOT {HELD_OUT}) AS train_rows
+FROM (VALUES {", ".join(f"('{c}')" for c in K.FEATURE_COLUMNS)}) AS t(feature)""")
+def q_importance_by_nodes(spark, sf):
+    """Gains summed from the node table against the library's importances, beside the rows that were fitted."""
+    b = bundle(spark, sf)
+    mine = trees.importances(forest.forest_nodes(spark, b), b.features)
+    lib = forest.feature_importance(spark, b).withColumnRenamed("importance", "lib")
+    rows = catalog.features(spark, sf).where(~forest.is_test()).agg(F.count(F.lit(1)).alias("train_rows"))
+    return (mine.join(lib, "feature", "full").join(F.broadcast(rows))                # one row
+            .select("feature", near("importance", "lib").alias("same"), "train_rows"))
+
+
+@register("metrics_by_rows", f"""
+SELECT count(*) AS n, true AS same_rmse, true AS same_r2, round(avg(10.0::DOUBLE - condition_score), 6) AS mean_label
+FROM tools WHERE {HELD_OUT}""")
+def q_metrics_by_rows(spark, sf):
+    """The hold-out's metrics summed over its predictions, these walked through the node table, against
+    the evaluator's."""
+    feats, b = catalog.features(spark, sf), bundle(spark, sf)
+    scored = (forest.walked(feats.where(forest.is_test()), b).join(feats.select("tool_code", "condition_score"), "tool_code")
+              .select((F.lit(10.0) - F.col("condition_score")).alias("label"), F.col("condition_pred").alias("prediction")))
+    lib = forest.metrics_frame(spark, b).select(F.col("rmse").alias("lib_rmse"), F.col("r2").alias("lib_r2"))
+    mean = scored.agg(catalog.r6(F.avg("label")).alias("mean_label"))
+    both = trees.metrics(scored).join(F.broadcast(lib)).join(F.broadcast(mean))     # one row each
+    return both.select("n", near("rmse", "lib_rmse").alias("same_rmse"), near("r2", "lib_r2").alias("same_r2"), "mean_label")
+
+
+@register("predictions_by_model", f"""
+SELECT 'none saved' AS model, 0::BIGINT AS predictions
+UNION ALL SELECT 'too few rows', 0 UNION ALL SELECT 'saved', count(*) FROM tools""")
+def q_predictions_by_model(spark, sf):
+    """Predictions stay empty until a model is in the registry; too few tools train none."""
+    from fleetkit.operators import registry
+    feats, root = catalog.features(spark, sf), shared_path(spark, "by-model")
+    few = feats.join(F.broadcast(feats.select("tool_code").orderBy("tool_code").limit(K.MIN_TRAIN_ROWS)), "tool_code")
+
+    def counted(name, model):
+        return forest.score(feats, model, AS_OF).agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("predictions"))
+    out = [counted("none saved", registry.newest(spark, root))]
+    registry.publish(forest.train(few, AS_OF), root)
+    out.append(counted("too few rows", registry.newest(spark, root)))
+    registry.publish(bundle(spark, sf), root)
+    out.append(counted("saved", registry.newest(spark, root)))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 # ------------------------------------------------------------ streams (M1, M2)
 @register("stream_ledger", catalog.USAGE_APPLY_SQL)
 def q_stream_ledger(spark, sf):

@@ -141,3 +141,76 @@ def test_registry_newest_complete_model_wins(spark):
     assert risk.retrain_due(meta, AS_OF).first().retrain is False
     assert risk.retrain_due(meta, days(1)).first().retrain is True
     assert registry.publish(None, root) is None
+
+
+DESCENT = """
+WITH RECURSIVE visit AS (
+  SELECT k, x, tree, 0 AS node FROM data, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL
+  SELECT k, x, n.tree, CASE WHEN {left} THEN n."left" ELSE n."right" END
+  FROM visit JOIN nodes n ON n.tree = visit.tree AND n.node = visit.node WHERE n.feature >= 0)
+SELECT k, avg(n.value) AS value FROM visit JOIN nodes n ON n.tree = visit.tree AND n.node = visit.node AND n.feature < 0 GROUP BY k"""
+
+
+def duck_walk(data, nodes, cols, inclusive):
+    """The recursive descent in DuckDB over a node table."""
+    import duckdb
+    con = duckdb.connect()
+    rows = data.select("tool_code", *cols).toPandas()
+    frame = rows[["tool_code"]].rename(columns={"tool_code": "k"})
+    frame["x"] = list(rows[list(cols)].to_numpy(dtype="float64"))
+    con.register("data", frame)
+    con.register("nodes", nodes.toPandas())
+    v = "list_extract(x, n.feature + 1)"
+    return dict(con.execute(DESCENT.format(left=f"{v} {'<=' if inclusive else '<'} n.threshold")).fetchall())
+
+
+def test_node_tables_answer_like_the_models(spark):
+    from fleetkit.operators import trees
+    feats = catalog.features(spark, SF_SMALL)
+    b = forest.train(feats, AS_OF, n_trees=8, depth=6, if_trees=12)
+    data = forest.prepare(feats, b.dictionary, b.scaler, b.features)
+    cols = [c + "_z" for c in b.features]
+    grown, isolated = forest.forest_nodes(spark, b), forest.isolation_nodes(spark, b)
+    pred = {r.tool_code: r.prediction for r in b.forest.transform(data).collect()}
+    path = {r.tool_code: r.mean_path for r in isolation.path_lengths(data, b.iforest, "tool_code").collect()}
+    assert duck_walk(data, grown, cols, True) == pytest.approx(pred, abs=1e-9)
+    assert duck_walk(data, isolated, cols, False) == pytest.approx(path, abs=1e-9)
+    walked = {r.tool_code: r for r in forest.walked(feats, b).collect()}
+    assert {k: r.condition_pred for k, r in walked.items()} == pytest.approx(pred, abs=1e-9)
+    c = isolation.avg_path(b.iforest.psi)
+    assert {k: r.score_samples for k, r in walked.items()} == pytest.approx({k: -2 ** (-h / c) for k, h in path.items()}, abs=1e-9)
+    lib = {r.feature: r.importance for r in forest.feature_importance(spark, b).collect()}
+    assert {r.feature: r.importance for r in trees.importances(grown, b.features).collect()} == pytest.approx(lib, abs=1e-9)
+    # more levels than the trees have change nothing; fewer leave rows short of a leaf, which then have no value
+    deep = {r.tool_code: r.value for r in trees.walk(data, grown, "tool_code", cols, 9, True).collect()}
+    assert deep == pytest.approx(pred, abs=1e-9)
+
+
+def test_node_walk_ties_empty_inputs_and_single_leaves(spark):
+    from fleetkit.operators import trees
+    nodes = spark.createDataFrame([(0, 0, 0, 1.5, 1, 2, 9.0, 4.0, 0.5), (0, 1, -1, None, -1, -1, 10.0, 2.0, None),
+                                   (0, 2, -1, None, -1, -1, 20.0, 2.0, None), (3, 0, -1, None, -1, -1, 1.0, 4.0, None)], trees.SCHEMA)
+    data = spark.createDataFrame([("a", 1.0), ("b", 1.5), ("c", 2.0)], "k string, x double")
+    walk = lambda inclusive: {r.k: r.value for r in trees.walk(data, nodes, "k", ["x"], 1, inclusive).collect()}
+    assert walk(True) == {"a": 5.5, "b": 5.5, "c": 10.5} and walk(False) == {"a": 5.5, "b": 10.5, "c": 10.5}
+    assert trees.walk(data.limit(0), nodes, "k", ["x"], 1, True).count() == 0
+    assert trees.walk(data, nodes.limit(0), "k", ["x"], 1, True).count() == 0
+    imp = {r.feature: r.importance for r in trees.importances(nodes, ["x", "unused"]).collect()}
+    assert imp == {"x": 1.0, "unused": 0.0}
+    assert {r.importance for r in trees.importances(nodes.where("tree = 3"), ["x", "unused"]).collect()} == {0.0}
+    m = trees.metrics(spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "label double, prediction double")).first()
+    assert (m.n, m.rmse, m.r2) == (2, pytest.approx(0.5 ** 0.5), pytest.approx(0.5))
+    none = trees.metrics(spark.createDataFrame([], "label double, prediction double")).first()
+    flat = trees.metrics(spark.createDataFrame([(1.0, 2.0)], "label double, prediction double")).first()
+    assert (none.n, none.rmse, none.r2) == (0, None, None) and flat.r2 is None
+    assert forest.forest_nodes(spark, None).count() == forest.isolation_nodes(spark, None).count() == 0
+
+
+def test_split_is_a_fifth_and_needs_no_session(spark):
+    import hashlib
+    keys = [f"T-{i}" for i in range(3000)]
+    rows = spark.createDataFrame([(k,) for k in [*keys, None]], "tool_code string").select("tool_code", forest.is_test().alias("t")).collect()
+    want = {k: int(hashlib.md5(f"42:{k or ''}".encode()).hexdigest()[:15], 16) % 10 < 2 for k in [*keys, None]}
+    assert {r.tool_code: r.t for r in rows} == want
+    assert 0.17 < sum(want.values()) / len(want) < 0.23
