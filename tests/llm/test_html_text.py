@@ -67,3 +67,35 @@ def test_short_sections_headings_and_references_stay():
     assert main_text(page) == "\n".join(["T"] + [BODY] * 5 + ["Short.", "End."])
     assert main_text(f"<body><h1>T</h1><div>{five}</div><p>Copyright</p></body>") == "\n".join(["T"] + [BODY] * 5)
     assert "A cited work with a long title, 2020\nAnother" in main_text(f"<article>{five}{refs}</article>")
+
+
+def test_parts_of_an_article_stay():
+    links = "<ul><li><a href=1>Intro</a></li><li><a href=2>Usage</a></li></ul>"
+    assert main_text(f"<article><p>{BODY}</p>{links}<p>{BODY}</p></article>") == f"{BODY}\nIntro\nUsage\n{BODY}"
+    assert main_text(f"<article>{links}<p>{BODY}</p><p>{BODY}</p>{links}</article>") == f"{BODY}\n{BODY}"
+    parts = f"<section class=social><p>{BODY}</p></section><div class=widget-comparison><p>{BODY}</p></div>"
+    around = "<div class=share>Share this</div><div class=cookie-notice><p>" + BODY * 2 + "</p></div>"
+    assert main_text(f"<article><p>{BODY}</p>{parts}{around}</article>") == "\n".join([BODY] * 3)
+    assert main_text(f"<article><div class=entry-header><h1>T</h1></div><p>{BODY}</p></article>") == f"T\n{BODY}"
+    two = f"<article><p>{BODY} {BODY}</p><p>{BODY}</p></article><article><p>Short one.</p></article>"
+    teaser = "<article><p><a href=x>Another page</a></p></article>"
+    assert main_text(f"<main>{two}{teaser}</main>") == f"{BODY} {BODY}\n{BODY}\nShort one."
+
+
+def test_depth_costs_no_more_than_length():
+    import time
+    n = 40_000
+    pages = {f"{BODY}\n" * n: f"<div><p>{BODY}" * n, f"{BODY}\n": "<div>" * n + "<li></li>" * n + BODY,
+             f"{BODY}\n ": "<i><div>" + "<b>" * n + "</i>" * n + BODY, f"{BODY}\n  ": BODY + "<a " * n,
+             "": "<div>" * n + "<a href=x>t</a>" * n}
+    for want, page in pages.items():
+        begun = time.process_time()
+        got = main_text(page)
+        assert time.process_time() - begun < 20          # the quadratic version took minutes
+        assert got == want.strip(), page[:40]
+
+
+def test_points_reach_far_ancestors():
+    """Paragraphs 70 wrappers deep: together they outweigh any single one of them in their common container."""
+    deep = "<div>" * 70 + f"<p>{BODY}</p>" + "</div>" * 70
+    assert main_text(f"<body><div>{deep * 400}</div><div class=x><p>{BODY}</p></div></body>").count(BODY) >= 400
