@@ -16,6 +16,8 @@ from fleetkit.llm.quality_rules import SPACE
 
 #: Words in a block and blocks in an output shard.
 BLOCK_WORDS, SHARD_BLOCKS = 64, 65_536
+#: A source of fewer words than this many whole blocks is cut into about so many shorter ones.
+LEAST_BLOCKS = 64
 #: No source is used more often than this.
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -47,6 +49,12 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out
 
 
+def block_length(size: int, block_words: int = BLOCK_WORDS, least: int = LEAST_BLOCKS) -> int:
+    """Words in a block of a source of ``size`` words: ``block_words``, or fewer (one at least) where that many
+    would not fill ``least`` blocks, so that small sources too come near their targets."""
+    return max(1, min(block_words, size // least))
+
+
 def shard_counts(quota: np.ndarray, shard: int, shard_blocks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """How many slots each source gets in one shard, and how many it had before.
 
@@ -116,12 +124,11 @@ def slots(spark: SparkSession, blocks: list[int], quotas: list[int], seed: int =
                 j = np.arange(len(sid)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(before, count)
                 n = np.array(blocks, np.int64)[sid]
                 block, epoch = np.zeros(len(sid), np.int64), j // np.maximum(n, 1)
+                first = np.cumsum(count) - count
                 for s in np.flatnonzero(count):
-                    of = sid == s
-                    for e in np.unique(epoch[of]):
-                        at = of & (epoch == e)
-                        # one permutation per source: later passes repeat its order
-                        block[at] = permute(j[at] % blocks[s], blocks[s], seed * MAX_SOURCES + int(s))
+                    # one permutation per source: later passes repeat its order
+                    at = slice(first[s], first[s] + count[s])
+                    block[at] = permute(j[at] % blocks[s], blocks[s], seed * MAX_SOURCES + int(s))
                 order = np.random.default_rng([seed, shard, 1]).permutation(len(sid))
                 yield pd.DataFrame({"shard": shard, "slot": np.arange(len(sid)), "sid": sid[order],
                                     "epoch": epoch[order], "block": block[order]})
@@ -130,20 +137,22 @@ def slots(spark: SparkSession, blocks: list[int], quotas: list[int], seed: int =
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, source) -> rid (row number), doc_id, source, size (words)."""
+    """``docs`` (doc_id, text, source) -> rid (row number), doc_id, source, size (words), key (hash of the text)."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda x: x != "")
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                       "source", F.size(words).cast("long").alias("size"))
+                       "source", F.size(words).cast("long").alias("size"), F.xxhash64("text").alias("key"))
 
 
 def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 7,
         weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Mix written ``rows`` (rid, doc_id, source, size) to their target weights.
+    """Mix written ``rows`` (rid, doc_id, source, size, key) to their target weights.
 
     Returns the sources (source, sid, source_size, target) and the mix as
     spans: (shard, slot, epoch, rid, start, words), ``words`` words of row rid
-    from its word ``start`` on.  A source's documents, in hashed order, form
-    one stream of words, cut into blocks; documents without words take no part.
+    from its word ``start`` on.  A source's documents, in the order of a hash of
+    doc_id and key (so rows without an id, or with a repeated one, spread over the
+    windows like others), form one stream of words, cut into blocks of
+    ``block_length`` words; documents without words take no part.
     Sources are ordered by code point, null last.  Sizes are summed in windows
     of about WINDOW_ROWS rows per source and then over those windows, so no
     source is ever in one task.  An empty table gives no spans."""
@@ -156,25 +165,26 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHA
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     size = [int(r["size"]) for r in found]
     want = targets(size, weights, most)
-    blocks = [-(-s // block_words) for s in size]
-    quota = [min(most * b, max(1, round(w / s * b))) if s else 0 for w, s, b in zip(want, size, blocks)]
+    length = [block_length(s, block_words) for s in size]
+    blocks = [-(-s // n) for s, n in zip(size, length)]
+    quota = [min(most * b, round(w / s * b)) if s else 0 for w, s, b in zip(want, size, blocks)]
     sources = spark.createDataFrame(
-        [(r["source"], k, s, w) for k, (r, s, w) in enumerate(zip(found, size, want))],
-        "source string, sid long, source_size long, target double")
+        [(r["source"], k, s, w, n) for k, (r, s, w, n) in enumerate(zip(found, size, want, length))],
+        "source string, sid long, source_size long, target double, block_words long")
     parts = max(1, -(-sum(r["n"] for r in found) // WINDOW_ROWS))
-    placed = (rows.where("size > 0").join(F.broadcast(sources.select("source", "sid")).withColumnRenamed("source", "s"),
+    placed = (rows.where("size > 0").join(F.broadcast(sources.select(F.col("source").alias("s"), "sid", "block_words")),
                                           F.col("source").eqNullSafe(F.col("s")))
-              .select("sid", "rid", "doc_id", "size", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+              .select("sid", "block_words", "rid", "doc_id", "size", "key", F.xxhash64("doc_id", "key", F.lit(seed)).alias("h"))
               .withColumn("part", F.pmod("h", F.lit(parts))))
-    w = W.partitionBy("sid", "part").orderBy("h", "doc_id", "size", "rid")
+    w = W.partitionBy("sid", "part").orderBy("h", "doc_id", "key", "size", "rid")
     placed = placed.withColumn("end", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)))
     sums = placed.groupBy("sid", "part").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("offset", F.sum("words").over(
         W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).drop("words")
     placed = placed.join(sums, ["sid", "part"]).select(
-        "sid", "rid", (F.col("offset") + F.col("end")).alias("end"), "size")
-    start, end, b = F.col("end") - F.col("size"), F.col("end"), F.lit(block_words).cast("long")
-    cut = placed.select("sid", "rid", start.alias("from"), "end", F.explode(F.sequence(
+        "sid", "block_words", "rid", (F.col("offset") + F.col("end")).alias("end"), "size")
+    start, end, b = F.col("end") - F.col("size"), F.col("end"), F.col("block_words")
+    cut = placed.select("sid", "block_words", "rid", start.alias("from"), "end", F.explode(F.sequence(
         F.floor(start / b), F.floor((end - 1) / b))).alias("block"))
     lo, hi = F.greatest(F.col("from"), F.col("block") * b), F.least(F.col("end"), (F.col("block") + 1) * b)
     cut = cut.select("sid", "block", "rid", (lo - F.col("from")).alias("start"), (hi - lo).alias("words"))
@@ -191,7 +201,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     prepare(docs.sparkSession)
     rows = with_row_key(docs, ["doc_id", "text", "lang", "source"], "mix-texts")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda x: x != "")
-    measured = keep(rows.select("rid", "doc_id", "source", F.size(words).cast("long").alias("size")), "mix-rows")
+    measured = keep(rows.select("rid", "doc_id", "source", F.size(words).cast("long").alias("size"),
+                                F.xxhash64("text").alias("key")), "mix-rows")
     _, spans = mix(measured, **options)
     taken = spans.groupBy("rid", "epoch").agg(F.sort_array(F.collect_list(F.struct(
         F.col("start").cast("int").alias("start"), F.col("words").cast("int").alias("n")))).alias("spans"))
@@ -212,7 +223,7 @@ def usage(docs: DataFrame, **options) -> DataFrame:
     rows = keep(sized(docs), "mix-rows")
     sources, spans = mix(rows, **options)
     taken = spans.groupBy("rid").agg(F.sum("words").alias("taken"))
-    named = sources.withColumnRenamed("source", "s")
+    named = sources.withColumnRenamed("source", "s").drop("block_words")
     return (rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s"))).join(taken, "rid", "left")
             .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
 

@@ -65,3 +65,27 @@ def test_edges_and_mixed_documents(spark):
     texts = {t[1] for t in rows}
     assert all(r.text in texts for r in out if r.source != "b")
     assert M.usage(docs.limit(0)).count() == 0 and M.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_sources_below_a_block_come_near_their_targets(spark):
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    docs = spark.createDataFrame([(k, words(k, 5), "en", f"s{k:02}", 0, "x", 1) for k in range(30)]
+                                 + [(99, words("y", 150), "en", "y", 0, "x", 1)], SCHEMA)
+    got = M.usage(docs).collect()
+    assert all(abs(r.taken - r.target) <= 2.5 and r.taken <= 3 * r.size for r in got), got
+    assert abs(sum(r.taken for r in got) - 300) <= 10
+    few = M.usage(docs.where("source <> 'y'")).collect()
+    assert sorted(r.taken for r in few) == [2] * 10 + [5] * 10 + [8] * 10
+    assert [M.block_length(n) for n in (0, 1, 127, 128, 4095, 4096, 10**9)] == [1, 1, 1, 2, 63, 64, 64]
+
+
+def test_rows_without_ids_spread_over_the_windows(spark, monkeypatch):
+    monkeypatch.setattr(M, "WINDOW_ROWS", 50)
+    docs = spark.range(2000).selectExpr("cast(null as long) doc_id", "concat('t', id, ' u') text", "'en' lang", "'a' source")
+    rows = M.keep(M.sized(docs), "mix-rows")
+    _, spans = M.mix(rows)
+    assert spans.agg({"words": "sum"}).first()[0] == 4000
+    per = spans.join(rows.select("rid", "key"), "rid").selectExpr("pmod(xxhash64(cast(null as long), key, 7), 40) part").groupBy("part").count().collect()
+    assert len(per) == 40 and max(r["count"] for r in per) < 200
+    copies = M.usage(docs.selectExpr("doc_id", "'same text' text", "lang", "source")).collect()
+    assert {r.taken for r in copies} <= {2} and len(copies) == 2000
