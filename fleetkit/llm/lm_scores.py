@@ -180,7 +180,7 @@ def score(docs: DataFrame, held, mu: float = MU, chunk_tokens: int = CHUNK_TOKEN
     distinct pairs of a chunk are sent to shards, which add up all training
     counts; each shard of pairs writes its part of the trie (contexts,
     pointers, successors in Elias-Fano levels, quantised log-probabilities)
-    and answers the chunks from the memory-mapped files.  A frequent word or
+    and answers each distinct pair once from the memory-mapped files.  A frequent word or
     pair is one entry per chunk, and a frequent context is split by its
     successors, so no shard follows one key.  Null and empty texts are the end
     alone; repeated rows count and score as rows of their own; null ids are
@@ -232,13 +232,16 @@ def score(docs: DataFrame, held, mu: float = MU, chunk_tokens: int = CHUNK_TOKEN
         cuts = np.cumsum([0, *(len(_unzip(x, "<u4")) for x in pdf["seen"])])
         order = np.lexsort((w, v))
         a, b = v[order], w[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        first = np.flatnonzero(new)
         c = np.add.reduceat(seen[order].astype(np.int64), first)
         some = c > 0
         at = first[some]
         log_q = np.log(c[some] / (context[order[at]].astype(float) + mu))
         with tempfile.TemporaryDirectory() as folder:            # the task's own; gone when it ends
-            code = Trie.write(folder, a[at], b[at], log_q).codes_of(v, w).astype(np.int64)
+            found = Trie.write(folder, a[at], b[at], log_q).codes_of(a[first], b[first])
+        code = np.empty(len(v), np.int64)
+        code[order] = found[np.cumsum(new) - 1]
         code = np.where(code > 0, 1 + _alone(context, mu) - code, 0)
         return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"],
                              "codes": [_zip(code[i:j], "<u4") for i, j in zip(cuts, cuts[1:])]})

@@ -52,11 +52,21 @@ def test_edges(spark, tokens, split):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in none)
 
 
-def test_elias_fano_round_trip():
+def test_elias_fano_elements_and_successors():
     rng = np.random.default_rng(1)
-    for n, top in ((0, 1), (1, 0), (1, 1 << 45), (1000, 10), (1000, 1 << 40), (5000, 5000)):
+    for n, top in ((1, 0), (1, 1 << 45), (2, 1 << 61), (1000, 10), (1000, 1 << 40), (5000, 5000), (300, 1 << 20)):
         v = np.sort(rng.integers(0, top + 1, n)).astype(np.uint64)
-        assert (EliasFano.decode(EliasFano.encode(v)) == v).all()
+        if n == 300:
+            v[100:250] = v[100]                     # a long run of one value
+        ef = EliasFano(EliasFano.encode(v))
+        assert (ef.at(np.arange(n)) == v).all()
+        key = np.concatenate([v, v + np.uint64(1), rng.integers(0, 2 * top + 2, 500).astype(np.uint64)])
+        lo = rng.integers(0, n + 1, len(key))
+        hi = np.minimum(n, lo + rng.integers(0, n + 1, len(key)))
+        at, hit = ef.find(key, lo, hi)
+        want = [a + int(np.searchsorted(v[a:z], k)) for k, a, z in zip(key, lo, hi)]
+        assert at.tolist() == want
+        assert hit.tolist() == [i < z and v[i] == k for i, k, z in zip(want, key, hi)]
 
 
 def test_trie_finds_what_it_holds():
