@@ -89,3 +89,36 @@ def test_rows_without_ids_spread_over_the_windows(spark, monkeypatch):
     assert len(per) == 40 and max(r["count"] for r in per) < 200
     copies = M.usage(docs.selectExpr("doc_id", "'same text' text", "lang", "source")).collect()
     assert {r.taken for r in copies} <= {2} and len(copies) == 2000
+
+
+def test_many_sources(spark, monkeypatch):
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(k, words(k, 1 + k * 37 % 9), f"s{k % 700:03}é" if k % 11 else f"s{k % 700:03}") for k in range(2000)]
+    rows += [(5000 + k, words(k, 400), "hot") for k in range(40)] + [(None, words("n", 30), None), (1, None, "empty"), (2, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = M.usage(docs).collect()
+    plain = {r.source: (r.source_size, r.target) for r in few}
+    monkeypatch.setattr(M, "URNS", 50)
+    many = M.usage(docs, shard_blocks=1000).collect()
+    assert len(many) == len(rows)
+    got = {r.source: (r.source_size, r.target) for r in many}
+    assert got.keys() == plain.keys()
+    assert all(got[s] == (plain[s][0], pytest.approx(plain[s][1], abs=1e-6)) for s in plain)
+    took = lambda use: Counter({r.source: 0 for r in use}) + sum((Counter({r.source: r.taken}) for r in use), Counter())
+    a, b = took(few), took(many)
+    # the quotas are the same; only a short last block of a source may differ
+    assert all(abs(a[s] - b[s]) <= 3 * M.block_length(plain[s][0]) for s in plain)
+    assert all(abs(b[s] - plain[s][1]) <= 2 * M.block_length(plain[s][0]) + 1 for s in plain)
+    assert all(r.taken <= 3 * r.size for r in many)
+    assert sorted(map(str, many)) == sorted(map(str, M.usage(docs, shard_blocks=1000).collect()))
+    out = M.mixed_documents(docs.withColumn("lang", docs.source)).groupBy("source").count().count()
+    assert out == sum(v > 0 for v in b.values())
+
+
+def test_sources_without_words_or_all_capped(spark, monkeypatch):
+    monkeypatch.setattr(M, "URNS", 2)
+    none = spark.createDataFrame([(k, "", f"s{k}") for k in range(9)], "doc_id long, text string, source string")
+    assert [r.taken for r in M.usage(none).collect()] == [0] * 9
+    one = spark.createDataFrame([(0, "a b c", "x"), *((k, None, f"s{k}") for k in range(1, 9))],
+                                "doc_id long, text string, source string")
+    assert sorted(r.taken for r in M.usage(one).collect()) == [0] * 8 + [3]
