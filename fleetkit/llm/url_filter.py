@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fleetkit.llm.common import keep, prepare, table
 
@@ -22,6 +23,8 @@ FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "entropy"
 TRAIN_ROWS = 20_000
 #: Labelled rows that a suffix's block rate is shrunk by.
 PRIOR = 20.0
+#: Parts of the labelled urls (by hash); a row that is fitted on gets the suffix statistics of the other parts.
+FOLDS = 5
 
 
 def split_url(url: str = "url") -> list[Column]:
@@ -60,20 +63,37 @@ def lexical(url: str = "url") -> list[Column]:
     return [c.cast("double").alias(k) for k, c in columns.items()]
 
 
-def features(urls: DataFrame, labelled: DataFrame) -> DataFrame:
+def features(urls: DataFrame, labelled: DataFrame, out_of_fold: bool = False) -> DataFrame:
     """``urls`` (url, host, path, ...) with every feature; the last one and two
     labels of the host get their shrunk block rate and count over all of
-    ``labelled`` (host, label)."""
+    ``labelled`` (url, host, label), or, ``out_of_fold``, over those outside
+    the url's own fold, so that no row's label enters its own features."""
     suffix = lambda k: F.substring_index("host", ".", -k)
-    out = urls.select("*", *lexical())
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+    out = urls.select("*", *lexical(), fold.alias("fold"))
     for k in (1, 2):
-        rate = F.sum("label")
-        stat = labelled.groupBy(suffix(k).alias(f"suffix{k}")).agg(
-            ((rate + PRIOR / 2) / (F.count(F.lit(1)) + PRIOR)).alias(f"suffix{k}_rate"),
-            F.log1p(F.count(F.lit(1))).alias(f"suffix{k}_seen"))
-        out = (out.withColumn(f"suffix{k}", suffix(k)).join(stat, f"suffix{k}", "left").drop(f"suffix{k}")
+        key = [f"suffix{k}", "fold"] if out_of_fold else [f"suffix{k}"]
+        stat = labelled.select(suffix(k).alias(f"suffix{k}"), fold.alias("fold"), "label").groupBy(*key).agg(
+            F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n"))
+        ones, n = F.col("ones"), F.col("n")
+        if out_of_fold:                             # a window of FOLDS rows at most
+            of = W.partitionBy(f"suffix{k}")
+            ones, n = F.sum("ones").over(of) - ones, F.sum("n").over(of) - n
+        stat = stat.select(*key, ((ones + PRIOR / 2) / (n + PRIOR)).alias(f"suffix{k}_rate"),
+                           F.log1p(n).alias(f"suffix{k}_seen"))
+        out = (out.withColumn(f"suffix{k}", suffix(k)).join(stat, key, "left").drop(f"suffix{k}")
                .fillna({f"suffix{k}_rate": 0.5, f"suffix{k}_seen": 0.0}))
-    return out
+    return out.drop("fold")
+
+
+def training_rows(some: DataFrame, known: DataFrame) -> DataFrame:
+    """label and features of the rows ``some`` of ``known``: each once with its
+    suffix statistics (out of fold) and once as if its suffix had never been
+    seen, so that a url of an unknown suffix is judged by its other features
+    and, where these say nothing, by the share of blocked labels."""
+    rows = features(some, known, out_of_fold=True).select("label", *FEATURES)
+    unseen = {"suffix1_rate": 0.5, "suffix1_seen": 0.0, "suffix2_rate": 0.5, "suffix2_seen": 0.0}
+    return rows.union(rows.select("label", *[F.lit(unseen[c]).alias(c) if c in unseen else c for c in FEATURES]))
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, train_rows: int = TRAIN_ROWS,
@@ -82,7 +102,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, trai
 
     ``labelled`` (url, label: 1 is block) trains the trees; without it the urls
     that a rule decides do.  At most about ``train_rows`` of them, chosen by the
-    url's hash, are fitted on.  With one class or none to learn from, that
+    url's hash, are fitted on (see training_rows).  With one class or none to learn from, that
     class (else allow) is the verdict.  Null urls have an empty host and path
     and are scored as empty text; repeated rows are judged alike; other columns
     are ignored; no rows give no rows."""
@@ -101,10 +121,10 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, trai
     else:
         some = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_rows / rows))
         full = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        train = keep(features(known.where(some), known).select("label", *FEATURES), "url-train")
+        train = keep(training_rows(known.where(some), known), "url-train")
         seen = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
         if seen[1] in (0, seen[0]):                     # a very small sample of one class
-            train = keep(features(known, known).select("label", *FEATURES), "url-train")
+            train = keep(training_rows(known, known), "url-train")
         model = GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, stepSize=0.2, seed=seed).fit(
             full.transform(train))
         score = model.transform(full.transform(features(base, known))).withColumn(

@@ -64,3 +64,28 @@ def test_trees_learn_from_labels(spark):
     one = U.judge(pages, labelled.where("label = 1"), rules=()).select("verdict").distinct().collect()
     assert [r[0] for r in one] == ["block"]
     assert U.judge(pages.limit(0)).count() == 0
+
+
+def test_suffix_statistics_come_from_other_folds(spark):
+    rows = [(f"http://h{i}.s{i % 9}.{'org' if i % 3 else 'com'}/{i % 50}", float(i * 7 % 5 == 0)) for i in range(300)]
+    known = spark.createDataFrame(rows, "url string, label double").selectExpr("*", f"pmod(xxhash64(url), {U.FOLDS}) f").select(
+        "*", *U.split_url())
+    every = [(r.host, r.label, r.f) for r in known.collect()]
+    for out in (False, True):
+        for r in U.features(known, known, out).collect():
+            for k in (1, 2):
+                mine = r.host.split(".")[-k:]
+                of = [y for h, y, f in every if h.split(".")[-k:] == mine and not (out and f == r.f)]
+                assert abs(r[f"suffix{k}_rate"] - (sum(of) + U.PRIOR / 2) / (len(of) + U.PRIOR)) < 1e-12
+                assert abs(r[f"suffix{k}_seen"] - math.log1p(len(of))) < 1e-12
+
+
+def test_unknown_suffixes_follow_the_other_features(spark):
+    path = lambda i: f"{i * 7919 % 1000:03}"
+    labelled = spark.createDataFrame([(f"http://h{i % 10}.{'com' if i % 4 == 0 else 'org'}/{path(i)}", int(i % 4 == 0))
+                                      for i in range(800)], "url string, label int")
+    pages = spark.createDataFrame([(i, f"http://h{i % 10}.{('com', 'org', 'net')[i % 3]}/{path(i + 7)}") for i in range(300)],
+                                  "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge(pages, labelled, rules=()).collect()}
+    assert all(got[i] == ("block", "allow")[i % 3] for i in got if i % 3 < 2)
+    assert sum(got[i] == "block" for i in got if i % 3 == 2) <= 5          # a quarter of the labels is no evidence
