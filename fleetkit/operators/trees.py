@@ -2,9 +2,9 @@
 
 One row per node: tree, node, feature (-1 in a leaf), threshold, left and right (nodes of the same tree),
 value (a leaf's answer), rows and gain (of the fit).  The table is bounded by the model, not by the
-data: trees x nodes of a tree.  The walk keeps one row per (input row, tree) and moves it one level per
-broadcast join on one long id, so Spark, or any SQL engine with the table, repeats what the library's
-vectorised scorers answer.
+data: trees x nodes of a tree.  The walk joins every input row with the trees, each a row of arrays that its
+node numbers index, and moves the pair one level per projection, so Spark, or any SQL engine with the
+table, repeats what the library's vectorised scorers answer.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from fleetkit.session import shared_path
 
 SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, value double, rows double, "
           "gain double")
-#: Nodes of a tree that an id has room for (a tree of depth 30, the deepest MLlib grows, has fewer).
-ID_STRIDE = 2**31
 
 
 def forest_nodes(spark: SparkSession, model: RandomForestRegressionModel) -> DataFrame:
@@ -54,29 +52,29 @@ def isolation_nodes(model: isolation.IsolationModel) -> DataFrame:
 def walk(data: DataFrame, nodes: DataFrame, key: str, features: Sequence[str], levels: int, inclusive: bool) -> DataFrame:
     """Mean leaf value over all trees per row: (key, value).
 
-    ``key`` is unique in ``data``; ``levels`` is the depth of the deepest tree or more (a leaf stays where it is);
-    ``inclusive`` sends a feature equal to the threshold left.  No rows or no trees give no rows."""
-    spark = data.sparkSession
-    path = shared_path(spark, "walk-nodes")
-    gid = lambda c: F.col("tree").cast("long") * F.lit(ID_STRIDE) + F.col(c)
+    ``key`` is unique in ``data``; the nodes of a tree are numbered from 0 (the root) without gaps; ``levels`` is the
+    depth of the deepest tree or more (a leaf stays where it is); ``inclusive`` sends a feature equal to the
+    threshold left.  No rows or no trees give no rows."""
     inner = F.col("feature") >= 0
-    nodes.select(gid("node").alias("_id"), "tree", "feature", "threshold", "value",
-                 F.when(inner, gid("left")).alias("_left"), F.when(inner, gid("right")).alias("_right"),
-                 ).write.parquet(path)                         # read by every level
-    table = spark.read.parquet(path)
-    trees = [r.tree for r in table.select("tree").distinct().collect()]     # bounded by the model
+    node = F.struct("node", F.when(inner, F.col("feature")).otherwise(0).alias("feature"), "threshold",
+                    F.when(inner, F.col("left")).otherwise(F.col("node")).alias("left"),
+                    F.when(inner, F.col("right")).otherwise(F.col("node")).alias("right"),
+                    F.when(~inner, F.col("value")).alias("value"))
+    cols = ["feature", "threshold", "left", "right", "value"]
+    trees = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(node)).alias("n"))
+    model = trees.agg(F.collect_list(F.struct(*[F.col(f"n.{c}").alias(c) for c in cols])).alias("_trees"))  # one row
     x = F.array(*[F.col(c).cast("double") for c in features])
-    at = data.select(F.col(key), x.alias("_x"), F.explode(F.array(*[F.lit(t) for t in trees]).cast("array<long>"))
-                     .alias("_tree")).select(key, "_x", (F.col("_tree") * F.lit(ID_STRIDE)).alias("_at"))
-    splits = F.broadcast(table.where("feature >= 0").drop("tree", "value"))
-    v = F.get(F.col("_x"), F.col("feature"))
-    left = v <= F.col("threshold") if inclusive else v < F.col("threshold")
+    at = (data.select(key, x.alias("_x")).join(model)
+          .select(key, "_x", F.size("_trees").alias("_n"), F.explode("_trees").alias("_t"))
+          .select(key, "_x", "_n", *[F.col(f"_t.{c}").alias(f"_{c}") for c in cols], F.lit(0).alias("_at")))
+    here = lambda c: F.get(F.col(f"_{c}"), F.col("_at"))
+    v = F.get(F.col("_x"), here("feature"))
+    left = v <= here("threshold") if inclusive else v < here("threshold")
     for _ in range(levels):
-        moved = F.when(F.col("_id").isNull(), F.col("_at")).when(left, F.col("_left")).otherwise(F.col("_right"))
-        at = at.join(splits, F.col("_at") == F.col("_id"), "left").select(key, "_x", moved.alias("_at"))
-    leaves = F.broadcast(table.where("feature < 0").select("_id", "value"))
-    return (at.join(leaves, F.col("_at") == F.col("_id")).groupBy(key)
-            .agg((F.sum("value") / F.lit(float(max(len(trees), 1)))).alias("value")))
+        at = at.withColumn("_at", F.when(left, here("left")).otherwise(here("right")))
+    # rows short of a leaf are dropped after the sum: a filter before it would be pushed below all levels
+    return (at.select(key, "_n", here("value").alias("_v")).groupBy(key)
+            .agg((F.sum("_v") / F.max("_n")).alias("value")).where("value IS NOT NULL"))
 
 
 def importances(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -88,7 +86,7 @@ def importances(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
              .agg(F.sum(F.when(F.col("_all") != 0, F.col("_g") / F.col("_all")).otherwise(0.0)).alias("_s")))
     total = share.agg(F.sum("_s").alias("_total"))
     names = nodes.sparkSession.createDataFrame(list(enumerate(features)), "_f int, name string")
-    part = share.join(F.broadcast(total)).select(                     # one row
+    part = share.join(total).select(                                  # one row
         "feature", F.when(F.col("_total") != 0, F.col("_s") / F.col("_total")).otherwise(0.0).alias("_share"))
     return names.join(part, F.col("_f") == F.col("feature"), "left").select(
         F.col("name").alias("feature"), F.coalesce("_share", F.lit(0.0)).alias("importance"))

@@ -214,3 +214,54 @@ def test_split_is_a_fifth_and_needs_no_session(spark):
     want = {k: int(hashlib.md5(f"42:{k or ''}".encode()).hexdigest()[:15], 16) % 10 < 2 for k in [*keys, None]}
     assert {r.tool_code: r.t for r in rows} == want
     assert 0.17 < sum(want.values()) / len(want) < 0.23
+
+
+def test_trees_are_fitted_on_few_even_blocks(spark, monkeypatch):
+    # MLlib's tasks each build the histograms of all nodes, so their number must not follow the shuffle's partitions;
+    # dealt by status, nearly all partitions would be empty
+    seen = []
+
+    class Recorded(forest.Pipeline):
+        def fit(self, data):
+            seen.extend(r.n for r in data.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+            seen.append(data.rdd.getNumPartitions())
+            return super().fit(data)
+
+    rows = [(f"T-{i:04d}", 5.0 + i % 4, float(i % 7), ("on", "off")[i % 2], "c", "l", float(i % 11), float(i % 13)) for i in range(2000)]
+    feats = spark.createDataFrame(rows, "tool_code string, condition_score double, usage_hours double, status string, "
+                                        "category string, location string, days_since_purchase double, usage_count double")
+    monkeypatch.setattr(forest, "Pipeline", Recorded)
+    assert forest.train(feats.repartition(50, "tool_code"), AS_OF, n_trees=2, depth=2, if_trees=2) is not None
+    *blocks, parts = seen
+    assert parts == len(blocks) == 2 * spark.sparkContext.defaultParallelism
+    assert max(blocks) < 3 * min(blocks)
+
+
+def test_walk_joins_once_whatever_the_depth(spark):
+    from fleetkit.operators import trees
+    nodes = spark.createDataFrame([(0, 0, 0, 1.5, 1, 2, 9.0, 4.0, 0.5), (0, 1, -1, None, -1, -1, 10.0, 2.0, None),
+                                   (0, 2, -1, None, -1, -1, 20.0, 2.0, None)], trees.SCHEMA)
+    data = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None), ("d", float("nan"))], "k string, x double")
+    walked = trees.walk(data, nodes, "k", ["x"], 12, True)
+    assert {r.k: r.value for r in walked.collect()} == {"a": 10.0, "b": 20.0, "c": 20.0, "d": 20.0}
+    assert walked._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert trees.walk(data, nodes, "k", ["x"], 0, True).count() == 0                # short of a leaf: no value
+
+
+def test_small_and_large_dictionaries_encode_alike(spark, monkeypatch):
+    rows = [("a", "x", "s"), ("b", None, "s"), (None, "y", "t"), ("a", "z", "new")]
+    df = spark.createDataFrame(rows, "category string, location string, status string")
+    known = encode.fit_label_dictionary(df.where("status <> 'new'"))
+    small = encode.encode(df, known)
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 3
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 0)
+    large = encode.encode(df, known)
+    assert "strategy=broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    assert {r.location: r.location_encoded for r in small.collect()} == {None: 0, "x": 1, "y": 2, "z": -1}
+
+
+def test_nodes_are_walked_once_for_scores_and_for_metrics(spark):
+    from fleetkit.plans import rows_only
+    for query in (rows_only.q_scores_by_nodes, rows_only.q_metrics_by_rows):
+        assert "explode" not in query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
