@@ -265,3 +265,20 @@ def test_nodes_are_walked_once_for_scores_and_for_metrics(spark):
     from fleetkit.plans import rows_only
     for query in (rows_only.q_scores_by_nodes, rows_only.q_metrics_by_rows):
         assert "explode" not in query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_isolation_leaves_are_their_own_children(spark):
+    # tree 3 is a single leaf, tree 7 splits twice; the walk takes as many steps as a tree is deep
+    nodes = spark.createDataFrame([(7, 0, 0, 1.5, 1, 2, 0, 5), (7, 1, -1, 0.0, -1, -1, 1, 1), (7, 2, 1, 0.5, 3, 4, 1, 4),
+                                   (7, 3, -1, 0.0, -1, -1, 2, 1), (7, 4, -1, 0.0, -1, -1, 2, 3), (3, 0, -1, 0.0, -1, -1, 0, 2)],
+                                  isolation.NODE_SCHEMA)
+    model = isolation.IsolationModel(nodes=nodes, features=["x", "y"], psi=5)
+    a = isolation._arrays(model)
+    assert a["trees"] == [(0, 0), (1, 2)]
+    assert a["child"].reshape(-1, 2).tolist() == [[0, 0], [3, 2], [2, 2], [5, 4], [4, 4], [5, 5]]      # right, left
+    inf, nan = float("inf"), float("nan")
+    data = spark.createDataFrame([("a", 1.0, 9.0), ("b", 1.5, 0.4), ("c", nan, 0.5), ("d", inf, nan), ("e", -inf, 0.0)],
+                                 "k string, x double, y double")
+    got = {r.k: r.mean_path for r in isolation.path_lengths(data, model, "k").collect()}
+    deep = 2 + isolation.avg_path(3)
+    assert got == {"a": 1.0, "b": 1.5, "c": (1 + deep) / 2, "d": (1 + deep) / 2, "e": 1.0}
