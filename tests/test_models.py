@@ -267,6 +267,35 @@ def test_nodes_are_walked_once_for_scores_and_for_metrics(spark):
         assert "explode" not in query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
 
+FEATS = ("tool_code string, condition_score double, usage_hours double, status string, category string, location string, "
+         "days_since_purchase double, usage_count double")
+
+
+def test_too_few_tools_are_counted_without_their_statistics(spark):
+    rows = [(f"T-{i}", 5.0, 1.0, "on", "c", "l", 1.0, 1.0) for i in range(10)]
+    unread = F.raise_error(F.lit("a statistic was computed")).cast("double")
+    feats = spark.createDataFrame(rows, FEATS).withColumn("usage_count", unread)
+    assert forest.train(feats, AS_OF) is None
+
+
+def test_the_hold_out_is_predicted_once_and_nothing_is_kept(spark, monkeypatch):
+    kept = []
+
+    class Judged(forest.RegressionEvaluator):
+        def evaluate(self, data, params=None):
+            kept.append(data.storageLevel.useMemory)
+            return super().evaluate(data, params)
+
+    monkeypatch.setattr(forest, "RegressionEvaluator", Judged)
+    rows = [(f"K-{i:04d}", 5.0 + i % 4, float(i % 7), ("on", "off")[i % 2], "c", "l", float(i % 11), float(i % 13)) for i in range(300)]
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = held()
+    b = forest.train(spark.createDataFrame(rows, FEATS), AS_OF, n_trees=2, depth=2, if_trees=2)
+    assert kept == [True, True]             # both metrics
+    b.iforest.nodes.unpersist(True)
+    assert held() == before
+
+
 def test_isolation_leaves_are_their_own_children(spark):
     # tree 3 is a single leaf, tree 7 splits twice; the walk takes as many steps as a tree is deep
     nodes = spark.createDataFrame([(7, 0, 0, 1.5, 1, 2, 0, 5), (7, 1, -1, 0.0, -1, -1, 1, 1), (7, 2, 1, 0.5, 3, 4, 1, 4),
