@@ -1,5 +1,7 @@
 """Isolation forest properties and the model bundle round trip."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -296,6 +298,85 @@ def test_the_hold_out_is_predicted_once_and_nothing_is_kept(spark, monkeypatch):
     assert held() == before
 
 
+MODEL_ROWS = [(f"K-{i:04d}", 5.0 + i % 4, float(i % 7), ("on", "off")[i % 2], "c", "l", float(i % 11), float(i % 13))
+              for i in range(300)]
+
+
+def test_the_matrix_is_sorted_before_it_is_kept(spark, monkeypatch):
+    # the fit's passes over its data (sample, bins, one per level) filter what is kept; none encodes or sorts again
+    seen = []
+
+    class Recorded(forest.Pipeline):
+        def fit(self, data):
+            plan = data._jdf.queryExecution().optimizedPlan()
+            while True:
+                seen.append(plan.nodeName())
+                if plan.children().isEmpty():
+                    break
+                plan = plan.children().head()
+            seen.append(set(data.columns) & {"condition_score", "usage_count", "usage_hours"})
+            return super().fit(data)
+
+    monkeypatch.setattr(forest, "Pipeline", Recorded)
+    assert forest.train(spark.createDataFrame(MODEL_ROWS, FEATS), AS_OF, n_trees=2, depth=2, if_trees=2) is not None
+    *above, kept, unscaled = seen
+    assert kept == "InMemoryRelation" and set(above) <= {"Filter", "Project"}
+    assert unscaled == set()
+
+
+def test_both_models_are_fitted_at_once(spark, monkeypatch):
+    begun = threading.Event()
+
+    class Waiting(forest.Pipeline):
+        def fit(self, data):
+            assert begun.wait(60), "the isolation forest waits for the other forest"
+            return super().fit(data)
+
+    fit = isolation.fit
+
+    def fitted(*args, **kwargs):
+        begun.set()
+        return fit(*args, **kwargs)
+
+    monkeypatch.setattr(forest, "Pipeline", Waiting)
+    monkeypatch.setattr(isolation, "fit", fitted)
+    b = forest.train(spark.createDataFrame(MODEL_ROWS, FEATS), AS_OF, n_trees=2, depth=2, if_trees=2)
+    assert b.iforest.offset < 0
+
+
+def test_a_failing_isolation_fit_fails_the_training(spark, monkeypatch):
+    def fails(*args, **kwargs):
+        raise ValueError("no isolation forest")
+    monkeypatch.setattr(isolation, "fit_offset", fails)
+    with pytest.raises(ValueError, match="no isolation forest"):
+        forest.train(spark.createDataFrame(MODEL_ROWS, FEATS), AS_OF, n_trees=2, depth=2, if_trees=2)
+
+
+def test_candidates_are_copied_for_their_trees_alone(spark):
+    # 5,000 rows, 20 trees of 8: the copies that a tree draws, not a copy per tree of every candidate
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 97).cast("double").alias("x"))
+    model = isolation.fit(df, "k", ["x"], n_trees=20, max_samples=8, seed=3)
+    plan = model.nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(filter(" in plan
+    assert model.nodes.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    p_any, p = 20 * 24 / 5000, 1 / 20
+    drawn = (df.where(isolation._uniform(F.col("k"), F.lit(3), F.lit(-1)) < p_any)
+             .select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("tree"))
+             .where(isolation._uniform(F.col("k"), F.lit(3), F.col("tree")) < p)
+             .groupBy("tree").agg(F.least(F.lit(8), F.count(F.lit(1))).cast("int").alias("size")))
+    roots = model.nodes.where("node = 0").select("tree", "size")
+    assert {tuple(r) for r in roots.collect()} == {tuple(r) for r in drawn.collect()}
+
+
+def test_large_fits_get_whole_waves_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(forest, "FIT_BLOCK_ROWS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    data = spark.range(100).select(F.col("id").cast("string").alias("tool_code"), F.lit(1.0).alias("label")).repartition(50)
+    blocks = lambda n: forest.in_blocks(data, n).rdd.getNumPartitions()
+    assert blocks(10 * 2 * cores) == 2 * cores
+    assert blocks(10 * 2 * cores + 1) == 3 * cores
+
+
 def test_isolation_leaves_are_their_own_children(spark):
     # tree 3 is a single leaf, tree 7 splits twice; the walk takes as many steps as a tree is deep
     nodes = spark.createDataFrame([(7, 0, 0, 1.5, 1, 2, 0, 5), (7, 1, -1, 0.0, -1, -1, 1, 1), (7, 2, 1, 0.5, 3, 4, 1, 4),
