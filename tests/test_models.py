@@ -377,6 +377,15 @@ def test_large_fits_get_whole_waves_of_blocks(spark, monkeypatch):
     assert blocks(10 * 2 * cores + 1) == 3 * cores
 
 
+def test_importances_need_no_python_task(spark):
+    b = forest.train(spark.createDataFrame(MODEL_ROWS, FEATS), AS_OF, n_trees=2, depth=2, if_trees=2)
+    imp = forest.feature_importance(spark, b)
+    assert "RDD" not in imp._jdf.queryExecution().optimizedPlan().toString()
+    assert imp.dtypes == [("feature", "string"), ("importance", "double")]
+    rows = [tuple(r) for r in imp.collect()]
+    assert [f for f, _ in rows] == [f for f, _ in sorted(rows, key=lambda r: (-r[1], r[0]))] and len(rows) == len(b.features)
+
+
 def test_isolation_leaves_are_their_own_children(spark):
     # tree 3 is a single leaf, tree 7 splits twice; the walk takes as many steps as a tree is deep
     nodes = spark.createDataFrame([(7, 0, 0, 1.5, 1, 2, 0, 5), (7, 1, -1, 0.0, -1, -1, 1, 1), (7, 2, 1, 0.5, 3, 4, 1, 4),
